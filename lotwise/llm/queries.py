@@ -10,6 +10,12 @@ from .common import read
 WORD_TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprint_edits
+
+    return fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -24,5 +30,50 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_packing)}
-SQL: dict[str, str] = {}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score
+
+    return score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("key")
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import scaled, top_k
+
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", scaled(F.col("embedding")).alias("v"))
+    return top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import drop_recurring_lines
+
+    return drop_recurring_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_turns, read_back
+
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return read_back(format_turns(rows))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_simhash, op3_packing, op4_quality, op5_topk, op6_lines, op10_chat)}
+SQL: dict[str, str] = {
+    "op5_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op10_chat": """
+        WITH t AS (SELECT conv_id, turn, coalesce(replace(role, chr(10), ' '), '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+        e AS (SELECT *, length(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', chr(92) || '<|')) + length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', chr(92) || '<|')) AS said FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(said + 24) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
+}
