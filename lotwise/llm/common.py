@@ -40,9 +40,10 @@ def row_key(*cols: Column) -> Column:
     return F.struct(F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit("second"), *cells).alias("b"))
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` over record batches; ``fn(batch)`` gives a dict of column arrays or a record batch."""
-    return df.mapInArrow(_Batches(fn, T.StructType.fromDDL(schema)), schema)
+def map_arrow(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` over record batches of bounded size; ``fn(batch)`` gives a dict of columns."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return df.mapInArrow(_Batches(fn, schema), schema)
 
 
 class _Batches:

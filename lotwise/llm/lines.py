@@ -14,6 +14,7 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_arrow, row_key, written
 
@@ -144,5 +145,5 @@ def drop_recurring_lines(docs: DataFrame, broadcast_templates: int = BROADCAST_T
     hashes, firsts = table["t"].to_numpy().astype("int64"), table["first"].to_numpy().astype("int64")
     by = np.argsort(hashes)
     held = docs.sparkSession.sparkContext.broadcast((hashes[by], firsts[by]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_arrow(rows, _Clean(held), f"{schema}, n_lines long, n_dropped long")
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    return map_arrow(rows, _Clean(held), schema)

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_arrow, row_key, written
 
@@ -168,27 +169,12 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Data
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents whose score reaches ``threshold``, with their own columns. One pass: scoring needs no join."""
     rules = fit(with_statistics(docs.join(F.broadcast(_sampled(labels)), "doc_id", "left_semi")), labels)
-    names = docs.columns
-    if clash := {*names} & {*FEATURES}:
-        raise ValueError(f"columns named like statistics: {sorted(clash)}")
-    scored = map_arrow(docs.withColumn("__text", F.col("text")).select(*names, "__text"), _measure_beside, _beside_schema(docs))
-    return scored.where(rules.column() >= threshold).select(*names)
+    beside = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    schema = T.StructType([beside.schema["__row"], *[T.StructField(f, T.DoubleType()) for f in FEATURES]])
+    return map_arrow(beside, _measure, schema).where(rules.column() >= threshold).select("__row.*")
 
 
 def _sampled(labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """Ids of the rows to learn from; ``rows`` at most, so they can be broadcast."""
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
     return known.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(rows)
-
-
-def _beside_schema(docs: DataFrame) -> str:
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return own + ", " + ", ".join(f"{f} double" for f in FEATURES)
-
-
-def _measure_beside(batch) -> dict:
-    import numpy as np
-
-    rows = np.array([statistics(t.as_py()) for t in batch.column("__text")], "float64").reshape(-1, len(FEATURES))
-    out = {name: batch.column(name) for name in batch.schema.names if name != "__text"}
-    return out | {f: rows[:, i] for i, f in enumerate(FEATURES)}

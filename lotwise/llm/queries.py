@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-WORD_TOKENIZER = "word_bpe_49k.json"
+WORD_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
+#: The surrogates' key in the queries. A run on real data has its own secret.
+PII_KEY = b"lotwise surrogate key of the queries"
+
+
+def tokenizer_path(name: str = WORD_TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +31,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     from .packing import pack
 
-    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
+    return pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +55,24 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    return pseudonymise(read(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities")
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_documents
+
+    return encode_documents(read(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL), keep_ids=False)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_turns, read_back
 
@@ -58,7 +82,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_simhash, op3_packing, op4_quality, op5_topk, op6_lines, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_simhash, op3_packing, op4_quality, op5_topk, op6_lines, op7_licenses, op8_pii, op9_pieces, op10_chat)}
 SQL: dict[str, str] = {
     "op5_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
