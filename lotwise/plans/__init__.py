@@ -1,6 +1,6 @@
 """Queries over the supplied tables, by area, and the SQL that each is held against."""
 
-from . import analytics
+from . import analytics, lake
 from .views import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "analytics"]
+__all__ = ["QUERIES", "SQL", "analytics", "lake"]
