@@ -1,6 +1,6 @@
 """Queries over the supplied tables, by area, and the SQL that each is held against."""
 
-from . import analytics, lake, market
+from . import analytics, lake, market, search
 from .views import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "analytics", "lake", "market"]
+__all__ = ["QUERIES", "SQL", "analytics", "lake", "market", "search"]
