@@ -507,15 +507,15 @@ def _looked_up(name: str, kinds: tuple[str, ...], expr_sql: str, agg):
     inside = ", ".join(f"'{k}'" for k in kinds)
 
     def run(spark, d):
-        dim = events(spark, d).where(F.col("event_type").isin(*kinds)).groupBy(F.col("item").alias("p_partkey")).agg(agg.alias("found"))
+        dim = events(spark, d).where(F.col("event_type").isin(*kinds)).groupBy(F.col("item").alias("p_partkey")).agg(agg().alias("found"))
         return enrich.lookup(load(spark, d, "part").select("p_partkey"), dim, "p_partkey", {"found": 0})
 
     run.__name__ = name
     query(f"{E}, x AS (SELECT item, {expr_sql} AS found FROM e WHERE event_type IN ({inside}) GROUP BY ALL) SELECT p_partkey, coalesce(found, 0) AS found FROM part LEFT JOIN x ON item = p_partkey")(run)
 
 
-_looked_up("enr_watcher_count", ("view", "signup"), "count(*)", F.count("*"))
-_looked_up("enr_unique_bidders", ("click", "purchase"), "count(DISTINCT user_id)", F.countDistinct("user_id"))
+_looked_up("enr_watcher_count", ("view", "signup"), "count(*)", lambda: F.count("*"))
+_looked_up("enr_unique_bidders", ("click", "purchase"), "count(DISTINCT user_id)", lambda: F.countDistinct("user_id"))
 
 
 @query(f"""{L}, q AS (SELECT tld, list_sort(list(price))[CAST(least(floor(0.25 * count(*)), count(*) - 1) + 1 AS BIGINT)] AS p25, list_sort(list(price))[CAST(least(floor(0.75 * count(*)), count(*) - 1) + 1 AS BIGINT)] AS p75 FROM l GROUP BY ALL)
