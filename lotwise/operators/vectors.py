@@ -32,10 +32,11 @@ def truncate(v: Column, dims: int) -> Column:
     return unit(F.slice(v, 1, dims))
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, corpus_block: int = CORPUS_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def knn(queries: DataFrame, corpus: DataFrame, k: int, corpus_block: int = CORPUS_BLOCK, query_block: int = QUERY_BLOCK, earlier: bool = False) -> DataFrame:
     """query_id, id, score = (cosine + 1) / 2, rank of the ``k`` nearest rows by matrix products over a grid of blocks.
 
-    queries: query_id, v; corpus: id, v. A query's own id is left out. Ties to the smaller id.
+    queries: query_id, v; corpus: id, v. A query's own id is left out; with ``earlier`` all ids but
+    smaller ones are. Ties to the smaller id.
     """
     n, m = corpus.count(), queries.count()
     across, down = max(1, -(-n // corpus_block)), max(1, -(-m // query_block))
@@ -56,7 +57,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, corpus_block: int = CORPU
             s = np.round(b[at : at + 256] @ a.T, 9)
             for i, row in enumerate(s):
                 own = q["query_id"].iloc[at + i]
-                keep = np.flatnonzero(ids != own)
+                keep = np.flatnonzero(ids < own if earlier else ids != own)
                 best = keep[np.lexsort((ids[keep], -row[keep]))[:k]]
                 out.append(pd.DataFrame({"query_id": own, "id": ids[best], "score": (row[best] + 1) / 2}))
         return pd.concat(out)

@@ -148,7 +148,7 @@ def msr_cost_buckets(spark, d):
 
 # -- evaluation
 
-_GAINS = "gn AS (SELECT item_id AS query_id, doc_id AS item, CAST((item_id * 7 + doc_id) % 5 AS INTEGER) AS gain FROM benchmark, documents WHERE (item_id * 7 + doc_id) % 11 < 3 AND doc_id < 200)"
+_GAINS = "gn AS (SELECT query_id, c.doc_id AS item, 1 + 2 * quality AS gain FROM (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 30) c JOIN labels USING (doc_id))"
 _EVAL = f"""{_DOT}, {_GAINS}, g AS (SELECT * FROM gn WHERE gain > 0), j AS (SELECT rk.query_id, rank, gain FROM rk LEFT JOIN g ON rk.query_id = g.query_id AND rk.doc_id = g.item),
     got AS (SELECT query_id, sum((pow(2.0, coalesce(gain, 0)) - 1) / log2(rank + 1)) AS dcg, count(gain) AS hits, min(rank) FILTER (gain IS NOT NULL) AS first FROM j GROUP BY ALL),
     pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, item) AS r FROM g), ide AS (SELECT query_id, sum((pow(2.0, gain) - 1) / log2(r + 1)) FILTER (r <= 10) AS idcg, count(*) AS relevant FROM pl GROUP BY ALL),
@@ -158,9 +158,9 @@ _EVAL = f"""{_DOT}, {_GAINS}, g AS (SELECT * FROM gn WHERE gain > 0), j AS (SELE
 def _evaluated(spark, d):
     from lotwise.operators import text
 
-    ranked = text.sparse_dot(text.bm25_queries(query_tokens(spark, d)), text.bm25_docs(doc_tokens(spark, d)), 10).select("query_id", F.col("doc_id").alias("item"), "rank")
-    q, docs = load(spark, d, "benchmark").select(F.col("item_id").alias("query_id")), load(spark, d, "documents").where("doc_id < 200").select(F.col("doc_id").alias("item"))
-    gains = q.join(docs, (F.col("query_id") * 7 + F.col("item")) % 11 < 3).withColumn("gain", ((F.col("query_id") * 7 + F.col("item")) % 5).cast("int"))
+    found = text.sparse_dot(text.bm25_queries(query_tokens(spark, d)), text.bm25_docs(doc_tokens(spark, d)), 30).select("query_id", F.col("doc_id").alias("item"), "rank")
+    gains = found.join(load(spark, d, "labels").select(F.col("doc_id").alias("item"), (1 + 2 * F.col("quality")).alias("gain")), "item").select("query_id", "item", "gain")
+    ranked = found.where("rank <= 10")
     return m.ranking_metrics(ranked, gains, 10)
 
 
