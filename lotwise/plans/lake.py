@@ -326,6 +326,11 @@ for _name, _sql, _predicate in [
     ("flt_structured", "price >= 20000 AND bids <= 30 AND tld IN ('brand1', 'brand2', 'brand3') AND NOT regexp_matches(sld, '[qz]') AND length(sld) <= 12 AND contains(sld, '-') AND (listed_at IS NULL OR listed_at >= TIMESTAMP '1997-01-01') AND ends_at >= TIMESTAMP '1996-01-01'", lambda: flt.build_predicate({"price_min": 20000, "bids_max": 30, "tlds": [".brand1", "brand2", "BRAND3"], "exclude_letters": ["q", "z"], "name_length_max": 12, "has_hyphen": True, "listed_after": datetime(1997, 1, 1), "ends_after": datetime(1996, 1, 1)}, AS_OF)),
     ("flt_keywords", "(list_contains(string_split(lower(sld), '-'), 'red') OR regexp_matches(lower(sld), '(^|[^a-z0-9])red($|[^d])')) AND starts_with(lower(sld), 'r')", lambda: flt.build_predicate({"contains_any": ["red"], "starts_any": ["r"]})),
     ("flt_lifecycle", "type_id = 16 OR ends_at <= TIMESTAMP '1996-01-01'", lambda: flt.build_predicate({"lifecycle": [16], "lifecycle_or_ends_before": datetime(1996, 1, 1)})),
+    ("flt_name_length", "length(sld) BETWEEN 6 AND 9", lambda: flt.build_predicate({"name_length_min": 6, "name_length_max": 9})),
+    ("flt_lifecycle_disjunction", "type_id = 38 OR ends_at <= TIMESTAMP '1997-01-01'", lambda: flt.build_predicate({"lifecycle": [38], "lifecycle_or_ends_before": datetime(1997, 1, 1)})),
+    ("flt_days_listed", "listed_at IS NULL OR CAST(DATE '2001-06-01' - CAST(listed_at AS DATE) AS INTEGER) BETWEEN 100 AND 400", lambda: flt.build_predicate({"days_listed_min": 100, "days_listed_max": 400}, AS_OF)),
+    ("flt_letters_digits", "length(regexp_replace(lower(sld), '[^a-z]', '', 'g')) <= 8 AND length(regexp_replace(sld, '[^0-9]', '', 'g')) <= 0", lambda: flt.build_predicate({"letters_max": 8, "digits_max": 0})),
+    ("flt_exclusions", "tld NOT IN ('brand1', 'brand2') AND type_id NOT IN (16) AND NOT (list_contains(string_split(lower(sld), '-'), 'blue') OR regexp_matches(lower(sld), '(^|[^a-z0-9])blue'))", lambda: flt.build_predicate({"exclude_tlds": ["brand1", "brand2"], "exclude_types": [16], "exclude_keywords": ["blue"]})),
     ("flt_time_remaining", "epoch(ends_at) - epoch(TIMESTAMP '2001-06-01') BETWEEN 0 AND 604800", lambda: flt.build_predicate({"time_remaining_max": 604800}, AS_OF)),
     ("flt_word_count", "len(regexp_extract_all(lower(sld), '([a-z]+|[0-9]+)')) >= 2 AND greatest(coalesce(traffic, 0), coalesce(backlinks, 0), 0) > 0", lambda: flt.build_predicate({"word_count_min": 2, "has_traffic": ["traffic", "backlinks"]})),
 ]:

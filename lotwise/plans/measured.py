@@ -103,7 +103,7 @@ _follow("msr_assisted_conversion", "event_type = 'view'", "event_type = 'purchas
 
 
 @query("""SELECT near(avg(n_chars) FILTER (quality = 1)) AS per_good, near(avg(n_chars)) AS per_any, count(*) AS n FROM labels JOIN documents USING (doc_id)""")
-def msr_cost_per(spark, d):
+def msr_cost_per_labelled(spark, d):
     j = load(spark, d, "labels").join(load(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
     return rounded(j.agg(F.avg(F.when(F.col("quality") == 1, F.col("n_chars"))).alias("per_good"), F.avg("n_chars").alias("per_any"), F.count("*").alias("n")))
 

@@ -308,6 +308,31 @@ def udf_damerau_levenshtein(spark, d):
     return load(spark, d, "part").select("p_partkey", text.damerau_udf()("p_name", F.lit("red bolt")).alias("distance"))
 
 
+@query("SELECT p_partkey, regexp_replace(p_name, ' +', '|', 'g') AS parts FROM part WHERE regexp_full_match(p_name, '(red|blue|green|small|large) (ring|bolt|widget|gear|nut|tool)')")
+def udf_compound_split(spark, d):
+    split = text.compound_udf({w: 2.0 for w in _WORDS})
+    p = load(spark, d, "part").where(F.col("p_name").rlike("^(red|blue|green|small|large) (ring|bolt|widget|gear|nut|tool)$"))
+    return p.select("p_partkey", F.array_join(split(F.replace("p_name", F.lit(" "), F.lit(""))), "|").alias("parts"))
+
+
+@query("SELECT page_id, string_split(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '.')[-2] AS label FROM pages")
+def udf_idn_decode(spark, d):
+    host = text.segment(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1))["sld"]
+    return load(spark, d, "pages").select("page_id", text.normalise_udf()(host).alias("label"))
+
+
+@query()
+def gmap_mmr(spark, d):
+    return rnk_mmr(spark, d).withColumn("moved", F.col("new_rank") - F.col("rank"))
+
+
+@query("SELECT p_brand, count(*) AS n, list_sort(list(p_retailprice))[CAST(least(floor(0.9 * count(*)), count(*) - 1) + 1 AS BIGINT)] AS p90 FROM part GROUP BY ALL")
+def udaf_quantile_exact(spark, d):
+    from lotwise.functions import quantiles
+
+    return quantiles.grouped(load(spark, d, "part"), ["p_brand"], "p_retailprice", {"p90": 0.9})
+
+
 @query("SELECT doc_id, md5(strip_accents(text)) AS plain_md5 FROM documents")
 def udf_nfkc(spark, d):
     return load(spark, d, "documents").select("doc_id", F.md5(text.normalise_udf()("text")).alias("plain_md5"))
