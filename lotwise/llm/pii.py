@@ -233,9 +233,8 @@ def pseudonymise(docs: DataFrame, key: bytes, broadcast_redrawn: int = BROADCAST
         beside = docs.withColumn("__again", F.lit(None).cast(_AGAIN))
     else:
         held = None
-        per = told.join(again, ["kind", "value"]).groupBy("a", "b").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("__again"))
-        keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
-        beside = keyed.join(per, (F.col("__key.a") == per["a"]) & (F.col("__key.b") == per["b"]), "left").select(*docs.columns, "__again")
+        per = told.join(again, ["kind", "value"]).groupBy(F.struct("a", "b").alias("__key")).agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("__again"))
+        beside = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text"))).join(per, "__key", "left").select(*docs.columns, "__again")
 
     def convert(batch) -> dict:
         out = {"text": [], "n_entities": []}

@@ -130,16 +130,19 @@ def fit(statistics_table: DataFrame, labels: DataFrame, rows: int = TRAINING_ROW
 
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    table = written(statistics_table.join(sample, "doc_id").select("label", *FEATURES).coalesce(4)).cache()
+    # one sorted partition, as small as ``rows`` bounds it: the forest draws its samples by place, so the same rows give the same rules
+    table = written(statistics_table.join(sample, "doc_id").select("doc_id", "label", *FEATURES).coalesce(1).sortWithinPartitions("doc_id", *FEATURES)).cache()
     n, positive = table.agg(F.count("*"), F.sum("label")).first()
     share = (positive or 0) / n if n else 0.5
     if not n or share in (0.0, 1.0):
         table.unpersist()
         return Rules(_logit(share), [])
-    table = table.withColumn("weight", F.lit(1.0))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(table)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, subsamplingRate=0.7, maxBins=64, minInstancesPerNode=5).fit(vectors)
     paths = tree_paths(forest)
+    if not paths:  # too few rows to split
+        table.unpersist()
+        return Rules(_logit(share), [])
     ruled = table.select("label", *[conjunction(p).cast("double").alias(f"r{i}") for i, p in enumerate(paths)])
     ruled = VectorAssembler(inputCols=[f"r{i}" for i in range(len(paths))], outputCol="features").transform(ruled)
     model = LogisticRegression(elasticNetParam=1.0, regParam=lasso, maxIter=60, standardization=False).fit(ruled.select("label", "features"))
