@@ -57,7 +57,7 @@ class _Batches:
         schema = to_arrow_schema(self.schema)
         for batch in batches:
             # long texts: a few megabytes at a time, so that a task's memory doesn't follow the rows of a batch
-            step = max(1, min(batch.num_rows, int(batch.num_rows * 8_000_000 / max(1, batch.nbytes))))
+            step = max(1, min(batch.num_rows, int(batch.num_rows * 4_000_000 / max(1, batch.nbytes))))
             for i in range(0, batch.num_rows, step):
                 out = self.fn(batch.slice(i, step))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type, from_pandas=True) for f in schema], schema=schema)

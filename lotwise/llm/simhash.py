@@ -8,12 +8,13 @@ linked to the smallest. Two fingerprints meet at a variant just when they differ
 can, so no link is lost and none is made in vain.
 
 ``near_groups`` is the pipeline's form: five-word shingles and a Jaccard similarity of 0.8 or more. That is about a tenth to
-a sixth of the bits, too far for exact pigeonhole blocks, so longer fingerprints are cut into many tables of blocks; candidates
+a sixth of the bits, too far for exact pigeonhole blocks, so longer fingerprints are cut into many permuted blocks; candidates
 are then verified by Hamming distance and by their shingle sets.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -138,9 +139,9 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.join(linked, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Lanes of 64 bits, permutations and bits in a block of the longer fingerprints. Of pairs with a Jaccard similarity of 0.8 about
-#: 0.15 of the bits differ, so a 20-bit block is equal in 0.037 of them and one of the 84 blocks in 0.96; at 0.85: 0.99.
-LANES, PERMUTATIONS, BLOCK_BITS = 4, 7, 20
+#: Lanes of 64 bits in the longer fingerprint; bits of a block over the logarithm of the number of texts, so that chance meetings
+#: stay in proportion to the texts; the chance that a pair at the least similarity meets in one block or more.
+LANES, SPARE_BITS, RECALL = 4, 5, 0.95
 #: Up to so many differing bits of 256 a pair is near beyond doubt (3 standard deviations from a similarity of 0.8); beyond
 #: the second number it isn't; between them the shingle sets decide.
 SURE_BITS, FAR_BITS = 20, 64
@@ -150,21 +151,33 @@ NEIGHBOURS = 8
 BROADCAST_IDS = 500_000
 
 
-def _block_keys(batch) -> dict:
-    """Keys of all blocks of permuted fingerprints; a key names its block too."""
-    import numpy as np
+def block_plan(texts: int, min_similarity: float) -> tuple[int, int]:
+    """(bits in a block, number of blocks): sets of Jaccard similarity s have a cosine of 2s / (1 + s) if they are of a size,
+    and two fingerprints differ in acos(cosine) / pi of their bits."""
+    bits = min(50, max(1, texts).bit_length() + SPARE_BITS)
+    same = 1 - math.acos(2 * min_similarity / (1 + min_similarity)) / math.pi
+    return bits, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - min(same, 1 - 1e-9) ** bits)))
 
-    prints = np.array(batch.column("fp").to_pylist(), "int64").reshape(batch.num_rows, -1)
-    bits = np.unpackbits(prints.view("uint8").reshape(len(prints), -1), axis=1, bitorder="little").astype("float32")
-    width = bits.shape[1]
-    per, powers = width // BLOCK_BITS, 2.0 ** np.arange(BLOCK_BITS)
-    keys = np.zeros((len(prints), PERMUTATIONS * per), "int64")
-    for p in range(PERMUTATIONS):
-        order = np.random.default_rng(p).permutation(width)[: per * BLOCK_BITS].reshape(per, BLOCK_BITS)
-        for b in range(per):
-            t = p * per + b
-            keys[:, t] = (bits[:, order[b]] @ powers).astype("int64") + (t << BLOCK_BITS)
-    return {"node": batch.column("node"), "key": list(keys)}
+
+class _BlockKeys:
+    """Keys of the blocks of permuted fingerprints; its upper bits name the block."""
+
+    def __init__(self, bits: int, blocks: int):
+        self.bits, self.blocks = bits, blocks
+
+    def __call__(self, batch) -> dict:
+        import numpy as np
+
+        prints = np.ascontiguousarray(batch.column("fp").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, LANES))
+        bits = np.unpackbits(prints.view("uint8").reshape(len(prints), -1), axis=1, bitorder="little").T.astype("int64")
+        per = len(bits) // self.bits
+        keys = np.zeros((len(prints), self.blocks), "int64")
+        for t in range(self.blocks):
+            order = np.random.default_rng(t // per).permutation(len(bits))[(t % per) * self.bits :][: self.bits]
+            for k, place in enumerate(order):
+                keys[:, t] |= bits[place] << k
+            keys[:, t] |= t << self.bits
+        return {"node": batch.column("node"), "key": list(keys)}
 
 
 def _distance(a: str, b: str) -> Column:
@@ -183,7 +196,8 @@ def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5) ->
     prints = written(map_arrow(hashed, _Vote(LANES), schema))
     texts = written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")))
 
-    keyed = map_arrow(texts.select("node", "fp"), _block_keys, "node long, key array<long>").select("node", F.explode("key").alias("key"))
+    bits, blocks = block_plan(texts.count(), min_similarity)
+    keyed = map_arrow(texts.select("node", "fp"), _BlockKeys(bits, blocks), "node long, key array<long>").select("node", F.explode("key").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     meets = written(keyed.join(shared, "key"))
     small = meets.where(F.col("n") <= SMALL_GROUP)
