@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,24 +20,33 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 SPACE = "▁"
-CACHED_WORDS = 800_000
+CACHED_WORDS = 700_000
+CACHED_PAIRS = 1_000_000
 #: Characters of new words that are indexed at a time.
 INDEXED = 2_000_000
 
 
 def suffix_array(codes, depth: int):
-    """Places of ``codes`` in the order of what starts there, compared to ``depth`` symbols (prefix doubling)."""
+    """Places of ``codes`` in the order of what starts there, compared to ``depth`` symbols: as many symbols as fit into a word at
+    first, then prefix doubling."""
     import numpy as np
 
-    rank = np.unique(codes, return_inverse=True)[1].astype("int64")
-    order, width = np.argsort(rank, kind="stable"), 1
+    symbols = np.unique(codes)
+    dense = np.searchsorted(symbols, codes).astype("int64") + 1
+    bits = int(len(symbols) + 1).bit_length()
+    width, n = max(1, 62 // bits), len(codes)
+    key = np.zeros(n, "int64")
+    for k in range(width):
+        key <<= bits
+        key[: n - k] |= dense[k:]
+    order = np.argsort(key)
     while width < depth:
-        after = np.zeros(len(rank), "int64")
-        after[:-width or None] = rank[width:] + 1 if width < len(rank) else 0
-        key = rank * (len(rank) + 1) + after
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(len(key), "int64")
+        rank = np.empty(n, "int64")
         rank[order] = np.r_[0, np.cumsum(np.diff(key[order]) != 0)]
+        key = rank * (n + 1)
+        if width < n:
+            key[: n - width] += rank[width:] + 1
+        order = np.argsort(key)
         width *= 2
     return order
 
@@ -57,7 +67,7 @@ class Pieces:
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.control = {i for i in range(n) if model.is_control(i) or model.is_unknown(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.depth = max(map(len, self.ids))
+        self.depth, self.lengths = max(map(len, self.ids)), list(map(len, self.text))
         self.table = np.zeros((len(plain), self.depth), "uint32")
         for k, i in enumerate(plain):
             self.table[k, : len(self.text[i])] = [ord(c) for c in self.text[i]]
@@ -67,8 +77,12 @@ class Pieces:
         known = "".join(re.escape(c) for c in sorted(letters))
         # a word: blanks and what follows them; a character of no piece stands alone
         self.word = re.compile(f"{SPACE}+[{known}]*|[{known}]+|[^{SPACE}{known}]")
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.known: dict[str, bytes] = {}
+        self.start = n  # stands for no piece before
+        self.apart: dict[int, bool] = {}
+        # what each id says; bytes of ASCII say their character, longer sequences of bytes are put together on their own
+        self.said = ["" if i in self.control else chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else t.replace(SPACE, " ") for i, t in enumerate(self.text)]
+        self.high = np.array([self.byte_of.get(i, 0) >= 128 for i in range(n)])
 
     def merged(self, text: str) -> list[int]:
         """Byte-pair merges of a short text: the best-ranked pair first, then the leftmost."""
@@ -81,15 +95,17 @@ class Pieces:
         return [self.ids.get(p, -1) for p in parts]
 
     def stay_apart(self, a: int, b: int) -> bool:
-        if (known := self.apart.get((a, b))) is None:
-            if len(self.apart) > 4 * CACHED_WORDS:
+        """Whether two neighbours are what their joint text is encoded to (or, at a start, whether a piece encodes itself)."""
+        key = a * (self.start + 1) + b
+        if (known := self.apart.get(key)) is None:
+            if len(self.apart) > CACHED_PAIRS:
                 self.apart.clear()
-            want = [b] if a < 0 else [a, b]
-            known = self.apart[a, b] = self.merged("".join(self.text[i] for i in want)) == want
+            want = [b] if a == self.start else [a, b]
+            known = self.apart[key] = self.merged("".join(self.text[i] for i in want)) == want
         return known
 
     def edges(self, text: str):
-        """Starts, ends and ids of every occurrence of every piece, by start and falling length."""
+        """Starts, ends and ids of every occurrence of every piece, by start."""
         import numpy as np
 
         codes = np.frombuffer(text.encode("utf-32-le"), "uint32").astype("int64")
@@ -109,7 +125,7 @@ class Pieces:
         owner = np.repeat(np.arange(len(count)), count)
         places = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
         size = self.length[owner]
-        by = np.lexsort((-size, places))
+        by = np.argsort(places)
         return places[by], (places + size)[by], self.plain[owner][by]
 
     @staticmethod
@@ -130,40 +146,37 @@ class Pieces:
         """Encodes new words, all in one index."""
         text = "\0".join(words)
         starts, ends, ids = (x.tolist() for x in self.edges(text))
-        n, at = len(text), 0
-        last: list[int] = [-2] * (n + 1)  # the piece that ends here in the encoding of the word so far; -2: none
-        apart, stay = self.apart, self.stay_apart
-        begin, m = 0, len(starts)
+        at, m = 0, len(starts)
+        last = [-1] * (len(text) + 1)  # the piece that ends here in the encoding of the word so far; -1: none
+        apart, stay, begin, factor = self.apart, self.stay_apart, 0, self.start + 1
         for word in words:
             stop = begin + len(word)
-            last[begin] = -1
-            while at < m and starts[at] < stop:
-                i = starts[at]
+            last[begin] = self.start
+            while at < m and (i := starts[at]) < stop:
                 before = last[i]
-                if before == -2:
-                    while at < m and starts[at] == i:
-                        at += 1
-                    continue
-                j, piece = ends[at], ids[at]
+                if before >= 0:
+                    j = ends[at]
+                    if last[j] < 0:
+                        piece = ids[at]
+                        fine = apart.get(before * factor + piece)
+                        if fine or fine is None and stay(before, piece):
+                            last[j] = piece
                 at += 1
-                if last[j] == -2:
-                    fine = apart.get((before, piece))
-                    if fine or fine is None and stay(before, piece):
-                        last[j] = piece
             self.known[word] = self._back(word, begin, stop, last)
-            last[begin] = -2
             begin = stop + 1
 
-    def _back(self, word: str, begin: int, stop: int, last: list[int]) -> tuple[int, ...]:
+    def _back(self, word: str, begin: int, stop: int, last: list[int]) -> bytes:
         if last[stop] < 0:  # a character of no piece
-            return tuple(self.bytes[b] for b in word.encode())
-        out, j = [], stop
+            return array("I", [self.bytes[b] for b in word.encode()]).tobytes()
+        out, j, length = [], stop, self.lengths
         while j > begin:
             out.append(last[j])
-            j -= len(self.text[last[j]])
-        return tuple(out[::-1])
+            j -= length[last[j]]
+        out.reverse()
+        return array("I", out).tobytes()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         split = [self.word.findall((SPACE + t.replace(" ", SPACE)) if t else "") for t in texts]
@@ -175,22 +188,23 @@ class Pieces:
                 size, stop = size + len(new[stop]), stop + 1
             self.learn(new[at:stop])
             at = stop
-        return [[i for w in ws for i in self.known[w]] for ws in split]
+        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
+        """The text of ids, an array of integers or their bytes."""
+        import numpy as np
+
+        ids = np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else np.asarray(ids, "int64")
+        if not self.high[ids].any():
+            return "".join(map(self.said.__getitem__, ids.tolist())).removeprefix(" ")
         out, run = [], bytearray()
-        for i in ids:
+        for i in ids.tolist():
             if i in self.byte_of:
                 run.append(self.byte_of[i])
                 continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            if i not in self.control:
-                out.append(self.text[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ").removeprefix(" ")
+            out += [run.decode("utf-8", "replace"), self.said[i]]
+            run.clear()
+        return "".join([*out, run.decode("utf-8", "replace")]).removeprefix(" ")
 
 
 _models: dict[str, Pieces] = {}
@@ -217,11 +231,11 @@ def encode_documents(docs: DataFrame, model: str, keep_ids: bool = True) -> Data
         texts = [t or "" for t in batch.column("text").to_pylist()]
         out = {n: [] for n in names} | {"doc_id": batch.column("doc_id")}
         for text, ids in zip(texts, own.encode(texts), strict=True):
-            out["n_pieces"].append(len(ids))
-            out["ids_crc32"].append(zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+            out["n_pieces"].append(len(ids) // 4)
+            out["ids_crc32"].append(zlib.crc32(ids))
             out["restored"].append(own.decode(ids) == text)
             if keep_ids:
-                out["ids"].append(ids)
+                out["ids"].append(np.frombuffer(ids, "<i4"))
         return out
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, restored boolean" + ", ids array<int>" * keep_ids
