@@ -38,7 +38,7 @@ def suffix_array(codes, depth: int):
     key = np.zeros(n, "int64")
     for k in range(width):
         key <<= bits
-        key[: n - k] |= dense[k:]
+        key[: max(0, n - k)] |= dense[k:]
     order = np.argsort(key)
     while width < depth:
         rank = np.empty(n, "int64")
