@@ -9,7 +9,7 @@ can, so no link is lost and none is made in vain.
 
 ``near_groups`` is the pipeline's form: five-word shingles and a Jaccard similarity of 0.8 or more. That is about a tenth to
 a sixth of the bits, too far for exact pigeonhole blocks, so longer fingerprints are cut into many permuted blocks; candidates
-are then verified by Hamming distance and by their shingle sets.
+are then verified by Hamming distance and by their shingle sets; no link is made on the bits alone.
 """
 
 from __future__ import annotations
@@ -142,9 +142,9 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 #: Lanes of 64 bits in the longer fingerprint; bits of a block over the logarithm of the number of texts, so that chance meetings
 #: stay in proportion to the texts; the chance that a pair at the least similarity meets in one block or more.
 LANES, SPARE_BITS, RECALL = 4, 5, 0.95
-#: Up to so many differing bits of 256 a pair is near beyond doubt (3 standard deviations from a similarity of 0.8); beyond
-#: the second number it isn't; between them the shingle sets decide.
-SURE_BITS, FAR_BITS = 20, 64
+#: Beyond so many differing bits of 256 a pair isn't near (4 standard deviations from a similarity of 0.8); the shingle sets
+#: decide on the others.
+FAR_BITS = 64
 #: In block groups over SMALL_GROUP each text meets the smallest and so many others that come next in order of fingerprint.
 NEIGHBOURS = 8
 #: Ids of texts whose shingles are needed again are broadcast up to this number (8 bytes each); beyond it they are joined.
@@ -184,6 +184,32 @@ def _distance(a: str, b: str) -> Column:
     return sum(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(LANES))
 
 
+def _close(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, bits of the candidates (a, b) that differ in FAR_BITS or fewer."""
+    a, b = (texts.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+    return candidates.join(a, "a").join(b, "b").select("a", "b", _distance("fp_a", "fp_b").alias("bits")).where(F.col("bits") <= FAR_BITS)
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that no links join as yet."""
+    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return written(both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, min_similarity: float, words: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar enough."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "doc_id"), "node"))
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    # a doc_id may name several texts: the set is that of the text itself
+    own = lambda h: F.when(F.xxhash64(h, F.size(h)) == F.col("node"), F.array_distinct(h))
+    sets = rows.join(wanted, "doc_id").select("node", F.element_at(F.transform(F.array(shingle_hashes(F.col("text"), words)), own), 1).alias("s"))
+    sets = written(sets.groupBy("node").agg(F.first("s", ignorenulls=True).alias("s")))
+    s_a, s_b = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return written(pairs.join(s_a, "a").join(s_b, "b").where(common >= min_similarity * (F.size("s_a") + F.size("s_b") - common)).select("a", "b"))
+
+
 def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5) -> DataFrame:
     """doc_id and group: the smallest doc_id of the documents that near copies connect to it.
 
@@ -192,6 +218,8 @@ def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5) ->
     """
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = rows.select("doc_id", shingle_hashes(F.col("text"), words).alias("hashes")).withColumn("node", F.xxhash64("hashes", F.size("hashes")))
+    # the similarity is of sets, so a repeated shingle votes once
+    hashed = hashed.withColumn("hashes", F.array_distinct("hashes"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("fp", T.ArrayType(T.LongType()))])
     prints = written(map_arrow(hashed, _Vote(LANES), schema))
     texts = written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")))
@@ -211,24 +239,14 @@ def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5) ->
     nexts = ordered.select("node", F.explode(F.array_compact(F.array(*[f"b{i}" for i in range(1, NEIGHBOURS + 1)]))).alias("b"))
     nexts = nexts.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
     candidates = pairs.unionByName(star).unionByName(nexts).distinct()
-    a, b = (texts.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("doc_id").alias(f"doc_{x}")) for x in "ab")
-    far = candidates.join(a, "a").join(b, "b").withColumn("bits", _distance("fp_a", "fp_b")).where(F.col("bits") <= FAR_BITS)
-    near = written(far.select("a", "b", "doc_a", "doc_b", "bits"))
-
-    sure = near.where(F.col("bits") <= SURE_BITS).select("a", "b")
-    settled = components(sure)
-    root = lambda x: settled.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-    open_ = near.where(F.col("bits") > SURE_BITS).join(root("a"), "a", "left").join(root("b"), "b", "left")
-    open_ = written(open_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "doc_a", "doc_b"))
-    ids = written(open_.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = rows.join(wanted, "doc_id", "left_semi").select("doc_id", F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s"))
-    sets = written(sets.dropDuplicates(["doc_id"]))
-    both = open_.join(sets.select(F.col("doc_id").alias("doc_a"), F.col("s").alias("s_a")), "doc_a").join(sets.select(F.col("doc_id").alias("doc_b"), F.col("s").alias("s_b")), "doc_b")
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    verified = both.where(common >= min_similarity * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
-
-    roots = components(sure.unionByName(verified))
+    near = written(_close(candidates, texts))
+    # the nearest smaller text of each is checked first: what that joins needs no further check
+    forest = written(near.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"))
+    links = _verified(forest, rows, texts, min_similarity, words)
+    rest = _apart(near.select("a", "b").join(forest, ["a", "b"], "left_anti"), components(links))
+    links = written(links.unionByName(_verified(rest, rows, texts, min_similarity, words)))
+
+    roots = components(links)
     rooted = texts.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("doc_id").alias("group"))
     return prints.select("doc_id", "node").join(rooted.join(groups, "root").select("node", "group"), "node").select("doc_id", "group")

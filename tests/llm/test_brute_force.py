@@ -154,6 +154,18 @@ def test_near_groups_meet_the_similarity(spark):
     assert all(want[d] == want[g] for d, g in got.items())
 
 
+def test_near_groups_compare_sets(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    refrain = " ".join(word() for _ in range(5)) + " "
+    unlike = [refrain * 200 + " ".join(word() for _ in range(300)) for _ in range(2)]
+    base = [word() for _ in range(300)]
+    alike = [" ".join(base), " ".join(base) + (" " + " ".join(base[:7])) * 100]
+    rows = list(enumerate(unlike + alike))
+    got = {r["doc_id"]: r["group"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
 def test_packing_holds_the_tokenizers_ids(docs, texts):
     import numpy as np
     from tokenizers import Tokenizer
