@@ -145,8 +145,10 @@ LANES, SPARE_BITS, RECALL = 4, 5, 0.95
 #: Beyond so many differing bits of 256 a pair isn't near (4 standard deviations from a similarity of 0.8); the shingle sets
 #: decide on the others.
 FAR_BITS = 64
-#: In block groups over SMALL_GROUP each text meets the smallest and so many others that come next in order of fingerprint.
+#: In block groups over SMALL_GROUP each text first meets the smallest and so many others that come next in order of fingerprint.
 NEIGHBOURS = 8
+#: Members of a large block group that one part of its last comparison holds.
+PART = 1024
 #: Ids of texts whose shingles are needed again are broadcast up to this number (8 bytes each); beyond it they are joined.
 BROADCAST_IDS = 500_000
 
@@ -210,6 +212,40 @@ def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, min_similarit
     return written(pairs.join(s_a, "a").join(s_b, "b").where(common >= min_similarity * (F.size("s_a") + F.size("s_b") - common)).select("a", "b"))
 
 
+def _link_large(large: DataFrame, tested: DataFrame, links: DataFrame, rows: DataFrame, texts: DataFrame, min_similarity: float, words: int) -> DataFrame:
+    """``links`` and those that the block groups ``large`` (key, node) still lack: in the end every two members of a group
+    are joined by links or were compared.
+
+    Copies of one original are often near to it alone. So each group's member of most links meets all that aren't joined to
+    it, round by round as long as that finds links; then what is outside a group's commonest component meets the whole group.
+    """
+    last = False
+    while True:
+        roots = components(links)
+        degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+        known = large.join(roots, "node", "left").join(degrees, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+        mixed = known.groupBy("key").agg(F.max(F.struct("links", "node", "root")).alias("top"), F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).where("r <> s")
+        known = written(known.join(mixed.select("key", "top", "n"), "key"))
+        if known.isEmpty():
+            return links
+        if last:
+            sizes = known.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", "c").alias("major"))
+            parts = F.ceil(F.col("n") / PART)
+            whole = known.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.pmod(F.xxhash64("node"), parts).alias("part"))
+            outside = known.join(sizes, "key").where("root <> major").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+            pairs = outside.join(whole, ["key", "part"]).where("root_a <> root_b")
+        else:
+            pairs = known.where(F.col("root") != F.col("top.root")).select(F.col("node").alias("a"), F.col("top.node").alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        near = written(_close(pairs.join(tested, ["a", "b"], "left_anti"), texts).select("a", "b"))
+        found = _verified(near, rows, texts, min_similarity, words)
+        if last:
+            return links.unionByName(found)
+        tested = tested.unionByName(near)
+        last = found.isEmpty()
+        links = written(links.unionByName(found))
+
+
 def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5) -> DataFrame:
     """doc_id and group: the smallest doc_id of the documents that near copies connect to it.
 
@@ -245,6 +281,7 @@ def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5) ->
     links = _verified(forest, rows, texts, min_similarity, words)
     rest = _apart(near.select("a", "b").join(forest, ["a", "b"], "left_anti"), components(links))
     links = written(links.unionByName(_verified(rest, rows, texts, min_similarity, words)))
+    links = _link_large(large.select("key", "node"), near.select("a", "b"), links, rows, texts, min_similarity, words)
 
     roots = components(links)
     rooted = texts.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
