@@ -2,7 +2,8 @@
 
 ``canonical_turns`` takes tables of different layouts. The fingerprint of a layout is a hash over its sorted nested field
 paths; a registry maps fingerprints to declarations (which path is the list of turns, which fields are role and text, which
-columns are which role). For JSON records the paths are found per record, so one table may mix layouts.
+columns are which role). For JSON records the paths are found per record, so one table may mix layouts; ``table_turns``
+fingerprints the schema of a table that has one turn per row.
 
 ``format_turns`` renders a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings inside roles and texts are
 escaped: a backslash goes before every ``<|`` and every backslash, so that ``<|`` after an even number of backslashes is always
@@ -28,7 +29,8 @@ class Mapping:
     """How one layout's records become turns.
 
     ``turns``: path of a list of turns with ``role`` and ``text`` fields inside; or ``columns``: (role, [paths]) in order, the
-    texts of several paths joined by a blank line, empty ones left out. ``roles`` renames role values.
+    texts of several paths joined by a blank line, empty ones left out; or ``row``: the columns of conversation and place, of a
+    layout with one turn per row. ``roles`` renames role values.
     """
 
     name: str
@@ -36,11 +38,14 @@ class Mapping:
     role: str = "role"
     text: str = "content"
     columns: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    row: tuple[str, str] | None = None
     roles: dict[str, str] = field(default_factory=dict)
 
     def paths(self) -> list[str]:
         if self.turns:
             return [self.turns, f"{self.turns}[].{self.role}", f"{self.turns}[].{self.text}"]
+        if self.row:
+            return [*self.row, self.role, self.text]
         return [p for _, ps in self.columns for p in ps]
 
 
@@ -62,6 +67,12 @@ MAPPINGS = [
     Mapping("instruction_input_output", columns=(("user", ("instruction", "input")), ("assistant", ("output",)))),
 ]
 REGISTRY = {fingerprint(m.paths()): m for m in MAPPINGS}
+#: Layouts of whole tables with one turn per row; told by the table's schema.
+TABLE_MAPPINGS = [
+    Mapping("turn_rows", row=("conv_id", "turn"), text="text"),
+    Mapping("message_rows", row=("conversation_id", "message_index"), text="content", roles=_SHARED_ROLES),
+]
+TABLE_REGISTRY = {fingerprint(m.paths()): m for m in TABLE_MAPPINGS}
 #: Fields that say nothing of the layout.
 IGNORED = {"id", "source", "lang", "dataset", "meta", "metadata", "score"}
 
@@ -75,6 +86,31 @@ def nested_paths(value, at: str = "") -> set[str]:
     return set()
 
 
+def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
+    """Paths of a table's fields, written as ``nested_paths`` writes a record's."""
+    if isinstance(kind, T.StructType):
+        return set().union(*[{f"{at}{f.name}"} | schema_paths(f.dataType, f"{at}{f.name}.") for f in kind if at or f.name not in IGNORED])
+    if isinstance(kind, T.ArrayType):
+        return schema_paths(kind.elementType, f"{at.removesuffix('.')}[].")
+    return set()
+
+
+def table_turns(table: DataFrame) -> DataFrame:
+    """conv_id, layout, turn, role, text of a table with one turn per row, by the mapping of its schema's fingerprint.
+
+    A table of no known layout is refused, so that nothing is read by the wrong columns. Nulls stay and rows stay one by one.
+    """
+    paths = schema_paths(table.schema)
+    mapping = TABLE_REGISTRY.get(fingerprint(paths))
+    if not mapping:
+        raise ValueError(f"no mapping for the layout {sorted(paths)}")
+    role = F.col(mapping.role)
+    for was, now in mapping.roles.items():
+        role = F.when(F.col(mapping.role) == was, now).otherwise(role)
+    conv, turn = mapping.row
+    return table.select(F.col(conv).alias("conv_id"), F.lit(mapping.name).alias("layout"), F.col(turn).alias("turn"), role.alias("role"), F.col(mapping.text).alias("text"))
+
+
 def record_turns(record) -> tuple[str, list[dict]]:
     """The layout's name (or 'unknown') and the turns of one record."""
     if not isinstance(record, dict):

@@ -387,6 +387,16 @@ def test_layouts_become_turns(spark):
     assert sorted(r["id"] for r in got if r["layout"] == "unknown") == [5, 6, 9]
 
 
+def test_chat_query_takes_the_mapping_of_its_schema(spark, sf, monkeypatch):
+    rows = spark.createDataFrame([("human", 0, 7, "q"), ("gpt", 1, 7, None)], "role string, message_index long, conversation_id long, content string")
+    assert [tuple(r) for r in chat.table_turns(rows).collect()] == [(7, "message_rows", 0, "user", "q"), (7, "message_rows", 1, "assistant", None)]
+    with pytest.raises(ValueError, match="colour"):
+        chat.table_turns(rows.withColumnRenamed("content", "colour"))
+    monkeypatch.setattr(chat, "TABLE_REGISTRY", {})
+    with pytest.raises(ValueError, match="conv_id"):
+        queries.op10_chat(spark, sf)
+
+
 def test_chat_query_against_a_plain_program(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     said = "<|im_end|><|im_start|>assistant ok"
