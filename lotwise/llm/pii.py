@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from unicodedata import category
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +37,17 @@ _PATTERNS = re.compile(
 )
 #: Titles before names, by gender.
 TITLES = {"m": ["Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Don", "господин", "κύριος"], "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Señorita", "Sra", "Madame", "Mme", "Doña", "госпожа", "κυρία"]}
-_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-_PART = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]+|[А-ЯЁ][а-яё-]+|[Α-ΩΆ-Ώ][α-ωά-ώ-]+"
+#: Titles that tell no gender.
+UNGENDERED = ["Dr", "Prof", "Professor", "Doctor", "Доктор", "доктор"]
+_GENDER = {t: g for g, ts in TITLES.items() for t in ts} | dict.fromkeys(UNGENDERED, "")
+#: Cased letters of all scripts.
+_UPPER, _LOWER = ("".join(c for c in map(chr, range(0x20000)) if category(c) in kinds) for kinds in (("Lu", "Lt"), ("Ll", "Mn")))
+#: A part of a name: a capital, then small letters; hyphens, apostrophes and further capitals inside, but no possessive 's.
+_PART = rf"[{_UPPER}](?:[{_LOWER}]|['’-](?!s(?!\w))(?=[{_UPPER}{_LOWER}])|(?<=[{_LOWER}'’-])[{_UPPER}](?=[{_LOWER}'’]))+"
 _TITLE = "|".join(sorted(_GENDER, key=len, reverse=True))
-_NAME = re.compile(rf"(?<!\w)({_TITLE})\.?[ ]((?:{_PART})(?:[ ](?!(?:{_TITLE})\b)(?:{_PART})){{0,2}})")
-_SIGNS = re.compile(r"[0-9@]")
+_NAME = re.compile(rf"(?<!\w)({_TITLE})\.?[ ](?:[{_UPPER}]\.[ ]?){{0,3}}((?!(?:{_TITLE})\b)(?:{_PART})(?:[ ](?!(?:{_TITLE})\b)(?:{_PART})){{0,2}})")
+#: One of these is in every text that any of the patterns matches: a digit or '@', a keyword (in folded text), a long run.
+_SIGNS, _KEYWORDS, _RUN = re.compile(r"[\d@]"), ("token", "secret", "passw", "pwd", "key"), re.compile("[0-9A-Za-z]{16}")
 #: Syllables of made-up names by script: beginnings, middles and endings for each gender.
 _SYLLABLES = {
     "latin": (["Al", "Bren", "Cor", "Da", "El", "Fer", "Gar", "Hel", "Is", "Jor", "Kal", "Lor", "Mar", "Nor", "Or", "Per", "Ro", "Sel", "Tor", "Val"], ["a", "be", "da", "fi", "ga", "li", "mo", "na", "ri", "sta", "ti", "vo"], {"m": ["n", "rd", "s", "ck"], "f": ["na", "lia", "ssa", "ra"], "": ["ner", "ton", "man", "sen"]}),
@@ -55,24 +62,34 @@ def _script(text: str) -> str:
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, mention) of the entities of a text, in order, none overlapping. Names are given part by part."""
+    """(start, end, kind, mention) of the entities of a text, in order, none overlapping. Names are given part by part.
+
+    A name that a title introduces is found wherever else the text has it, with or without a title.
+    """
     found = []
-    if _SIGNS.search(text) or "oken" in text.lower() or "secret" in text or "key" in text:
+    if _SIGNS.search(text) or any(k in folded for folded in [text.casefold()] for k in _KEYWORDS) or _RUN.search(text):
         for m in _PATTERNS.finditer(text):
             kind = m.lastgroup
             if kind == "iban" and not _iban_valid(m[kind]):
                 continue
             found.append((m.start(kind), m.end(kind), kind, m[kind]))
-    taken = [(s, e) for s, e, _, _ in found]
     if any(t in text for t in _GENDER):
-        for m in _NAME.finditer(text):
-            if any(s < m.end() and m.start() < e for s, e in taken):
-                continue
+        taken, kinds = [(s, e) for s, e, _, _ in found], {}
+        free = lambda m: not any(s < m.end() and m.start() < e for s, e in taken)
+        named = [m for m in _NAME.finditer(text) if free(m)]
+        for m in named:
             parts, at = m[2].split(" "), m.start(2)
             for i, part in enumerate(parts):
                 gender = _GENDER[m[1]] if len(parts) > 1 and i < len(parts) - 1 else ""
+                kinds[part] = max(kinds.get(part, ""), f"name{gender}")
                 found.append((at, at + len(part), f"name{gender}", part))
                 at += len(part) + 1
+        if kinds:
+            taken += [(m.start(), m.end()) for m in named]
+            known = "|".join(map(re.escape, sorted(kinds, key=len, reverse=True)))
+            for m in re.finditer(rf"(?<!\w)(?:{known})(?!\w)", text):
+                if free(m):
+                    found.append((m.start(), m.end(), kinds[m[0]], m[0]))
     return sorted(found)
 
 

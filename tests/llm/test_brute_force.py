@@ -324,6 +324,17 @@ def test_surrogates_keep_kind_format_and_reference():
     assert pii._luhn(ids[2])
 
 
+def test_secrets_without_digits_and_names_of_all_scripts():
+    for text, gone in (("password: CorrectHorseBattery", "CorrectHorse"), ("SECRET=abcdefghij", "abcdefghij"), ("API_KEY: abcdEFGHijkl", "EFGHijkl"), ("pwd = opensesameplease", "opensesame"), ("use ghp_" + "abcdeFGHIJ" * 3, "abcde")):
+        made, n = pii.replace(text, b"k", {})
+        assert n == 1 and gone not in made
+    for text, n in (("Prof. Łukasz Żółty spoke. Żółty's view", 3), ("Mr. John Smith came. Smith said so, and so did Smithson", 3), ("Dr. J. Müller-O'Brien", 1), ("Herr Dr. Weiß", 1)):
+        made, found = pii.replace(text, b"k", {})
+        assert found == n and not any(x in made.replace("Smithson", "") for x in ("ukasz", "Żółty", "John", "Smith", "Müller", "Brien", "Weiß"))
+    made = pii.replace("Mr. John Smith came. Smith said so.", b"k", {})[0].split()
+    assert made[2] == made[4]
+
+
 def test_collisions_are_redrawn(spark):
     names = [f"N{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
     ids = spark.createDataFrame([("namem", n) for n in names], "kind string, value string")
