@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 from .common import map_arrow, row_key, written
 
-#: Shorter lines are too common to tell anything; with fewer constant tokens a template is all fields.
+#: Shorter lines, and lines with fewer constant tokens, have no fields: their template is their exact tokens. A single token
+#: has no template.
 MIN_TOKENS, MIN_CONSTANT = 5, 4
 #: From so many tokens on, half of them may be variable. So many leading tokens choose the leaf.
 GENERAL_TOKENS, LEADING = 12, 2
@@ -30,19 +31,19 @@ FIELD = "<*>"
 
 
 def line_templates(line: str, digits: bool = True) -> list[int]:
-    """Signed 64-bit hashes of the templates that a line belongs to; none if it is too short."""
+    """Signed 64-bit hashes of the templates that a line belongs to; none if it has one token or none."""
     from xxhash import xxh64_intdigest
 
     tokens = line.split()
     n = len(tokens)
-    if n < MIN_TOKENS:
+    if n < 2:
         return []
-    if digits and _DIGIT.search(line):
+    exact = f"={n}\n{' '.join(tokens)}"
+    if n >= MIN_TOKENS and digits and _DIGIT.search(line):
         tokens = [FIELD if _DIGIT.search(t) else t for t in tokens]
-        if n - tokens.count(FIELD) < MIN_CONSTANT:
-            return []
-    forms = [f"{n}\n{' '.join(tokens)}"]
-    if n >= GENERAL_TOKENS:
+    fixed = n >= MIN_TOKENS and n - tokens.count(FIELD) >= MIN_CONSTANT
+    forms = [f"{n}\n{' '.join(tokens)}" if fixed else exact]
+    if fixed and n >= GENERAL_TOKENS:
         half = (n + 1) // 2
         for form in (tokens[:half], tokens[:LEADING] + [FIELD] + tokens[half:]):
             if len(form) - form.count(FIELD) > MIN_CONSTANT:

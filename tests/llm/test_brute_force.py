@@ -282,6 +282,13 @@ def test_lines_with_fields(spark):
     assert got[2] == "another line that only stands in here" and got[5] == "In."
 
 
+def test_short_lines_recur_by_their_exact_text(spark):
+    rows = [(1, "All rights reserved.\nPage 3 of 17 2024\nfirst words"), (2, "All  rights reserved.\nPage 3 of 17 2024\nPage 4\nother words"), (3, "All rights reversed.\nPage 4 of 17 2024\nPage 5\nAll rights reserved.")]
+    for limit in (lines.BROADCAST_TEMPLATES, -1):
+        got = {r["doc_id"]: r["text"] for r in lines.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), limit).collect()}
+        assert got == {1: rows[0][1], 2: "Page 4\nother words", 3: "All rights reversed.\nPage 4 of 17 2024\nPage 5"}
+
+
 def test_patience_on_shuffled_texts():
     rng = random.Random(6)
     for _ in range(200):
