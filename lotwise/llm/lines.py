@@ -1,11 +1,15 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line falls down the tree by its token count, then by its leading tokens, to a leaf of templates. Tokens with digits are
-variable fields. A leaf's templates also generalise other fields: a line of twelve tokens or more belongs to the template
-that keeps its first half and to the one that keeps its leading tokens and second half, the rest being variable. Such a template has one
-hash whatever the order of arrival, so templates of all documents are counted by one grouped minimum and maximum, which combine
-before the shuffle. A template that two documents or more share recurs; its lines stay in the first of these documents (by
-doc_id) and are dropped in the others.
+A line falls down the tree by its token count, then by its leading token, then to the leaves that its anchors name: the thirds of
+a line (every other token of a short one). Tokens with digits are variable fields from the start. Lines of a leaf are compared
+with the leaf's templates token by token, in order of their first document: a line joins the template that it agrees with best, if
+that leaves enough constant tokens, and the tokens that differ become variable fields; else it starts a template. Lines with
+hardly any constant token have their exact text as their template. A template that lines of two documents or more have recurs; its
+lines stay in the first of these documents (by doc_id) and are dropped in the others.
+
+Texts are read once, in one narrow pass, which gives each line's leaves and one byte for each of its tokens. What leaves that two
+documents share hold is counted before it is shuffled; a leaf is merged in salted parts first, whose templates are then merged, and
+a task holds the templates of one part of a leaf at a time. Which lines go is joined to the documents by row and line number.
 """
 
 from __future__ import annotations
@@ -14,137 +18,179 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import map_arrow, row_key, written
+from .common import map_arrow, row_key, unused, written
 
-#: Shorter lines, and lines with fewer constant tokens, have no fields: their template is their exact tokens. A single token
-#: has no template.
+#: Shorter lines, and lines with fewer constant tokens, have no fields: their template is their exact text. A single token has
+#: no template.
 MIN_TOKENS, MIN_CONSTANT = 5, 4
-#: From so many tokens on, half of them may be variable. So many leading tokens choose the leaf.
-GENERAL_TOKENS, LEADING = 12, 2
-#: Recurring templates are broadcast to the tasks up to this number (16 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_TEMPLATES = 1_000_000
+#: Share of a line's tokens that a template keeps. Constant tokens that an anchor has, at least.
+AGREEMENT, ANCHORED = 0.65, 2
+#: From so many tokens on, anchors are thirds.
+THIRDS = 9
+#: Parts in which a leaf is merged first.
+SALTS = 16
+#: Leaves that documents share are broadcast up to this number (8 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_LEAVES = 1_000_000
 
 _DIGIT = re.compile("[0-9]")
 FIELD = "<*>"
+#: Bytes of a variable field: one that was masked, and one that merging made.
+MASKED, MERGED = 0, 255
 
 
-def line_templates(line: str, digits: bool = True) -> list[int]:
-    """Signed 64-bit hashes of the templates that a line belongs to; none if it has one token or none."""
+class _Bytes(dict):
+    """One byte for each constant token."""
+
+    def __missing__(self, token: str) -> int:
+        from xxhash import xxh32_intdigest
+
+        if len(self) > 1_000_000:
+            self.clear()
+        self[token] = byte = MASKED if token == FIELD else 1 + xxh32_intdigest(token) % 254
+        return byte
+
+
+_bytes = _Bytes()
+
+
+def leaves(line: str) -> tuple[list[int], bytes]:
+    """Hashes of the leaves that a line falls to (unsigned; none if it has one token or none), and its tokens as bytes (none for a
+    template of exact text)."""
     from xxhash import xxh64_intdigest
 
     tokens = line.split()
     n = len(tokens)
     if n < 2:
-        return []
-    exact = f"={n}\n{' '.join(tokens)}"
-    if n >= MIN_TOKENS and digits and _DIGIT.search(line):
-        tokens = [FIELD if _DIGIT.search(t) else t for t in tokens]
-    fixed = n >= MIN_TOKENS and n - tokens.count(FIELD) >= MIN_CONSTANT
-    forms = [f"{n}\n{' '.join(tokens)}" if fixed else exact]
-    if fixed and n >= GENERAL_TOKENS:
-        half = (n + 1) // 2
-        for form in (tokens[:half], tokens[:LEADING] + [FIELD] + tokens[half:]):
-            if len(form) - form.count(FIELD) > MIN_CONSTANT:
-                forms.append(f"{n}\n{' '.join(form)}\n{len(forms)}")
-    return [h - (1 << 64) if (h := xxh64_intdigest(f)) >> 63 else h for f in forms]
+        return [], b""
+    if n >= MIN_TOKENS:
+        fields = 0
+        shown = tokens
+        if _DIGIT.search(line):
+            shown = [FIELD if _DIGIT.search(t) else t for t in tokens]
+            fields = shown.count(FIELD)
+        if n - fields >= MIN_CONSTANT:
+            top = f"{n}\n{shown[0]}\n"
+            parts = (shown[: n // 3], shown[n // 3 : 2 * n // 3], shown[2 * n // 3 :]) if n >= THIRDS else (shown[::2], shown[1::2])
+            found = [xxh64_intdigest(f"{top}{j}\n{' '.join(part)}") for j, part in enumerate(parts) if len(part) - (part.count(FIELD) if fields else 0) >= ANCHORED]
+            return found or [xxh64_intdigest(f"{top}all\n{' '.join(shown)}")], bytes(map(_bytes.__getitem__, shown))
+    return [xxh64_intdigest(f"={n}\n{' '.join(tokens)}")], b""
 
 
-def text_templates(text: str) -> list[list[int]]:
-    digits = bool(_DIGIT.search(text))
-    return [line_templates(line, digits) for line in text.split("\n")]
+def _tell(batch) -> dict:
+    import numpy as np
 
+    line, leaf, sig, per = [], [], [], []
+    for text in batch.column("text").to_pylist():
+        before = len(leaf)
+        for i, said in enumerate(text.split("\n") if text else ()):
+            found, tokens = leaves(said)
+            leaf += found
+            line += [i] * len(found)
+            sig += [tokens] * len(found)
+        per.append(len(leaf) - before)
+    rows = np.repeat(np.arange(len(per)), per)
+    return {"doc": batch.column("doc").take(rows), "row": batch.column("row").take(rows), "line": line, "leaf": np.array(leaf, "uint64").view("int64"), "sig": sig}
 
-def _tell(batch) -> dict:
-    out = {"doc_id": [], "t": []}
-    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-        if text:
-            found = {t for line in text_templates(text) for t in line}
-            out["doc_id"] += [doc] * len(found)
-            out["t"] += found
-    return out
 
+def _shared(told: DataFrame) -> DataFrame:
+    """Rows of the leaves that two documents or more fall to."""
+    ends = told.groupBy("leaf").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    both = written(ends.where("first <> last").select("leaf"))
+    return written(told.join(F.broadcast(both) if both.count() <= BROADCAST_LEAVES else both, "leaf", "left_semi"))
 
-def recurring_templates(docs: DataFrame) -> DataFrame:
-    """t, first: hashes of the templates that two documents or more share, and the smallest of their doc_ids."""
-    told = map_arrow(docs, _tell, "doc_id long, t long")
-    ends = told.groupBy("t").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    return ends.where("first <> last").select("t", "first")
 
+class _Leaf:
+    """Templates of one leaf: the form of each, its first document and its first line."""
 
-class _Clean:
-    """Drops lines while their text is at hand: for recurring templates that fit into a task."""
+    def __init__(self, size: int):
+        import numpy as np
 
-    def __init__(self, table):
-        self.table = table
+        self.forms, self.first, self.leader = np.zeros((4, size), "uint8"), [], []
 
-    def __call__(self, batch) -> dict:
+    def add(self, sig: bytes, first: int) -> int:
+        """The place of the template that a line (or template) joins or starts."""
         import numpy as np
 
-        hashes, firsts = self.table.value
-        out = {"text": [], "n_lines": [], "n_dropped": []}
-        for doc, text in zip(batch.column("__doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            lines = text.split("\n") if text else []
-            kept = lines
-            if lines and len(hashes):
-                each = text_templates(text)
-                flat = np.array([t for x in each for t in x], "int64")
-                at = np.minimum(np.searchsorted(hashes, flat), len(hashes) - 1)
-                drop = ((hashes[at] == flat) & (firsts[at] != doc)).tolist()
-                kept, i = [], 0
-                for line, x in zip(lines, each, strict=True):
-                    if not any(drop[i : i + len(x)]):
-                        kept.append(line)
-                    i += len(x)
-            out["text"].append(text if len(kept) == len(lines) else "\n".join(kept))
-            out["n_lines"].append(len(lines))
-            out["n_dropped"].append(len(lines) - len(kept))
-        return out | {n: batch.column(n) for n in batch.schema.names if n not in ("text", "__doc")}
-
-
-def _explode_lines(batch) -> dict:
-    out = {"a": [], "b": [], "doc_id": [], "line": [], "t": []}
-    for key, doc, text in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-        for i, found in enumerate(text_templates(text or "")):
-            for t in found:
-                for k, v in zip(out, (key["a"], key["b"], doc, i, t), strict=True):
-                    out[k].append(v)
-    return out
-
-
-def _join_drops(docs: DataFrame, recurring: DataFrame) -> DataFrame:
-    """The same by joins: drops per row by template, then rows with their drops."""
-    key = row_key(F.col("__doc"), F.col("text"))
-    lines = map_arrow(docs.select(key.alias("key"), F.col("__doc").alias("doc_id"), "text"), _explode_lines, "a long, b long, doc_id long, line int, t long")
-    drops = lines.join(recurring, "t").where(F.col("first") != F.col("doc_id")).groupBy(F.col("a").alias("__a"), F.col("b").alias("__b")).agg(F.collect_set("line").alias("__drop"))
-    keyed = docs.withColumn("__key", key).withColumn("__a", F.col("__key.a")).withColumn("__b", F.col("__key.b"))
-    lines = F.when(F.coalesce("text", F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n", -1))
-    joined = keyed.join(drops, ["__a", "__b"], "left").withColumn("__lines", lines)
-    kept = F.filter("__lines", lambda _, i: ~F.array_contains(F.coalesce("__drop", F.array().cast("array<int>")), i))
-    joined = joined.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_dropped", F.size(F.coalesce("__drop", F.array().cast("array<int>"))).cast("long"))
-    return joined.withColumn("text", F.when(F.col("n_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).select(*docs.columns, "n_lines", "n_dropped")
-
-
-def drop_recurring_lines(docs: DataFrame, broadcast_templates: int = BROADCAST_TEMPLATES) -> DataFrame:
+        own, n = np.frombuffer(sig, "uint8"), len(self.first)
+        if n:
+            same = (self.forms[:n] == own) & (own != MERGED)
+            kept = same.sum(axis=1)
+            fine = (kept >= AGREEMENT * len(own) - 1e-9) & ((same & (own != MASKED)).sum(axis=1) >= MIN_CONSTANT)
+            if fine.any():
+                at = int(np.argmax(np.where(fine, kept, -1)))
+                self.forms[at][~same[at]] = MERGED
+                return at
+        if n == len(self.forms):
+            self.forms = np.vstack([self.forms, np.zeros_like(self.forms)])
+        self.forms[n] = own
+        self.first.append(first)
+        self.leader.append(sig)
+        return n
+
+
+_MERGED = "leaf long, part long, sig binary, leader binary, first long, form binary"
+
+
+def _merge(frames):
+    """Streams lines, sorted by leaf, part, first document and bytes: for each its template's first line and document; at the end
+    of a part of a leaf, for each template its form (null for lines)."""
+    import pandas as pd
+
+    own, at = None, None
+    names = ["leaf", "part", "sig", "leader", "first", "form"]
+
+    def forms() -> list:
+        return [(*at, None, own.leader[k], own.first[k], own.forms[k].tobytes()) for k in range(len(own.first))] if own else []
+
+    for pdf in frames:
+        rows = []
+        for leaf, part, first, sig in zip(pdf["leaf"].tolist(), pdf["part"].tolist(), pdf["first"].tolist(), pdf["sig"], strict=True):
+            if (leaf, part) != at:
+                rows += forms()
+                own, at = _Leaf(len(sig)), (leaf, part)
+            k = own.add(sig, first)
+            rows.append((leaf, part, sig, own.leader[k], own.first[k], None))
+        yield pd.DataFrame(rows, columns=names)
+    yield pd.DataFrame(forms(), columns=names)
+
+
+def templates(told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of lines (leaf, sig, doc) of leaves that documents share: (leaf, sig, first), the first document of each line's template,
+    and (leaf, form, first), the templates with a byte for each token, 0 and 255 for variable fields."""
+    lines = told.groupBy("leaf", "sig").agg(F.min("doc").alias("first"))
+    exact = lines.where(F.length("sig") == 0)
+    parts = lines.where(F.length("sig") > 0).withColumn("part", F.pmod(F.xxhash64("sig"), F.lit(SALTS)))
+    ordered = lambda df: df.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "first", "sig")
+    one = written(ordered(parts).mapInPandas(_merge, _MERGED))
+    heads = one.where("form IS NOT NULL").select("leaf", F.lit(0).cast("long").alias("part"), F.col("form").alias("sig"), "first", F.col("leader").alias("head"))
+    two = written(ordered(heads).select("leaf", "part", "sig", "first").mapInPandas(_merge, _MERGED))
+    # a part's template by its form: forms that are equal join the same template
+    joined = two.where("form IS NULL").groupBy("leaf", "sig").agg(F.min("first").alias("first"))
+    of_part = heads.select("leaf", "head", "sig").join(joined, ["leaf", "sig"]).groupBy("leaf", "head").agg(F.min("first").alias("first"))
+    members = one.where("form IS NULL").select("leaf", "sig", F.col("leader").alias("head")).join(of_part, ["leaf", "head"]).select("leaf", "sig", "first")
+    forms = two.where("form IS NOT NULL").select("leaf", "form", "first")
+    return members.unionByName(exact.select("leaf", "sig", "first")), forms
+
+
+def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, with ``text`` freed of recurring lines, and n_lines, n_dropped.
 
     Lines end at ``\\n`` alone. Null and empty texts have no lines and stay as they are; a text of which every line goes
     becomes empty. Rows with one doc_id count as one document, as do all rows without; the latter come last. No rows in,
     none out. Columns named n_lines or n_dropped are replaced.
     """
-    import numpy as np
-
     docs = docs.drop("n_lines", "n_dropped")
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    recurring = recurring_templates(docs.select(order.alias("doc_id"), "text"))
-    recurring = written(recurring)
-    rows = docs.withColumn("__doc", order)
-    if recurring.count() > broadcast_templates:
-        return _join_drops(rows, recurring).drop("__doc")
-    table = recurring.toArrow()
-    hashes, firsts = table["t"].to_numpy().astype("int64"), table["first"].to_numpy().astype("int64")
-    by = np.argsort(hashes)
-    held = docs.sparkSession.sparkContext.broadcast((hashes[by], firsts[by]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return map_arrow(rows, _Clean(held), schema)
+    key = row_key(F.col("doc_id"), F.col("text"))
+    told = map_arrow(docs.select(order.alias("doc"), key.alias("row"), "text"), _tell, "doc long, row struct<a:long,b:long>, line int, leaf long, sig binary")
+    told = _shared(written(told))
+    first, _ = templates(told)
+    gone = told.join(first, ["leaf", "sig"]).where(F.col("first") != F.col("doc")).groupBy("row").agg(F.collect_set("line").alias("gone"))
+    at, own, lines = (unused(x, docs.columns) for x in ("row", "gone", "lines"))
+    none = F.array().cast("array<int>")
+    rows = docs.withColumn(at, key).join(gone.select(F.col("row").alias(at), F.col("gone").alias(own)).hint("shuffle_hash"), at, "left")
+    rows = rows.withColumn(own, F.coalesce(own, none)).withColumn(lines, F.when(F.coalesce("text", F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n", -1)))
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(own, i)), "\n")
+    rows = rows.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.size(own).cast("long"))
+    return rows.withColumn("text", F.when(F.col("n_dropped") > 0, kept).otherwise(F.col("text"))).select(*docs.columns, "n_lines", "n_dropped")
