@@ -7,9 +7,12 @@ fingerprint is sent to itself and to its one-bit variants within the two open bl
 linked to the smallest. Two fingerprints meet at a variant just when they differ in two bits or fewer, and no more than 33
 can, so no link is lost and none is made in vain.
 
-``near_groups`` is the pipeline's form: five-word shingles and a Jaccard similarity of 0.8 or more. That is about a tenth to
-a sixth of the bits, too far for exact pigeonhole blocks, so longer fingerprints are cut into many permuted blocks; candidates
-are then verified by Hamming distance and by their shingle sets; no link is made on the bits alone.
+``near_groups`` is the pipeline's form: five-word shingles and a Jaccard similarity of 0.8 or more. That is about a sixth of a
+SimHash's bits, too far for blocks of bits, so the blocks are cut from what the bits are made of: a text's shingles are dealt by
+their hashes into as many parts as a near copy may have other shingles, and two more; a part's hashes make a block. By the
+pigeonhole principle two near texts have parts without a differing shingle, so they share blocks. How many parts there are
+follows from the texts' sizes alone, so a pair meets or doesn't whatever else a corpus holds. Pairs that share a block are
+verified by the Hamming distance of their 256-bit SimHashes and then by their shingle sets; no link is made on bits alone.
 """
 
 from __future__ import annotations
@@ -139,47 +142,73 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.join(linked, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Lanes of 64 bits in the longer fingerprint; bits of a block over the logarithm of the number of texts, so that chance meetings
-#: stay in proportion to the texts; the chance that a pair at the least similarity meets in one block or more.
-LANES, SPARE_BITS, RECALL = 4, 5, 0.95
-#: Beyond so many differing bits of 256 a pair isn't near (4 standard deviations from a similarity of 0.8); the shingle sets
-#: decide on the others.
-FAR_BITS = 64
+#: 64-bit lanes of the longer fingerprint.
+LANES = 4
+#: Beyond so many differing bits of 256 a pair isn't near (39 at a similarity of 0.8, with a standard deviation of 6; 128 and 8
+#: for unlike texts); the shingle sets decide on the others.
+FAR_BITS = 80
+#: Up to so many parts they are one more than a near pair's differing shingles; beyond, an eighth of the shingles: then a pair at
+#: 0.8 shares 20 blocks or more on average, and none with a chance of exp(-20).
+EXACT_PARTS, PART_SHINGLES = 64, 8
 #: In block groups over SMALL_GROUP each text first meets the smallest and so many others that come next in order of fingerprint.
-NEIGHBOURS = 8
-#: Members of a large block group that one part of its last comparison holds.
+NEIGHBOURS = 3
+#: Members of a block group that are compared in one place.
 PART = 1024
-#: Ids of texts whose shingles are needed again are broadcast up to this number (8 bytes each); beyond it they are joined.
-BROADCAST_IDS = 500_000
+#: In what is left of larger groups, a block counts together with so many others of the text.
+EXTENSIONS = 8
+#: Blocks that texts share are broadcast up to this number (8 bytes each); beyond it they are joined.
+BROADCAST_BLOCKS = 500_000
 
 
-def block_plan(texts: int, min_similarity: float) -> tuple[int, int]:
-    """(bits in a block, number of blocks): sets of Jaccard similarity s have a cosine of 2s / (1 + s) if they are of a size,
-    and two fingerprints differ in acos(cosine) / pi of their bits."""
-    bits = min(50, max(1, texts).bit_length() + SPARE_BITS)
-    same = 1 - math.acos(2 * min_similarity / (1 + min_similarity)) / math.pi
-    return bits, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - min(same, 1 - 1e-9) ** bits)))
+class _Blocks:
+    """The long fingerprint of a text, and its blocks: of its size class, and of the next one if a near text may be of that.
 
+    Size classes are bounded by powers of 1 / similarity**2, so near texts are in one class or in neighbouring ones.
+    """
 
-class _BlockKeys:
-    """Keys of the blocks of permuted fingerprints; its upper bits name the block."""
-
-    def __init__(self, bits: int, blocks: int):
-        self.bits, self.blocks = bits, blocks
+    def __init__(self, min_similarity: float):
+        t = self.least = min(max(min_similarity, 0.05), 1.0)
+        self.vote = _Vote(LANES)
+        grow, bounds = max(1.02, t**-2), [1]
+        while bounds[-1] < 1 << 40:
+            bounds.append(max(bounds[-1] + 1, math.ceil(grow ** len(bounds))))
+        self.bounds = bounds
+        self.parts = []
+        for hi in bounds[1:]:
+            differ = int(2 * (hi - 1) * (1 - t) / (1 + t) + 1e-9)
+            self.parts.append(min(differ + 2, max(EXACT_PARTS, hi // PART_SHINGLES)))
 
     def __call__(self, batch) -> dict:
         import numpy as np
 
-        prints = np.ascontiguousarray(batch.column("fp").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, LANES))
-        bits = np.unpackbits(prints.view("uint8").reshape(len(prints), -1), axis=1, bitorder="little").T.astype("int64")
-        per = len(bits) // self.bits
-        keys = np.zeros((len(prints), self.blocks), "int64")
-        for t in range(self.blocks):
-            order = np.random.default_rng(t // per).permutation(len(bits))[(t % per) * self.bits :][: self.bits]
-            for k, place in enumerate(order):
-                keys[:, t] |= bits[place] << k
-            keys[:, t] |= t << self.bits
-        return {"node": batch.column("node"), "key": list(keys)}
+        out = self.vote(batch)
+        column = batch.column("hashes")
+        offsets = column.offsets.to_numpy().astype("int64")
+        values, sizes = column.values.to_numpy(zero_copy_only=False).view("uint64")[offsets[0] : offsets[-1]], np.diff(offsets)
+        own = np.searchsorted(self.bounds, sizes, "right") - 1
+        near = (sizes / self.least + 1e-9).astype("int64") >= np.array(self.bounds)[own + 1]
+        return out | {"own": self._blocks(values, sizes, own, sizes > 0), "next": self._blocks(values, sizes, own + 1, near & (sizes > 0))}
+
+    def _blocks(self, values, sizes, classes, wanted) -> list:
+        """For each text the blocks of its parts in order; null for a part without shingles."""
+        import numpy as np
+
+        parts = np.where(wanted, np.array(self.parts, "int64")[np.maximum(classes, 0)], 0)
+        begin = np.cumsum(parts) - parts
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        held = wanted[owner]
+        values, owner = values[held], owner[held]
+        with np.errstate(over="ignore"):
+            at = begin[owner] + (((values >> np.uint64(32)) * parts[owner].astype("uint64")) >> np.uint64(32)).astype("int64")
+            mixed = (values ^ (values >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            sums, filled = np.zeros(int(parts.sum()), "uint64"), np.zeros(int(parts.sum()), "bool")
+            np.add.at(sums, at, mixed ^ (mixed >> np.uint64(32)))
+            filled[at] = True
+            sums = (sums ^ np.repeat(classes.astype("uint64") + np.uint64(1), parts)) * np.uint64(0x94D049BB133111EB)
+        import pyarrow as pa
+
+        flat = pa.array(sums.view("int64"), mask=~filled)
+        return pa.ListArray.from_arrays(pa.array(np.r_[begin, parts.sum()].astype("int32")), flat)
 
 
 def _distance(a: str, b: str) -> Column:
@@ -199,27 +228,36 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return written(both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, min_similarity: float, words: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "doc_id"), "node"))
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    # a doc_id may name several texts: the set is that of the text itself
-    own = lambda h: F.when(F.xxhash64(h, F.size(h)) == F.col("node"), F.array_distinct(h))
-    sets = rows.join(wanted, "doc_id").select("node", F.element_at(F.transform(F.array(shingle_hashes(F.col("text"), words)), own), 1).alias("s"))
-    sets = written(sets.groupBy("node").agg(F.first("s", ignorenulls=True).alias("s")))
     s_a, s_b = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
     common = F.size(F.array_intersect("s_a", "s_b"))
-    return written(pairs.join(s_a, "a").join(s_b, "b").where(common >= min_similarity * (F.size("s_a") + F.size("s_b") - common)).select("a", "b"))
+    return written(pairs.join(s_a, "a").join(s_b, "b").where(common >= min_similarity * (F.size("s_a") + F.size("s_b") - common) - 1e-9).select("a", "b"))
+
+
+def _least_first(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
+def _meet(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (key, n, node, root, fp, outside) of a key: outsiders with all others that aren't joined to them and
+    are near by their fingerprints. A key's members are compared in bounded parts."""
+    parts = F.ceil(F.col("n") / PART)
+    whole = members.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("fp").alias("fp_b"), F.pmod(F.xxhash64("node"), parts).alias("part"))
+    outside = members.where("outside").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("fp").alias("fp_a"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    o, w = outside.alias("o"), whole.alias("w")
+    near = (F.col("o.key") == F.col("w.key")) & (F.col("o.part") == F.col("w.part")) & (F.col("root_a") != F.col("root_b")) & (_distance("fp_a", "fp_b") <= FAR_BITS)
+    return o.join(w, near).select("a", "b")
 
-def _link_large(large: DataFrame, tested: DataFrame, links: DataFrame, rows: DataFrame, texts: DataFrame, min_similarity: float, words: int) -> DataFrame:
-    """``links`` and those that the block groups ``large`` (key, node) still lack: in the end every two members of a group
-    are joined by links or were compared.
+
+def _link_large(large: DataFrame, tested: DataFrame, links: DataFrame, texts: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:
+    """``links`` and those that the block groups ``large`` (key, node) still lack.
 
     Copies of one original are often near to it alone. So each group's member of most links meets all that aren't joined to
-    it, round by round as long as that finds links; then what is outside a group's commonest component meets the whole group.
+    it, round by round as long as that finds links; then what is outside a group's commonest component meets the group. In
+    groups over PART, such as texts make that have nothing but a common passage in one part, it meets those with which it shares
+    one of EXTENSIONS further blocks as well: a pair at 0.8 that has come so far fails in that with a chance of 0.02 or less.
     """
-    last = False
     while True:
         roots = components(links)
         degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
@@ -228,23 +266,29 @@ def _link_large(large: DataFrame, tested: DataFrame, links: DataFrame, rows: Dat
         known = written(known.join(mixed.select("key", "top", "n"), "key"))
         if known.isEmpty():
             return links
-        if last:
-            sizes = known.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", "c").alias("major"))
-            parts = F.ceil(F.col("n") / PART)
-            whole = known.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.pmod(F.xxhash64("node"), parts).alias("part"))
-            outside = known.join(sizes, "key").where("root <> major").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-            pairs = outside.join(whole, ["key", "part"]).where("root_a <> root_b")
-        else:
-            pairs = known.where(F.col("root") != F.col("top.root")).select(F.col("node").alias("a"), F.col("top.node").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        near = written(_close(pairs.join(tested, ["a", "b"], "left_anti"), texts).select("a", "b"))
-        found = _verified(near, rows, texts, min_similarity, words)
-        if last:
-            return links.unionByName(found)
+        pairs = known.where(F.col("root") != F.col("top.root")).select(F.col("node").alias("a"), F.col("top.node").alias("b"))
+        near = written(_close(_least_first(pairs).join(tested, ["a", "b"], "left_anti"), texts).select("a", "b"))
+        found = _verified(near, sets, min_similarity)
+        if found.isEmpty():
+            break
         tested = tested.unionByName(near)
-        last = found.isEmpty()
         links = written(links.unionByName(found))
 
+    major = known.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"))
+    members = known.join(major, "key").join(texts.select("node", "fp", "own", "next"), "node").withColumn("outside", F.col("root") != F.col("major"))
+    held = ["key", "n", "node", "root", "fp", "outside"]
+    # the block and those that follow it in its class, round its end
+    blocks = F.when(F.array_contains("own", F.col("key")), F.col("own")).otherwise(F.col("next"))
+    place = F.array_position(blocks, F.col("key"))
+    steps = F.sequence(F.lit(1), F.least(F.lit(EXTENSIONS), F.size(blocks) - 1))
+    others = F.transform(steps, lambda k: F.struct(k.alias("k"), F.element_at(blocks, (F.pmod(place - 1 + k, F.size(blocks)) + 1).cast("int")).alias("block")))
+    wide = members.where(F.col("n") > PART).withColumn("x", F.explode(others)).where("x.block IS NOT NULL").withColumn("key", F.xxhash64("key", "x.k", "x.block"))
+    sizes = wide.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s"), F.max("outside").alias("o")).where("r <> s AND o").select("key", "n")
+    wide = wide.drop("n").join(sizes, "key").select(*held)
+    pairs = _meet(members.where(F.col("n") <= PART).select(*held)).unionByName(_meet(wide))
+    near = written(_least_first(pairs).join(tested, ["a", "b"], "left_anti"))
+    return links.unionByName(_verified(near, sets, min_similarity))
+
 
 def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5) -> DataFrame:
     """doc_id and group: the smallest doc_id of the documents that near copies connect to it.
@@ -256,32 +300,35 @@ def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5) ->
     hashed = rows.select("doc_id", shingle_hashes(F.col("text"), words).alias("hashes")).withColumn("node", F.xxhash64("hashes", F.size("hashes")))
     # the similarity is of sets, so a repeated shingle votes once
     hashed = hashed.withColumn("hashes", F.array_distinct("hashes"))
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("fp", T.ArrayType(T.LongType()))])
-    prints = written(map_arrow(hashed, _Vote(LANES), schema))
-    texts = written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")))
-
-    bits, blocks = block_plan(texts.count(), min_similarity)
-    keyed = map_arrow(texts.select("node", "fp"), _BlockKeys(bits, blocks), "node long, key array<long>").select("node", F.explode("key").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    meets = written(keyed.join(shared, "key"))
+    schema = "doc_id long, node long, fp array<long>, own array<long>, next array<long>"
+    prints = written(map_arrow(hashed, _Blocks(min_similarity), schema))
+    texts = written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "own", "next")]))
+
+    keyed = texts.select("node", F.explode(F.array_compact(F.concat("own", "next"))).alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"))
+    meets = written(keyed.join(F.broadcast(shared) if shared.count() <= BROADCAST_BLOCKS else shared, "key"))
+    few = texts.select("node", "doc_id").join(meets.select("node").distinct(), "node", "left_semi").select(F.col("doc_id"), F.col("node").alias("own_node"))
+    # a doc_id may name several texts: the set is that of the text itself
+    own = lambda h: F.when(F.xxhash64(h, F.size(h)) == F.col("own_node"), F.array_distinct(h))
+    sets = rows.join(few, "doc_id").select(F.col("own_node").alias("node"), F.element_at(F.transform(F.array(shingle_hashes(F.col("text"), words)), own), 1).alias("s"))
+    sets = written(sets.where("s IS NOT NULL").groupBy("node").agg(F.first("s").alias("s")))
+
     small = meets.where(F.col("n") <= SMALL_GROUP)
     pairs = small.join(small.select("key", F.col("node").alias("b")), "key").where(F.col("node") < F.col("b")).select(F.col("node").alias("a"), "b")
     large = meets.where(F.col("n") > SMALL_GROUP)
     star = large.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    order = Window.partitionBy("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART))).orderBy("fp", "node")
     ordered = large.join(texts.select("node", "fp"), "node")
-    order = Window.partitionBy("key", F.pmod(F.col("fp")[0], F.lit(16))).orderBy("fp", "node")
     for i in range(1, NEIGHBOURS + 1):
         ordered = ordered.withColumn(f"b{i}", F.lead("node", i).over(order))
-    nexts = ordered.select("node", F.explode(F.array_compact(F.array(*[f"b{i}" for i in range(1, NEIGHBOURS + 1)]))).alias("b"))
-    nexts = nexts.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-    candidates = pairs.unionByName(star).unionByName(nexts).distinct()
-    near = written(_close(candidates, texts))
+    nexts = ordered.select(F.col("node").alias("a"), F.explode(F.array_compact(F.array(*[f"b{i}" for i in range(1, NEIGHBOURS + 1)]))).alias("b"))
+    near = written(_close(_least_first(pairs.unionByName(star).unionByName(nexts)), texts))
     # the nearest smaller text of each is checked first: what that joins needs no further check
     forest = written(near.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"))
-    links = _verified(forest, rows, texts, min_similarity, words)
+    links = _verified(forest, sets, min_similarity)
     rest = _apart(near.select("a", "b").join(forest, ["a", "b"], "left_anti"), components(links))
-    links = written(links.unionByName(_verified(rest, rows, texts, min_similarity, words)))
-    links = _link_large(large.select("key", "node"), near.select("a", "b"), links, rows, texts, min_similarity, words)
+    links = written(links.unionByName(_verified(rest, sets, min_similarity)))
+    links = _link_large(large.select("key", "node"), near.select("a", "b"), links, texts, sets, min_similarity)
 
     roots = components(links)
     rooted = texts.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
