@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, row_key, written
+from .common import map_arrow, row_key, unused, written
 
 #: Redrawn identities are broadcast up to this number; beyond it they are joined to the rows that mention them.
 BROADCAST_REDRAWN = 200_000
+#: Draws that keep an identity's length.
+GROWING = 12
 
 _PATTERNS = re.compile(
     r"""(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})
@@ -77,13 +79,16 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         taken, kinds = [(s, e) for s, e, _, _ in found], {}
         free = lambda m: not any(s < m.end() and m.start() < e for s, e in taken)
         named = [m for m in _NAME.finditer(text) if free(m)]
+        parts = []
         for m in named:
-            parts, at = m[2].split(" "), m.start(2)
-            for i, part in enumerate(parts):
-                gender = _GENDER[m[1]] if len(parts) > 1 and i < len(parts) - 1 else ""
+            at, own = m.start(2), m[2].split(" ")
+            for i, part in enumerate(own):
+                gender = _GENDER[m[1]] if len(own) > 1 and i < len(own) - 1 else ""
                 kinds[part] = max(kinds.get(part, ""), f"name{gender}")
-                found.append((at, at + len(part), f"name{gender}", part))
+                parts.append((at, part))
                 at += len(part) + 1
+        # a part is of one kind in the whole text, so that it has one surrogate there: a given name, where any mention shows it as one
+        found += [(at, at + len(part), kinds[part], part) for at, part in parts]
         if kinds:
             taken += [(m.start(), m.end()) for m in named]
             known = "|".join(map(re.escape, sorted(kinds, key=len, reverse=True)))
@@ -142,8 +147,15 @@ def _alike(text: str, draw: Draw, hexes: str = "") -> str:
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """The replacement of an identity, itself an identity of the same kind and format."""
+    """The replacement of an identity, itself an identity of the same kind and format.
+
+    Draws that collide again and again show that a format is nearly used up. From attempt GROWING on they are longer by a letter or
+    digit each time, so that there always is a free one.
+    """
     draw = Draw(key, kind, value, attempt)
+    if (more := attempt - GROWING) > 0 and not kind.startswith("name") and kind != "ip":
+        local, at, domain = value.rpartition("@")
+        value = f"{local}{'a' * more}{at}{domain}" if at else value + value[-1] * more
     if kind == "email":
         local, _, domain = value.rpartition("@")
         host, _, top = domain.rpartition(".")
@@ -164,7 +176,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind.startswith("name"):
         first, middle, last = _SYLLABLES[_script(value)]
         ends = last[kind[4:]]
-        return first[draw.below(len(first))] + "".join(middle[draw.below(len(middle))] for _ in range(1 + draw.below(2) + min(3, attempt))) + ends[draw.below(len(ends))]
+        return first[draw.below(len(first))] + "".join(middle[draw.below(len(middle))] for _ in range(1 + draw.below(2) + attempt)) + ends[draw.below(len(ends))]
     lower = all(c in "0123456789abcdef" for c in value)
     upper = all(c in "0123456789ABCDEF" for c in value)
     return _alike(value, draw, "0123456789abcdef" if lower else "0123456789ABCDEF" if upper else "")
@@ -174,9 +186,12 @@ def dress(kind: str, mention: str, made: str) -> str:
     """The surrogate in the format of a mention."""
     if kind in ("phone", "card", "ssn", "iban"):
         it = iter(made)
-        return "".join(next(it) if c.isalnum() else c for c in mention)
+        return "".join([next(it) if c.isalnum() else c for c in mention] + list(it))
     if kind == "email":
-        return "".join(m.upper() if c.isupper() else m for c, m in zip(mention, made, strict=True))
+        grown = len(made) - len(mention)
+        local = mention.index("@")
+        like = mention[:local] + mention[local - 1] * grown + mention[local:]
+        return "".join(m.upper() if c.isupper() else m for c, m in zip(like, made, strict=True))
     return made
 
 
@@ -239,28 +254,29 @@ def redraws(identities: DataFrame, key: bytes) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: bytes, broadcast_redrawn: int = BROADCAST_REDRAWN) -> DataFrame:
     """All columns of ``docs`` with entities in ``text`` replaced, and n_entities, the number of replaced mentions.
 
-    Null texts stay null and empty ones empty. Repeated rows get equal results. No rows in, none out. Columns named
-    n_entities or starting with two underscores are replaced. The key is a secret of the run's owner: the same key gives the same first draws.
+    Null texts stay null and empty ones empty. Repeated rows get equal results. No rows in, none out. A column named
+    n_entities is replaced. The key is a secret of the run's owner: the same key gives the same first draws.
     """
-    docs = docs.select(*[c for c in docs.columns if c != "n_entities" and not c.startswith("__")])
+    docs = docs.drop("n_entities")
+    redrawn_at, key_at = unused("again", docs.columns), unused("row", docs.columns)
     told = written(mentions(docs.select("text", row_key(F.col("doc_id"), F.col("text")).alias("key"))))
     again = redraws(written(told.select("kind", "value").distinct()), key)
     if (n := again.count()) <= broadcast_redrawn:
         held = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["value"]): r["attempt"] for r in again.collect()} if n else {})
-        beside = docs.withColumn("__again", F.lit(None).cast(_AGAIN))
+        beside = docs.withColumn(redrawn_at, F.lit(None).cast(_AGAIN))
     else:
         held = None
-        per = told.join(again, ["kind", "value"]).groupBy(F.struct("a", "b").alias("__key")).agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("__again"))
-        beside = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text"))).join(per, "__key", "left").select(*docs.columns, "__again")
+        per = told.join(again, ["kind", "value"]).groupBy(F.struct("a", "b").alias(key_at)).agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(redrawn_at))
+        beside = docs.withColumn(key_at, row_key(F.col("doc_id"), F.col("text"))).join(per, key_at, "left").select(*docs.columns, redrawn_at)
 
     def convert(batch) -> dict:
         out = {"text": [], "n_entities": []}
-        for text, own in zip(batch.column("text").to_pylist(), batch.column("__again").to_pylist(), strict=True):
+        for text, own in zip(batch.column("text").to_pylist(), batch.column(redrawn_at).to_pylist(), strict=True):
             redrawn = held.value if held is not None else {(x["kind"], x["value"]): x["attempt"] for x in own or []}
             made, n = replace(text, key, redrawn) if text else (text, 0)
             out["text"].append(made)
             out["n_entities"].append(n)
-        return out | {c: batch.column(c) for c in batch.schema.names if c not in ("text", "__again")}
+        return out | {c: batch.column(c) for c in batch.schema.names if c not in ("text", redrawn_at)}
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_entities", T.LongType())])
     return map_arrow(beside, convert, schema)
