@@ -123,15 +123,18 @@ def fit(statistics_table: DataFrame, labels: DataFrame, rows: int = TRAINING_ROW
     """Learns from labelled rows that aren't held out, ``rows`` of them at most.
 
     With labels of one value only (or none at all) there is nothing to tell apart: no rules, and the share of label 1 as the
-    score of all (one half without labels). A document with several labels counts once, with the smallest.
+    score of all (one half without labels). A document with several labels counts once, with the smallest;
+    of several rows of a document the one of the least statistics counts.
     """
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # one sorted partition, as small as ``rows`` bounds it: the forest draws its samples by place, so the same rows give the same rules
-    table = written(statistics_table.join(sample, "doc_id").select("doc_id", "label", *FEATURES).coalesce(1).sortWithinPartitions("doc_id", *FEATURES)).cache()
+    # ``rows`` bounds the broadcast, and with one row of a document also what is gathered
+    chosen = statistics_table.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min(F.struct(*FEATURES)).alias("s"))
+    # one sorted partition: the forest draws its samples by place, so the same rows give the same rules
+    table = written(chosen.select("doc_id", "label", "s.*").repartition(1).sortWithinPartitions("doc_id")).cache()
     n, positive = table.agg(F.count("*"), F.sum("label")).first()
     share = (positive or 0) / n if n else 0.5
     if not n or share in (0.0, 1.0):
