@@ -1,6 +1,7 @@
 """Document fingerprints: a canonical exact digest, by DataFrame functions alone.
 
-A text is normalised to NFKC, lower-cased, and its runs of white space become one blank. Two chained 64-bit xxhashes of that
+A text is decomposed, its case is folded in full (ß is ss, a final sigma a sigma) and its compatible forms are made one, as the
+Unicode rules for a match without case have it; it is composed again (NFKC), and its runs of white space become one blank. Two chained 64-bit xxhashes of that
 form make a wide digest. Texts with equal digests form a bucket; inside each bucket the canonical texts themselves are
 compared byte by byte, as their grouped minimum and maximum (which combine before the shuffle, so a huge group of copies costs
 one row per task). A bucket whose texts differ is contested: there a text's fingerprint carries the SHA-256 of its canonical
@@ -19,8 +20,12 @@ BROADCAST_DIGESTS = 500_000
 
 
 def canonical(text: Column) -> Column:
-    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(composed), r"(?U)\s+", " "))
+    """The form in which texts that differ in Unicode form, case and white space alone are equal. ICU comes with Spark."""
+    form = lambda how, t, compatible: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(how), t, F.lit(compatible))
+    folded = lambda t: F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), t, F.lit(True))
+    # folding may undo a form and forms may bring back case, so both are done twice
+    alike = folded(form("decompose", folded(form("decompose", F.coalesce(text, F.lit("")), False)), True))
+    return F.trim(F.regexp_replace(form("compose", alike, True), r"(?U)\s+", " "))
 
 
 def digest(canon: Column, bits: int = 128) -> Column:
