@@ -2,12 +2,14 @@
 
 A document is its token ids and a closing id. Documents longer than a window are first cut into full windows; what remains
 of each document is placed, longest first, into the open window with the least sufficient room, which a segment tree over
-remaining capacities finds. Pieces are dealt by hash into shards of bounded size, and each shard is packed on its own: a shard
-leaves at most a few windows partly empty, so padding per shard is constant and falls with the input.
+remaining capacities finds. Pieces are dealt by a hash of what they are into shards of bounded size, and each shard is packed
+on its own: a shard leaves at most a few windows partly empty, so padding per shard is constant and falls with the input. The
+same rows give the same sequences, however they lie in files and partitions.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -28,6 +30,10 @@ PIECES = "doc_id long, key struct<a:long,b:long>, start long, length long, ids_c
 #: Words as the tokenizer's pattern cuts lower-case Latin-1 text.
 _LETTERS, _NUMBERS, _SPACES = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t-\r\x85\xa0"
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+# The settings under which the words above and the bytes below are what a tokenizer makes of Latin-1 text.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 #: The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the others from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
@@ -54,10 +60,11 @@ def _is_latin(text: str) -> bool:
 
 
 class WordIds:
-    """Token ids of texts by a tokenizer that folds case and cuts words by the pattern above.
+    """Token ids of texts.
 
-    Latin-1 text has no forms to compose, so it is folded and cut here and each distinct word goes through the tokenizer's
-    model once; any other text, and text that may hold a special token, goes through the tokenizer whole.
+    Where the tokenizer's file says that it folds case and cuts words by the pattern above, Latin-1 text, which has no forms to
+    compose, is folded and cut here, and each distinct word goes through the tokenizer's model once. Any other text, text
+    that may hold a special token, and every text of any other tokenizer goes through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -68,6 +75,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words = Words(self.tokenizer.model)
+        told = json.loads(self.tokenizer.to_str())
+        own_words = {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTE_LEVEL]}
+        self.by_words = told["normalizer"] == _NORMALIZER and told["pre_tokenizer"] == own_words and all(t["content"].startswith("<|") for t in told["added_tokens"])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -75,7 +85,7 @@ class WordIds:
             self.words.clear()
         out = []
         for text in texts:
-            if _is_latin(text) and "<|" not in text:
+            if self.by_words and _is_latin(text) and "<|" not in text:
                 out.append(b"".join(map(self.words.__getitem__, _WORD.findall(text.lower()))))
             else:
                 out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
@@ -168,6 +178,7 @@ def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> tuple[list[
 
 def _pack_shard(window: int):
     def pack(pdf):
+        pdf = pdf.loc[pdf.index.repeat(pdf["copies"])].reset_index(drop=True)
         pdf = pdf.sort_values(["length", "a", "b", "start"], ascending=[False, True, True, True], kind="stable")
         where, offset = best_fit_decreasing(pdf["length"].tolist(), window)
         pdf["sequence_id"] = pdf["shard"].to_numpy() * (1 << 32) + where
@@ -184,11 +195,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_pieces: in
     null doc_id stays null; rows that repeat one another are packed one by one; an empty table gives no rows; other columns
     are ignored. A document of any length is cut, so none is refused.
     """
-    pieces = written(cut(docs, tokenizer, window))
-    shards = max(1, -(-pieces.count() // shard_pieces))
-    dealt = pieces.select("*", "key.*").drop("key")
-    # repeated rows and the many pieces of one document go to different shards: the deal is by place in the input's hash
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("a", "b", "start", F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
+    alike = ["doc_id", "key.a", "key.b", "start", "length", "ids_crc32", "doc_tokens"]
+    pieces = written(cut(docs, tokenizer, window).select(*alike).groupBy("doc_id", "a", "b", "start", "length", "ids_crc32", "doc_tokens").agg(F.count("*").alias("n")))
+    shards = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // shard_pieces))
+    # the pieces of a document go to different shards; n pieces that are alike go round the shards, so a mass of them is at most
+    # one row for each shard until it is packed
+    own = F.pmod(F.xxhash64("a", "b", "start") + F.col("i"), F.lit(shards))
+    dealt = pieces.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n"), F.lit(shards)) - 1)))
+    dealt = dealt.withColumn("shard", own.cast("long")).withColumn("copies", F.floor((F.col("n") - 1 - F.col("i")) / shards) + 1).drop("n", "i")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.groupBy("shard").applyInPandas(_pack_shard(window), schema)
 
