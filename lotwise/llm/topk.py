@@ -2,7 +2,7 @@
 
 Rows are integer vectors; a vector's nonzero components are its terms. The stated query set meets all candidates in a grid of
 bounded cells: candidates are dealt into blocks by the hash of their id, queries likewise, and a cell holds one block of each.
-In a cell every term of a query row scatters its weight times the term's postings into a dense array of scores; a partition
+In a cell every term scatters its postings, weighted for each query row that has it, into dense arrays of scores; a partition
 selection keeps the k best, and a grouped top-k merges the cells.
 """
 
@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows in a block of candidates and of queries, about.
-CANDIDATE_BLOCK, QUERY_BLOCK = 16_384, 65_536
-#: Scores held at a time in a cell.
-SCORES = 4_000_000
+#: Rows in a block of candidates and of queries, about: what a task holds.
+CANDIDATE_BLOCK, QUERY_BLOCK = 65_536, 65_536
+#: Scores are accumulated for so many queries and candidates at a time, so that they stay in a core's cache.
+QUERY_TILE, CANDIDATE_TILE = 64, 4_096
 
 
 def scaled(vector: Column, factor: float = 256.0) -> Column:
@@ -29,21 +29,18 @@ def _cell(k: int):
         import numpy as np
         import pandas as pd
 
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = [(np.zeros(0, "int64"),) * 3]
         if len(queries) and len(candidates):
             candidates = candidates.sort_values("vec_id", kind="stable")
-            ids, queries_ids = candidates["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+            ids, own = candidates["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
             width = max(map(len, (*candidates["v"], *queries["v"])), default=0)
             a, b = _matrix(candidates["v"], width), _matrix(queries["v"], width)
-            postings = [np.flatnonzero(a[:, t]) for t in range(width)]
-            weights = [a[p, t] for t, p in enumerate(postings)]
-            step = max(1, SCORES // len(ids))
-            for at in range(0, len(b), step):
-                for i, top, values in _block(b[at : at + step], postings, weights, ids, queries_ids[at : at + step], k):
-                    out["query_id"] += [queries_ids[at + i]] * len(top)
-                    out["vec_id"] += top.tolist()
-                    out["score"] += values.tolist()
-        return pd.DataFrame(out).astype("int64")
+            # the greatest score that these vectors can have tells how wide an integer must be
+            narrow = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, width) < 2**31 - 1
+            a, b = (x.astype("int32" if narrow else "int64") for x in (a, b))
+            tiles = [(ids[at : at + CANDIDATE_TILE], _postings(a[at : at + CANDIDATE_TILE])) for at in range(0, len(ids), CANDIDATE_TILE)]
+            out += [_answer(b[at : at + QUERY_TILE], own[at : at + QUERY_TILE], tiles, k) for at in range(0, len(b), QUERY_TILE)]
+        return pd.DataFrame({n: np.concatenate([x[i] for x in out]) for i, n in enumerate(("query_id", "vec_id", "score"))})
 
     return best
 
@@ -57,44 +54,64 @@ def _matrix(rows, width: int):
     return m
 
 
-def _block(queries, postings, weights, ids, own, k: int):
+def _postings(rows) -> list:
+    """For each term the rows that have it and their weights."""
     import numpy as np
 
-    scores = np.zeros((len(queries), len(ids)), "int64")
-    for t, (where, weight) in enumerate(zip(postings, weights, strict=True)):
-        if not len(where):
-            continue
-        rows = np.flatnonzero(queries[:, t])
-        full = len(where) == len(ids)
-        for r in rows:  # a sparse row scatters one weighted posting list
-            if full:
-                scores[r] += queries[r, t] * weight
+    places = [np.flatnonzero(rows[:, t]) for t in range(rows.shape[1])]
+    return [(where, rows[where, t]) for t, where in enumerate(places)]
+
+
+def _answer(queries, own, tiles, k: int) -> tuple:
+    """(query_id, vec_id, score) of the k best of each query over all tiles, ties to the smaller id."""
+    import numpy as np
+
+    none = np.iinfo(queries.dtype).min
+    rows, names, values = [], [], []
+    for ids, postings in tiles:
+        scores = np.zeros((len(queries), len(ids)), queries.dtype)
+        for t, (where, weights) in enumerate(postings):
+            said = np.flatnonzero(queries[:, t])
+            if not len(where) or not len(said):
+                continue
+            added = np.multiply.outer(queries[said, t], weights)  # a term's weighted postings for all queries that have it
+            if len(said) == len(queries) and len(where) == len(ids):
+                scores += added
+            elif len(where) == len(ids):
+                scores[said] += added
             else:
-                scores[r, where] += queries[r, t] * weight
-    for r in range(len(queries)):
-        row, names = scores[r], ids
-        if (lo := np.searchsorted(ids, own[r])) < len(ids) and ids[lo] == own[r]:
-            row, names = np.delete(row, lo), np.delete(ids, lo)
-        if len(row) > k:
-            least = np.partition(row, len(row) - k)[len(row) - k]
-            kept = np.flatnonzero(row >= least)  # with every tie
-            row, names = row[kept], names[kept]
-        order = np.lexsort((names, -row))[:k]
-        yield r, names[order], row[order]
+                scores[np.ix_(said, where)] += added
+        first, last = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
+        for i in np.flatnonzero(first < last):
+            scores[i, first[i] : last[i]] = none
+        least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(queries), none)
+        i, j = np.nonzero((scores >= least[:, None]) & (scores > none))  # with every tie
+        rows.append(i)
+        names.append(ids[j])
+        values.append(scores[i, j].astype("int64"))
+    rows, names, values = (np.concatenate(x) for x in (rows, names, values))
+    order = np.lexsort((names, -values, rows))
+    rows, names, values = rows[order], names[order], values[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    kept = place < k
+    return own[rows[kept]], names[kept], values[kept]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` candidates of the highest inner product for each query row.
 
-    ``vectors``: vec_id and an array of integers ``v``; rows with a null in either take no part. A query's own id is no
-    candidate for it; ties go to the smaller id; with fewer candidates all are returned. Of rows that repeat an id the one
-    with the smallest vector counts. Shorter vectors count as filled up with zeros. Scores are exact below 2**63.
+    ``vectors``: vec_id and an array of integers ``v``; rows with a null in either take no part. Rows of a query's own id are
+    no candidates for it; ties go to the smaller id; with fewer candidates all are returned. Rows that repeat an id are each a
+    candidate, and as queries they are answered together: the best of all their pairs. Shorter vectors count as filled up with
+    zeros. Scores are exact below 2**63.
     """
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).withColumn("q", is_query)
-    rows = rows.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.struct("v", "q")).alias("r")).select("vec_id", "r.*")
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "v", F.coalesce(is_query, F.lit(False)).alias("q"))
+    # of rows that are alike k can be among the best, so a mass of copies is k rows
+    rows = rows.groupBy("vec_id", "v", "q").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(1), "n")))
     n, queries = vectors.agg(F.count("*"), F.count_if(is_query)).first()
     across, down = max(1, -(-n // candidate_block)), max(1, -(-queries // query_block))
-    block = lambda parts, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(parts)).cast("int")
+    block = lambda parts, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id", "v", "n"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = rows.select("vec_id", "v", block(across, "c").alias("x"), every(down).alias("y"))
     right = rows.where("q").select("vec_id", "v", block(down, "q").alias("y"), every(across).alias("x"))
