@@ -22,6 +22,8 @@ from .common import map_arrow
 SPACE = "▁"
 CACHED_WORDS = 700_000
 CACHED_PAIRS = 1_000_000
+#: Characters of the longest word that is remembered.
+REMEMBERED = 256
 #: Characters of new words that are indexed at a time.
 INDEXED = 2_000_000
 
@@ -51,6 +53,18 @@ def suffix_array(codes, depth: int):
     return order
 
 
+def _refuse_others(model, path: str) -> None:
+    """A model of another kind would be encoded wrongly and nobody would see it, so it is refused."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+    trainer, norm = proto.trainer_spec, proto.normalizer_spec
+    fine = trainer.model_type == trainer.BPE and trainer.byte_fallback and not trainer.treat_whitespace_as_suffix
+    fine = fine and norm.name == "identity" and not norm.precompiled_charsmap and norm.add_dummy_prefix and not norm.remove_extra_whitespaces and norm.escape_whitespaces
+    if not fine:
+        raise ValueError(f"{path}: not a byte-pair model with byte fallback, an identity normaliser and a blank in front")
+
+
 class Pieces:
     """A byte-pair SentencePiece model with byte fallback, an identity normaliser and a blank in front of every text."""
 
@@ -59,6 +73,7 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        _refuse_others(model, path)
         n = model.vocab_size()
         self.text = [model.id_to_piece(i) for i in range(n)]
         self.rank = [-model.get_score(i) for i in range(n)]
@@ -143,37 +158,40 @@ class Pieces:
         return lo
 
     def learn(self, words: list[str]) -> None:
-        """Encodes new words, all in one index."""
+        """Encodes new words, all in one text, of which INDEXED characters at a time are indexed: a word of any length takes no
+        more memory than four bytes for each of its characters beside that."""
         text = "\0".join(words)
-        starts, ends, ids = (x.tolist() for x in self.edges(text))
-        at, m = 0, len(starts)
-        last = [-1] * (len(text) + 1)  # the piece that ends here in the encoding of the word so far; -1: none
-        apart, stay, begin, factor = self.apart, self.stay_apart, 0, self.start + 1
+        last = array("i", [-1]) * (len(text) + 1)  # the piece that ends here in the encoding of the word so far; -1: none
+        apart, stay, factor = self.apart, self.stay_apart, self.start + 1
+        bounds, at = [], 0
         for word in words:
-            stop = begin + len(word)
-            last[begin] = self.start
-            while at < m and (i := starts[at]) < stop:
-                before = last[i]
-                if before >= 0:
-                    j = ends[at]
-                    if last[j] < 0:
-                        piece = ids[at]
-                        fine = apart.get(before * factor + piece)
-                        if fine or fine is None and stay(before, piece):
-                            last[j] = piece
-                at += 1
-            self.known[word] = self._back(word, begin, stop, last)
-            begin = stop + 1
-
-    def _back(self, word: str, begin: int, stop: int, last: list[int]) -> bytes:
+            bounds.append((at, at + len(word)))
+            last[at] = self.start
+            at += len(word) + 1
+        done = 0
+        for window in range(0, len(text), INDEXED):
+            part = text[window : window + INDEXED + self.depth - 1]
+            for i, j, piece in zip(*(x.tolist() for x in self.edges(part)), strict=True):
+                if i >= INDEXED:
+                    break
+                before = last[window + i]
+                if before >= 0 and last[window + j] < 0:
+                    fine = apart.get(before * factor + piece)
+                    if fine or fine is None and stay(before, piece):
+                        last[window + j] = piece
+            while done < len(words) and bounds[done][1] <= window + INDEXED:
+                self.known[words[done]] = self._back(words[done], *bounds[done], last)
+                done += 1
+
+    def _back(self, word: str, begin: int, stop: int, last) -> bytes:
         if last[stop] < 0:  # a character of no piece
             return array("I", [self.bytes[b] for b in word.encode()]).tobytes()
-        out, j, length = [], stop, self.lengths
+        out, j, length = array("I"), stop, self.lengths
         while j > begin:
             out.append(last[j])
             j -= length[last[j]]
         out.reverse()
-        return array("I", out).tobytes()
+        return out.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -188,7 +206,11 @@ class Pieces:
                 size, stop = size + len(new[stop]), stop + 1
             self.learn(new[at:stop])
             at = stop
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        out = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        for word in new:
+            if len(word) > REMEMBERED:
+                del self.known[word]
+        return out
 
     def decode(self, ids) -> str:
         """The text of ids, an array of integers or their bytes."""
