@@ -7,7 +7,7 @@ fingerprints the schema of a table that has one turn per row.
 
 ``format_turns`` renders a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings inside roles and texts are
 escaped: a backslash goes before every ``<|`` and every backslash, so that ``<|`` after an even number of backslashes is always
-the template's own, and reading back is exact.
+the template's own, and reading back is exact. A line break in a role is written as a backslash and ``n``.
 """
 
 from __future__ import annotations
@@ -153,19 +153,23 @@ def canonical_turns(records: DataFrame, id_col: str, json_col: str) -> DataFrame
 
 
 _SPECIAL = re.compile(r"\\|<\|")
-_ESCAPED = re.compile(r"\\(\\|<\|)")
+_ESCAPED = re.compile(r"\\(\\|<\||n)")
 
 
 def escape(text: str) -> str:
     return _SPECIAL.sub(lambda m: "\\" + m[0], text)
 
 
+def escape_role(role: str) -> str:
+    return escape(role).replace("\n", "\\n")
+
+
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(lambda m: m[1], text)
+    return _ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], text)
 
 
 def render(role: str, text: str) -> str:
-    return f"{START}{escape(role)}\n{escape(text)}{END}\n"
+    return f"{START}{escape_role(role)}\n{escape(text)}{END}\n"
 
 
 def parse(said: str) -> list[tuple[str, str, int, int]]:
@@ -193,16 +197,12 @@ def _own_end(said: str, at: int) -> int:
         at += 1
 
 
-def _clean(role: str | None) -> str:
-    return (role or "").replace("\n", " ")
-
-
 def format_turns(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, formatted, loss_start, loss_end: one formatted piece per turn; a conversation is its pieces in
     order of turn, one after another. ``loss_start`` and ``loss_end`` bound the assistant's (escaped) text in code points;
     null for other roles.
 
-    Null texts and roles are empty; line breaks in a role become spaces. Ties of turn are ordered by role and text.
+    Null texts and roles are empty. Ties of turn are ordered by role and text.
     Null conv_ids make a conversation of their own. Repeated rows stay. Other columns are ignored; no rows in, none out.
     """
     schema = "conv_id long, turn long, role string, formatted string, loss_start long, loss_end long"
@@ -213,10 +213,11 @@ def format_turns(turns: DataFrame) -> DataFrame:
         for pdf in frames:
             rows = []
             for conv, turn, role, text in zip(pdf["conv_id"], pdf["turn"], pdf["role"], pdf["text"], strict=True):
-                said = render(_clean(role), text or "")
-                begin = len(START) + len(escape(_clean(role))) + 1
-                masked = _clean(role) == "assistant"
-                rows.append((conv, turn, _clean(role), said, begin if masked else None, len(said) - len(END) - 1 if masked else None))
+                role, text = role or "", text or ""
+                said = render(role, text)
+                begin = len(START) + len(escape_role(role)) + 1
+                masked = role == "assistant"
+                rows.append((conv, turn, role, said, begin if masked else None, len(said) - len(END) - 1 if masked else None))
             frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "formatted", "loss_start", "loss_end"])
             yield frame.astype({c: "Int64" for c in ("conv_id", "turn", "loss_start", "loss_end")})
 

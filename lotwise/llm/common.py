@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,8 +19,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where it names none (tests on one machine), a folder of our own."""
+    """The shared folder that the cluster names. Only a session on one machine may do without: it gets a folder of its own."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -34,6 +37,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def row_key(*cols: Column) -> Column:
     """128 bits that tell a row from others; rows that repeat one another share it. Nulls count as values."""
     cells = [x for c in cols for x in (c.isNull(), c)]

@@ -70,7 +70,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_documents
 
-    return encode_documents(read(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL), keep_ids=False)
+    return encode_documents(read(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +92,9 @@ SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op10_chat": """
-        WITH t AS (SELECT conv_id, turn, coalesce(replace(role, chr(10), ' '), '') AS role, coalesce(text, '') AS text FROM conversations
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-        e AS (SELECT *, length(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', chr(92) || '<|')) + length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', chr(92) || '<|')) AS said FROM t)
+        e AS (SELECT *, length(replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', chr(92) || '<|'), chr(10), chr(92) || 'n')) + length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', chr(92) || '<|')) AS said FROM t)
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,

@@ -32,13 +32,12 @@ RUNS = {
     "quality": lambda d, l: quality.score(d, l),
     "keep": lambda d, l: quality.keep_good(d, l, 0.0),
     "lines": lambda d, l: lines.drop_recurring_lines(d),
-    "lines_joined": lambda d, l: lines.drop_recurring_lines(d, -1),
     "licenses": lambda d, l: licenses.scan_licenses(d),
     "pii": lambda d, l: pii.pseudonymise(d, b"k"),
     "pii_joined": lambda d, l: pii.pseudonymise(d, b"k", -1),
     "pieces": lambda d, l: pieces.encode_documents(d, tokenizer_path(PIECE_MODEL)),
 }
-SAME = ["fingerprint", "edits", "simhash", "quality", "keep", "lines", "lines_joined", "pii", "pii_joined", "pieces"]
+SAME = ["fingerprint", "edits", "simhash", "quality", "keep", "lines", "pii", "pii_joined", "pieces"]
 
 
 @pytest.mark.parametrize("name", RUNS)
