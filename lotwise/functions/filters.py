@@ -176,12 +176,25 @@ def blocklist(text: Column, banned: list[str], cap: int = 16) -> Column:
 EMAIL, PHONE, CARD = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\+?\d{0,2} ?\(\d{3}\) \d{3}-\d{4}", r"\b\d{13,16}\b"
 
 
+def nfkc(text: Column) -> Column:
+    """Compatible forms made one; ICU comes with Spark."""
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+
+
 def sanitize(text: Column, max_chars: int, blocked: list[str]) -> Column:
-    """struct(text, reasons): capped, personal data masked; reasons say what was met."""
-    capped = F.substring(text, 1, max_chars)
-    masked = reduce(lambda c, p: F.regexp_replace(c, p, "[REDACTED]"), (EMAIL, PHONE, CARD), capped)
-    low = F.lower(capped)
-    reasons = [F.when(F.length(text) > max_chars, F.lit("too_long")), F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(b)) for b in blocked], F.lit(False)), F.lit("blocked")), F.when(masked != capped, F.lit("pii"))]
+    """struct(text, reasons): NFKC, personal data masked in the whole text; reasons say what was met, and none means passed. A NULL gives an
+    empty text."""
+    plain = nfkc(F.coalesce(text, F.lit("")))
+    masked = reduce(lambda c, p: F.regexp_replace(c, p, "[REDACTED]"), (EMAIL, PHONE, CARD), plain)
+    low, met = F.lower(plain), [b.lower() for b in blocked if b]
+    said = reduce(lambda a, b: a | b, [F.contains(low, F.lit(b)) for b in met], F.lit(False))
+    reasons = [
+        F.when(text.isNull(), F.lit("non_string_input")),
+        F.when(text.isNotNull() & (F.length(plain) == 0), F.lit("empty_input")),
+        F.when(F.length(plain) > max_chars, F.lit(f"length_exceeds_{max_chars}")),
+        F.when(said, F.lit("blocked_pattern_matched")),
+        F.when(masked != plain, F.lit("pii_detected")),
+    ]
     return F.struct(masked.alias("text"), F.array_compact(F.array(*reasons)).alias("reasons"))
 
 

@@ -6,9 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Auction types and their names.
-AUCTION_TYPES = {16: "expiry", 20: "closeout", 38: "public", 39: "buy_now"}
-# Categories by pattern on the label, the first that matches.
-CATEGORIES = [("tech", "app|tech|data|cloud|soft|code"), ("finance", "bank|pay|cash|coin|loan"), ("health", "health|med|care|fit"), ("travel", "travel|trip|hotel|tour"), ("hardware", "bolt|nut|gear|widget|gadget|tool|gizmo"), ("colour", "red|blue|green|black|white"), ("numeric", "^[0-9-]+$")]
+AUCTION_TYPES = {16: "expiry auction", 20: "buynow", 38: "expiry auction", 39: "closeout"}
+# Categories by how a part of the label begins, the first that matches.
+CATEGORIES = {
+    "ai": "ai|ml|llm|gpt|nlp|neural|deeplearn|genai|intelli",
+    "healthcare": "health|med|clinic|hospital|pharma|doctor|care|dental|therapy|wellness",
+    "fintech": "fin|bank|pay|crypto|trade|invest|fund|wealth|loan|lending|defi|forex",
+    "legal": "law|legal|attorney|court|lawyer|notary|counsel|litigation",
+    "tech": "tech|software|app|code|dev|cloud|saas|api|digital|platform|cyber",
+    "real-estate": "realt|estate|home|house|propert|mortgage|reit|realtor",
+    "ecommerce": "shop|store|ecommerce|retail|market|deal|merch|brand|goods",
+}
 
 
 def auction_type_name(type_id: Column) -> Column:
@@ -21,10 +29,11 @@ def expiry_status(sold: Column, ends_at: Column, as_of, soon_days: int = 7) -> C
 
 
 def category_name(label: Column) -> Column:
-    out = F.when(label.isNull(), "other")
-    for name, pattern in CATEGORIES:
-        out = out.when(F.lower(label).rlike(pattern), name)
-    return out.otherwise("other")
+    """Empty where no part of the label (they end at - and _) begins with a category's words."""
+    out = F.when(label.isNull(), "")
+    for name, words in CATEGORIES.items():
+        out = out.when(F.lower(label).rlike(f"(^|[-_])({words})"), name)
+    return out.otherwise("")
 
 
 def hold_days(start: str, end: str) -> Column:

@@ -49,7 +49,7 @@ def sell_through_tier(rate: Column) -> Column:
 
 def urgency(ends_at: Column, as_of) -> Column:
     hours = (F.unix_timestamp(ends_at) - F.unix_timestamp(F.lit(as_of))) / 3600
-    return F.when(hours.isNull(), "unknown").when(hours <= 1, "critical").when(hours <= 6, "high").when(hours <= 24, "medium").otherwise("low")
+    return F.when(hours.isNull(), "unknown").when(hours < 1, "critical").when(hours < 6, "high").when(hours < 24, "medium").otherwise("low")
 
 
 def composite_score(df: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -57,21 +57,35 @@ def composite_score(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     return scaled.withColumn("composite", sum(w * F.col(f"{c}_norm") for c, w in weights.items())).drop(*[f"{c}_norm" for c in weights])
 
 
-#: Weights of log-scaled signals in the traffic proxy.
-TRAFFIC_WEIGHTS = (0.40, 0.25, 0.15, 0.10, 0.05, 0.05)
+# Weight and scale of each log-scaled signal in the traffic proxy; least visits of tiers 4 to 1.
+TRAFFIC_SIGNALS = {"visits": (0.40, 1.0), "search_volume": (0.25, 1.0), "authority": (0.15, 10.0), "indexed_pages": (0.10, 1.0), "trust_flow": (0.05, 1.0), "revenue": (0.05, 100.0)}
+TRAFFIC_TIERS = {4: 10_000, 3: 1_000, 2: 100, 1: 1}
+#: Indexed pages up to so many tell nothing.
+FEW_PAGES = 100
 
 
-def traffic_proxy(signals: list[Column]) -> Column:
-    """struct(proxy, has_signal, tier): a weighted sum of log1p of up to six signals; tier 0 to 4."""
-    known = [F.greatest(F.coalesce(s.cast("double"), F.lit(0.0)), F.lit(0.0)) for s in signals]
-    proxy = sum(w * F.log1p(s) for w, s in zip(TRAFFIC_WEIGHTS, known, strict=False))
-    tier = F.when(proxy <= 0, 0).when(proxy < 1, 1).when(proxy < 2, 2).when(proxy < 4, 3).otherwise(4)
-    return F.struct(proxy.alias("proxy"), (F.greatest(*known) > 0 if len(known) > 1 else known[0] > 0).alias("has_signal"), tier.alias("tier"))
+def traffic_proxy(**signals: Column) -> Column:
+    """struct(proxy, has_signal, tier) of signals named as in TRAFFIC_SIGNALS; those not given count as 0, as do NULLs and negative ones.
+
+    The tier (0 to 4) goes by the visits; without any, a search volume or trust flow still makes tier 1. Authority and revenue alone are no
+    signal, nor are few indexed pages.
+    """
+    none = F.lit(0.0)
+    known = {n: F.greatest(F.coalesce(signals[n].cast("double"), none), none) if n in signals else none for n in TRAFFIC_SIGNALS}
+    if wrong := signals.keys() - known.keys():
+        raise ValueError(f"no such signals: {sorted(wrong)}")
+    proxy = sum(w * F.log1p(known[n] * scale) for n, (w, scale) in TRAFFIC_SIGNALS.items())
+    visits, asked = known["visits"], (known["search_volume"] > 0) | (known["trust_flow"] > 0)
+    tier = F.lit(0)
+    for t, least in sorted(TRAFFIC_TIERS.items()):
+        tier = F.when((visits >= least) | asked if t == 1 else visits >= least, t).otherwise(tier)
+    return F.struct(F.round(proxy, 4).alias("proxy"), ((visits > 0) | asked | (known["indexed_pages"] > FEW_PAGES)).alias("has_signal"), tier.alias("tier"))
 
 
 def best_traffic(monthly: Column, fortnight: Column, count: Column) -> Column:
-    """Monthly visits, else those of 14 days scaled to a month, else the count."""
-    return F.when(monthly > 0, monthly.cast("double")).when(fortnight > 0, fortnight * 2.14).otherwise(count.cast("double"))
+    """Monthly visits, else those of 14 days scaled to a month (whole visits), else the count, else 0."""
+    scaled = F.floor(fortnight * 2.14)
+    return F.when(monthly > 0, monthly.cast("double")).when(scaled > 0, scaled.cast("double")).otherwise(F.coalesce(count.cast("double"), F.lit(0.0)))
 
 
 def windowed_count(events: DataFrame, key: str, ts: str, as_of, hours: float, name: str) -> DataFrame:

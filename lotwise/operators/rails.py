@@ -74,7 +74,7 @@ def high_volume(auctions: DataFrame, watches: DataFrame, as_of, event_as_of) ->
 
 
 def fresh(auctions: DataFrame, as_of) -> DataFrame:
-    rows = active(auctions, as_of).where(F.col("bids") <= 1)
+    rows = active(auctions, as_of).where(F.col("bids") == 0)
     return rail(rows, "fresh", capped(F.col("left_s") / WEEK), [F.desc("left_s")])
 
 

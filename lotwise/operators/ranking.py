@@ -68,18 +68,28 @@ def fuzzy(query_tokens: Column, item_tokens: Column) -> Column:
     return F.when(F.size(query_tokens) > 0, F.coalesce(F.array_max(best), F.lit(0.0)) * matched / F.size(query_tokens)).otherwise(0.0)
 
 
+# The vowel share, lengths, consonant run and penalties of a brandable label, and what the score adds to a rank.
+BRANDABLE = {"vowels": 0.4, "shortest": 3, "longest": 15, "consonants": 3, "digit": 0.3, "hyphen": 0.3, "boost": 0.25}
+
+
 def brandability(label: Column) -> Column:
-    """0 to 1: short, vowels in balance, no long consonant run; digits and hyphens cost."""
-    low = F.lower(label)
-    n = F.greatest(F.length(low), F.lit(1))
-    letters = F.regexp_replace(low, "[^a-z]", "")
-    vowels = F.length(F.regexp_replace(letters, "[^aeiou]", "")) / F.greatest(F.length(letters), F.lit(1))
-    run = F.array_max(F.transform(F.split(letters, "[aeiouy]"), lambda x: F.length(x)))
-    length_score = F.greatest(F.lit(0.0), 1 - F.abs(n - 7) / 10)
-    balance = F.greatest(F.lit(0.0), 1 - F.abs(vowels - 0.4) / 0.4)
-    said = F.when(run <= 2, 1.0).when(run == 3, 0.6).otherwise(0.2)
-    cost = 0.1 * F.regexp_count(low, F.lit("[0-9]")) + 0.15 * F.regexp_count(low, F.lit("-"))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.4 * length_score + 0.3 * balance + 0.3 * said - cost))
+    """0 to 1: the mean of three marks (short, vowels in balance, no long run of consonants), less a penalty if there is a digit and
+    one if there is a hyphen. An empty label has 0; one without letters has the mark of its length alone."""
+    b, low, none, one = BRANDABLE, F.lower(label), F.lit(0.0), F.lit(1.0)
+    unit = lambda x: F.greatest(none, F.least(one, x))
+    letters = F.regexp_replace(low, r"[^\p{L}]", "")
+    n = F.length(letters)
+    vowels = F.length(F.regexp_replace(letters, "[^aeiou]", "")) / n
+    run = F.array_max(F.transform(F.split(letters, "[aeiou]"), lambda x: F.length(x)))
+    short = unit(1 - (F.length(low) - b["shortest"]) / (b["longest"] - b["shortest"]))
+    balance = F.when(n > 0, unit(1 - F.abs(vowels - b["vowels"]) / b["vowels"])).otherwise(none)
+    said = F.when(n > 0, unit(1 - F.greatest(run - b["consonants"], F.lit(0)) / n)).otherwise(none)
+    cost = F.when(low.rlike(r"\d"), b["digit"]).otherwise(none) + F.when(F.contains(low, F.lit("-")), b["hyphen"]).otherwise(none)
+    return F.when(F.length(low) > 0, unit((short + balance + said) / 3 - cost)).otherwise(none)
+
+
+def brandable_boost(score: Column, label: Column) -> Column:
+    return score * (1 + BRANDABLE["boost"] * brandability(label))
 
 
 def engagement(score: Column, signals: list[tuple[Column, float]], weight: float = 0.30) -> Column:

@@ -78,12 +78,13 @@ def stg_search_rollup(spark, d):
     return lake.distinct_seekers(events(spark, d).where("event_type = 'view'"), "item", "user_id", "ts", EVENTS_AS_OF, 7)
 
 
-@query("""SELECT doc_id, lang, source, n_chars, near(0.4 * ln(1 + n_chars) + 0.25 * ln(1 + doc_id % 97)) AS proxy FROM documents""")
+@query("""SELECT doc_id, lang, source, n_chars, round(0.4 * ln(1 + n_chars) + 0.25 * ln(1 + (doc_id % 97)), 4) AS proxy, CASE WHEN n_chars >= 10000 THEN 4 WHEN n_chars >= 1000 THEN 3 WHEN n_chars >= 100 THEN 2 WHEN n_chars >= 1 OR doc_id % 97 > 0 THEN 1 ELSE 0 END AS tier FROM documents""")
 def src_documents(spark, d):
     from lotwise.operators.enrich import traffic_proxy
 
     docs = load(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
-    return rounded(docs.withColumn("proxy", traffic_proxy([F.col("n_chars"), F.col("doc_id") % 97])["proxy"]))
+    p = traffic_proxy(visits=F.col("n_chars"), search_volume=F.col("doc_id") % 97)
+    return docs.select("*", p["proxy"].alias("proxy"), p["tier"].alias("tier"))
 
 
 @query("""SELECT event_id, user_id, json_extract_string(props, '$.k') AS k, CASE WHEN event_type = 'purchase' THEN 'positive' WHEN event_type = 'error' THEN 'negative' ELSE 'neutral' END AS signal FROM events ORDER BY ts DESC LIMIT 1000""")
@@ -254,7 +255,7 @@ def bridge_item_auction(spark, d):
     return etl.bridge(events(spark, d), "item", "user_id")
 
 
-@query(f"""{L} SELECT CASE type_id WHEN 16 THEN 'expiry' WHEN 20 THEN 'closeout' WHEN 38 THEN 'public' WHEN 39 THEN 'buy_now' ELSE 'other' END AS type_name, count(*) AS n FROM l GROUP BY ALL""")
+@query(f"""{L} SELECT CASE type_id WHEN 16 THEN 'expiry auction' WHEN 20 THEN 'buynow' WHEN 38 THEN 'expiry auction' WHEN 39 THEN 'closeout' ELSE 'other' END AS type_name, count(*) AS n FROM l GROUP BY ALL""")
 def prj_auction_type_name(spark, d):
     return listings(spark, d).groupBy(derive.auction_type_name(F.col("type_id")).alias("type_name")).agg(F.count("*").alias("n"))
 
@@ -267,12 +268,18 @@ def prj_expiry_status(spark, d):
     return listings(spark, d).groupBy(derive.expiry_status(F.col("sold"), F.col("ends_at"), AS_OF).alias("status")).agg(F.count("*").alias("n"))
 
 
-_CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches(lower({{0}}), '{p}') THEN '{n}'" for n, p in derive.CATEGORIES) + " ELSE 'other' END"
+_CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches(lower({{0}}), '(^|[-_])({p})') THEN '{n}'" for n, p in derive.CATEGORIES.items()) + " ELSE '' END"
+#: Labels of one or two words from everywhere: part types, segments, the first words of texts.
+_LABELS_SQL = "la AS (SELECT replace(p_name, ' ', '-') || '-' || lower(p_type) AS label FROM part UNION ALL SELECT lower(c_mktsegment) || '_' || c_custkey FROM customer UNION ALL SELECT lower(array_to_string(list_slice(string_split(text, ' '), 1, 2), '-')) FROM documents WHERE text <> '')"
 
 
-@query(f"SELECT p_partkey, {_CATEGORY.format('p_name')} AS category FROM part")
+@query(f"WITH {_LABELS_SQL} SELECT {_CATEGORY.format('label')} AS category, count(*) AS n, min(label) AS least FROM la GROUP BY ALL")
 def prj_category_name(spark, d):
-    return load(spark, d, "part").select("p_partkey", derive.category_name(F.col("p_name")).alias("category"))
+    parts = load(spark, d, "part").select(F.concat_ws("-", F.replace("p_name", F.lit(" "), F.lit("-")), F.lower("p_type")).alias("label"))
+    buyers = load(spark, d, "customer").select(F.concat_ws("_", F.lower("c_mktsegment"), F.col("c_custkey").cast("string")).alias("label"))
+    texts = load(spark, d, "documents").where("text <> ''").select(F.lower(F.array_join(F.slice(F.split("text", " "), 1, 2), "-")).alias("label"))
+    labels = parts.unionByName(buyers).unionByName(texts)
+    return labels.groupBy(derive.category_name(F.col("label")).alias("category")).agg(F.count("*").alias("n"), F.min("label").alias("least"))
 
 
 @query(f"""{L} SELECT auction_id, greatest(0, CAST(CAST(ends_at AS DATE) - CAST(listed_at AS DATE) AS INTEGER)) AS hold FROM l""")
@@ -379,8 +386,8 @@ def flt_blocklist(spark, d):
     return load(spark, d, "documents").select("doc_id", hit.alias("h")).select("doc_id", "h.flagged", F.array_join("h.terms", ",").alias("terms"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(left(text, 5000), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED]', 'g'), '\+?\d{0,2} ?\(\d{3}\) \d{3}-\d{4}', '[REDACTED]', 'g'), '\b\d{13,16}\b', '[REDACTED]', 'g') AS masked FROM documents)
-    SELECT doc_id, md5(masked) AS masked_md5, array_to_string(list_filter([CASE WHEN length(text) > 5000 THEN 'too_long' END, CASE WHEN contains(lower(left(text, 5000)), 'stupid') THEN 'blocked' END, CASE WHEN masked <> left(text, 5000) THEN 'pii' END], lambda x: x IS NOT NULL), ',') AS reasons FROM m""")
+@query(r"""WITH n AS (SELECT doc_id, text, coalesce(text, '') AS plain FROM documents), m AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(plain, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED]', 'g'), '\+?\d{0,2} ?\(\d{3}\) \d{3}-\d{4}', '[REDACTED]', 'g'), '\b\d{13,16}\b', '[REDACTED]', 'g') AS masked FROM n)
+    SELECT doc_id, md5(masked) AS masked_md5, array_to_string(list_filter([CASE WHEN text IS NULL THEN 'non_string_input' WHEN text = '' THEN 'empty_input' END, CASE WHEN length(plain) > 5000 THEN 'length_exceeds_5000' END, CASE WHEN contains(lower(plain), 'stupid') THEN 'blocked_pattern_matched' END, CASE WHEN masked <> plain THEN 'pii_detected' END], lambda x: x IS NOT NULL), ',') AS reasons FROM m""")
 def flt_sanitize_mask(spark, d):
     docs = load(spark, d, "documents").select("doc_id", flt.sanitize(F.col("text"), 5000, ["stupid"]).alias("s"))
     return docs.select("doc_id", F.md5("s.text").alias("masked_md5"), F.array_join("s.reasons", ",").alias("reasons"))

@@ -254,7 +254,7 @@ def _states(df, dims: list[str]):
     return rounded(out, price_sum=2, price_min=2, price_max=2, bids_sum=0)
 
 
-_DERIVED = f"""{L}, r AS (SELECT *, CASE type_id WHEN 16 THEN 'expiry' WHEN 38 THEN 'public' ELSE 'other' END AS type_name, CASE WHEN sold = 1 THEN 'sold' WHEN ends_at < {_NOW} THEN 'expired' WHEN CAST(ends_at AS DATE) - DATE '2001-06-01' <= 7 THEN 'expiring_soon' ELSE 'active' END AS expiry,
+_DERIVED = f"""{L}, r AS (SELECT *, CASE WHEN type_id IN (16, 38) THEN 'expiry auction' WHEN type_id = 20 THEN 'buynow' WHEN type_id = 39 THEN 'closeout' ELSE 'other' END AS type_name, CASE WHEN sold = 1 THEN 'sold' WHEN ends_at < {_NOW} THEN 'expired' WHEN CAST(ends_at AS DATE) - DATE '2001-06-01' <= 7 THEN 'expiring_soon' ELSE 'active' END AS expiry,
     CASE WHEN bids < 10 THEN 's' WHEN bids < 25 THEN 'm' WHEN bids < 40 THEN 'l' ELSE 'xl' END AS segment FROM l)"""
 
 
@@ -417,7 +417,7 @@ def _volume(a, b, w):
     return rails.high_volume(a, w, AS_OF, YESTERDAY)
 
 
-@_rail("fresh", "SELECT * FROM act WHERE bids <= 1", _CAP.format("left_s / 604800"), "left_s DESC")
+@_rail("fresh", "SELECT * FROM act WHERE bids = 0", _CAP.format("left_s / 604800"), "left_s DESC")
 def _fresh(a, b, w):
     return rails.fresh(a, AS_OF)
 
@@ -540,7 +540,7 @@ def enr_sell_through(spark, d):
     return rates.select("registrar", enrich.sell_through_tier(F.col("rate")).alias("tier"))
 
 
-@query(f"{L}, h AS (SELECT auction_id, ends_at, (epoch(ends_at) - epoch({_NOW})) / 3600 AS hours FROM l) SELECT auction_id, ends_at, CASE WHEN hours <= 1 THEN 'critical' WHEN hours <= 6 THEN 'high' WHEN hours <= 24 THEN 'medium' ELSE 'low' END AS urgency FROM h")
+@query(f"{L}, h AS (SELECT auction_id, ends_at, (epoch(ends_at) - epoch({_NOW})) / 3600 AS hours FROM l) SELECT auction_id, ends_at, CASE WHEN hours < 1 THEN 'critical' WHEN hours < 6 THEN 'high' WHEN hours < 24 THEN 'medium' ELSE 'low' END AS urgency FROM h")
 def enr_time_urgency(spark, d):
     return listings(spark, d).select("auction_id", "ends_at", enrich.urgency(F.col("ends_at"), AS_OF).alias("urgency"))
 
@@ -568,13 +568,16 @@ def tbl_auction_features(spark, d):
     return enrich.auction_features(listings(spark, d, latest=True), AS_OF).select("auction_id", "tld_rank", "heat")
 
 
-@query(f"""{L} SELECT auction_id, price, near(0.4 * ln(1 + traffic) + 0.25 * ln(1 + backlinks) + 0.15 * ln(1 + bids)) AS proxy, greatest(traffic, backlinks, bids) > 0 AS has_signal FROM l""")
+@query(f"""{L}, s AS (SELECT *, traffic * bids AS visits, CASE WHEN backlinks > 70 THEN backlinks ELSE 0 END AS volume, 3 * authority AS pages FROM l)
+    SELECT auction_id, price, round(0.4 * ln(1 + visits) + 0.25 * ln(1 + volume) + 0.15 * ln(1 + 10 * authority) + 0.1 * ln(1 + pages) + 0.05 * ln(1 + price), 4) AS proxy, visits > 0 OR volume > 0 OR pages > 100 AS has_signal,
+    CASE WHEN visits >= 10000 THEN 4 WHEN visits >= 1000 THEN 3 WHEN visits >= 100 THEN 2 WHEN visits >= 1 OR volume > 0 THEN 1 ELSE 0 END AS tier FROM s""")
 def ftr_traffic_proxy(spark, d):
-    p = enrich.traffic_proxy([F.col("traffic"), F.col("backlinks"), F.col("bids")])
-    return rounded(listings(spark, d).select("auction_id", "price", p.alias("p")).select("auction_id", "price", "p.proxy", "p.has_signal"), price=2)
+    volume = F.when(F.col("backlinks") > 70, F.col("backlinks")).otherwise(0)
+    p = enrich.traffic_proxy(visits=F.col("traffic") * F.col("bids"), search_volume=volume, authority=F.col("authority"), indexed_pages=3 * F.col("authority"), revenue=F.col("price") / 100)
+    return listings(spark, d).select("auction_id", F.round("price", 2).alias("price"), p.alias("p")).select("auction_id", "price", "p.proxy", "p.has_signal", "p.tier")
 
 
-@query("""SELECT doc_id, near(CASE WHEN n_chars > 1000 THEN n_chars WHEN n_chars > 300 THEN n_chars * 2.14 ELSE doc_id END) AS traffic FROM documents""")
+@query("""SELECT doc_id, CAST(CASE WHEN n_chars > 1000 THEN n_chars WHEN n_chars > 300 THEN floor(n_chars * 2.14) ELSE doc_id END AS DOUBLE) AS traffic FROM documents""")
 def ftr_traffic_proxy_lake(spark, d):
     n = F.col("n_chars")
     return rounded(load(spark, d, "documents").select("doc_id", enrich.best_traffic(F.when(n > 1000, n), F.when(n > 300, n), F.col("doc_id")).alias("traffic")))

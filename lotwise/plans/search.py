@@ -261,11 +261,15 @@ def rnk_fuzzy(spark, d):
     return rounded(load(spark, d, "part").select("p_partkey", ranking.fuzzy(F.array(F.lit("red"), F.lit("boltt")), F.split("p_name", " ")).alias("coverage")))
 
 
-@query("""WITH p AS (SELECT p_partkey, replace(lower(p_name), ' ', '-') AS s FROM part), l AS (SELECT p_partkey, s, greatest(length(s), 1) AS n, regexp_replace(s, '[^a-z]', '', 'g') AS t FROM p),
-    f AS (SELECT p_partkey, greatest(0.0, 1 - abs(n - 7) / 10) AS a, greatest(0.0, 1 - abs(length(regexp_replace(t, '[^aeiou]', '', 'g')) / greatest(length(t), 1) - 0.4) / 0.4) AS b, list_max(list_transform(regexp_split_to_array(t, '[aeiouy]'), lambda x: length(x))) AS run, length(s) - length(replace(s, '-', '')) AS h, length(regexp_replace(s, '[^0-9]', '', 'g')) AS g FROM l)
-    SELECT p_partkey, near(greatest(0, least(1, 0.4 * a + 0.3 * b + 0.3 * (CASE WHEN run <= 2 THEN 1.0 WHEN run = 3 THEN 0.6 ELSE 0.2 END) - 0.1 * g - 0.15 * h))) AS score FROM f""")
+@query("""WITH p AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1 THEN replace(p_name, ' ', '') || p_size WHEN 2 THEN split_part(p_name, ' ', 2) ELSE '' END AS s FROM part), l AS (SELECT p_partkey, lower(s) AS s, regexp_replace(lower(s), '[^a-z]', '', 'g') AS t FROM p),
+    f AS (SELECT p_partkey, s, greatest(0.0, least(1.0, 1 - (length(s) - 3) / 12)) AS a, CASE WHEN t <> '' THEN greatest(0.0, 1 - abs(length(regexp_replace(t, '[^aeiou]', '', 'g')) / length(t) - 0.4) / 0.4) ELSE 0.0 END AS b,
+          CASE WHEN t <> '' THEN greatest(0.0, 1 - greatest(list_max(list_transform(regexp_split_to_array(t, '[aeiou]'), lambda x: length(x))) - 3, 0) / length(t)) ELSE 0.0 END AS c FROM l)
+    SELECT p_partkey, near(CASE WHEN s = '' THEN 0 ELSE greatest(0, least(1, (a + b + c) / 3 - CASE WHEN regexp_matches(s, '[0-9]') THEN 0.3 ELSE 0 END - CASE WHEN contains(s, '-') THEN 0.3 ELSE 0 END)) END) AS score FROM f""")
 def rnk_brandability(spark, d):
-    return rounded(load(spark, d, "part").select("p_partkey", ranking.brandability(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("score")))
+    name, kind = F.col("p_name"), F.col("p_size") % 4
+    joined = lambda mark: F.replace(name, F.lit(" "), F.lit(mark))
+    label = F.when(kind == 0, joined("-")).when(kind == 1, F.concat(joined(""), F.col("p_size").cast("string"))).when(kind == 2, F.split_part(name, F.lit(" "), F.lit(2))).otherwise("")
+    return rounded(load(spark, d, "part").select("p_partkey", ranking.brandability(label).alias("score")))
 
 
 @query("""SELECT p_partkey, near(p_retailprice * (1 + 0.30 * (0.35 * least(1, greatest(0, p_size / 50)) + 0.15 * least(1, greatest(0, p_partkey / 100))))) AS score FROM part""")
