@@ -61,7 +61,7 @@ def segments(sld: Column) -> Column:
 
 
 def keyword(sld: Column, term: str, mode: str = "contains") -> Column:
-    """``starts`` and ``ends`` look at the label; ``contains`` wants a whole segment or a unit of letters, not followed by its own
+    """``starts`` and ``ends`` look at the label, ``exclude`` at its segments' ends; ``contains`` wants a whole segment or a unit of letters, not followed by its own
     last consonant doubled."""
     term = term.lower()
     low = F.lower(sld)
@@ -69,75 +69,117 @@ def keyword(sld: Column, term: str, mode: str = "contains") -> Column:
         return low.startswith(term)
     if mode == "ends":
         return low.endswith(term)
+    if mode == "exclude":  # short terms at either end of a segment, long ones anywhere
+        at = re.escape(term)
+        return low.rlike(f"(^|-){at}|{at}(-|$)") if len(term) <= 5 else F.contains(low, F.lit(term))
     guard = f"($|[^{re.escape(term[-1])}])" if term[-1].isalpha() and term[-1] not in "aeiou" else ""
     return F.array_contains(segments(sld), term) | low.rlike(f"(^|[^a-z0-9]){re.escape(term)}{guard}")
 
 
-#: Slots that bound a column: NULL excludes.
-RANGES = {"price": "price", "bids": "bids", "quality": "quality", "traffic": "traffic", "authority": "authority", "govalue": "govalue", "age": "age_years", "backlinks": "backlinks"}
+#: Slots that bound a column from below and above, and the column: NULL excludes.
+RANGES = {
+    "price": "price", "bids": "bids", "quality": "quality", "traffic": "traffic", "authority": "authority", "govalue": "govalue", "age": "age_years", "backlinks": "backlinks", "buy_it_now": "buy_it_now_price",
+    "majestic_tf": "majestic_tf", "majestic_cf": "majestic_cf", "majestic_backlinks": "majestic_backlinks", "majestic_ref_domains": "majestic_ref_domains", "tlf_keyword_regs": "tlf_keyword_regs",
+    "semrush_backlinks": "semrush_backlinks", "semrush_indexed_pages": "semrush_indexed_pages", "semrush_ref_domains": "semrush_ref_domains", "semrush_search_volume": "semrush_search_volume",
+    "semrush_authority": "semrush_authority_score", "semrush_cpc": "semrush_cpc",
+}
+#: Slots that are true or false, and the column (of 0 and 1): NULL excludes.
+FLAGS = {"tlf_exact_match": "tlf_exact_match", "tlf_developed": "tlf_developed", "buy_it_now": "buy_it_now", "has_reserve_price": "has_reserve_price", "gd_transfer": "gd_transfer"}
+#: Slots that bound a time; a NULL ``listed_at`` passes, a NULL ``ends_at`` doesn't.
+TIMES = {"listed_after": ("listed_at", ">="), "listed_before": ("listed_at", "<="), "ends_after": ("ends_at", ">="), "ends_before": ("ends_at", "<=")}
+_OWN_LABEL = {"has_hyphen": "-", "has_number": "[0-9]", "is_idn": "^xn--|[^\\x00-\\x7F]"}
+
+
+def expand_types(wanted: list, names: dict[int, str]) -> list[int]:
+    """Type ids from ids and from names, which may stand for several ids."""
+    low = [str(w).lower() for w in wanted]
+    return sorted({i for i, n in names.items() if str(i) in low or n.lower() in low} | {int(w) for w in low if w.isdigit()})
 
 
 def build_predicate(filters: dict, as_of: datetime | None = None, sld: str = "sld", columns: dict[str, str] | None = None) -> Column:
-    """The listing predicate. NULL excludes, but a NULL ``listed_at`` passes; a price of -1 counts as unknown.
+    """The listing predicate. NULL excludes, but a NULL ``listed_at`` passes; a negative price counts as unknown.
 
-    Slots: X_min / X_max for X in RANGES; tlds, exclude_tlds, types, exclude_types; contains_any, contains_all, exclude_keywords,
-    starts_any, ends_any; name_length_min / _max, word_count_min / _max; has_hyphen, has_number, is_idn; letters_max,
-    digits_max; exclude_letters; unknown (columns that must be NULL); has_traffic (columns of which one must be above 0); time_remaining_max (seconds);
-    ends_after, ends_before, listed_after; days_listed_min, days_listed_max; lifecycle (types) with lifecycle_or_ends_before.
+    Slots: X_min / X_max for X in RANGES; those of FLAGS; those of TIMES; tlds, exclude_tlds; types, exclude_types (ids or names);
+    contains_any, contains_all, exclude_keywords, starts_any, ends_any, phrase; name_length_min / _max, word_count_min / _max; has_hyphen,
+    has_number, is_idn; letters_min / _max, digits_min / _max; exclude_letters; gem; unknown (columns that must be NULL; a range on one of them
+    is then left out); has_traffic (columns of which one must be above 0); time_remaining_max (seconds); days_listed_min, days_listed_max;
+    lifecycle (types) with lifecycle_or_ends_before, or with ``lifecycle_disjunction``: the types or the remaining time.
     """
+    from lotwise.operators.derive import AUCTION_TYPES
+
     name = lambda c: (columns or {}).get(c, c)
     col = lambda c: F.col(name(c))
     label, now = F.lower(F.col(sld)), F.lit(as_of)
     strip = lambda ts: [t.lower().lstrip(".") for t in ts]
+    typed = lambda ts: col("type_id").isin(*expand_types(ts, AUCTION_TYPES))
+    count = lambda pattern: F.regexp_count(label, F.lit(pattern))
+    unknown = set(filters.get("unknown", ()))
+
+    def remaining(most: float) -> Column:
+        left = F.unix_timestamp(col("ends_at")) - F.unix_timestamp(now)
+        return left.isNotNull() & left.between(0, most)
+
+    either = bool(filters.get("lifecycle_disjunction"))
     out: list[Column] = []
+    if either:
+        sides = [remaining(filters["time_remaining_max"])] if "time_remaining_max" in filters else []
+        sides += [typed(filters["lifecycle"])] if "lifecycle" in filters else []
+        out.append(reduce(lambda a, b: a | b, sides, F.lit(False)))
     for slot, value in filters.items():
         stem, _, end = slot.rpartition("_")
-        if end in ("min", "max") and stem in RANGES:
+        bound = (lambda c, v=value, e=end: c >= v if e == "min" else c <= v) if end in ("min", "max") else None
+        if either and slot in ("lifecycle", "time_remaining_max"):
+            continue
+        if bound and stem in RANGES:
+            if RANGES[stem] in unknown:
+                continue
             c = col(RANGES[stem])
             if stem == "price":
-                c = F.when(c != -1, c)
-            out.append(c.isNotNull() & (c >= value if end == "min" else c <= value))
-        elif stem == "name_length":
-            out.append(F.length(label) >= value if end == "min" else F.length(label) <= value)
-        elif stem == "word_count":
-            n = F.size(F.regexp_extract_all(label, F.lit("([a-z]+|[0-9]+)"), 1))
-            out.append(n >= value if end == "min" else n <= value)
-        elif slot in ("letters_max", "digits_max"):
-            out.append(F.regexp_count(label, F.lit("[a-z]" if slot[0] == "l" else "[0-9]")) <= value)
+                c = F.when(c >= 0, c)
+            out.append(c.isNotNull() & bound(c))
+        elif slot in FLAGS:
+            out.append(F.coalesce(col(FLAGS[slot]).cast("int") == int(bool(value)), F.lit(False)))
+        elif bound and stem == "name_length":
+            out.append(bound(F.length(label)))
+        elif bound and stem == "word_count":
+            out.append(bound(F.size(F.regexp_extract_all(label, F.lit("([a-z]+|[0-9]+)"), 1))))
+        elif bound and stem in ("letters", "digits"):
+            out.append(bound(count(r"\p{L}" if stem == "letters" else "[0-9]")))
         elif slot in ("tlds", "exclude_tlds"):
             hit = F.ltrim(F.lower(col("tld")), F.lit(".")).isin(*strip(value))
             out.append(hit if slot == "tlds" else ~hit)
         elif slot in ("types", "exclude_types"):
-            hit = col("type_id").isin(*value)
-            out.append(hit if slot == "types" else ~hit)
-        elif slot in ("contains_any", "contains_all", "exclude_keywords", "starts_any", "ends_any"):
-            hits = [keyword(F.col(sld), t, slot.split("_")[0] if slot[0] in "se" and slot != "exclude_keywords" else "contains") for t in value]
+            out.append(typed(value) if slot == "types" else ~typed(value))
+        elif slot in ("contains_any", "contains_all", "starts_any", "ends_any", "exclude_keywords"):
+            hits = [keyword(F.col(sld), t, slot.split("_")[0]) for t in value]
             both = reduce((lambda a, b: a & b) if slot == "contains_all" else (lambda a, b: a | b), hits)
             out.append(~both if slot == "exclude_keywords" else both)
-        elif slot in ("has_hyphen", "has_number", "is_idn"):
-            hit = label.rlike({"has_hyphen": "-", "has_number": "[0-9]", "is_idn": "^xn--|[^\\x00-\\x7F]"}[slot])
+        elif slot == "phrase":
+            out.append(F.contains(F.replace(label, F.lit("-"), F.lit("")), F.lit(re.sub("[ -]", "", value.lower()))))
+        elif slot in _OWN_LABEL:
+            hit = label.rlike(_OWN_LABEL[slot])
             out.append(hit if value else ~hit)
         elif slot == "exclude_letters":
             out.append(~label.rlike(f"[{re.escape(''.join(value).lower())}]"))
+        elif slot == "gem":
+            out.append(F.coalesce(col("gem").cast("boolean"), F.lit(False)) if value else F.lit(True))
         elif slot == "unknown":
             out += [col(c).isNull() for c in value]
         elif slot == "has_traffic":
             out.append(F.greatest(*[F.coalesce(col(c), F.lit(0)) for c in value], F.lit(0)) > 0)
         elif slot == "time_remaining_max":
-            left = F.unix_timestamp(col("ends_at")) - F.unix_timestamp(now)
-            out.append(left.isNotNull() & left.between(0, value))
-        elif slot in ("ends_after", "ends_before"):
-            out.append(col("ends_at") >= F.lit(value) if slot == "ends_after" else col("ends_at") <= F.lit(value))
-        elif slot == "listed_after":
-            out.append(col("listed_at").isNull() | (col("listed_at") >= F.lit(value)))
+            out.append(remaining(value))
+        elif slot in TIMES:
+            c, op = TIMES[slot]
+            hit = col(c) >= F.lit(value) if op == ">=" else col(c) <= F.lit(value)
+            out.append(col(c).isNull() | hit if c == "listed_at" else hit)
         elif slot in ("days_listed_min", "days_listed_max"):
             days = F.datediff(now, col("listed_at"))
-            out.append(days.isNull() | (days >= value if end == "min" else days <= value))
+            out.append(days.isNull() | bound(days))
         elif slot == "lifecycle":
-            hit = col("type_id").isin(*value)
             before = filters.get("lifecycle_or_ends_before")
-            out.append(hit | (col("ends_at") <= F.lit(before)) if before else hit)
-        elif slot != "lifecycle_or_ends_before":
+            out.append(typed(value) | (col("ends_at") <= F.lit(before)) if before else typed(value))
+        elif slot not in ("lifecycle_or_ends_before", "lifecycle_disjunction"):
             raise ValueError(f"no such slot: {slot}")
     return conjunction(out)
 

@@ -60,12 +60,16 @@ def mmr(lists: DataFrame, penalty: float = 0.5, head: int = 50) -> DataFrame:
     return picked.unionByName(rest.select("query_id", "item", F.col("rank").cast("int").alias("rank"), F.col("rank").cast("int").alias("new_rank")))
 
 
-def fuzzy(query_tokens: Column, item_tokens: Column) -> Column:
-    """Coverage: the best similarity of a query token to an item token times the share of query tokens with one of 0.7 or more."""
-    like = lambda q, i: F.when(F.contains(i, q) | F.contains(q, i), F.lit(1.0)).otherwise(1 - F.levenshtein(q, i) / F.greatest(F.length(q), F.length(i), F.lit(1)))
-    best = F.transform(query_tokens, lambda q: F.coalesce(F.array_max(F.transform(item_tokens, lambda i: like(q, i))), F.lit(0.0)))
-    matched = F.size(F.filter(best, lambda b: b >= 0.7))
-    return F.when(F.size(query_tokens) > 0, F.coalesce(F.array_max(best), F.lit(0.0)) * matched / F.size(query_tokens)).otherwise(0.0)
+# What full coverage adds to a score.
+FUZZY_BOOST = 0.5
+
+
+def fuzzy(lists: DataFrame, query_tokens: Column, item_tokens: Column, boost: float = FUZZY_BOOST) -> DataFrame:
+    """Adds ``coverage`` of the query's tokens by the item's and ``reranked``, the score raised by it, and orders each query's list anew."""
+    from .text import coverage_udf
+
+    out = lists.withColumn("coverage", coverage_udf()(query_tokens, item_tokens)).withColumn("reranked", F.col("score") + boost * F.col("coverage"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("reranked", 9)), "item")))
 
 
 # The vowel share, lengths, consonant run and penalties of a brandable label, and what the score adds to a rank.

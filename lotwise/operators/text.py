@@ -6,48 +6,44 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.sources.sinks import stored
+
 STOPWORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was"]
 # Compound top-level domains of two labels.
 COMPOUND_TLDS = ["co.uk", "org.uk", "com.au", "net.au", "co.nz", "co.jp", "com.br", "co.in", "com.mx", "co.za"]
 
 
-def tokenize(text: Column, min_chars: int = 2, stopwords: list[str] = STOPWORDS, cap: int = 64) -> Column:
-    """Runs of a-z and 0-9, lower case, in order."""
+def tokenize(text: Column, min_chars: int = 2, stopwords: list[str] = STOPWORDS, cap: int | None = None) -> Column:
+    """Runs of a-z and 0-9, lower case, in order; all of them, or the first ``cap`` (for queries)."""
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
     stop = F.array(*[F.lit(s) for s in stopwords])
-    return F.slice(F.filter(words, lambda w: (F.length(w) >= min_chars) & ~F.array_contains(stop, w)), 1, cap)
+    kept = F.filter(words, lambda w: (F.length(w) >= min_chars) & ~F.array_contains(stop, w))
+    return kept if cap is None else F.slice(kept, 1, cap)
+
+
+def normalise(text: Column) -> Column:
+    """Compatible forms made one and accents stripped; ICU comes with Spark."""
+    apart = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True))
+    return F.when(text.isNotNull(), F.regexp_replace(apart, r"\p{Mn}", ""))
+
+
+def idn_decode(label: Column) -> Column:
+    """A punycode label in its own script, case folded; as it is if it can't be read."""
+    return F.when(label.startswith("xn--"), F.lower(F.reflect(F.lit("java.net.IDN"), F.lit("toUnicode"), label))).otherwise(label)
 
 
 def segment(host: Column) -> Column:
-    """struct(sld, tld, tokens) of a host: the TLD may have two labels; the label before it splits into runs of letters and digits."""
-    labels = F.split(F.lower(host), r"\.")
+    """struct(sld, tld, tokens) of a host: the TLD may have two labels; labels are decoded from punycode; the one before the TLD splits
+    into runs of letters and digits, or, if it isn't ASCII, is one token without accents."""
+    labels = F.split(F.lower(F.rtrim(F.trim(host), F.lit("."))), r"\.")
     n = F.size(labels)
     two = F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1))
     double = (n >= 3) & two.isin(*COMPOUND_TLDS)
     sld = F.when(double, F.element_at(labels, -3)).when(n >= 2, F.element_at(labels, -2)).otherwise(F.element_at(labels, -1))
-    tld = F.when(double, two).when(n >= 2, F.element_at(labels, -1)).otherwise(F.lit(""))
-    return F.struct(sld.alias("sld"), tld.alias("tld"), F.regexp_extract_all(sld, F.lit("([a-z]+|[0-9]+)"), 1).alias("tokens"))
-
-
-def normalise_udf():
-    """NFKC, accents stripped, punycode decoded."""
-    @F.pandas_udf("string")
-    def normalise(s: pd.Series) -> pd.Series:
-        import unicodedata
-
-        def one(x):
-            if x is None:
-                return None
-            if x.startswith("xn--"):
-                try:
-                    x = x[4:].encode().decode("punycode")
-                except UnicodeError:
-                    pass
-            return "".join(c for c in unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", x)) if not unicodedata.combining(c))
-
-        return s.map(one)
-
-    return normalise
+    tld = F.when(double, two).when(n >= 2, idn_decode(F.element_at(labels, -1))).otherwise(F.lit(""))
+    own = idn_decode(sld)
+    tokens = F.when(own.rlike(r"^[\x00-\x7F]*$"), F.regexp_extract_all(own, F.lit("([a-z]+|[0-9]+)"), 1)).otherwise(F.array(normalise(own)))
+    return F.struct(own.alias("sld"), tld.alias("tld"), tokens.alias("tokens"))
 
 
 def split_compound(word: str, costs: dict[str, float], unknown: float = 10.0, bonus: float = 0.1, most: int = 6) -> list[str]:
@@ -92,13 +88,46 @@ def damerau(a: str, b: str) -> int:
 
 
 def damerau_udf():
+    """Each different pair of a batch is measured once."""
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else damerau(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+        pairs = [*zip(a, b, strict=True)]
+        known = {(x, y): None if x is None or y is None else damerau(x, y) for x, y in {*pairs}}
+        return pd.Series([known[p] for p in pairs], dtype="Int64")
 
     return distance
 
 
+def coverage_udf(farthest: int = 2, least: float = 0.6):
+    """Query tokens and an item's tokens (arrays) to 0..1: the best likeness times the share of query tokens that have a match.
+
+    A pair is alike by 1 if one holds the other, else by 1 - distance / the longer length up to ``farthest`` edits (with transpositions);
+    ``least`` makes a match.
+    """
+    def like(q: str, t: str) -> float:
+        if q in t or t in q:
+            return 1.0
+        d = damerau(q, t) if abs(len(q) - len(t)) <= farthest else farthest + 1
+        return 1 - d / max(len(q), len(t)) if d <= farthest else 0.0
+
+    @F.pandas_udf("double")
+    def coverage(query: pd.Series, item: pd.Series) -> pd.Series:
+        known: dict[tuple, float] = {}
+        out = []
+        for q, i in zip(query, item, strict=True):
+            best = [0.0] * (0 if q is None else len(q))
+            for k, x in enumerate(() if q is None or i is None else q):
+                for y in i:
+                    if (x, y) not in known:
+                        known[x, y] = like(x, y)
+                    best[k] = max(best[k], known[x, y])
+            matched = [b for b in best if b >= least]
+            out.append(max(matched) * len(matched) / len(best) if matched else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return coverage
+
+
 def synonym_expand(tokens: DataFrame, synonyms: DataFrame, weight: float = 0.5, cap: int = 3) -> DataFrame:
     """(doc_id, token) with (a, b) pairs, read both ways: originals weigh 1, up to ``cap`` synonyms each ``weight``, none that is an original."""
     both = synonyms.select("a", "b").union(synonyms.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -129,17 +158,68 @@ def bm25_docs(tokens: DataFrame, size: int = 1 << 16, k1: float = 1.2, b: float
     return joined.select("doc_id", hash_bucket(F.col("token"), size).alias("bucket"), w.alias("w")).groupBy("doc_id", "bucket").agg(F.sum("w").alias("weight"))
 
 
-def bm25_queries(tokens: DataFrame, size: int = 1 << 16, multiplier: float = 1.0) -> DataFrame:
-    tf = tokens.groupBy("query_id", "token").agg(F.count("*").alias("tf"))
-    return tf.select("query_id", hash_bucket(F.col("token"), size).alias("bucket"), (multiplier * (1 + F.ln(1 + F.col("tf")))).alias("w")).groupBy("query_id", "bucket").agg(F.sum("w").alias("weight"))
-
-
-def sparse_dot(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, score, rank by an equi-join on the bucket; the sum combines before its shuffle."""
-    hits = queries.select("query_id", "bucket", F.col("weight").alias("q")).join(docs, "bucket")
-    scores = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
+def bm25_queries(tokens: DataFrame, size: int = 1 << 16, synonyms: DataFrame | None = None, weight: float = 0.5, cap: int = 3) -> DataFrame:
+    """query_id, bucket, weight of (query_id, token): 1 + ln(1 + tf), and for synonyms (pairs a, b, read both ways) ``weight`` times that of
+    one occurrence; no synonym is an original."""
+    tf = tokens.groupBy("query_id", "token").agg(F.count("*").alias("tf")).select("query_id", "token", (1 + F.ln(1 + F.col("tf"))).alias("w"))
+    if synonyms is not None:
+        more = synonym_expand(tokens.select(F.col("query_id").alias("doc_id"), "token"), synonyms, weight, cap).where(F.col("weight") != 1.0)
+        tf = tf.unionByName(more.select(F.col("doc_id").alias("query_id"), "token", (weight * (1 + F.ln(F.lit(2.0)))).alias("w")))
+    return tf.select("query_id", hash_bucket(F.col("token"), size).alias("bucket"), "w").groupBy("query_id", "bucket").agg(F.sum("w").alias("weight"))
+
+
+#: Entries of documents' vectors in a block, about, and queries in one: what a task of the sparse product holds.
+DOT_ENTRIES, DOT_QUERIES = 2_000_000, 10_000
+
+
+def _sparse_cell(k: int):
+    def best(docs, queries):
+        import numpy as np
+
+        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "doc_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        if not len(docs) or not len(queries):
+            return empty
+        ids, at = np.unique(docs["doc_id"].to_numpy(), return_inverse=True)
+        order = np.argsort(docs["bucket"].to_numpy(), kind="stable")
+        bucket, at, weight = docs["bucket"].to_numpy()[order], at[order], docs["weight"].to_numpy()[order]
+        queries = queries.sort_values(["query_id", "bucket"])
+        lo, hi = np.searchsorted(bucket, queries["bucket"]), np.searchsorted(bucket, queries["bucket"], "right")
+        q, own = queries["query_id"].to_numpy(), queries["weight"].to_numpy()
+        out = [empty]
+        for start in np.flatnonzero(np.r_[True, q[1:] != q[:-1]]):
+            stop = start + np.searchsorted(q[start:], q[start], "right")
+            scores, touched = np.zeros(len(ids)), np.zeros(len(ids), "bool")
+            for i in range(start, stop):
+                where = at[lo[i] : hi[i]]  # a document has a bucket once
+                scores[where] += own[i] * weight[lo[i] : hi[i]]
+                touched[where] = True
+            found = np.flatnonzero(touched)
+            said = np.round(scores[found], 9)
+            if len(found) > k:
+                keep = said >= np.partition(said, len(said) - k)[len(said) - k]
+                found, said = found[keep], said[keep]
+            top = np.lexsort((ids[found], -said))[:k]
+            out.append(pd.DataFrame({"query_id": q[start], "doc_id": ids[found[top]], "score": scores[found[top]]}))
+        return pd.concat(out)
+
+    return best
+
+
+def sparse_dot(queries: DataFrame, docs: DataFrame, k: int, entries: int = DOT_ENTRIES, query_block: int = DOT_QUERIES) -> DataFrame:
+    """query_id, doc_id, score, rank: the ``k`` documents of the highest inner product for each query, of those that share a bucket with it.
+
+    A grid of bounded blocks: documents are dealt by the hash of their ids, queries likewise; each cell accumulates scores bucket by bucket
+    and keeps its own best, so that a frequent bucket is spread over all blocks and no table of (query, document) pairs is made. Ties (to 9
+    places) go to the smaller id.
+    """
+    docs, queries = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "bucket", "weight"), "vectors"), stored(queries.select(F.col("query_id").cast("long").alias("query_id"), "bucket", "weight"), "queries")
+    across, down = max(1, -(-docs.count() // entries)), max(1, -(-queries.select("query_id").distinct().count() // query_block))
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = docs.withColumn("x", F.pmod(F.xxhash64("doc_id"), F.lit(across)).cast("int")).withColumn("y", every(down))
+    right = queries.withColumn("y", F.pmod(F.xxhash64("query_id"), F.lit(down)).cast("int")).withColumn("x", every(across))
+    cells = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(_sparse_cell(k), "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def char_ngrams(token: Column, low: int = 3, high: int = 4) -> Column:
@@ -155,8 +235,10 @@ def char_ngrams(token: Column, low: int = 3, high: int = 4) -> Column:
 
 
 def ngram_vectors(tokens: DataFrame, size: int = 1 << 14, low: int = 3, high: int = 4) -> DataFrame:
-    grams = tokens.select("doc_id", F.explode(char_ngrams(F.col("token"), low, high)).alias("gram"))
-    tf = grams.groupBy("doc_id", hash_bucket(F.col("gram"), size).alias("bucket")).agg(F.count("*").alias("tf"))
+    """doc_id, bucket, weight of (doc_id, token): 1 + ln(1 + tf) of character n-grams. Tokens are counted before they are taken apart."""
+    counts = tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    grams = counts.select("doc_id", "n", F.explode(char_ngrams(F.col("token"), low, high)).alias("gram"))
+    tf = grams.groupBy("doc_id", hash_bucket(F.col("gram"), size).alias("bucket")).agg(F.sum("n").alias("tf"))
     return tf.select("doc_id", "bucket", (1 + F.ln(1 + F.col("tf"))).alias("weight"))
 
 

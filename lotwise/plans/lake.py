@@ -145,10 +145,27 @@ def src_log_capture(spark, d):
     return sinks.json_stream_to_parquet(e)
 
 
-@query("""SELECT doc_id, sha1('doc:' || doc_id) AS point_id, n_chars FROM documents""")
+_UUID5 = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + CAST(CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 AS INTEGER), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+
+
+def _index_load_sql() -> str:
+    from .search import _BM25, _BUCKET, _HASHED, TOK, _unit_sql
+
+    grams = f"""tg AS (SELECT doc_id AS id, token, count(*) AS c FROM t GROUP BY ALL), gw AS (SELECT token, unnest(list_concat(list_transform(range(1, length(token) + 1), lambda i: substr('^' || token || '$', i, 3)), list_transform(range(1, length(token)), lambda i: substr('^' || token || '$', i, 4)))) AS gram FROM (SELECT DISTINCT token FROM tg)),
+        gb AS (SELECT token, {_BUCKET.format("gram", 16384)} AS bucket, count(*) AS k FROM gw GROUP BY ALL), gd AS (SELECT id AS doc_id, bucket, 1 + ln(1 + sum(c * k)) AS weight FROM tg JOIN gb USING (token) GROUP BY ALL)"""
+    each = lambda n, t, i: f"{n} AS (SELECT {i} AS doc_id, count(*) AS {n}_n, sum(w) AS {n}_mass, min(bucket) AS {n}_least FROM (SELECT {i}, bucket, {'w' if n == 'dn' else 'weight'} AS w FROM {t}) GROUP BY ALL)"
+    return f"""WITH {TOK}, {_BM25}, {_unit_sql('hd', _HASHED.format('doc_id', 't', 's', 256))}, {grams}, {each('dn', 'hd', 'id')}, {each('wd', 'bd', 'doc_id')}, {each('gr', 'gd', 'doc_id')},
+        k AS (SELECT doc_id, lang, n_chars, sha1(unhex('{lake.POINT_NAMESPACE.hex}') || CAST('doc:' || doc_id AS BLOB)) AS h FROM documents)
+        SELECT {_UUID5} AS point_id, k.doc_id, lang, n_chars, coalesce(dn_n, 0) AS dense_n, near(coalesce(dn_mass, 0)) AS dense_mass, dn_least AS dense_least, coalesce(wd_n, 0) AS words_n, near(coalesce(wd_mass, 0)) AS words_mass, wd_least AS words_least, coalesce(gr_n, 0) AS grams_n, near(coalesce(gr_mass, 0)) AS grams_mass, gr_least AS grams_least
+        FROM k LEFT JOIN dn ON k.doc_id = dn.doc_id LEFT JOIN wd ON k.doc_id = wd.doc_id LEFT JOIN gr ON k.doc_id = gr.doc_id"""
+
+
+@query(_index_load_sql())
 def src_index_load(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.sha1(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).alias("point_id"), "n_chars")
-    return sinks.stored(etl.latest_per_key(docs, ["point_id"], ["doc_id"]), "index")
+    index = lake.load_index(load(spark, d, "documents").select("doc_id", "lang", "n_chars", "text"), "doc_id", "text")
+    mass = lambda v: F.aggregate(F.map_values(v), F.lit(0.0), lambda s, x: s + x)
+    told = [x for v in ("dense", "words", "grams") for x in (F.size(v).cast("long").alias(f"{v}_n"), mass(v).alias(f"{v}_mass"), F.array_min(F.map_keys(v)).alias(f"{v}_least"))]
+    return rounded(index.select("point_id", "doc_id", "lang", "n_chars", *told))
 
 
 @query(f"""{A} SELECT auction_id, price, bids, ends_at FROM l""")
@@ -346,6 +363,40 @@ for _name, _sql, _predicate in [
     query(_s)(_f)
 
 
+#: Enrichment columns of a listing, with gaps: name and expression, the same in both engines.
+_ENRICHED = {
+    "majestic_tf": "nullif(authority, 13)", "majestic_cf": "authority + 5", "majestic_backlinks": "nullif(backlinks, 50) * 10", "majestic_ref_domains": "bids * 3", "tlf_keyword_regs": "nullif(traffic, 300)",
+    "tlf_exact_match": "CASE WHEN bids % 3 = 0 THEN 1 WHEN bids % 3 = 1 THEN 0 END", "tlf_developed": "CASE WHEN bids % 2 = 0 THEN 1 ELSE 0 END", "semrush_backlinks": "backlinks * 7", "semrush_indexed_pages": "authority * 4",
+    "semrush_ref_domains": "backlinks + bids", "semrush_search_volume": "nullif(bids, 20) * 100", "semrush_authority_score": "authority * 1.5", "semrush_cpc": "price / 10000", "buy_it_now_price": "nullif(price, 0) * 2",
+    "buy_it_now": "CASE WHEN type_id = 20 THEN 1 ELSE 0 END", "gd_transfer": "CASE WHEN registrar % 5 = 0 THEN NULL ELSE registrar % 2 END", "gem": "govalue > 1000", "quality": "least(govalue / 2000, 1.0)", "age_years": "authority / 4.0",
+}
+_ENRICHED_SQL = f"{L}, x AS (SELECT *, " + ", ".join(f"{e} AS {c}" for c, e in _ENRICHED.items()) + " FROM l)"
+
+
+def _enriched(spark, d):
+    return listings(spark, d).selectExpr("*", *[f"{e} AS {c}" for c, e in _ENRICHED.items()])
+
+
+for _name, _sql, _slots in [
+    ("flt_majestic", "majestic_tf BETWEEN 5 AND 40 AND majestic_cf <= 48 AND majestic_backlinks >= 100 AND majestic_ref_domains BETWEEN 9 AND 120", {"majestic_tf_min": 5, "majestic_tf_max": 40, "majestic_cf_max": 48, "majestic_backlinks_min": 100, "majestic_ref_domains_min": 9, "majestic_ref_domains_max": 120}),
+    ("flt_semrush", "semrush_backlinks >= 70 AND semrush_indexed_pages <= 180 AND semrush_ref_domains >= 20 AND semrush_search_volume BETWEEN 300 AND 4500 AND semrush_authority_score >= 6 AND semrush_cpc <= 6.5", {"semrush_backlinks_min": 70, "semrush_indexed_pages_max": 180, "semrush_ref_domains_min": 20, "semrush_search_volume_min": 300, "semrush_search_volume_max": 4500, "semrush_authority_min": 6, "semrush_cpc_max": 6.5}),
+    ("flt_tlf", "tlf_exact_match = 1 AND tlf_developed = 0 AND tlf_keyword_regs >= 100", {"tlf_exact_match": True, "tlf_developed": False, "tlf_keyword_regs_min": 100}),
+    ("flt_scores", "quality >= 0.49 AND age_years BETWEEN 2 AND 11 AND traffic >= 100 AND govalue <= 1800 AND gem AND authority >= 8", {"quality_min": 0.49, "age_min": 2, "age_max": 11, "traffic_min": 100, "govalue_max": 1800, "gem": True, "authority_min": 8}),
+    ("flt_terms_of_sale", "buy_it_now = 1 AND buy_it_now_price BETWEEN 4000 AND 90000 AND gd_transfer = 0 AND (listed_at IS NULL OR listed_at <= TIMESTAMP '2000-01-01')", {"buy_it_now": True, "buy_it_now_min": 4000, "buy_it_now_max": 90000, "gd_transfer": False, "listed_before": datetime(2000, 1, 1)}),
+    ("flt_unknown", "majestic_tf IS NULL AND bids >= 5", {"unknown": ["majestic_tf"], "majestic_tf_min": 5, "bids_min": 5}),
+    ("flt_type_names", "type_id IN (16, 38) AND type_id <> 38 AND contains(replace(sld, '-', ''), 'redbolt')", {"types": ["Expiry auction"], "exclude_types": ["38"], "phrase": "red bolt"}),
+    ("flt_either_lifecycle", "(epoch(ends_at) - epoch(TIMESTAMP '2001-06-01') BETWEEN 0 AND 604800) OR type_id IN (20)", {"lifecycle_disjunction": True, "time_remaining_max": 604800, "lifecycle": ["buynow"]}),
+    ("flt_minima", "length(regexp_replace(lower(sld), '[^a-z]', '', 'g')) >= 8 AND length(regexp_replace(sld, '[^0-9]', '', 'g')) >= 0 AND NOT regexp_matches(sld, '(^|-)old|old(-|$)') AND NOT contains(sld, 'widget')", {"letters_min": 8, "digits_min": 0, "exclude_keywords": ["old", "widget"]}),
+]:
+
+    def _run(slots):
+        return lambda spark, d: _enriched(spark, d).where(flt.build_predicate(slots, AS_OF)).select("auction_id", "price", "tld")
+
+    _f = _run(_slots)
+    _f.__name__ = _name
+    query(f"{_ENRICHED_SQL} SELECT auction_id, price, tld FROM x WHERE {_sql}")(_f)
+
+
 @query(f"""{L}, x AS (SELECT tld, price FROM l UNION ALL SELECT '_global', price FROM l), b AS (SELECT tld, list_sort(list(price))[CAST(greatest(ceil(0.5 * count(*)), 1) AS BIGINT)] AS baseline FROM x WHERE price > 0 GROUP BY ALL)
     SELECT auction_id, price, l.tld FROM l LEFT JOIN b ON l.tld = b.tld WHERE price > 0 AND price < coalesce(baseline, (SELECT baseline FROM b WHERE tld = '_global'))""")
 def flt_below_market(spark, d):

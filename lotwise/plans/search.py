@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.operators import ranking, text, vectors
+from lotwise.operators import ranking, retrieval, text, vectors
 from lotwise.session import load
 
-from .views import query, rounded
+from .views import AUCTIONS_SQL, listings, query, rounded
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
-_TOKENS = "list_slice(list_filter(regexp_extract_all(lower({0}), '([a-z0-9]+)'), lambda w: length(w) >= 2 AND NOT list_contains(" + _STOP + ", w)), 1, 64)"
+_TOKENS = "list_filter(regexp_extract_all(lower({0}), '([a-z0-9]+)'), lambda w: length(w) >= 2 AND NOT list_contains(" + _STOP + ", w))"
 TOK = f"t AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS token FROM documents)"
 QTOK = f"q AS (SELECT item_id AS query_id, unnest({_TOKENS.format('text')}) AS token FROM benchmark)"
 _BUCKET = "CAST(CAST(('0x' || left(sha256({0}), 16)) AS UHUGEINT) % {1} AS INTEGER)"
@@ -27,9 +28,10 @@ def query_tokens(spark, d) -> DataFrame:
     return load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(text.tokenize(F.col("text"))).alias("token"))
 
 
-@query(f"SELECT doc_id, array_to_string({_TOKENS.format('text')}, ' ') AS tokens FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_slice({_TOKENS.format('text')}, 1, 64), ' ') AS first_64, len({_TOKENS.format('text')}) AS n, md5(array_to_string({_TOKENS.format('text')}, ' ')) AS tokens_md5 FROM documents")
 def txt_tokenize(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.array_join(text.tokenize(F.col("text")), " ").alias("tokens"))
+    own = load(spark, d, "documents").select("doc_id", text.tokenize(F.col("text"), cap=64).alias("first"), text.tokenize(F.col("text")).alias("all"))
+    return own.select("doc_id", F.array_join("first", " ").alias("first_64"), F.size("all").cast("long").alias("n"), F.md5(F.array_join("all", " ")).alias("tokens_md5"))
 
 
 _HOST = "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
@@ -41,21 +43,29 @@ def txt_segment(spark, d):
     return s.select("page_id", "s.sld", "s.tld", F.array_join("s.tokens", " ").alias("tokens"))
 
 
-_WORDS = ["red", "blue", "green", "small", "large", "ring", "bolt", "widget", "gear", "nut", "tool"]
+_WORDS = ["red", "blue", "small", "large", "ring", "bolt", "widget", "gear"]
+_WHOLE = 6  # parts at most, else the word stays whole
+#: What the splitter makes of names: their words have no other dictionary word inside them or over their border.
+_SPLIT_SQL = "CASE WHEN list_contains([" + ", ".join(f"'{w}'" for w in _WORDS) + "], {0}) THEN [{0}] ELSE string_split({0}, '') END"
+_PARTS_SQL = f"list_concat({_SPLIT_SQL.format('split_part(p_name, chr(32), 1)')}, {_SPLIT_SQL.format('split_part(p_name, chr(32), 2)')})"
+_JOINED_SQL = f"j AS (SELECT *, replace(p_name, ' ', '') AS joined, CASE WHEN len({_PARTS_SQL}) <= {_WHOLE} THEN {_PARTS_SQL} ELSE [replace(p_name, ' ', '')] END AS parts FROM part)"
 
 
-@query("SELECT p_partkey, replace(p_name, ' ', '') AS joined, regexp_replace(p_name, ' +', ' ', 'g') AS parts FROM part WHERE regexp_full_match(p_name, '(red|blue|green|small|large) (ring|bolt|widget|gear|nut|tool)')")
+def _joined(spark, d) -> DataFrame:
+    return load(spark, d, "part").withColumn("joined", F.replace("p_name", F.lit(" "), F.lit("")))
+
+
+@query(f"WITH {_JOINED_SQL} SELECT p_partkey, joined, array_to_string(parts, ' ') AS parts FROM j")
 def txt_compound_split(spark, d):
     split = text.compound_udf({w: 2.0 for w in _WORDS})
-    p = load(spark, d, "part").where(F.col("p_name").rlike("^(red|blue|green|small|large) (ring|bolt|widget|gear|nut|tool)$")).select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("")).alias("joined"))
-    return p.select("p_partkey", "joined", F.array_join(split("joined"), " ").alias("parts"))
+    return _joined(spark, d).select("p_partkey", "joined", F.array_join(split("joined"), " ").alias("parts"))
 
 
-@query("SELECT p_partkey, p_name AS expanded FROM part WHERE regexp_full_match(p_name, '(red|blue|green|small|large) (ring|bolt|widget|gear|nut|tool)')")
+@query(f"WITH {_JOINED_SQL}, k AS (SELECT *, {_SPLIT_SQL.format('lower(p_type)')} AS kind FROM j) SELECT p_partkey, array_to_string(list_concat(parts, CASE WHEN len(kind) <= {_WHOLE} THEN kind ELSE [lower(p_type)] END), ' ') AS expanded FROM k")
 def txt_query_compound(spark, d):
     split = text.compound_udf({w: 2.0 for w in _WORDS})
-    p = load(spark, d, "part").where(F.col("p_name").rlike("^(red|blue|green|small|large) (ring|bolt|widget|gear|nut|tool)$"))
-    words = p.select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("i", "w")).select("p_partkey", "i", split("w").alias("s"))
+    asked = _joined(spark, d).withColumn("query", F.concat_ws(" ", "joined", F.lower("p_type")))
+    words = asked.select("p_partkey", F.posexplode(F.split("query", " ")).alias("i", "w")).select("p_partkey", "i", split("w").alias("s"))
     return words.groupBy("p_partkey").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"])), " ").alias("expanded"))
 
 
@@ -84,9 +94,10 @@ def vec_bm25_doc(spark, d):
     return rounded(text.bm25_docs(doc_tokens(spark, d)))
 
 
-@query(f"WITH {QTOK}, {_BQ} SELECT query_id, bucket, near(weight) AS weight FROM bq")
+@query(f"""WITH {QTOK}, {_SYN}, tf AS (SELECT query_id, token, count(*) AS tf FROM q GROUP BY ALL), m AS (SELECT query_id, b, row_number() OVER (PARTITION BY query_id, token ORDER BY b) AS k FROM tf JOIN sy ON token = a),
+    w AS (SELECT query_id, token, 1 + ln(1 + tf) AS w FROM tf UNION ALL SELECT DISTINCT m.query_id, b, 0.5 * (1 + ln(2)) FROM m WHERE k <= 3 AND NOT EXISTS (SELECT 1 FROM tf WHERE tf.query_id = m.query_id AND tf.token = b)) SELECT query_id, {_BUCKET.format('token', 65536)} AS bucket, near(sum(w)) AS weight FROM w GROUP BY ALL""")
 def vec_bm25_query(spark, d):
-    return rounded(text.bm25_queries(query_tokens(spark, d)))
+    return rounded(text.bm25_queries(query_tokens(spark, d), synonyms=spark.createDataFrame(_PAIRS, "a string, b string")))
 
 
 _DOT = f"{TOK}, {QTOK}, {_BM25}, {_BQ}, sc AS (SELECT query_id, doc_id, sum(bq.weight * bd.weight) AS score FROM bq JOIN bd USING (bucket) GROUP BY ALL), rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 10)"
@@ -143,7 +154,7 @@ def vec_semantic_match(spark, d):
 
 
 def _labelled(spark, d) -> DataFrame:
-    return load(spark, d, "documents").select("doc_id", F.col("lang").alias("label"), text.tokenize(F.col("text"), cap=64).alias("tokens"))
+    return load(spark, d, "documents").select("doc_id", F.col("lang").alias("label"), text.tokenize(F.col("text")).alias("tokens"))
 
 
 _GRAMS = f"dt AS (SELECT doc_id, lang AS label, {_TOKENS.format('text')} AS w FROM documents), g AS (SELECT DISTINCT doc_id, label, unnest(list_concat(w, CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS gram FROM dt)"
@@ -190,9 +201,13 @@ def vec_topic_subtract(spark, d):
     return rounded(e.join(F.broadcast(topic), F.lit(True)).select("vec_id", vectors.subtract_topics(F.col("embedding"), [F.col("centroid")], 0.5)[0].alias("x1")))
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE lang = 'en' AND n_chars >= 500 ORDER BY n_chars DESC, doc_id LIMIT 50")
+_FILTERS = {"price_min": 1000, "price_max": 60000, "tlds": ["brand1", "brand2", "brand3", "brand4"], "types": [16, 20], "bids_min": 3, "name_length_max": 10, "exclude_keywords": ["rod"], "ends_after": datetime(1997, 1, 1)}
+
+
+@query(f"""WITH {AUCTIONS_SQL} SELECT auction_id, govalue, price FROM l WHERE price BETWEEN 1000 AND 60000 AND tld IN ('brand1', 'brand2', 'brand3', 'brand4') AND type_id IN (16, 20) AND bids >= 3 AND length(sld) <= 10
+    AND NOT regexp_matches(sld, '(^|-)rod|rod(-|$)') AND ends_at >= TIMESTAMP '1997-01-01' ORDER BY govalue DESC, auction_id LIMIT 100""")
 def ret_structured(spark, d):
-    return load(spark, d, "documents").where("lang = 'en' AND n_chars >= 500").orderBy(F.desc("n_chars"), "doc_id").limit(50).select("doc_id", "n_chars")
+    return retrieval.structured(listings(spark, d, latest=True), _FILTERS, "govalue", "auction_id", 100).select("auction_id", "govalue", "price")
 
 
 def _lists(spark, d) -> DataFrame:
@@ -223,10 +238,66 @@ def rnk_slice_max(spark, d):
 
 
 @query(f"""WITH {_LISTS}, z AS (SELECT *, avg(score) OVER p - 3 * stddev_pop(score) OVER p AS lo, avg(score) OVER p + 3 * stddev_pop(score) OVER p AS hi FROM li WINDOW p AS (PARTITION BY query_id, source)) SELECT query_id, item, near(sum(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0.5 END)) AS score FROM z GROUP BY ALL""")
-def ret_hybrid(spark, d):
+def rnk_dbsf(spark, d):
     return rounded(ranking.dbsf(_lists(spark, d)))
 
 
+def _top(table: str, n: int) -> str:
+    return f"(SELECT query_id, doc_id, round(score, 9) AS score FROM {table} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= {n})"
+
+
+_HASHED = "SELECT {0} AS id, CAST(CAST(('0x' || left(sha256('{2}|' || token), 8)) AS BIGINT) % {3} AS INTEGER) AS bucket, count(*) AS c FROM {1} GROUP BY ALL"
+
+
+def _dot_sql(name: str, left: str, right: str) -> str:
+    return f"{name} AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.w * d.w) AS score FROM {left} q JOIN {right} d USING (bucket) GROUP BY ALL)"
+
+
+def _unit_sql(name: str, rows: str) -> str:
+    return f"{name}c AS ({rows}), {name}n AS (SELECT id, sqrt(sum(c * c)) AS n FROM {name}c GROUP BY ALL), {name} AS (SELECT id, bucket, c / n AS w FROM {name}c JOIN {name}n USING (id))"
+
+
+#: Documents that pass the filter; legs on words, hashed words (the dense leg), character n-grams; a second hashing reranks.
+_LEGS = f"""f AS (SELECT doc_id, text FROM documents WHERE lang = 'en' AND n_chars >= 200), {TOK.replace('FROM documents', 'FROM f')}, {QTOK}, {_BM25}, {_BQ}, ws AS (SELECT query_id, doc_id, sum(bq.weight * bd.weight) AS score FROM bq JOIN bd USING (bucket) GROUP BY ALL),
+    {_unit_sql('hd', _HASHED.format('doc_id', 't', 's', 256))}, {_unit_sql('hq', _HASHED.format('query_id', 'q', 's', 256))}, {_dot_sql('ds', 'hq', 'hd')}, {_unit_sql('rd', _HASHED.format('doc_id', 't', 'r', 1024))}, {_unit_sql('rq', _HASHED.format('query_id', 'q', 'r', 1024))}, {_dot_sql('rs', 'rq', 'rd')},
+    tg AS (SELECT doc_id AS id, token, count(*) AS c FROM t GROUP BY ALL), qg AS (SELECT query_id AS id, token, count(*) AS c FROM q GROUP BY ALL), wd AS (SELECT DISTINCT token FROM (SELECT token FROM tg UNION ALL SELECT token FROM qg)),
+    gw AS (SELECT token, unnest(list_concat(list_transform(range(1, length(token) + 1), lambda i: substr('^' || token || '$', i, 3)), list_transform(range(1, length(token)), lambda i: substr('^' || token || '$', i, 4)))) AS gram FROM wd), gb AS (SELECT token, {_BUCKET.format("gram", 16384)} AS bucket, count(*) AS k FROM gw GROUP BY ALL),
+    gd AS (SELECT id, bucket, 1 + ln(1 + sum(c * k)) AS w FROM tg JOIN gb USING (token) GROUP BY ALL), gq AS (SELECT id, bucket, 1 + ln(1 + sum(c * k)) AS w FROM qg JOIN gb USING (token) GROUP BY ALL), {_dot_sql('gs', 'gq', 'gd')},
+    li AS (SELECT 'words' AS source, * FROM {_top('ws', 200)} UNION ALL SELECT 'dense', * FROM {_top('ds', 200)} UNION ALL SELECT 'grams', * FROM {_top('gs', 200)})"""
+_POOL = """, pl AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS r FROM li), fu AS (SELECT query_id, doc_id, sum(1.0 / (60 + r)) AS score FROM pl GROUP BY ALL)"""
+
+
+def _legs(spark, d) -> dict[str, DataFrame]:
+    docs = load(spark, d, "documents").where("lang = 'en' AND n_chars >= 200").select("doc_id", F.explode(text.tokenize(F.col("text"))).alias("token"))
+    asked = query_tokens(spark, d)
+    as_query = lambda df: df.withColumnRenamed("doc_id", "query_id")
+    named = asked.withColumnRenamed("query_id", "doc_id")
+    dot = lambda q, x, n: text.sparse_dot(q, x, n).select("query_id", F.col("doc_id").alias("item"), "score")
+    return {
+        "words": dot(text.bm25_queries(asked), text.bm25_docs(docs), 200),
+        "dense": dot(as_query(text.hashed_text(named)), text.hashed_text(docs), 200),
+        "grams": dot(as_query(text.ngram_vectors(named)), text.ngram_vectors(docs), 200),
+        "again": dot(as_query(text.hashed_text(named, 1024, "r")), text.hashed_text(docs, 1024, "r"), 1 << 30),
+    }
+
+
+@query(f"""WITH {_LEGS}{_POOL}, hd2 AS (SELECT * FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 400), rr AS (SELECT h.query_id, h.doc_id, rs.score FROM hd2 h JOIN rs ON h.query_id = rs.query_id AND h.doc_id = rs.doc_id WHERE round(rs.score, 9) >= 0.05),
+    kp AS (SELECT DISTINCT doc_id FROM t WHERE starts_with(token, 'th')) SELECT query_id, doc_id AS item, near(score) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM rr JOIN kp USING (doc_id) QUALIFY rank <= 20""")
+def ret_hybrid(spark, d):
+    legs = _legs(spark, d)
+    again = legs.pop("again")
+    keep = doc_tokens(spark, d).where(F.col("token").startswith("th")).select(F.col("doc_id").alias("item"))
+    return rounded(retrieval.hybrid(legs, 20, prefetch=50, rerank=again, pool=100, least=0.05, keep=keep, oversample=4))
+
+
+@query(f"""WITH {_LEGS}, z AS (SELECT *, avg(score) OVER p - 3 * stddev_pop(score) OVER p AS lo, avg(score) OVER p + 3 * stddev_pop(score) OVER p AS hi FROM li WINDOW p AS (PARTITION BY query_id, source)), fu AS (SELECT query_id, doc_id, sum(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0.5 END) AS score FROM z GROUP BY ALL)
+    SELECT query_id, doc_id AS item, near(score) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM fu QUALIFY rank <= 20""")
+def ret_hybrid_dbsf(spark, d):
+    legs = _legs(spark, d)
+    legs.pop("again")
+    return rounded(retrieval.hybrid(legs, 20, prefetch=200, fusion="dbsf"))
+
+
 @query("""WITH f AS (SELECT doc_id, n_chars FROM documents WHERE lang = 'en'), a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM f QUALIFY r <= 50), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS r FROM f QUALIFY r <= 50)
     SELECT doc_id AS item, round(sum(1 / (60 + r)), 8) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL""")
 def ret_filter_only_rails(spark, d):
@@ -240,12 +311,10 @@ def ret_filter_only_rails(spark, d):
 @query("""WITH q AS (SELECT item_id AS query_id, length(text) AS want FROM benchmark), s AS (SELECT query_id, doc_id, CASE WHEN abs(n_chars - want) <= 5 AND lang = 'de' THEN 0 WHEN abs(n_chars - want) <= 50 AND lang = 'de' THEN 1 WHEN abs(n_chars - want) <= 50 THEN 2 ELSE 3 END AS step FROM q JOIN documents ON abs(n_chars - want) <= 500),
     c AS (SELECT query_id, step, sum(n) OVER (PARTITION BY query_id ORDER BY step) AS n FROM (SELECT query_id, step, count(*) AS n FROM s GROUP BY ALL)) SELECT query_id, CAST(min(step) AS INTEGER) AS step_no, CAST(min(n) AS BIGINT) AS found FROM c WHERE n >= 3 GROUP BY ALL""")
 def ret_relax_ladder(spark, d):
-    from lotwise.operators.retrieval import relax_ladder
-
     q = load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.length("text").alias("want"))
     docs = load(spark, d, "documents").select("doc_id", "n_chars", "lang")
     off = F.abs(F.col("n_chars") - F.col("want"))
-    return relax_ladder(q, docs, "want", "n_chars", 500, [(off <= 5) & (F.col("lang") == "de"), (off <= 50) & (F.col("lang") == "de"), off <= 50, F.lit(True)], least=3)
+    return retrieval.relax_ladder(q, docs, "want", "n_chars", 500, [(off <= 5) & (F.col("lang") == "de"), (off <= 50) & (F.col("lang") == "de"), off <= 50, F.lit(True)], least=3)
 
 
 @query()
@@ -255,10 +324,14 @@ def rnk_mmr(spark, d):
     return ranking.mmr(top.join(tokens, "doc_id").select("query_id", F.col("doc_id").alias("item"), "rank", "tokens"))
 
 
-@query("""WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS i, ['red', 'boltt'] AS q FROM part), b AS (SELECT p_partkey, list_transform(q, lambda x: list_max(list_transform(i, lambda y: CASE WHEN contains(y, x) OR contains(x, y) THEN 1.0 ELSE 1 - levenshtein(x, y) / greatest(length(x), length(y), 1) END))) AS b FROM p)
-    SELECT p_partkey, near(list_max(b) * len(list_filter(b, lambda z: z >= 0.7)) / 2) AS coverage FROM b""")
+@query("""WITH p AS (SELECT p_partkey, p_retailprice / 1000 AS score, string_split(p_name, ' ') AS i, [['rde', 'boltt'], ['samll', 'gera'], ['hot']][1 + p_size % 3] AS q FROM part),
+    b AS (SELECT *, list_transform(q, lambda x: list_max(list_transform(i, lambda y: CASE WHEN contains(y, x) OR contains(x, y) THEN 1.0 WHEN damerau_levenshtein(x, y) <= 2 THEN 1 - damerau_levenshtein(x, y) / greatest(length(x), length(y)) ELSE 0 END))) AS b FROM p),
+    c AS (SELECT p_partkey, score, coalesce(list_max(list_filter(b, lambda z: z >= 0.6)), 0) * len(list_filter(b, lambda z: z >= 0.6)) / len(q) AS coverage, p_partkey % 7 AS query_id FROM b)
+    SELECT query_id, p_partkey AS item, near(coverage) AS coverage, near(score + 0.5 * coverage) AS reranked, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score + 0.5 * coverage, 9) DESC, p_partkey) AS INTEGER) AS rank FROM c""")
 def rnk_fuzzy(spark, d):
-    return rounded(load(spark, d, "part").select("p_partkey", ranking.fuzzy(F.array(F.lit("red"), F.lit("boltt")), F.split("p_name", " ")).alias("coverage")))
+    asked = F.element_at(F.array(*[F.array(*map(F.lit, q)) for q in (["rde", "boltt"], ["samll", "gera"], ["hot"])]), (F.col("p_size") % 3 + 1).cast("int"))
+    lists = load(spark, d, "part").select((F.col("p_partkey") % 7).alias("query_id"), F.col("p_partkey").alias("item"), (F.col("p_retailprice") / 1000).alias("score"), asked.alias("q"), F.split("p_name", " ").alias("t"))
+    return rounded(ranking.fuzzy(lists, F.col("q"), F.col("t")).select("query_id", "item", "coverage", "reranked", "rank"))
 
 
 @query("""WITH p AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1 THEN replace(p_name, ' ', '') || p_size WHEN 2 THEN split_part(p_name, ' ', 2) ELSE '' END AS s FROM part), l AS (SELECT p_partkey, lower(s) AS s, regexp_replace(lower(s), '[^a-z]', '', 'g') AS t FROM p),
@@ -312,17 +385,19 @@ def udf_damerau_levenshtein(spark, d):
     return load(spark, d, "part").select("p_partkey", text.damerau_udf()("p_name", F.lit("red bolt")).alias("distance"))
 
 
-@query("SELECT p_partkey, regexp_replace(p_name, ' +', '|', 'g') AS parts FROM part WHERE regexp_full_match(p_name, '(red|blue|green|small|large) (ring|bolt|widget|gear|nut|tool)')")
+@query(f"WITH {_JOINED_SQL} SELECT p_partkey, array_to_string(parts, '|') AS parts FROM j")
 def udf_compound_split(spark, d):
     split = text.compound_udf({w: 2.0 for w in _WORDS})
-    p = load(spark, d, "part").where(F.col("p_name").rlike("^(red|blue|green|small|large) (ring|bolt|widget|gear|nut|tool)$"))
-    return p.select("p_partkey", F.array_join(split(F.replace("p_name", F.lit(" "), F.lit(""))), "|").alias("parts"))
+    return _joined(spark, d).select("p_partkey", F.array_join(split("joined"), "|").alias("parts"))
 
 
-@query("SELECT page_id, string_split(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '.')[-2] AS label FROM pages")
+@query("""WITH w AS (SELECT doc_id, replace(lower(regexp_extract(text, '([\\p{L}]+)', 1)), 'ß', 'ss') AS w FROM documents WHERE text <> ''), x AS (SELECT * FROM w WHERE w <> '')
+    SELECT doc_id, w AS sld, CASE WHEN regexp_full_match(w, '[\\x00-\\x7F]*') THEN w ELSE strip_accents(w) END AS tokens FROM x""")
 def udf_idn_decode(spark, d):
-    host = text.segment(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1))["sld"]
-    return load(spark, d, "pages").select("page_id", text.normalise_udf()(host).alias("label"))
+    words = load(spark, d, "documents").select("doc_id", F.replace(F.lower(F.regexp_extract("text", r"(\p{L}+)", 1)), F.lit("ß"), F.lit("ss")).alias("w")).where("w <> ''")
+    host = F.concat(F.reflect(F.lit("java.net.IDN"), F.lit("toASCII"), F.col("w")), F.lit(".com"))
+    s = words.select("doc_id", text.segment(host).alias("s"))
+    return s.select("doc_id", "s.sld", F.array_join("s.tokens", " ").alias("tokens"))
 
 
 @query()
@@ -339,7 +414,7 @@ def udaf_quantile_exact(spark, d):
 
 @query("SELECT doc_id, md5(strip_accents(text)) AS plain_md5 FROM documents")
 def udf_nfkc(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.md5(text.normalise_udf()("text")).alias("plain_md5"))
+    return load(spark, d, "documents").select("doc_id", F.md5(text.normalise(F.col("text"))).alias("plain_md5"))
 
 
 @query("""WITH m AS (SELECT p_partkey, '^' || p_name || '$' AS m FROM part) SELECT p_partkey, CAST((length(m) - 2) + (length(m) - 3) AS INTEGER) AS grams FROM m""")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.operators import etl
@@ -64,3 +65,35 @@ def pushed_down(df: DataFrame, slots: dict) -> DataFrame:
             c = F.col(col)
             out.append(c.isin(*value) if kind == "in" else c >= value if kind == "gte" else c <= value)
     return df.where(reduce(lambda a, b: a & b, out, F.lit(True)))
+
+
+#: Names points of the index: a UUID of version 5 from this namespace and the document's key.
+POINT_NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "lotwise:index")
+
+
+def point_id(key: Column) -> Column:
+    """UUID of version 5: SHA-1 of the namespace's bytes and the name, with version and variant set."""
+    h = F.sha1(F.concat(F.unhex(F.lit(POINT_NAMESPACE.hex)), F.concat(F.lit("doc:"), key.cast("string")).cast("binary")))
+    part = lambda at, n: F.substring(h, at, n)
+    variant = F.substring(F.lit("89ab"), (F.conv(part(17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
+def load_index(docs: DataFrame, key: str, text: str, index: DataFrame | None = None) -> DataFrame:
+    """Documents encoded three ways (``dense`` hashed words of length one, ``words`` BM25, ``grams`` of characters; maps of bucket to
+    weight), one point for each key, merged into ``index`` by point id: new points replace old ones, and loading twice changes nothing. Texts without tokens have empty maps.
+
+    BM25 needs corpus figures, so a merge encodes by those of ``docs``. A document's vector is one cell, bounded by its buckets.
+    """
+    from lotwise.operators import text as t
+    from lotwise.sources.sinks import stored
+
+    tokens = docs.select(F.col(key).alias("doc_id"), F.explode(t.tokenize(F.col(text))).alias("token"))
+    out = etl.latest_per_key(docs.drop(text), [key], [c for c in docs.columns if c not in (key, text)])
+    for name, vectors in (("dense", t.hashed_text(tokens)), ("words", t.bm25_docs(tokens)), ("grams", t.ngram_vectors(tokens))):
+        packed = vectors.groupBy(F.col("doc_id").alias(key)).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "weight")))).alias(name))
+        out = out.join(packed, key, "left").withColumn(name, F.coalesce(name, F.create_map().cast("map<int,double>")))
+    out = out.select(point_id(F.col(key)).alias("point_id"), "*")
+    if index is not None:
+        out = index.join(out.select("point_id"), "point_id", "left_anti").unionByName(out)
+    return stored(out, "index")

@@ -1,11 +1,13 @@
 """Sinks: tables, JSON rings and artifacts, and a JSON stream captured to Parquet.
 
-Without a path they write below the folder that the session names in spark.checkpoint.dir, or a temporary one of a single machine.
+Without a path they write below the folder that the session names in spark.checkpoint.dir. Only a session on one machine may do without
+it: it gets a temporary one.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,6 +19,8 @@ from pyspark.sql import types as T
 
 def folder(spark, name: str) -> str:
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -27,13 +31,15 @@ def stored(df: DataFrame, name: str, path: str | None = None, partition_by: list
     """Written as Parquet and read back."""
     path = path or folder(df.sparkSession, name)
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def json_ring(held: DataFrame, new: DataFrame, ts: str, newest: int, schema: str, path: str | None = None) -> DataFrame:
-    """The newest rows of both, as JSON lines."""
+    """The newest rows of both, as JSON lines. ``held`` may be what ``path`` holds now: the rows are settled before it is overwritten."""
     path = path or folder(held.sparkSession, "ring")
-    held.unionByName(new).orderBy(F.desc(ts)).limit(newest).write.mode("overwrite").json(path)
+    rows = held.unionByName(new)
+    kept = rows.orderBy(F.desc(ts), *[F.col(c) for c in rows.columns if c != ts]).limit(newest)
+    stored(kept, "ring").write.mode("overwrite").json(path)
     return held.sparkSession.read.schema(schema).json(path)
 
 
