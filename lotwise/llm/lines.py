@@ -14,8 +14,6 @@ a task holds the templates of one part of a leaf at a time. Which lines go is jo
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,64 +31,106 @@ SALTS = 16
 #: Leaves that documents share are broadcast up to this number (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_LEAVES = 1_000_000
 
-_DIGIT = re.compile("[0-9]")
-FIELD = "<*>"
-#: Bytes of a variable field: one that was masked, and one that merging made.
+#: Bytes of a variable field: one that was masked, and one that merging made. Others are 1 to 254, by the token.
 MASKED, MERGED = 0, 255
+#: Bytes of text that are worked on at a time.
+SLICE = 1 << 20
+_FIELD, _STEP, _PLACE = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
-class _Bytes(dict):
-    """One byte for each constant token."""
-
-    def __missing__(self, token: str) -> int:
-        from xxhash import xxh32_intdigest
-
-        if len(self) > 1_000_000:
-            self.clear()
-        self[token] = byte = MASKED if token == FIELD else 1 + xxh32_intdigest(token) % 254
-        return byte
+def _mix(x):
+    """A bijection of 64 bits (arrays of uint64)."""
+    import numpy as np
 
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-_bytes = _Bytes()
 
+def tokens_of(lines: list[str]) -> tuple:
+    """Of each token of all lines: a hash of its UTF-8 bytes b0, b1, ... (the mix of the sum of (b + 1) * STEP**k), whether it has a
+    digit, its line and its place there. All tokens at once."""
+    import numpy as np
 
-def leaves(line: str) -> tuple[list[int], bytes]:
-    """Hashes of the leaves that a line falls to (unsigned; none if it has one token or none), and its tokens as bytes (none for a
-    template of exact text)."""
-    from xxhash import xxh64_intdigest
+    data = np.frombuffer("\n".join(" ".join(line.split()) for line in lines).encode(), "uint8")
+    gap = (data == 32) | (data == 10)
+    starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]]) if len(data) else np.zeros(0, "int64")
+    if not len(starts):
+        return (np.zeros(0, "uint64"), np.zeros(0, "bool"), starts, starts)
+    sizes = np.diff(np.r_[starts, len(data)])
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, sizes)
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(int(place.max()), _STEP, "uint64")], dtype="uint64")
+    worth = np.where(gap[starts[0] :], np.uint64(0), (data[starts[0] :].astype("uint64") + np.uint64(1)) * powers[place])
+    at = starts - starts[0]
+    hashes = _mix(np.add.reduceat(worth, at))
+    digit = np.add.reduceat(((data >= 48) & (data <= 57))[starts[0] :], at, dtype="int64") > 0
+    line = np.searchsorted(np.flatnonzero(data == 10), starts)
+    index = np.arange(len(starts)) - np.searchsorted(line, line)
+    return hashes, digit, line, index
+
+
+def leaves(lines: list[str]) -> tuple[list[int], list[int], list[bytes]]:
+    """(line number, leaf, tokens as bytes) of each leaf that each line falls to; no bytes for a template of exact text."""
+    import numpy as np
 
-    tokens = line.split()
-    n = len(tokens)
-    if n < 2:
-        return [], b""
-    if n >= MIN_TOKENS:
-        fields = 0
-        shown = tokens
-        if _DIGIT.search(line):
-            shown = [FIELD if _DIGIT.search(t) else t for t in tokens]
-            fields = shown.count(FIELD)
-        if n - fields >= MIN_CONSTANT:
-            top = f"{n}\n{shown[0]}\n"
-            parts = (shown[: n // 3], shown[n // 3 : 2 * n // 3], shown[2 * n // 3 :]) if n >= THIRDS else (shown[::2], shown[1::2])
-            found = [xxh64_intdigest(f"{top}{j}\n{' '.join(part)}") for j, part in enumerate(parts) if len(part) - (part.count(FIELD) if fields else 0) >= ANCHORED]
-            return found or [xxh64_intdigest(f"{top}all\n{' '.join(shown)}")], bytes(map(_bytes.__getitem__, shown))
-    return [xxh64_intdigest(f"={n}\n{' '.join(tokens)}")], b""
+    if not lines:
+        return [], [], []
+    hashes, digit, line, index = tokens_of(lines)
+    n = np.bincount(line, minlength=len(lines))
+    begin = np.cumsum(n) - n
+    constant = n - np.bincount(line, weights=digit, minlength=len(lines)).astype("int64")
+    fields = (n >= MIN_TOKENS) & (constant >= MIN_CONSTANT)
+    plain = (n >= 2) & ~fields
+    size = n[line]
+    own = fields[line]
+    shown = np.where(digit & own, np.uint64(_FIELD), hashes)
+    placed = _mix(shown ^ ((index.astype("uint64") + np.uint64(1)) * np.uint64(_PLACE)))
+    part = np.where(size >= THIRDS, (index >= size // 3).astype("int64") + (index >= 2 * size // 3), index % 2)
+    sums, told = np.zeros(3 * len(lines), "uint64"), np.bincount(3 * line + part, weights=~digit, minlength=3 * len(lines))
+    np.add.at(sums, 3 * line + part, placed)
+    sums = sums.reshape(-1, 3)
+    lead = np.zeros(len(lines), "uint64")
+    lead[n > 0] = shown[begin[n > 0]]
+    top = _mix(lead ^ _mix(n.astype("uint64")))
+    found = _mix(sums + np.arange(1, 4, dtype="uint64") * np.uint64(_STEP)) ^ top[:, None]
+    anchored = (told.reshape(-1, 3) >= ANCHORED) & fields[:, None]
+    whole = _mix(sums.sum(axis=1) + np.where(fields, np.uint64(7), np.uint64(11))) ^ top
+    alone = plain | fields & ~anchored.any(axis=1)
+    rows, cols = np.nonzero(np.c_[anchored, alone])
+    leaf = np.c_[found, whole][rows, cols]
+    sig = np.where(digit, MASKED, (hashes >> np.uint64(40)) % np.uint64(254) + np.uint64(1)).astype("uint8").tobytes()
+    ends, from_ = (begin + n).tolist(), begin.tolist()
+    told = [sig[from_[i] : ends[i]] if f else b"" for i, f in enumerate(fields.tolist())]
+    rows = rows.tolist()
+    return rows, leaf.view("int64").tolist(), [told[i] for i in rows]
 
 
 def _tell(batch) -> dict:
+    """Line numbers, leaves and bytes of each text's lines, in slices of bounded size."""
     import numpy as np
 
-    line, leaf, sig, per = [], [], [], []
-    for text in batch.column("text").to_pylist():
-        before = len(leaf)
-        for i, said in enumerate(text.split("\n") if text else ()):
-            found, tokens = leaves(said)
-            leaf += found
-            line += [i] * len(found)
-            sig += [tokens] * len(found)
-        per.append(len(leaf) - before)
-    rows = np.repeat(np.arange(len(per)), per)
-    return {"doc": batch.column("doc").take(rows), "row": batch.column("row").take(rows), "line": line, "leaf": np.array(leaf, "uint64").view("int64"), "sig": sig}
+    out = {"text": [], "line": [], "leaf": [], "sig": []}
+    lines, owner, number, size = [], [], [], 0
+
+    def flush() -> None:
+        rows, leaf, sig = leaves(lines)
+        out["text"].extend([owner[i] for i in rows])
+        out["line"].extend([number[i] for i in rows])
+        out["leaf"].extend(leaf)
+        out["sig"].extend(sig)
+
+    for k, text in enumerate(batch.column("text").to_pylist()):
+        if text:
+            said = text.split("\n")
+            lines += said
+            owner += [k] * len(said)
+            number += range(len(said))
+            size += len(text)
+        if size > SLICE:
+            flush()
+            lines, owner, number, size = [], [], [], 0
+    flush()
+    rows = np.array(out.pop("text"), "int64")
+    return out | {"doc": batch.column("doc").take(rows), "row": batch.column("row").take(rows)}
 
 
 def _shared(told: DataFrame) -> DataFrame:

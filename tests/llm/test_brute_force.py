@@ -415,7 +415,12 @@ def test_top_k_counts_every_row(spark):
 
 def line_brute(texts):
     """The template tree by its definition, over whole tokens, one leaf after another."""
-    from xxhash import xxh32_intdigest, xxh64_intdigest
+    from xxhash import xxh64_intdigest
+
+    def byte(w, full=(1 << 64) - 1):
+        h = sum((b + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, b in enumerate(w.encode())) & full
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & full
+        return 1 + ((h ^ h >> 32) >> 40) % 254
 
     seen = {}  # leaf: {tokens: first document}; and where lines of a leaf are
     where = {}
@@ -436,7 +441,7 @@ def line_brute(texts):
                 seen.setdefault(leaf, {}).setdefault(own, d)
                 where.setdefault((leaf, own), set()).add((d, i))
     drop = set()
-    code = lambda own: bytes(0 if w == "*" else 1 + xxh32_intdigest(w) % 254 for w in own)
+    code = lambda own: bytes(0 if w == "*" else byte(w) for w in own)
 
     def merge(lines):
         """(form, first) in order to the template that each joins."""
@@ -470,7 +475,7 @@ def line_brute(texts):
                     part_of[own] = to[key]
                 for t in {id(t): t for t in to.values()}.values():
                     heads.append(t)
-            shown = lambda t: bytes(255 if w == "?" else 0 if w == "*" else 1 + xxh32_intdigest(w) % 254 for w in t["form"])
+            shown = lambda t: bytes(255 if w == "?" else 0 if w == "*" else byte(w) for w in t["form"])
             frozen = {id(t): (t["first"], shown(t), t["form"]) for t in heads}
             to = merge(frozen.values())
             for own in lines:
