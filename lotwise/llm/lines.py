@@ -7,8 +7,8 @@ that leaves enough constant tokens, and the tokens that differ become variable f
 hardly any constant token have their exact text as their template. A template that lines of two documents or more have recurs; its
 lines stay in the first of these documents (by doc_id) and are dropped in the others.
 
-Texts are read once, in one narrow pass, which gives each line's leaves and one byte for each of its tokens. What leaves that two
-documents share hold is counted before it is shuffled; a leaf is merged in salted parts first, whose templates are then merged, and
+A narrow pass over the texts gives each line's leaves and one byte for each of its tokens. What leaves that two documents share hold
+is counted before it is shuffled; a leaf is merged in salted parts first, whose templates are then merged, and
 a task holds the templates of one part of a leaf at a time. Which lines go is joined to the documents by row and line number.
 """
 
@@ -134,7 +134,7 @@ def _tell(batch) -> dict:
 
 
 def _shared(told: DataFrame) -> DataFrame:
-    """Rows of the leaves that two documents or more fall to."""
+    """Rows of the leaves that two documents or more fall to. Texts are parsed for the count and again for the rows: that costs less than to keep all rows."""
     ends = told.groupBy("leaf").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     both = written(ends.where("first <> last").select("leaf"))
     return written(told.join(F.broadcast(both) if both.count() <= BROADCAST_LEAVES else both, "leaf", "left_semi"))
@@ -224,7 +224,7 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     key = row_key(F.col("doc_id"), F.col("text"))
     told = map_arrow(docs.select(order.alias("doc"), key.alias("row"), "text"), _tell, "doc long, row struct<a:long,b:long>, line int, leaf long, sig binary")
-    told = _shared(written(told))
+    told = _shared(told)
     first, _ = templates(told)
     gone = told.join(first, ["leaf", "sig"]).where(F.col("first") != F.col("doc")).groupBy("row").agg(F.collect_set("line").alias("gone"))
     at, own, lines = (unused(x, docs.columns) for x in ("row", "gone", "lines"))
