@@ -186,9 +186,11 @@ def build_predicate(filters: dict, as_of: datetime | None = None, sld: str = "sl
 
 def below_market(listings: DataFrame, baselines: DataFrame, price: str = "price", tld: str = "tld") -> DataFrame:
     """Rows priced under their TLD's baseline, else under the one named ``_global``; without baselines all rows; unpriced rows fail."""
+    from lotwise.operators.sizes import small
+
     base = baselines.select(F.col("tld").alias("__tld"), F.col("baseline").alias("__b"))
     overall = baselines.where("tld = '_global'").agg(F.max("baseline").alias("__g"), F.lit(True).alias("__x"))
-    joined = listings.join(F.broadcast(base), F.col(tld) == F.col("__tld"), "left").join(F.broadcast(overall), F.lit(True), "left")
+    joined = listings.join(small(base), F.col(tld) == F.col("__tld"), "left").join(F.broadcast(overall), F.lit(True), "left")
     known = F.coalesce("__b", "__g")
     return joined.where(known.isNull() | ((F.col(price) > 0) & (F.col(price) < known))).select(*listings.columns)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,18 +48,53 @@ def followups(df: DataFrame, session: str, ts: str, first: Column, then: Column,
     return a.agg(F.count("*").alias("n")).join(met, F.lit(True)).withColumn("value", F.when(F.col("n") > 0, F.col("followed") / F.col("n")))
 
 
-def miss_storm(df: DataFrame, ts: str, hits: str, misses: str, seconds: int = 300, floor: float = 0.5, by: list[str] = ()) -> DataFrame:
-    """Rolling hit rate from cumulative counters (a fall is a reset: no delta), breach state and its edges."""
-    order = Window.partitionBy(*by).orderBy(ts)
-    delta = lambda c: F.greatest(F.coalesce(F.col(c) - F.lag(c).over(order), F.lit(0)), F.lit(0))
-    rows = df.withColumn("__h", delta(hits)).withColumn("__m", delta(misses)).withColumn("__t", F.unix_timestamp(ts))
-    span = Window.partitionBy(*by).orderBy("__t").rangeBetween(-seconds, 0)
-    rows = rows.withColumn("__hs", F.sum("__h").over(span)).withColumn("__ms", F.sum("__m").over(span))
+#: Seconds of a slice of time in running sums and rolling windows: a task holds one slice.
+SLICE_S = 3600
+
+
+def _before(slices: DataFrame, by: list[str], columns: dict[str, Column]) -> DataFrame:
+    """Per slice what ``columns`` (windows over earlier slices) say. One row per slice, so the window is short."""
+    earlier = Window.partitionBy(*by).orderBy("__slice")
+    return slices.select(*by, "__slice", *[c.over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias(n) for n, c in columns.items()])
+
+
+def running_sums(df: DataFrame, ts: str, columns: list[str], by: list[str] = (), slice_s: int = SLICE_S) -> DataFrame:
+    """``columns`` as sums of all rows up to each row in order of time, without one sorted partition: sums within slices of time and what the slices
+    before add up to."""
+    by = list(by)
+    rows = df.withColumn("__slice", F.floor(F.unix_timestamp(ts) / slice_s))
+    totals = rows.groupBy(*by, "__slice").agg(*[F.sum(c).alias(f"__t_{c}") for c in columns])
+    before = _before(totals, by, {f"__b_{c}": F.sum(f"__t_{c}") for c in columns})
+    upto = Window.partitionBy(*by, "__slice").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(before, [*by, "__slice"])
+    return rows.withColumns({c: F.coalesce(F.col(f"__b_{c}"), F.lit(0)) + F.sum(c).over(upto) for c in columns}).drop("__slice", *[f"__b_{c}" for c in columns])
+
+
+def miss_storm(df: DataFrame, ts: str, hits: str, misses: str, seconds: int = 300, floor: float = 0.5, by: list[str] = (), slice_s: int = SLICE_S) -> DataFrame:
+    """Rolling hit rate from cumulative counters (a fall is a reset: no delta), breach state and its edges.
+
+    Time is cut into slices. A slice gets the last row before it from the slices' own last rows, and the rows of the ``seconds`` before it as
+    copies, so no task orders the whole table.
+    """
+    by, slice_s = list(by), max(slice_s, seconds)
+    own, place = Window.partitionBy(*by, "__slice"), F.floor(F.unix_timestamp(ts) / slice_s)
+    rows = df.withColumn("__slice", place)
+    ends = rows.groupBy(*by, "__slice").agg(F.max_by(hits, ts).alias("__h"), F.max_by(misses, ts).alias("__m"))
+    before = _before(ends, by, {"__bh": F.last("__h"), "__bm": F.last("__m")})
+    rows = rows.join(before, [*by, "__slice"])
+    delta = lambda c, b: F.greatest(F.coalesce(F.col(c) - F.coalesce(F.lag(c).over(own.orderBy(ts)), F.col(b)), F.lit(0)), F.lit(0))
+    rows = rows.withColumn("__dh", delta(hits, "__bh")).withColumn("__dm", delta(misses, "__bm")).withColumn("__t", F.unix_timestamp(ts)).drop("__bh", "__bm")
+    into = F.when(F.col("__t") >= (F.col("__slice") + 1) * slice_s - seconds, F.array("__slice", F.col("__slice") + 1)).otherwise(F.array("__slice"))
+    rows = rows.withColumn("__home", F.col("__slice")).withColumn("__slice", F.explode(into))
+    span = own.orderBy("__t").rangeBetween(-seconds, 0)
+    rows = rows.withColumn("__hs", F.sum("__dh").over(span)).withColumn("__ms", F.sum("__dm").over(span)).where(F.col("__home") == F.col("__slice"))
     total = F.col("__hs") + F.col("__ms")
     rows = rows.withColumn("hit_rate", F.when(total > 0, F.col("__hs") / total)).withColumn("breached", F.coalesce(F.col("hit_rate") < floor, F.lit(False)))
-    before = F.coalesce(F.lag("breached").over(order), F.lit(False))
-    edge = F.when(F.col("breached") & ~before, "start").when(~F.col("breached") & before, "end")
-    return rows.withColumn("edge", edge).drop("__h", "__m", "__t", "__hs", "__ms")
+    last = _before(rows.groupBy(*by, "__slice").agg(F.max_by("breached", ts).alias("__x")), by, {"__was": F.last("__x")})
+    rows = rows.join(last, [*by, "__slice"])
+    was = F.coalesce(F.lag("breached").over(own.orderBy(ts)), F.col("__was"), F.lit(False))
+    edge = F.when(F.col("breached") & ~was, "start").when(~F.col("breached") & was, "end")
+    return rows.withColumn("edge", edge).select(*df.columns, "hit_rate", "breached", "edge")
 
 
 def cost_buckets(df: DataFrame, ts: str, cost: str, grain: str, cap: float) -> DataFrame:
@@ -101,10 +138,23 @@ def holdout(key: Column, stratum: Column, share: float, seed: str = "0") -> Colu
     return h / 0xFFFFFFFF < share
 
 
-def set_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
+def set_agreement(df: DataFrame, a: str, b: str, drops_a: str | None = None, drops_b: str | None = None) -> DataFrame:
+    """n, exact and jaccard of two set columns; with drops (sets that a side is known to have left out) also ``restored``: the share that is equal once each
+    side has back what it dropped and the other still has."""
+    same = lambda x, y: F.array_sort(F.array_distinct(x)) == F.array_sort(F.array_distinct(y))
     either = F.size(F.array_union(a, b))
     jac = F.when(either > 0, F.size(F.array_intersect(a, b)) / either).otherwise(1.0)
-    return df.agg(F.count("*").alias("n"), F.avg((F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))).cast("double")).alias("exact"), F.avg(jac).alias("jaccard"))
+    back = []
+    if drops_a or drops_b:
+        give = lambda own, other, drops: F.array_union(own, F.array_intersect(F.array_except(other, own), drops)) if drops else F.col(own)
+        back = [F.avg(same(give(a, b, drops_a), give(b, a, drops_b)).cast("double")).alias("restored")]
+    return df.agg(F.count("*").alias("n"), F.avg(same(F.col(a), F.col(b)).cast("double")).alias("exact"), F.avg(jac).alias("jaccard"), *back)
+
+
+def all_agree(df: DataFrame, sets: list[str]) -> DataFrame:
+    """n and the share of rows in which all of several set columns are equal."""
+    plain = [F.array_sort(F.array_distinct(c)) for c in sets]
+    return df.agg(F.count("*").alias("n"), F.avg(reduce(lambda x, y: x & y, [plain[0] == p for p in plain[1:]]).cast("double")).alias("exact"))
 
 
 def missing_extra(df: DataFrame, gold: str, got: str, top: int = 10) -> DataFrame:
@@ -119,6 +169,12 @@ def abstain(df: DataFrame, gold: str, got: str) -> DataFrame:
     return df.agg(F.avg((F.size(got) == 0).cast("double")).alias("abstain_rate"), F.avg(((F.size(got) > 0) & (both == 0)).cast("double")).alias("false_rate"), (F.sum(both) / F.sum(F.size(got))).alias("precision"), (F.sum(both) / F.sum(F.size(gold))).alias("recall"))
 
 
+def false_terms(df: DataFrame, gold: str, got: str, top: int = 20) -> DataFrame:
+    """The commonest terms of ``got`` in rows where nothing was to be said (``gold`` is empty); ties by term."""
+    counts = df.where(F.size(gold) == 0).select(F.explode(F.array_distinct(got)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "term").limit(top)
+
+
 def compliance(results: DataFrame, rules: DataFrame) -> DataFrame:
     """results (query_id, item, field, value), rules (query_id, field, op, arg): the pass rate of each rule; NULL values fail."""
     j = rules.join(results, ["query_id", "field"])
@@ -159,10 +215,35 @@ def ece(df: DataFrame, p: str, correct: str, bins: int = 10) -> DataFrame:
 
 
 def entropy(scores: Column) -> Column:
-    """Of a score vector scaled to sum 1, over its greatest value; 0 for fewer than two."""
-    total = F.aggregate(scores, F.lit(0.0), lambda s, x: s + x)
-    h = F.aggregate(scores, F.lit(0.0), lambda s, x: s - F.when(x > 0, x / total * F.ln(x / total)).otherwise(0.0))
-    return F.when((F.size(scores) >= 2) & (total > 0), h / F.ln(F.size(scores))).otherwise(0.0)
+    """Of the softmax of a score vector, over its greatest value: 0 for one peak (or fewer than two scores), 1 for equal scores."""
+    best = F.array_max(scores)
+    parts = F.transform(scores, lambda x: F.exp(x - best))
+    total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+    h = F.aggregate(parts, F.lit(0.0), lambda s, x: s - F.when(x > 0, x / total * F.ln(x / total)).otherwise(0.0))
+    return F.when(F.size(scores) >= 2, F.least(F.greatest(h / F.ln(F.size(scores)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+
+
+# The intercept of a probe that says nothing (its answer is 1), and the slope.
+PROBE_IDENTITY, PROBE_SLOPE = 30.0, 4.0
+
+
+def probe(h: Column, beta: Column, alpha: float = PROBE_SLOPE) -> Column:
+    """The chance of a right answer from a normalised entropy: sigmoid(alpha * (1 - h) + beta)."""
+    return 1 / (1 + F.exp(-(alpha * (1 - h) + beta)))
+
+
+def fit_probe(df: DataFrame, h: str, correct: str, by: list[str] = (), alpha: float = PROBE_SLOPE, low: float = -8.0, high: float = 8.0, steps: int = 161, least: int = 20) -> DataFrame:
+    """n, accuracy, beta, before and after: the intercept of the least negative log-likelihood on an even grid, in one pass, with the loss at 0 and
+    at it; the identity's intercept and no losses under ``least`` rows."""
+    y, grid = F.col(correct).cast("double"), [low + (high - low) * i / (steps - 1) for i in range(steps)]
+
+    def loss(b: float) -> Column:
+        p = F.least(F.greatest(probe(F.col(h), F.lit(b), alpha), F.lit(1e-9)), F.lit(1 - 1e-9))
+        return F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p)))
+
+    fit = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(y).alias("accuracy"), loss(0.0).alias("zero"), F.array(*[F.struct(F.round(loss(b), 9).alias("nll"), F.lit(b).alias("b")) for b in grid]).alias("g"))
+    best, enough = F.array_min("g"), F.col("n") >= least
+    return fit.select(*by, "n", "accuracy", F.when(enough, best["b"]).otherwise(PROBE_IDENTITY).alias("beta"), F.when(enough, F.col("zero")).alias("before"), F.when(enough, best["nll"]).alias("after"))
 
 
 def combine(a: Column, b: Column, w: float) -> Column:
@@ -178,19 +259,21 @@ def harvest(signals: DataFrame, seen: DataFrame, label: str, text: str, ts: str,
     labels with fewer than ``floor`` are held back."""
     norm = F.lower(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")))
     recent = signals.where((F.col(ts) > F.lit(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")) & (F.col(ts) <= F.lit(as_of))).withColumn("norm", norm)
-    once = recent.withColumn("k", F.row_number().over(Window.partitionBy(label, "norm").orderBy(F.desc(ts)))).where("k = 1").drop("k")
+    newest = [F.desc(ts), F.col(text), *[F.col(c) for c in signals.columns if c not in (ts, text, label)]]  # ties by the other columns
+    once = recent.withColumn("k", F.row_number().over(Window.partitionBy(label, "norm").orderBy(*newest))).where("k = 1").drop("k")
     new = once.join(seen.select(F.lower(F.trim(F.regexp_replace(F.col("text"), r"\s+", " "))).alias("norm")), "norm", "left_anti")
-    few = new.withColumn("k", F.row_number().over(Window.partitionBy(label).orderBy(F.desc(ts)))).where(F.col("k") <= cap).drop("k")
-    held = few.orderBy(F.desc(ts)).limit(ring)
+    few = new.withColumn("k", F.row_number().over(Window.partitionBy(label).orderBy(*newest))).where(F.col("k") <= cap).drop("k")
+    held = few.orderBy(*newest, label).limit(ring)
     enough = held.groupBy(label).count().where(F.col("count") >= floor).select(label)
     return held.join(enough, label, "left_semi").drop("norm")
 
 
 def hard_negatives(items: DataFrame, subcentroids: DataFrame, threshold: float) -> DataFrame:
     """(id, label, v) whose best cosine to another class's (label, centroid) is above the threshold. Centroids are a bounded model."""
+    from .sizes import model
     from .vectors import cosine
 
-    c = F.broadcast(subcentroids.select(F.col("label").alias("other"), F.col("centroid").alias("__c")))
+    c = model(subcentroids.select(F.col("label").alias("other"), F.col("centroid").alias("__c")))
     s = items.join(c, F.lit(True)).where(F.col("label") != F.col("other")).select("id", "label", "other", F.round(cosine(F.col("v"), F.col("__c")), 9).alias("s"))
     best = s.groupBy("id", "label", "other").agg(F.max("s").alias("score")).where(F.col("score") > threshold)
     order = Window.partitionBy("id").orderBy(F.desc("score"), "other")
@@ -199,31 +282,46 @@ def hard_negatives(items: DataFrame, subcentroids: DataFrame, threshold: float)
 
 def centroid_candidate(vectors: DataFrame, old: DataFrame, floor: int) -> DataFrame:
     """Agreement of new and old centroids on each vector's label, for classes of ``floor`` vectors or more."""
+    from .sizes import small
     from .vectors import centroids, nearest_centroid
 
     big = vectors.groupBy("label").count().where(F.col("count") >= floor).select("label")
-    kept = vectors.join(F.broadcast(big), "label", "left_semi")
+    kept = vectors.join(small(big), "label", "left_semi")
     new = nearest_centroid(vectors.select("id", "v"), centroids(kept, "label", "v"), "label", "v", "id", -1.0)
     was = nearest_centroid(vectors.select("id", "v"), old, "label", "v", "id", -1.0).select("id", F.col("label").alias("was"))
     agreed = new.join(was, "id").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("was")).cast("double")).alias("agreement"))
     return agreed.withColumn("verdict", F.when(F.col("agreement") >= 0.9, "promote").otherwise("hold"))
 
 
-def softmax_head(rows: DataFrame, label: str, v: str, id_col: str, l2: float = 0.01) -> DataFrame:
-    """A multinomial logistic head by MLlib: each row's own and predicted label."""
+def softmax_head(rows: DataFrame, label: str, v: str, id_col: str, l2: float = 0.01, held: Column | None = None) -> DataFrame:
+    """A multinomial logistic head by MLlib: each row's own and predicted label; rows that are ``held`` aren't learnt from."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    table = rows.select(id_col, F.col(label).cast("double").alias("label"), array_to_vector(F.transform(v, lambda x: x.cast("double"))).alias("features"))
-    model = LogisticRegression(family="multinomial", regParam=l2, maxIter=50).fit(table)
-    return model.transform(table).select(id_col, F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))
+    table = rows.select(id_col, F.col(label).cast("double").alias("label"), array_to_vector(F.transform(v, lambda x: x.cast("double"))).alias("features"), (F.lit(False) if held is None else held).alias("held"))
+    model = LogisticRegression(family="multinomial", regParam=l2, maxIter=50).fit(table.where("NOT held"))
+    return model.transform(table).select(id_col, F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"), "held")
+
+
+def class_scores(df: DataFrame, label: str, predicted: str) -> DataFrame:
+    """label, n, precision, recall and f1 of each class that is there or was predicted; 0 where there is nothing to divide by."""
+    sides = df.select(F.col(label).alias("label"), F.lit(1).alias("own"), F.lit(0).alias("said"), (F.col(label) == F.col(predicted)).cast("int").alias("hit"))
+    sides = sides.unionByName(df.select(F.col(predicted).alias("label"), F.lit(0).alias("own"), F.lit(1).alias("said"), F.lit(0).alias("hit")))
+    sums = sides.groupBy("label").agg(F.sum("own").alias("n"), F.sum("said").alias("said"), F.sum("hit").alias("hit"))
+    part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    out = sums.select("label", "n", part("hit", "said").alias("precision"), part("hit", "n").alias("recall"))
+    both = F.col("precision") + F.col("recall")
+    return out.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float) -> DataFrame:
-    """Per class a share of rows by hash held out, one at least."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    n = F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("held_out", F.row_number().over(order) <= F.greatest(F.lit(1), F.floor(n * share)))
+    """Per class the rows whose hash is below ``share`` held out, and the one of the smallest hash in any case. A row's side depends on its key alone,
+    but for that one, so nothing is sorted."""
+    hashed = df.withColumn("__h", F.struct(F.md5(F.col(key).cast("string")).alias("h"), F.col(key).alias("k")))
+    least = hashed.groupBy(F.col(label).alias("__l")).agg(F.min("__h").alias("__least"))
+    unit = F.conv(F.substring("__h.h", 1, 8), 16, 10).cast("double") / 0xFFFFFFFF
+    joined = hashed.join(least, F.col(label).eqNullSafe(F.col("__l")))
+    return joined.withColumn("held_out", (unit < share) | (F.col("__h") == F.col("__least"))).select(*df.columns, "held_out")
 
 
 def forget(df: DataFrame, user: str, who: DataFrame) -> DataFrame:
@@ -231,6 +329,6 @@ def forget(df: DataFrame, user: str, who: DataFrame) -> DataFrame:
 
 
 def retention(df: DataFrame, user: str, ts: str, newest: int, as_of, days: int, opted_out: DataFrame) -> DataFrame:
-    """The newest rows of each user inside the window; those who opted out have none."""
+    """The newest rows of each user inside the window, ties by the other columns; those who opted out have none."""
     rows = forget(df, user, opted_out).where(F.col(ts) > F.lit(as_of) - F.expr(f"INTERVAL {int(days)} DAYS"))
-    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(user).orderBy(F.desc(ts)))).where(F.col("__k") <= newest).drop("__k")
+    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(user).orderBy(F.desc(ts), *[F.col(c) for c in df.columns if c not in (user, ts)]))).where(F.col("__k") <= newest).drop("__k")

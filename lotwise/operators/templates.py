@@ -166,28 +166,28 @@ def quantile_distribution(df: DataFrame, group: str, metric: str, time: str, gra
     return quantiles.grouped(df.withColumn("period", bucket(F.col(time), grain)), [group, "period"], metric, QUANTILES)
 
 
-def funnel_level(steps_in_order: list[str], events: Column, window_s: float) -> Column:
-    """The deepest step that sorted (ts in seconds, step) events reach in order within ``window_s`` of a first step.
+def funnel_levels(df: DataFrame, keys: list[str], kind: str, time: str, steps_in_order: list[str], window_s: float) -> DataFrame:
+    """``keys`` and ``level``: the deepest step that a group's events reach in order within ``window_s`` of a first step; 0 if they never start.
 
-    A fold that keeps, for each step, the latest start from which it was reached.
+    Step by step, each event gets the latest start from which it is reached: a running maximum over the group's earlier events, all steps in one
+    order. So a group of any size streams through its task. Events of an instant are ordered by step name and count once.
     """
-    n = len(steps_in_order)
-    start = F.array(*[F.lit(None).cast("double")] * n)
-    place = lambda e: F.array_position(F.array(*[F.lit(s) for s in steps_in_order]), e["step"])
-
-    def advance(state: Column, e: Column) -> Column:
-        k = place(e)
-        took = F.when(k == 1, e["t"]).otherwise(F.when(e["t"] - F.get(state, (k - 2).cast("int")) <= window_s, F.get(state, (k - 2).cast("int"))))
-        return F.transform(state, lambda old, i: F.when((i == k - 1) & took.isNotNull(), F.greatest(F.coalesce(old, took), took)).otherwise(old))
-
-    return F.aggregate(events, start, advance, lambda s: F.size(F.filter(s, lambda x: x.isNotNull())))
+    at = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
+    rows = df.where(F.col(kind).isin(*steps_in_order)).select(*keys, at.alias("__t"), F.col(kind).alias("__k")).distinct()
+    earlier = Window.partitionBy(*keys).orderBy("__t", "__k").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.when(F.col("__k") == steps_in_order[0], F.col("__t"))
+    rows = rows.withColumn("__s1", start)
+    for i, step in enumerate(steps_in_order[1:], 2):
+        # NULLs are left out by the maximum; a start that is too long ago stays the latest one there is, so it fails for all
+        before = F.max(f"__s{i - 1}").over(earlier)
+        rows = rows.withColumn(f"__s{i}", F.when((F.col("__k") == step) & (F.col("__t") - before <= window_s), before))
+    reached = [F.max(F.when(F.col(f"__s{i}").isNotNull(), i).otherwise(0)) for i in range(1, len(steps_in_order) + 1)]
+    return rows.groupBy(*keys).agg(F.greatest(*reached, F.lit(0)).alias("level"))
 
 
 def window_funnel(df: DataFrame, entity: str, kind: str, time: str, steps_in_order: list[str], window_s: float, grain: str = "day") -> DataFrame:
-    """How many (entity, period) reach each level or a deeper one. Only the steps' own events are gathered, per entity and period."""
-    known = df.where(F.col(kind).isin(*steps_in_order)).withColumn("period", bucket(F.col(time), grain))
-    event = F.struct((F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("t"), F.col(kind).alias("step"))
-    levels = known.groupBy(entity, "period").agg(funnel_level(steps_in_order, F.array_sort(F.collect_list(event)), window_s).alias("level"))
+    """How many (entity, period) reach each level or a deeper one."""
+    levels = funnel_levels(df.withColumn("period", bucket(F.col(time), grain)), [entity, "period"], kind, time, steps_in_order, window_s)
     reached = levels.select("period", F.explode(F.sequence(F.lit(1), F.greatest("level", F.lit(1)))).alias("level"), F.col("level").alias("own")).where(F.col("level") <= F.col("own"))
     return reached.groupBy("period", "level").agg(F.count("*").alias("entities"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lotwise.sources.sinks import stored
 
+from .sizes import small
+
 STOPWORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was"]
 # Compound top-level domains of two labels.
 COMPOUND_TLDS = ["co.uk", "org.uk", "com.au", "net.au", "co.nz", "co.jp", "com.br", "co.in", "com.mx", "co.za"]
@@ -265,7 +267,7 @@ def log_odds(docs: DataFrame, least: float = 0.5, top: int = 50, smooth: float =
     sizes = docs.groupBy("label").agg(F.count("*").alias("size"))
     whole = sizes.agg(F.sum("size").alias("all"))
     total = grams.groupBy("gram").agg(F.sum("n").alias("total"))
-    j = grams.join(total, "gram").join(F.broadcast(sizes), "label").join(F.broadcast(whole), F.lit(True))
+    j = grams.join(total, "gram").join(small(sizes), "label").join(F.broadcast(whole), F.lit(True))
     inside = (F.col("n") + smooth) / (F.col("size") - F.col("n") + smooth)
     rest = F.col("total") - F.col("n")
     outside = (rest + smooth) / (F.col("all") - F.col("size") - rest + smooth)
@@ -277,7 +279,7 @@ def log_odds(docs: DataFrame, least: float = 0.5, top: int = 50, smooth: float =
 def ngram_classify(docs: DataFrame, weights: DataFrame, threshold: float = 1.0, margin: float = 0.1) -> DataFrame:
     """doc_id, label, score: the class of the highest sum of weights, where that and its lead are high enough, else NULL. Weights are a bounded model."""
     grams = docs.select("doc_id", F.explode(ngrams(F.col("tokens"))).alias("gram"))
-    scores = grams.join(F.broadcast(weights), "gram").groupBy("doc_id", "label").agg(F.sum("weight").alias("score"))
+    scores = grams.join(small(weights), "gram").groupBy("doc_id", "label").agg(F.sum("weight").alias("score"))
     order = Window.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), "label")
     best = scores.withColumn("k", F.row_number().over(order)).withColumn("second", F.lead("score").over(order)).where("k = 1")
     sure = (F.col("score") >= threshold) & (F.col("score") - F.coalesce("second", F.lit(0.0)) >= margin)

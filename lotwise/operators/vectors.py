@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import model
+
 #: Rows in a block of the corpus and of the queries.
 CORPUS_BLOCK, QUERY_BLOCK = 20_000, 20_000
 
@@ -52,14 +54,17 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, corpus_block: int = CORPU
             return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
         scale = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         a, b = scale(np.stack(c["v"]).astype("float64")), scale(np.stack(q["v"]).astype("float64"))
-        ids, out = c["id"].to_numpy(), []
+        ids, own, out = c["id"].to_numpy(), q["query_id"].to_numpy(), []
         for at in range(0, len(b), 256):
-            s = np.round(b[at : at + 256] @ a.T, 9)
-            for i, row in enumerate(s):
-                own = q["query_id"].iloc[at + i]
-                keep = np.flatnonzero(ids < own if earlier else ids != own)
-                best = keep[np.lexsort((ids[keep], -row[keep]))[:k]]
-                out.append(pd.DataFrame({"query_id": own, "id": ids[best], "score": (row[best] + 1) / 2}))
+            s, asked = np.round(b[at : at + 256] @ a.T, 9), own[at : at + 256]
+            s[(ids >= asked[:, None]) if earlier else (ids == asked[:, None])] = -np.inf
+            least = np.partition(s, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(s), -np.inf)
+            i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # with every tie
+            order = np.lexsort((ids[j], -s[i, j], i))
+            i, j = i[order], j[order]
+            best = np.arange(len(i)) - np.searchsorted(i, i) < k
+            i, j = i[best], j[best]
+            out.append(pd.DataFrame({"query_id": asked[i], "id": ids[j], "score": (s[i, j] + 1) / 2}))
         return pd.concat(out)
 
     near = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(cell, "query_id long, id long, score double")
@@ -76,7 +81,7 @@ def centroids(vectors: DataFrame, label: str, v: str) -> DataFrame:
 
 def nearest_centroid(vectors: DataFrame, cents: DataFrame, label: str, v: str, id_col: str, floor: float = 0.0, margin: float = 0.0) -> DataFrame:
     """The label of the best cosine where it and its lead are high enough, else NULL. Centroids are as few as labels."""
-    named = F.broadcast(cents.select(F.col(label).alias("__label"), F.col("centroid").alias("__c")))
+    named = model(cents.select(F.col(label).alias("__label"), F.col("centroid").alias("__c")))
     scored = vectors.join(named, F.lit(True)).select(id_col, "__label", F.round(cosine(F.col(v), F.col("__c")), 9).alias("s"))
     best = scored.groupBy(id_col).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), F.col("__label").alias("l")))), 1, 2).alias("b"))
     top, lead = -F.col("b")[0]["d"], F.col("b")[1]["d"] - F.col("b")[0]["d"]
@@ -90,8 +95,8 @@ def kmeans(vectors: DataFrame, v: str, k: int, seed: int = 1, iterations: int =
     from pyspark.ml.functions import array_to_vector
 
     rows = vectors.withColumn("features", array_to_vector(unit(F.col(v))))
-    model = KMeans(k=k, seed=seed, maxIter=iterations, distanceMeasure="cosine", predictionCol="cluster").fit(rows.where(norm(F.col(v)) > 0))
-    return model.transform(rows).drop("features")
+    fitted = KMeans(k=k, seed=seed, maxIter=iterations, distanceMeasure="cosine", predictionCol="cluster").fit(rows.where(norm(F.col(v)) > 0))
+    return fitted.transform(rows).drop("features")
 
 
 def subtract_topics(v: Column, topics: list[Column], alpha: float) -> Column:

@@ -178,10 +178,7 @@ def win_index_forecast(spark, d):
     r AS (SELECT user_id, EXISTS (SELECT 1 FROM e a WHERE a.user_id = k.user_id AND a.event_type = 'signup') AS one, EXISTS (SELECT 1 FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'purchase' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR WHERE a.user_id = k.user_id) AS two FROM k)
     SELECT user_id, CAST(CASE WHEN two THEN 2 WHEN one THEN 1 ELSE 0 END AS INTEGER) AS level FROM r""")
 def win_funnel(spark, d):
-    steps = ["signup", "purchase"]
-    e = events(spark, d).where(F.col("event_type").isin(*steps))
-    event = F.struct((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("event_type").alias("step"))
-    return e.groupBy("user_id").agg(t.funnel_level(steps, F.array_sort(F.collect_list(event)), 3600).alias("level"))
+    return t.funnel_levels(events(spark, d), ["user_id"], "event_type", "ts", ["signup", "purchase"], 3600)
 
 
 @query("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders")

@@ -102,10 +102,10 @@ _follow("msr_explore_followup", "event_type = 'view'", "event_type = 'click'", 1
 _follow("msr_assisted_conversion", "event_type = 'view'", "event_type = 'purchase'", 3600)
 
 
-@query("""SELECT near(avg(n_chars) FILTER (quality = 1)) AS per_good, near(avg(n_chars)) AS per_any, count(*) AS n FROM labels JOIN documents USING (doc_id)""")
+@query("""SELECT near(avg(n_chars) FILTER (quality = 1)) AS per_good, near(avg(n_chars) FILTER (n_chars > 1000)) AS per_confident, near(avg(n_chars)) AS per_any, count(*) AS n FROM labels JOIN documents USING (doc_id)""")
 def msr_cost_per_labelled(spark, d):
     j = load(spark, d, "labels").join(load(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return rounded(j.agg(F.avg(F.when(F.col("quality") == 1, F.col("n_chars"))).alias("per_good"), F.avg("n_chars").alias("per_any"), F.count("*").alias("n")))
+    return rounded(j.agg(F.avg(F.when(F.col("quality") == 1, F.col("n_chars"))).alias("per_good"), F.avg(F.when(F.col("n_chars") > 1000, F.col("n_chars"))).alias("per_confident"), F.avg("n_chars").alias("per_any"), F.count("*").alias("n")))
 
 
 @query("SELECT near(avg(CASE WHEN (quality = 1) = (toxic = 0) THEN 1 ELSE 0 END)) AS value, count(*) AS n FROM labels")
@@ -114,9 +114,14 @@ def msr_intent_accuracy(spark, d):
     return rounded(load(spark, d, "labels").agg(F.avg(hit.cast("double")).alias("value"), F.count("*").alias("n")))
 
 
-@query(f"{E} SELECT event_type, {_RATE.format('value > 20', 0.3)} FROM e GROUP BY ALL")
+@query(f"""{E} SELECT user_id % 7 AS slice, {_RATE.format('value > 20', 0.3)}, {_nearest(0.5)} AS p50, {_nearest(0.99)} AS p99, near(least(1, count(*) FILTER (event_type = 'click') / nullif(count(*) FILTER (event_type = 'view'), 0))) AS click_rate, near(least(1, count(*) FILTER (event_type = 'purchase') / nullif(count(*) FILTER (event_type = 'view'), 0))) AS conversion FROM e GROUP BY ALL""")
 def msr_sliced(spark, d):
-    return rounded(m.rate(events(spark, d), F.col("value") > 20, 0.3, 20, ["event_type"]))
+    e = events(spark, d).withColumn("slice", F.col("user_id") % 7)
+    kind = F.col("event_type")
+    out = m.rate(e, F.col("value") > 20, 0.3, 20, ["slice"])
+    out = out.join(m.latency(e, "value", {"p50": 0.5, "p99": 0.99}, ["slice"]).drop("n"), "slice")
+    share = lambda k: F.when(F.count_if(kind == "view") > 0, F.least(F.lit(1.0), F.count_if(kind == k) / F.count_if(kind == "view")))
+    return rounded(out.join(e.groupBy("slice").agg(share("click").alias("click_rate"), share("purchase").alias("conversion")), "slice"), p50=2, p99=2)
 
 
 @query(f"""{E}, c AS (SELECT event_id, ts, floor(epoch(ts)) AS t, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (ORDER BY ts) % 500 AS h, sum(CASE WHEN event_type <> 'click' THEN 1 ELSE 0 END) OVER (ORDER BY ts) % 2000 AS x FROM e),
@@ -124,11 +129,9 @@ def msr_sliced(spark, d):
     b AS (SELECT *, CASE WHEN hs + xs > 0 THEN hs / (hs + xs) END AS rate FROM r), f AS (SELECT *, coalesce(rate < 0.2, FALSE) AS breached FROM b)
     SELECT event_id, near(rate) AS hit_rate, breached, CASE WHEN breached AND NOT lag(breached, 1, FALSE) OVER (ORDER BY ts) THEN 'start' WHEN NOT breached AND lag(breached, 1, FALSE) OVER (ORDER BY ts) THEN 'end' END AS edge FROM f""")
 def msr_cache_miss_storm(spark, d):
-    from pyspark.sql import Window
-
-    upto = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     click = (F.col("event_type") == "click").cast("long")
-    counters = events(spark, d).select("event_id", "ts", (F.sum(click).over(upto) % 500).alias("h"), (F.sum(1 - click).over(upto) % 2000).alias("x"))
+    counters = m.running_sums(events(spark, d).select("event_id", "ts", click.alias("h"), (1 - click).alias("x")), "ts", ["h", "x"])
+    counters = counters.withColumn("h", F.col("h") % 500).withColumn("x", F.col("x") % 2000)
     return rounded(m.miss_storm(counters, "ts", "h", "x", 300, 0.2).select("event_id", "hit_rate", "breached", "edge"))
 
 
@@ -193,10 +196,10 @@ def evl_pool_prf(spark, d):
     return rounded(r.groupBy("query_id").agg((hits / 5).alias("precision"), F.when(F.count_if("rel") > 0, hits / F.count_if("rel")).alias("recall")))
 
 
-@query(f"{E} SELECT event_type AS suite, count(*) AS n, near(avg(value)) AS mean, near(quantile_cont(value, 0.5)) AS p50, near(quantile_cont(value, 0.95)) AS p95, near(avg(CASE WHEN value > 60 THEN 1 ELSE 0 END)) AS sla FROM e GROUP BY ROLLUP (event_type)")
+@query(f"{E} SELECT event_type AS suite, count(*) AS n, near(avg(value)) AS mean, near(quantile_cont(value, 0.5)) AS p50, near(quantile_cont(value, 0.95)) AS p95, near(avg(CASE WHEN value > 60 THEN 1 ELSE 0 END)) AS sla, near(avg(CASE WHEN item % 5 = user_id % 5 THEN 1 ELSE 0 END)) AS routed, near(sum(value) / 1000) AS cost FROM e GROUP BY ROLLUP (event_type)")
 def evl_suite_summary(spark, d):
     v = F.col("value")
-    return rounded(events(spark, d).rollup(F.col("event_type").alias("suite")).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("p50"), F.percentile(v, F.lit(0.95)).alias("p95"), F.avg((v > 60).cast("double")).alias("sla")))
+    return rounded(events(spark, d).rollup(F.col("event_type").alias("suite")).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("p50"), F.percentile(v, F.lit(0.95)).alias("p95"), F.avg((v > 60).cast("double")).alias("sla"), F.avg((F.col("item") % 5 == F.col("user_id") % 5).cast("double")).alias("routed"), (F.sum(v) / 1000).alias("cost")))
 
 
 @query(f"""{E}, s AS (SELECT event_type, avg(value) AS mean, max(value) AS high FROM e GROUP BY ALL) SELECT event_type, 'mean' AS kind, CASE WHEN mean > 30 THEN 'high' ELSE 'low' END AS severity FROM s WHERE mean > 10 UNION ALL SELECT event_type, 'max', CASE WHEN high > 300 THEN 'high' ELSE 'low' END FROM s WHERE high > 100""")
@@ -211,29 +214,44 @@ def evl_holdout_split(spark, d):
     return load(spark, d, "documents").select("doc_id", m.holdout(F.col("doc_id").cast("string"), F.col("lang"), 0.2).alias("held"))
 
 
-_SETS = f"s AS (SELECT doc_id, list_distinct(list_slice({_TOKENS.format('text')}, 1, 20)) AS a, list_distinct(list_slice({_TOKENS.format('text')}, 5, 24)) AS b FROM documents)"
+#: Three extractors of a text's words: long ones, those that aren't too long, and those under "t"; what the second drops by rule.
+_SETS = f"w AS (SELECT doc_id, list_distinct({_TOKENS.format('text')}) AS w FROM documents), s AS (SELECT doc_id, list_filter(w, lambda t: length(t) >= 5) AS a, list_filter(w, lambda t: length(t) BETWEEN 5 AND 10) AS b, list_filter(w, lambda t: length(t) >= 5 AND t < 'tr') AS c, list_filter(w, lambda t: length(t) BETWEEN 11 AND 13) AS dropped FROM w)"
 
 
 def _sets(spark, d):
     from lotwise.operators import text
 
-    w = load(spark, d, "documents").select("doc_id", text.tokenize(F.col("text")).alias("w"))
-    return w.select("doc_id", F.array_distinct(F.slice("w", 1, 20)).alias("a"), F.array_distinct(F.slice("w", 5, 20)).alias("b"))
+    w = load(spark, d, "documents").select("doc_id", F.array_distinct(text.tokenize(F.col("text"))).alias("w"))
+    size = lambda low, high: F.filter("w", lambda t: F.length(t).between(low, high))
+    return w.select("doc_id", size(5, 1 << 30).alias("a"), size(5, 10).alias("b"), F.filter("w", lambda t: (F.length(t) >= 5) & (t < "tr")).alias("c"), size(11, 13).alias("dropped"))
+
 
+_EQUAL = "list_sort({0}) = list_sort({1})"
 
-@query(f"WITH {_SETS} SELECT count(*) AS n, near(avg(CASE WHEN list_sort(a) = list_sort(b) THEN 1 ELSE 0 END)) AS exact, near(avg(CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 1 END)) AS jaccard FROM s")
+
+@query(f"WITH {_SETS}, r AS (SELECT *, list_distinct(list_concat(b, list_intersect(list_filter(a, lambda t: NOT list_contains(b, t)), dropped))) AS back FROM s) SELECT count(*) AS n, near(avg(CASE WHEN {_EQUAL.format('a', 'b')} THEN 1 ELSE 0 END)) AS exact, near(avg(CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 1 END)) AS jaccard, near(avg(CASE WHEN {_EQUAL.format('a', 'back')} THEN 1 ELSE 0 END)) AS restored FROM r")
 def evl_set_agreement(spark, d):
-    return rounded(m.set_agreement(_sets(spark, d), "a", "b"))
+    return rounded(m.set_agreement(_sets(spark, d), "a", "b", drops_b="dropped"))
+
+
+@query(f"WITH {_SETS} SELECT count(*) AS n, near(avg(CASE WHEN {_EQUAL.format('a', 'b')} AND {_EQUAL.format('a', 'c')} THEN 1 ELSE 0 END)) AS exact FROM s")
+def evl_all_agree(spark, d):
+    return rounded(m.all_agree(_sets(spark, d), ["a", "b", "c"]))
 
 
-@query(f"WITH {_SETS}, x AS (SELECT 'missing' AS kind, unnest(list_filter(a, lambda t: NOT list_contains(b, t))) AS token FROM s UNION ALL SELECT 'extra', unnest(list_filter(b, lambda t: NOT list_contains(a, t))) FROM s), c AS (SELECT kind, token, count(*) AS n FROM x GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY n DESC, token) AS INTEGER) AS k FROM c QUALIFY k <= 10")
+@query(f"WITH {_SETS}, x AS (SELECT 'missing' AS kind, unnest(list_filter(b, lambda t: NOT list_contains(c, t))) AS token FROM s UNION ALL SELECT 'extra', unnest(list_filter(c, lambda t: NOT list_contains(b, t))) FROM s), k AS (SELECT kind, token, count(*) AS n FROM x GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY n DESC, token) AS INTEGER) AS k FROM k QUALIFY row_number() OVER (PARTITION BY kind ORDER BY n DESC, token) <= 10")
 def evl_missing_extra(spark, d):
-    return m.missing_extra(_sets(spark, d), "a", "b")
+    return m.missing_extra(_sets(spark, d), "b", "c")
 
 
-@query(f"WITH {_SETS} SELECT near(avg(CASE WHEN len(b) = 0 THEN 1 ELSE 0 END)) AS abstain_rate, near(avg(CASE WHEN len(b) > 0 AND len(list_intersect(a, b)) = 0 THEN 1 ELSE 0 END)) AS false_rate, near(sum(len(list_intersect(a, b))) / sum(len(b))) AS precision, near(sum(len(list_intersect(a, b))) / sum(len(a))) AS recall FROM s")
+@query(f"WITH {_SETS} SELECT near(avg(CASE WHEN len(dropped) = 0 THEN 1 ELSE 0 END)) AS abstain_rate, near(avg(CASE WHEN len(dropped) > 0 AND len(list_intersect(c, dropped)) = 0 THEN 1 ELSE 0 END)) AS false_rate, near(sum(len(list_intersect(c, dropped))) / sum(len(dropped))) AS precision, near(sum(len(list_intersect(c, dropped))) / sum(len(c))) AS recall FROM s")
 def evl_abstain(spark, d):
-    return rounded(m.abstain(_sets(spark, d), "a", "b"))
+    return rounded(m.abstain(_sets(spark, d), "c", "dropped"))
+
+
+@query(f"WITH {_SETS}, f AS (SELECT unnest(a) AS term FROM s WHERE len(dropped) = 0) SELECT term, count(*) AS n FROM f GROUP BY ALL ORDER BY n DESC, term LIMIT 20")
+def evl_false_terms(spark, d):
+    return m.false_terms(_sets(spark, d), "dropped", "a")
 
 
 @query("""WITH v AS (SELECT p_size AS query_id, p_partkey AS item, unnest(['brand', 'price', 'name']) AS field, unnest([p_brand, CAST(p_retailprice AS VARCHAR), p_name]) AS value FROM part), r AS (SELECT * FROM (VALUES ('brand', 'in'), ('price', 'gte'), ('price', 'lte'), ('name', 'starts_with_any')) r(field, op)),
@@ -267,10 +285,25 @@ def cal_ece(spark, d):
     return rounded(m.ece(_cal(spark, d), "p", "y"))
 
 
-@query("""WITH s AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: abs(CAST(x AS DOUBLE))) AS v FROM embeddings), t AS (SELECT vec_id, list_transform(v, lambda x: x / list_sum(v)) AS p FROM s) SELECT vec_id, near(-list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) / ln(8)) AS entropy FROM t""")
+_ENTROPY = "s AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: 5 * CAST(x AS DOUBLE)) AS v FROM embeddings), t AS (SELECT vec_id, label, list_transform(v, lambda x: exp(x) / list_sum(list_transform(v, lambda y: exp(y)))) AS p FROM s), h AS (SELECT vec_id, label, -list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) / ln(8) AS h FROM t)"
+
+
+def _entropies(spark, d):
+    v = F.transform(F.slice("embedding", 1, 8), lambda x: 5 * x.cast("double"))
+    return load(spark, d, "embeddings").select("vec_id", "label", m.entropy(v).alias("h"))
+
+
+@query(f"WITH {_ENTROPY} SELECT vec_id, near(h) AS entropy FROM h")
 def cal_probe(spark, d):
-    v = F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x.cast("double")))
-    return rounded(load(spark, d, "embeddings").select("vec_id", m.entropy(v).alias("entropy")))
+    return rounded(_entropies(spark, d).select("vec_id", F.col("h").alias("entropy")))
+
+
+@query(f"""WITH {_ENTROPY}, c AS (SELECT label % 3 AS tier, h, CASE WHEN vec_id % 5 < 2 + label % 3 THEN 1.0 ELSE 0.0 END AS y FROM h), g AS (SELECT -8 + 16.0 * i / 160 AS b FROM range(161) r(i)),
+    z AS (SELECT tier, b, y, least(greatest(1 / (1 + exp(-(4 * (1 - h) + b))), 1e-9), 1 - 1e-9) AS p FROM c, g), n AS (SELECT tier, b, count(*) AS n, avg(y) AS accuracy, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 9) AS nll FROM z GROUP BY ALL)
+    SELECT tier, n, near(accuracy) AS accuracy, near(arg_min(b, nll)) AS beta, near(max(nll) FILTER (abs(b) < 1e-9)) AS before, near(min(nll)) AS after FROM n GROUP BY ALL""")
+def cal_probe_fit(spark, d):
+    c = _entropies(spark, d).select((F.col("label") % 3).alias("tier"), "h", (F.col("vec_id") % 5 < 2 + F.col("label") % 3).alias("y"))
+    return rounded(m.fit_probe(c, "h", "y", ["tier"]))
 
 
 @query("SELECT p_partkey, near(exp(0.7 * ln(greatest(p_size / 51, 1e-9)) + 0.3 * ln(greatest(p_retailprice / 3000, 1e-9)))) AS p FROM part")
@@ -282,12 +315,12 @@ def cal_combine(spark, d):
 
 
 @query("""WITH s AS (SELECT conv_id * 100 + turn AS id, role AS label, text, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (conv_id % 700) + INTERVAL 1 SECOND * CAST(turn + conv_id AS INTEGER) AS ts FROM conversations), n AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm FROM s WHERE ts > TIMESTAMP '2024-01-30' - INTERVAL 29 DAYS AND ts <= TIMESTAMP '2024-01-30'),
-    o AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY label, norm ORDER BY ts DESC) = 1), w AS (SELECT * FROM o WHERE norm NOT IN (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) FROM benchmark)), f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY label ORDER BY ts DESC) <= 50),
-    r AS (SELECT * FROM f ORDER BY ts DESC LIMIT 80) SELECT label, count(*) AS n FROM r GROUP BY ALL HAVING count(*) >= 5""")
+    o AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY label, norm ORDER BY ts DESC, text, id) = 1), w AS (SELECT * FROM o WHERE norm NOT IN (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) FROM benchmark)), f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY label ORDER BY ts DESC, text, id) <= 50),
+    r AS (SELECT * FROM f ORDER BY ts DESC, text, id, label LIMIT 80) SELECT id, label, text FROM r WHERE label IN (SELECT label FROM r GROUP BY ALL HAVING count(*) >= 5)""")
 def trn_harvest_signals(spark, d):
     at = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST(conv_id % 700 AS INT), 0, CAST(turn + conv_id AS INT))")
     s = load(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("label"), "text", at.alias("ts"))
-    return m.harvest(s, load(spark, d, "benchmark"), "label", "text", "ts", NOW, 29, 50, 80, 5).groupBy("label").agg(F.count("*").alias("n"))
+    return m.harvest(s, load(spark, d, "benchmark"), "label", "text", "ts", NOW, 29, 50, 80, 5).select("id", "label", "text")
 
 
 @query(f"WITH {_CENT}, s AS (SELECT vec_id AS id, e.label, ce.label AS other, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c), 9) AS score FROM embeddings e JOIN ce ON e.label <> ce.label) SELECT id, label, other, near(score) AS score FROM s WHERE score > 0.1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY s.score DESC, other) = 1")
@@ -296,18 +329,39 @@ def trn_hard_negatives(spark, d):
     return rounded(m.hard_negatives(e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v")), vectors.centroids(e, "label", "embedding"), 0.1))
 
 
-@query(f"WITH {_CENT}, s AS (SELECT vec_id, ce.label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c), 9) AS s FROM embeddings, ce) SELECT count(DISTINCT vec_id) AS n, 1.0::DOUBLE AS agreement, 'promote' AS verdict FROM s")
+def _centroids_sql(name: str, where: str) -> str:
+    return f"{name}u AS (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE {where}), {name}m AS (SELECT label, i, avg(x) AS m FROM {name}u GROUP BY ALL), {name}n AS (SELECT label, sqrt(sum(m * m)) AS n FROM {name}m GROUP BY ALL), {name} AS (SELECT label, list(m / n ORDER BY i) AS c FROM {name}m JOIN {name}n USING (label) GROUP BY ALL)"
+
+
+def _nearest_sql(name: str) -> str:
+    return f"(SELECT vec_id, label FROM (SELECT vec_id, {name}.label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c), 9) AS s FROM embeddings, {name}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) = 1)"
+
+
+@query(f"""WITH bg AS (SELECT label FROM embeddings GROUP BY ALL HAVING count(*) >= 5), {_centroids_sql('nw', 'label IN (SELECT label FROM bg)')}, {_centroids_sql('od', 'vec_id % 10 = 3')}
+    SELECT count(*) AS n, near(avg(CASE WHEN a.label = b.label THEN 1 ELSE 0 END)) AS agreement, CASE WHEN avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0 END) >= 0.9 THEN 'promote' ELSE 'hold' END AS verdict FROM {_nearest_sql('nw')} a JOIN {_nearest_sql('od')} b USING (vec_id)""")
 def trn_centroid_candidate(spark, d):
+    """New centroids of all vectors against old ones of a tenth."""
     v = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
-    return rounded(m.centroid_candidate(v, vectors.centroids(v, "label", "v"), 5))
+    return rounded(m.centroid_candidate(v, vectors.centroids(v.where("id % 10 = 3"), "label", "v"), 5))
+
+
+def _head(spark, d):
+    held = m.holdout(F.col("vec_id").cast("string"), F.col("label").cast("string"), 0.2)
+    return m.softmax_head(load(spark, d, "embeddings"), "label", "embedding", "vec_id", held=held)
 
 
 @query()
 def trn_softmax_head(spark, d):
-    return m.softmax_head(load(spark, d, "embeddings"), "label", "embedding", "vec_id")
+    return _head(spark, d)
+
+
+@query()
+def trn_softmax_scores(spark, d):
+    """Precision, recall and F1 of each class on the rows that weren't learnt from."""
+    return rounded(m.class_scores(_head(spark, d).where("held"), "label", "predicted"))
 
 
-@query("WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, lang, k <= greatest(1, floor(n * 0.2)) AS held_out FROM r")
+@query("WITH r AS (SELECT doc_id, lang, md5(CAST(doc_id AS VARCHAR)) AS h, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS k FROM documents) SELECT doc_id, lang, CAST(('0x' || left(h, 8)) AS BIGINT) / 4294967295 < 0.2 OR k = 1 AS held_out FROM r")
 def trn_stratified_split(spark, d):
     return m.stratified_split(load(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 0.2)
 
@@ -318,7 +372,7 @@ def hst_forget_user(spark, d):
     return m.forget(load(spark, d, "events").select("event_id", "user_id"), "user_id", who)
 
 
-@query("SELECT event_id, user_id FROM events WHERE ts > TIMESTAMP '2024-01-30' - INTERVAL 14 DAYS AND user_id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) <= 5")
+@query("SELECT event_id, user_id FROM events WHERE ts > TIMESTAMP '2024-01-30' - INTERVAL 14 DAYS AND user_id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 5")
 def hst_retention(spark, d):
     e = load(spark, d, "events").select("event_id", "user_id", "ts")
     return m.retention(e, "user_id", "ts", 5, NOW, 14, e.where("user_id % 10 = 0").select("user_id").distinct()).select("event_id", "user_id")

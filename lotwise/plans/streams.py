@@ -56,27 +56,49 @@ def stm_session_followup(spark, d):
     return ingest.run(ingest.followups(s.where("event_type = 'view'").drop("event_type"), s.where("event_type = 'purchase'").drop("event_type"), 1800), folder(spark, "out"))
 
 
-@query("SELECT user_id, event_id, value, CAST(0 AS BIGINT) AS version FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1")
+def _in_batches(spark, d, times: int, after: int):
+    """The events table as a stream of so many batches in order of time; every tenth row comes again so many batches ``after`` its own, if there
+    are as many: late and double rows."""
+    e = load(spark, d, "events")
+    ends = e.agg(F.min(F.unix_timestamp("ts")).alias("a"), F.max(F.unix_timestamp("ts")).alias("b")).first()
+    width = (ends["b"] - ends["a"]) // times + 1
+    own = e.withColumn("part", F.floor((F.unix_timestamp("ts") - ends["a"]) / width).cast("int"))
+    every = own.unionByName(own.where(F.col("event_id") % 10 == 0).withColumn("part", F.col("part") + after))
+    base = folder(spark, "batches")
+    for i in range(times):
+        every.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(base)
+    return ingest.source(spark, base, e.schema, files_per_trigger=1)
+
+
+def _batches_sql(times: int, after: int) -> str:
+    part = f"CAST(floor((floor(epoch(ts)) - (SELECT floor(epoch(min(ts))) FROM events)) / ((SELECT floor(epoch(max(ts))) - floor(epoch(min(ts))) FROM events) // {times} + 1)) AS INTEGER)"
+    return f"p AS (SELECT *, {part} AS own FROM events), b AS (SELECT *, own AS part, FALSE AS again FROM p UNION ALL SELECT *, own + {after}, TRUE FROM p WHERE event_id % 10 = 0 AND own + {after} < {times})"
+
+
+@query(f"""WITH {_batches_sql(3, 1)}, v AS (SELECT user_id, max(part) + 1 AS version, count(*) AS events FROM b GROUP BY ALL), u AS (SELECT b.user_id, bool_or(event_type = 'purchase' AND value > 50) AS urgent FROM b JOIN v ON b.user_id = v.user_id AND b.part + 1 = v.version GROUP BY ALL),
+    r AS (SELECT b.* FROM b JOIN v ON b.user_id = v.user_id AND b.part + 1 = v.version QUALIFY row_number() OVER (PARTITION BY b.user_id ORDER BY ts DESC) = 1) SELECT r.user_id, r.event_id, r.value, CAST(version AS BIGINT) AS version, events, urgent FROM r JOIN v ON r.user_id = v.user_id JOIN u ON r.user_id = u.user_id""")
 def stm_snapshot_version(spark, d):
-    return ingest.versions(_stream(spark, d), "user_id", "ts").read().select("user_id", "event_id", "value", "version")
+    kind = F.when(F.col("event_type") == "purchase", "updated")
+    urgent = ingest.is_extension(kind, F.col("value") > 50, F.col("ts"))
+    table = ingest.versions(_in_batches(spark, d, 3, 1), "user_id", "ts", urgent)
+    return table.read().select("user_id", "event_id", "value", "version", "events", "urgent")
 
 
 @query("WITH n AS (SELECT user_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1) SELECT c_custkey, coalesce(value, c_acctbal) AS c_acctbal FROM customer LEFT JOIN n ON c_custkey = user_id")
 def stm_delta_refresh(spark, d):
     base = load(spark, d, "customer").select("c_custkey", "c_acctbal")
-    table = ingest.Table(spark, base.schema)
-    table.replace(base, 0)
+    table = ingest.Table(spark, base.schema, ["c_custkey"])
+    table.load(base)
     stream = _stream(spark, d).select(F.col("user_id").alias("c_custkey"), F.col("value").alias("c_acctbal"), "ts")
-    merge = table.delta("c_custkey", ["c_acctbal"], ["ts"])
-    ingest.run_batches(stream, lambda batch, i: merge(batch, i + 1))
+    ingest.run_batches(stream, table.delta(["c_acctbal"], ["ts"]))
     return table.read()
 
 
 @query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, event_id FROM events WHERE event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY event_type, item ORDER BY ts DESC) = 1")
 def stm_enrichment_refresh(spark, d):
     s = _stream(spark, d).where("event_type <> 'error'").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("item"), "event_id", "ts")
-    table = ingest.Table(spark, s.schema)
-    ingest.run_batches(s, table.upsert(["event_type", "item"], ["ts"]))
+    table = ingest.Table(spark, s.schema, ["event_type", "item"])
+    ingest.run_batches(s, table.upsert(["ts"]))
     return table.read().select("event_type", "item", "event_id")
 
 
@@ -95,9 +117,11 @@ def stm_ttl(spark, d):
     return ttl(ingest.run(_stream(spark, d).select("event_id", "ts"), folder(spark, "out")), "ts", datetime(2024, 1, 30), 10).select("event_id")
 
 
-@query(f"WITH w AS (SELECT date_trunc('day', ts) AS p, count(*) AS n FROM events GROUP BY ALL) SELECT strftime(p, '%Y-%m-%d %H:%M:%S') AS period, n FROM w WHERE p + INTERVAL 1 DAY <= {_CLOSED}")
+@query(f"""WITH {_batches_sql(4, 2)}, m AS (SELECT own, max(ts) AS top FROM p GROUP BY ALL), ok AS (SELECT date_trunc('day', b.ts) AS p, count(*) AS n FROM b JOIN m USING (own) WHERE NOT again OR date_trunc('day', b.ts) + INTERVAL 1 DAY > m.top - INTERVAL 1 HOUR GROUP BY ALL)
+    SELECT strftime(p, '%Y-%m-%d %H:%M:%S') AS period, n FROM ok WHERE p + INTERVAL 1 DAY <= {_CLOSED}""")
 def stm_late_data(spark, d):
-    one = _stream(spark, d).withColumn("all", F.lit(1))
+    """Every tenth row comes again two batches after its own: too late for all days but the last one that its batch had."""
+    one = _in_batches(spark, d, 4, 2).withColumn("all", F.lit(1))
     return _plain(ingest.run(ingest.tumbling(one, "all", "ts", "value", "1 day"), folder(spark, "out")).select("period", "n"), "period")
 
 

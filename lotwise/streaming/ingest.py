@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,54 +69,142 @@ def followups(searches: DataFrame, signals: DataFrame, seconds: int, late: str =
     return a.join(b, near, "inner").select("session", "id", "signal")
 
 
-class Table:
-    """A Parquet table that batches are merged into: each version a folder of its own, so a failed batch leaves the last one."""
-
-    def __init__(self, spark: SparkSession, schema: T.StructType, base: str | None = None):
-        self.spark, self.schema, self.base, self.version = spark, schema, base or folder(spark, "table"), -1
-
-    def read(self) -> DataFrame:
-        if self.version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.base}/v{self.version}")
-
-    def replace(self, rows: DataFrame, version: int) -> None:
-        rows.select(*[f.name for f in self.schema]).write.mode("overwrite").parquet(f"{self.base}/v{version}")
-        self.version = version
-
-    def upsert(self, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-        return lambda batch, i: self.replace(latest_per_key(self.read().unionByName(batch.select(*[f.name for f in self.schema])), keys, order), i)
+#: Parts of a merged table, by the hash of its key.
+BUCKETS = 16
+_COMMIT = "batch long, bucket int, slot int"
 
-    def delta(self, key: str, mutable: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-        return lambda batch, i: self.replace(merge_delta(self.read(), latest_per_key(batch, [key], order), key, mutable), i)
 
-
-def versions(stream: DataFrame, key: str, ts: str, state: str | None = None) -> Table:
-    """The latest row of each key, with the batch that it came in as its version."""
+class Table:
+    """A keyed Parquet table that batches are merged into, for one writer.
+
+    Rows lie in buckets by the hash of the keys, and each bucket in one of two slots. A batch rewrites the buckets that it touches into their other slots and then adds its rows to a log of commits, which alone says which slot counts. So a batch that
+    fails or is lost leaves the table as it was, a batch that is replayed after its commit changes nothing, a new Table on the same folder goes on where
+    the last one ended, and no more than two versions of a bucket are kept.
+    """
+
+    def __init__(self, spark: SparkSession, schema: T.StructType, keys: list[str], base: str | None = None, buckets: int = BUCKETS):
+        self.spark, self.schema, self.keys, self.base, self.buckets = spark, schema, keys, base or folder(spark, "table"), buckets
+
+    def _commits(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(_COMMIT).parquet(f"{self.base}/commits")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return None
+            raise
+
+    def last_batch(self) -> int | None:
+        log = self._commits()
+        return None if log is None else log.agg(F.max("batch")).first()[0]
+
+    def _slots(self) -> dict[int, int]:
+        """The slot that counts of each bucket: at most as many rows as there are buckets."""
+        log = self._commits()
+        return {} if log is None else {r["bucket"]: r["slot"] for r in log.groupBy("bucket").agg(F.max_by("slot", "batch").alias("slot")).collect()}
+
+    def read(self, only: list[int] | None = None) -> DataFrame:
+        paths = [f"{self.base}/slot{s}/bucket={b}" for b, s in sorted(self._slots().items()) if only is None or b in only]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def merge(self, rows: DataFrame, batch: int, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Replaces the buckets that ``rows`` touch by ``combine(old rows of these buckets, rows)``."""
+        last = self.last_batch()
+        if last is not None and batch <= last:
+            return
+        own = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        touched = sorted(r[0] for r in rows.select(own).distinct().collect())
+        if not touched:
+            return
+        slots = self._slots()
+        merged = combine(self.read(touched), rows).select(*[f.name for f in self.schema]).withColumn("bucket", own)
+        for slot in (0, 1):
+            inside = [b for b in touched if 1 - slots.get(b, 1) == slot]
+            if inside:
+                merged.where(F.col("bucket").isin(inside)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.base}/slot{slot}")
+        self.spark.createDataFrame([(batch, b, 1 - slots.get(b, 1)) for b in touched], _COMMIT).coalesce(1).write.mode("append").parquet(f"{self.base}/commits")
+
+    def load(self, rows: DataFrame) -> None:
+        """First rows, of one for each key; nothing if the table has been loaded or merged into."""
+        self.merge(rows, -1, lambda old, new: new)
+
+    def upsert(self, order: list[str]) -> Callable[[DataFrame, int], None]:
+        names = [f.name for f in self.schema]
+        return lambda batch, i: self.merge(batch.select(*names), i, lambda old, new: latest_per_key(old.unionByName(new), self.keys, order))
+
+    def delta(self, mutable: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
+        (key,) = self.keys
+        return lambda batch, i: self.merge(batch, i, lambda old, new: merge_delta(old, latest_per_key(new, [key], order), key, mutable))
+
+
+#: Events that push an auction's end: they ask for a refresh ahead of others.
+def is_extension(kind: Column, extended: Column, end: Column) -> Column:
+    return F.coalesce((kind == "updated") & extended & end.isNotNull(), F.lit(False))
+
+
+def versions(stream: DataFrame, key: str, ts: str, priority: Column | None = None, base: str | None = None, state: str | None = None) -> Table:
+    """The latest row of each key with its ``version``, ``events`` (so many were accepted for the key) and ``urgent``: whether a ``priority`` event of the
+    key came in that version.
+
+    The version is the micro-batch that changed a key last, counted from 1: it never falls, and readers that hold an older one are out of date.
+    """
     spark = stream.sparkSession
-    table = Table(spark, T.StructType([*stream.schema.fields, T.StructField("version", T.LongType())]))
-    merge = table.upsert([key], ["version", ts])
-    run_batches(stream, lambda batch, i: merge(batch.withColumn("version", F.lit(i).cast("long")), i), state)
+    more = [T.StructField("version", T.LongType()), T.StructField("events", T.LongType()), T.StructField("urgent", T.BooleanType())]
+    table = Table(spark, T.StructType([*stream.schema.fields, *more]), [key], base)
+    pressing = F.lit(False) if priority is None else F.coalesce(priority, F.lit(False))
+
+    def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+        counts = new.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"), F.bool_or("urgent").alias("__u"))
+        before = old.groupBy(F.col(key).alias("__k")).agg(F.sum("events").alias("__e"))
+        rows = latest_per_key(old.unionByName(new), [key], ["version", ts])
+        joined = rows.join(counts, rows[key].eqNullSafe(counts["__k"]), "left").drop("__k").join(before, rows[key].eqNullSafe(before["__k"]), "left").drop("__k")
+        joined = joined.withColumn("events", F.coalesce("__e", F.lit(0)) + F.coalesce("__n", F.lit(0))).withColumn("urgent", F.coalesce("__u", F.col("urgent")))
+        return joined.select(*[f.name for f in table.schema])
+
+    def each(batch: DataFrame, i: int) -> None:
+        rows = batch.withColumn("version", F.lit(i + 1).cast("long")).withColumn("events", F.lit(1).cast("long")).withColumn("urgent", pressing)
+        table.merge(rows, i, combine)
+
+    run_batches(stream, each, state)
     return table
 
 
-def storm_states(stream: DataFrame, key: str, ts: str, hit: str, width_s: int = 300, floor: float = 0.5) -> DataFrame:
-    """Edges of breaches of a rolling hit rate, by key: state is the last ``width_s`` seconds of (time, hit) and whether in breach."""
+def storm_states(stream: DataFrame, key: str, ts: str, hit: str, width_s: int = 300, floor: float = 0.5, late: str = "1 hour") -> DataFrame:
+    """Edges of breaches of a rolling hit rate, by key: state is the last ``width_s`` seconds of (time, hits, events) and whether in breach.
+
+    Each event is added once and leaves once; events of one second are one entry, so a key's state is bounded by the width. When the watermark has passed the window of a key's last event, the
+    entries go, and with them the state of a key that isn't in breach.
+    """
     schema = f"{key} {dict(stream.dtypes)[key]}, ts_s long, edge string, hit_rate double"
 
     def step(k, frames, state):
+        from collections import deque
+
         import pandas as pd
 
-        held, breached = (list(map(tuple, state.get[0])), state.get[1]) if state.exists else ([], False)
-        rows = sorted((int(pd.Timestamp(t).timestamp()), int(h)) for f in frames for t, h in zip(f[ts], f[hit], strict=True))
-        out = []
-        for t, h in rows:
-            held = [x for x in held if x[0] >= t - width_s] + [(t, h)]
-            share = sum(x[1] for x in held) / len(held)
-            if (share < floor) != breached:
+        held, breached = (deque(map(list, state.get[0])), state.get[1]) if state.exists else (deque(), False)
+        if state.hasTimedOut:
+            if breached:
+                state.update(([], True))
+            else:
+                state.remove()
+            yield pd.DataFrame([], columns=[key, "ts_s", "edge", "hit_rate"])
+            return
+        hits, n, out = sum(x[1] for x in held), sum(x[2] for x in held), []
+        for t, h in sorted((int(pd.Timestamp(t).timestamp()), int(h)) for f in frames for t, h in zip(f[ts], f[hit], strict=True)):
+            while held and held[0][0] < t - width_s:
+                _, a, b = held.popleft()
+                hits, n = hits - a, n - b
+            if held and held[-1][0] == t:
+                held[-1][1] += h
+                held[-1][2] += 1
+            else:
+                held.append([t, h, 1])
+            hits, n = hits + h, n + 1
+            if (hits / n < floor) != breached:
                 breached = not breached
-                out.append((k[0], t, "start" if breached else "end", share))
+                out.append((k[0], t, "start" if breached else "end", hits / n))
         state.update(([list(x) for x in held], breached))
+        state.setTimeoutTimestamp(max((held[-1][0] + width_s + 1) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "ts_s", "edge", "hit_rate"])
 
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "held array<array<long>>, breached boolean", "append", "NoTimeout")
+    return stream.withWatermark(ts, late).groupBy(key).applyInPandasWithState(step, schema, "held array<array<long>>, breached boolean", "append", "EventTimeTimeout")
