@@ -72,6 +72,8 @@ def followups(searches: DataFrame, signals: DataFrame, seconds: int, late: str =
 #: Parts of a merged table, by the hash of its key.
 BUCKETS = 16
 _COMMIT = "batch long, bucket int, slot int"
+#: The slot of a bucket without rows.
+EMPTY = -1
 
 
 class Table:
@@ -103,7 +105,7 @@ class Table:
         return {} if log is None else {r["bucket"]: r["slot"] for r in log.groupBy("bucket").agg(F.max_by("slot", "batch").alias("slot")).collect()}
 
     def read(self, only: list[int] | None = None) -> DataFrame:
-        paths = [f"{self.base}/slot{s}/bucket={b}" for b, s in sorted(self._slots().items()) if only is None or b in only]
+        paths = [f"{self.base}/slot{s}/bucket={b}" for b, s in sorted(self._slots().items()) if s != EMPTY and (only is None or b in only)]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def merge(self, rows: DataFrame, batch: int, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
@@ -117,11 +119,13 @@ class Table:
             return
         slots = self._slots()
         merged = combine(self.read(touched), rows).select(*[f.name for f in self.schema]).withColumn("bucket", own)
+        filled = {r[0] for r in merged.select("bucket").distinct().collect()}
+        new = {b: 1 - max(slots.get(b, 1), 0) if b in filled else EMPTY for b in touched}
         for slot in (0, 1):
-            inside = [b for b in touched if 1 - slots.get(b, 1) == slot]
+            inside = [b for b in touched if new[b] == slot]
             if inside:
                 merged.where(F.col("bucket").isin(inside)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.base}/slot{slot}")
-        self.spark.createDataFrame([(batch, b, 1 - slots.get(b, 1)) for b in touched], _COMMIT).coalesce(1).write.mode("append").parquet(f"{self.base}/commits")
+        self.spark.createDataFrame([(batch, b, s) for b, s in new.items()], _COMMIT).coalesce(1).write.mode("append").parquet(f"{self.base}/commits")
 
     def load(self, rows: DataFrame) -> None:
         """First rows, of one for each key; nothing if the table has been loaded or merged into."""
