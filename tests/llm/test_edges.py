@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lotwise.llm import chat, fingerprint, licenses, lines, packing, pieces, pii, quality, simhash, topk
 from lotwise.llm.queries import PIECE_MODEL, tokenizer_path
 
-CLASHING = ["key", "a", "b", "fp", "node", "n_lines", "n_entities", "score", "log_chars", "t", "first", "shard", "next", "license"]
+CLASHING = ["key", "a", "b", "fp", "node", "n_lines", "n_entities", "score", "log_chars", "t", "first", "shard", "next", "license", "__doc", "__again", "row", "gone", "lines", "again", "leaf", "line", "sig", "own", "hashes", "copies", "n"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -63,6 +63,7 @@ def test_own_columns_survive(docs, labels):
     for name in ("keep", "near"):
         assert RUNS[name](docs, labels).columns == docs.columns
     assert set(docs.columns) <= set(RUNS["lines"](docs, labels).columns)
+    assert set(docs.columns) <= set(RUNS["pii"](docs, labels).columns) and set(docs.columns) <= set(RUNS["pii_joined"](docs, labels).columns)
 
 
 def test_vectors_with_odd_components(spark):
@@ -70,7 +71,7 @@ def test_vectors_with_odd_components(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (None, [1.0, 1.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>")
     v = df.select("vec_id", topk.scaled(F.col("embedding")).alias("v"))
     got = sorted(tuple(r) for r in topk.top_k(v, F.col("vec_id") % 50 == 0, 5).collect())
-    assert got == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 7, 0)]
+    assert got == [(0, 1, 1, 65536), (0, 2, 1, 65536), (0, 3, 2, 65536), (0, 4, 7, 0)]
     assert topk.top_k(v.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 

@@ -35,3 +35,40 @@ def test_stages(spark, sf, tmp_path):
 def test_run_gives_the_packed_rows(spark, sf):
     got = p.run(spark, sf)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 0
+
+
+def tables(spark, folder, docs, labels):
+    for name, df in (("documents", docs), ("labels", labels)):
+        df.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_run_on_odd_and_empty_tables(spark, sf, tmp_path):
+    own = spark.read.parquet(f"{sf}/documents.parquet")
+    long = " ".join(f"w{i}" for i in range(20_000))
+    odd = [(1, None), (2, ""), (3, "  "), (None, "no id at all here"), (None, None), (10**6, long), (10**6, long), (10**6 + 1, long), (7, "x"), (7, "x")]
+    rows = spark.createDataFrame([(i, t, None, None, None) for i, t in odd], own.schema)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    mixed = tables(spark, tmp_path / "mixed", own.unionByName(rows).withColumn("key", p.F.lit(1)).withColumn("lines", p.F.lit("a")), labels)
+    got = p.run(spark, mixed)
+    assert got.where(p.F.col("doc_id") == 10**6 + 1).count() == 0 and got.count() > 0
+    assert p.run(spark, tables(spark, tmp_path / "none", own.limit(0), labels.limit(0))).count() == 0
+    assert p.run(spark, tables(spark, tmp_path / "bare", own.limit(20), labels.limit(0))).count() > 0
+
+
+def test_run_against_a_plain_program(spark, sf):
+    """The five stages by the brute-force versions of their operators, one text after another."""
+    from tokenizers import Tokenizer
+
+    from .test_brute_force import line_brute, near_brute
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    scores = {r["doc_id"]: r["score"] for r in quality.score(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    left = line_brute({d: t for d, t in texts.items() if scores[d] >= 0.5})
+    _, root = near_brute([(d, t.lower()) for d, t in left.items()])
+    left = {d: pii.replace(t, p.PII_KEY, {})[0] for d, t in left.items() if root[d] == d}
+    own = Tokenizer.from_file(p.tokenizer_path())
+    want = {d: len(own.encode(t, add_special_tokens=False).ids) + 1 for d, t in left.items()}
+    got = p.run(spark, sf).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in got} == want
+    assert sum(r["length"] for r in got) == sum(want.values())
