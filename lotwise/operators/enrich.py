@@ -124,10 +124,25 @@ def tld_features(listings: DataFrame, as_of, weeks: int = 13, threshold: float =
     return out.join(index_forecast(per, "tld", "week", "mean_price").drop("n"), "tld")
 
 
-def auction_features(auctions: DataFrame, as_of, top: int = 50_000) -> DataFrame:
-    """Active auctions, the ``top`` by bids and price, with composite score, rank within the TLD, urgency, heat and life stage."""
+def auction_features(auctions: DataFrame, as_of, top: int = 50_000, watchers: DataFrame | None = None, bidders: DataFrame | None = None, bands: DataFrame | None = None, momenta: DataFrame | None = None, rates: DataFrame | None = None) -> DataFrame:
+    """Active auctions, the ``top`` by bids and price, with composite score, rank within the TLD, urgency, heat and life stage.
+
+    With dimensions also: ``watchers`` and ``bidders`` (item, n): their number, 0 if unknown; ``bands`` (tld, p25, p75): the price against
+    its TLD's fair band; ``momenta`` (tld, now, before): the TLD's momentum; ``rates`` (registrar, rate): the registrar's sell-through tier.
+    """
     active = auctions.where(F.col("ends_at") > F.lit(as_of)).orderBy(F.desc("bids"), F.desc("price"), "auction_id").limit(top)
     out = composite_score(active, {"bids": 0.5, "price": 0.3, "govalue": 0.2})
     out = competition_rank(out, ["tld"], "price", "tld_rank")
     days = F.datediff(F.lit(as_of), "listed_at")
-    return out.withColumn("urgency", urgency(F.col("ends_at"), as_of)).withColumn("heat", heat(F.col("bids"), 30, 10)).withColumn("stage", stage(days, days, 30, 90, 365))
+    out = out.withColumn("urgency", urgency(F.col("ends_at"), as_of)).withColumn("heat", heat(F.col("bids"), 30, 10)).withColumn("stage", stage(days, days, 30, 90, 365))
+    for name, dim in (("watchers", watchers), ("bidders", bidders)):
+        if dim is not None:
+            out = lookup(out, dim.select("item", F.col("n").alias(name)), "item", {name: 0})
+    if bands is not None:
+        out = lookup(out, bands.select("tld", "p25", "p75"), "tld", {"p25": None, "p75": None})
+        out = out.withColumn("fair_value", F.when(F.col("p25").isNull(), "unknown").when(F.col("price") < F.col("p25"), "below").when(F.col("price") > F.col("p75"), "above").otherwise("fair"))
+    if momenta is not None:
+        out = lookup(out, momenta.select("tld", momentum(F.col("now"), F.col("before")).alias("tld_momentum")), "tld", {"tld_momentum": "unknown"})
+    if rates is not None:
+        out = lookup(out, rates.select("registrar", sell_through_tier(F.col("rate")).alias("tier")), "registrar", {"tier": "unknown"})
+    return out

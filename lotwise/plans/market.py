@@ -560,9 +560,30 @@ def tbl_tld_features(spark, d):
     return rounded(enrich.tld_features(listings(spark, d), AS_OF).select("tld", "week", "n", "mean_price", "growth_pct", "tier"))
 
 
-@query(f"""{A}, a AS (SELECT * FROM l WHERE ends_at > {_NOW} ORDER BY bids DESC, price DESC, auction_id LIMIT 50000) SELECT auction_id, CAST(rank() OVER (PARTITION BY tld ORDER BY price DESC) AS INTEGER) AS tld_rank, CASE WHEN bids >= 30 THEN 'high' WHEN bids >= 10 THEN 'medium' ELSE 'low' END AS heat FROM a""")
+_TWO_MONTHS = "avg(price) FILTER (ends_at > TIMESTAMP '2001-05-02' AND ends_at <= TIMESTAMP '2001-06-01') AS now, avg(price) FILTER (ends_at > TIMESTAMP '2001-04-02' AND ends_at <= TIMESTAMP '2001-05-02') AS before"
+
+
+@query(f"""{A}, e AS (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, user_id, event_type FROM events), a AS (SELECT *, auction_id % 150 AS item FROM l WHERE ends_at > {_NOW} ORDER BY bids DESC, price DESC, auction_id LIMIT 50000),
+    w AS (SELECT item, count(*) AS n FROM e WHERE event_type IN ('view', 'signup') GROUP BY ALL), b AS (SELECT item, count(DISTINCT user_id) AS n FROM e WHERE event_type IN ('click', 'purchase') GROUP BY ALL),
+    q AS (SELECT tld, list_sort(list(price))[CAST(least(floor(0.25 * count(*)), count(*) - 1) + 1 AS BIGINT)] AS p25, list_sort(list(price))[CAST(least(floor(0.75 * count(*)), count(*) - 1) + 1 AS BIGINT)] AS p75 FROM l GROUP BY ALL),
+    m AS (SELECT tld, {_TWO_MONTHS} FROM l GROUP BY ALL), r AS (SELECT registrar, avg(sold) AS rate FROM l WHERE registrar % 6 > 0 GROUP BY ALL)
+    SELECT auction_id, CAST(rank() OVER (PARTITION BY a.tld ORDER BY price DESC) AS INTEGER) AS tld_rank, CASE WHEN bids >= 30 THEN 'high' WHEN bids >= 10 THEN 'medium' ELSE 'low' END AS heat, coalesce(w.n, 0) AS watchers, coalesce(b.n, 0) AS bidders,
+        CASE WHEN price < p25 THEN 'below' WHEN price > p75 THEN 'above' ELSE 'fair' END AS fair_value, CASE WHEN now IS NULL OR coalesce(before, 0) = 0 THEN 'unknown' WHEN 100 * (now - before) / before > 5 THEN 'rising' WHEN 100 * (now - before) / before < -5 THEN 'falling' ELSE 'stable' END AS tld_momentum,
+        CASE WHEN rate IS NULL THEN 'unknown' WHEN rate >= 0.6 THEN 'high' WHEN rate >= 0.3 THEN 'medium' ELSE 'low' END AS tier
+    FROM a LEFT JOIN w ON a.item = w.item LEFT JOIN b ON a.item = b.item LEFT JOIN q ON a.tld = q.tld LEFT JOIN m ON a.tld = m.tld LEFT JOIN r ON a.registrar = r.registrar""")
 def tbl_auction_features(spark, d):
-    return enrich.auction_features(listings(spark, d, latest=True), AS_OF).select("auction_id", "tld_rank", "heat")
+    from lotwise.functions import quantiles
+
+    a, e = listings(spark, d, latest=True), events(spark, d)
+    dims = {
+        "watchers": e.where(F.col("event_type").isin("view", "signup")).groupBy("item").agg(F.count("*").alias("n")),
+        "bidders": e.where(F.col("event_type").isin("click", "purchase")).groupBy("item").agg(F.countDistinct("user_id").alias("n")),
+        "bands": quantiles.grouped(a, ["tld"], "price", {"p25": 0.25, "p75": 0.75}),
+        "momenta": a.groupBy("tld").agg(*[F.avg(F.when((F.col("ends_at") > F.lit(x)) & (F.col("ends_at") <= F.lit(y)), F.col("price"))).alias(n) for n, x, y in (("now", datetime(2001, 5, 2), datetime(2001, 6, 1)), ("before", datetime(2001, 4, 2), datetime(2001, 5, 2)))]),
+        "rates": a.where("registrar % 6 > 0").groupBy("registrar").agg(F.avg("sold").alias("rate")),
+    }
+    out = enrich.auction_features(a.withColumn("item", F.col("auction_id") % 150), AS_OF, **dims)
+    return out.select("auction_id", "tld_rank", "heat", "watchers", "bidders", "fair_value", "tld_momentum", "tier")
 
 
 @query(f"""{L}, s AS (SELECT *, traffic * bids AS visits, CASE WHEN backlinks > 70 THEN backlinks ELSE 0 END AS volume, 3 * authority AS pages FROM l)
