@@ -36,3 +36,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further ``edges`` (a, b): only the components that these join are looked at again."""
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    known = written(edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")))
+    over = components(known.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("root")), F.struct(F.col("b").alias("node"), F.col("y").alias("root"))))
+    both = roots.unionByName(known.select(ends.alias("e")).select("e.*")).distinct()
+    over = over.select(F.col("node").alias("root"), F.col("root").alias("__root"))
+    return written(both.join(over, "root", "left").select("node", F.coalesce("__root", "root").alias("root")))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_arrow, row_key, written
-from .components import components
+from .components import components, joined
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Key groups of up to so many fingerprints are joined with themselves.
@@ -152,6 +152,8 @@ FAR_BITS = 80
 EXACT_PARTS, PART_SHINGLES = 64, 8
 #: In block groups over SMALL_GROUP each text first meets the smallest and so many others that come next in order of fingerprint.
 NEIGHBOURS = 3
+#: Rounds in large groups go on as long as one new link comes from fewer than so many new pairs.
+FEW = 20
 #: Members of a block group that are compared in one place.
 PART = 1024
 #: In what is left of larger groups, a block counts together with so many others of the text.
@@ -250,29 +252,33 @@ def _meet(members: DataFrame) -> DataFrame:
     return o.join(w, near).select("a", "b")
 
 
-def _link_large(large: DataFrame, tested: DataFrame, links: DataFrame, texts: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:
-    """``links`` and those that the block groups ``large`` (key, node) still lack.
+def _link_large(large: DataFrame, tested: DataFrame, links: DataFrame, roots: DataFrame, texts: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:
+    """(node, root) after ``links`` (whose components are ``roots``) and those that the block groups ``large`` (key, node) still lack.
 
     Copies of one original are often near to it alone. So each group's member of most links meets all that aren't joined to
-    it, round by round as long as that finds links; then what is outside a group's commonest component meets the group. In
+    it, round by round as long as that joins a fair share of them; then what is outside a group's commonest component meets the group. In
     groups over PART, such as texts make that have nothing but a common passage in one part, it meets those with which it shares
     one of EXTENSIONS further blocks as well: a pair at 0.8 that has come so far fails in that with a chance of 0.02 or less.
     """
+    gained, asked = 1, 0
     while True:
-        roots = components(links)
         degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
         known = large.join(roots, "node", "left").join(degrees, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
         mixed = known.groupBy("key").agg(F.max(F.struct("links", "node", "root")).alias("top"), F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).where("r <> s")
         known = written(known.join(mixed.select("key", "top", "n"), "key"))
         if known.isEmpty():
-            return links
+            return roots
+        if gained * FEW < asked:
+            break
         pairs = known.where(F.col("root") != F.col("top.root")).select(F.col("node").alias("a"), F.col("top.node").alias("b"))
-        near = written(_close(_least_first(pairs).join(tested, ["a", "b"], "left_anti"), texts).select("a", "b"))
+        new = written(_least_first(pairs).join(tested, ["a", "b"], "left_anti"))
+        near = written(_close(new, texts).select("a", "b"))
         found = _verified(near, sets, min_similarity)
-        if found.isEmpty():
+        gained, asked = found.count(), new.count()
+        if not gained:
             break
         tested = tested.unionByName(near)
-        links = written(links.unionByName(found))
+        links, roots = links.unionByName(found), joined(roots, found)
 
     major = known.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"))
     members = known.join(major, "key").join(texts.select("node", "fp", "own", "next"), "node").withColumn("outside", F.col("root") != F.col("major"))
@@ -287,7 +293,7 @@ def _link_large(large: DataFrame, tested: DataFrame, links: DataFrame, texts: Da
     wide = wide.drop("n").join(sizes, "key").select(*held)
     pairs = _meet(members.where(F.col("n") <= PART).select(*held)).unionByName(_meet(wide))
     near = written(_least_first(pairs).join(tested, ["a", "b"], "left_anti"))
-    return links.unionByName(_verified(near, sets, min_similarity))
+    return joined(roots, _verified(near, sets, min_similarity))
 
 
 def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5) -> DataFrame:
@@ -326,11 +332,10 @@ def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5) ->
     # the nearest smaller text of each is checked first: what that joins needs no further check
     forest = written(near.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"))
     links = _verified(forest, sets, min_similarity)
-    rest = _apart(near.select("a", "b").join(forest, ["a", "b"], "left_anti"), components(links))
-    links = written(links.unionByName(_verified(rest, sets, min_similarity)))
-    links = _link_large(large.select("key", "node"), near.select("a", "b"), links, texts, sets, min_similarity)
+    roots = written(components(links))
+    more = _verified(_apart(near.select("a", "b").join(forest, ["a", "b"], "left_anti"), roots), sets, min_similarity)
+    roots = _link_large(large.select("key", "node"), near.select("a", "b"), links.unionByName(more), joined(roots, more), texts, sets, min_similarity)
 
-    roots = components(links)
     rooted = texts.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("doc_id").alias("group"))
     return prints.select("doc_id", "node").join(rooted.join(groups, "root").select("node", "group"), "node").select("doc_id", "group")
