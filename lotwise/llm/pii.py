@@ -72,7 +72,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     if _SIGNS.search(text) or any(k in folded for folded in [text.casefold()] for k in _KEYWORDS) or _RUN.search(text):
         for m in _PATTERNS.finditer(text):
             kind = m.lastgroup
-            if kind == "iban" and not _iban_valid(m[kind]):
+            if kind == "iban" and not _iban_valid(m[kind]) or kind == "card" and not _card_valid(m[kind]):
                 continue
             found.append((m.start(kind), m.end(kind), kind, m[kind]))
     if any(t in text for t in _GENDER):
@@ -103,6 +103,16 @@ def _iban_valid(said: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+# How the numbers of card issuers begin, and how long they are.
+_ISSUERS = re.compile(r"4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3[068]\d{12}|35\d{14}|6(?:011|4[4-9]\d|5\d\d|2\d\d)\d{12,15}")
+
+
+def _card_valid(said: str) -> bool:
+    """Other long numbers are no card numbers: order numbers, sums, stamps of time."""
+    digits = re.sub(r"\D", "", said)
+    return bool(_ISSUERS.fullmatch(digits)) and _luhn(digits)
+
+
 def _luhn(digits: str) -> bool:
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
 
@@ -165,7 +175,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "phone":
         return value[:1] + _alike(value[1:], draw)
     if kind == "card":
-        number = value[0] + _alike(value[1:], draw)
+        keep = {"4": 1, "3": 2, "5": 2}.get(value[0], 4)  # the issuer
+        number = value[:keep] + _alike(value[keep:], draw)
         if _luhn(value):
             number = next(x for d in "0123456789" if _luhn(x := number[:-1] + d))
         return number

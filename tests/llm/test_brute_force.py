@@ -629,6 +629,14 @@ def test_one_surrogate_per_person_and_values_that_run_out():
         assert len(made) > 150 and pii.dress(kind, value, pii.surrogate(b"k", kind, value, 40))
 
 
+def test_long_numbers_that_are_no_cards_stay():
+    for said in ("order 9807915762804490", "4539578763621487", "1234567890123", "0810992847249404", "20240131120000123"):
+        assert pii.replace(said, b"k", {}) == (said, 0)
+    for card in ("4539578763621486", "4539 5787 6362 1486", "5105105105105100", "378282246310005", "6011111111111117", "2223003122003222"):
+        made, n = pii.replace(f"paid with {card}.", b"k", {})
+        assert n == 1 and card not in made and pii.find(made)[0][2] == "card" and [c for c in made if not c.isdigit()] == [c for c in f"paid with {card}." if not c.isdigit()]
+
+
 def test_a_crowded_format_ends(spark):
     ids = spark.createDataFrame([("email", f"{a}@{b}.co") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"], "kind string, value string")
     again = {r["value"]: r["attempt"] for r in pii.redraws(ids, b"k").collect()}
@@ -645,13 +653,15 @@ def test_surrogates_against_plain_patterns(spark):
     was = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     made = {r["doc_id"]: r["text"] or "" for r in pii.pseudonymise(docs, b"k").collect()}
     every, to = re.compile("|".join(PLAIN.values())), {}
+    sums = lambda x: sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(x)) % 10 == 0
+    found = lambda t: [x for x in every.findall(t) if len(x) != 16 or not x.isdigit() or x[0] == "4" and sums(x)]
     for d, t in was.items():
-        a, b = every.findall(t), every.findall(made[d])
+        a, b = found(t), found(made[d])
         assert len(a) == len(b), d
         for x, y in zip(a, b, strict=True):
             assert x != y and to.setdefault(x.lower(), y.lower()) == y.lower()
             assert [c.isdigit() for c in x if not c.isalpha()] == [c.isdigit() for c in y if not c.isalpha()] or "@" in x or "." in x or len(x) == 40
-        if not a and not re.search(r"(?i)secret|token|passw|pwd|key|\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Don|Herr|Frau|Sr|Sra|Mme|Madame|Monsieur)\b|\d{3}[ .-]\d|[0-9a-zA-Z]{16}", t):
+        if not a and not re.search(r"\d{13}|\d \d{3} \d{3}", t) and not re.search(r"(?i)secret|token|passw|pwd|key|\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Don|Herr|Frau|Sr|Sra|Mme|Madame|Monsieur)\b|\d{3}[ .-]\d|[0-9a-zA-Z]{16}", t):
             assert made[d] == t, d
     assert len(to) > 50 and len({*to.values()}) == len(to) and not {*to} & {*to.values()}
 
