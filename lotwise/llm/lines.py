@@ -7,8 +7,8 @@ that leaves enough constant tokens, and the tokens that differ become variable f
 hardly any constant token have their exact text as their template. A template that lines of two documents or more have recurs; its
 lines stay in the first of these documents (by doc_id) and are dropped in the others.
 
-A narrow pass over the texts gives each line's leaves and one byte for each of its tokens. What leaves that two documents share hold
-is counted before it is shuffled; a leaf is merged in salted parts first, whose templates are then merged, and
+Texts are read once, in one narrow pass, which keeps each line's leaves and one byte for each of its tokens. What leaves that two
+documents share hold is counted before it is shuffled; a leaf is merged in salted parts first, whose templates are then merged, and
 a task holds the templates of one part of a leaf at a time. Which lines go is joined to the documents by row and line number.
 """
 
@@ -68,8 +68,8 @@ def tokens_of(lines: list[str]) -> tuple:
     return hashes, digit, line, index
 
 
-def leaves(lines: list[str]) -> tuple[list[int], list[int], list[bytes]]:
-    """(line number, leaf, tokens as bytes) of each leaf that each line falls to; no bytes for a template of exact text."""
+def leaves(lines: list[str]) -> tuple[list[int], list[list[int]], list[bytes]]:
+    """Of each line that has a template: its number, its leaves, and its tokens as bytes (none for a template of exact text)."""
     import numpy as np
 
     if not lines:
@@ -100,22 +100,24 @@ def leaves(lines: list[str]) -> tuple[list[int], list[int], list[bytes]]:
     sig = np.where(digit, MASKED, (hashes >> np.uint64(40)) % np.uint64(254) + np.uint64(1)).astype("uint8").tobytes()
     ends, from_ = (begin + n).tolist(), begin.tolist()
     told = [sig[from_[i] : ends[i]] if f else b"" for i, f in enumerate(fields.tolist())]
-    rows = rows.tolist()
-    return rows, leaf.view("int64").tolist(), [told[i] for i in rows]
+    known, at = np.unique(rows, return_index=True)
+    leaf, at = leaf.view("int64").tolist(), [*at.tolist(), len(rows)]
+    known = known.tolist()
+    return known, [leaf[a:b] for a, b in zip(at, at[1:], strict=False)], [told[i] for i in known]
 
 
 def _tell(batch) -> dict:
     """Line numbers, leaves and bytes of each text's lines, in slices of bounded size."""
     import numpy as np
 
-    out = {"text": [], "line": [], "leaf": [], "sig": []}
+    out = {"text": [], "line": [], "leaves": [], "sig": []}
     lines, owner, number, size = [], [], [], 0
 
     def flush() -> None:
         rows, leaf, sig = leaves(lines)
         out["text"].extend([owner[i] for i in rows])
         out["line"].extend([number[i] for i in rows])
-        out["leaf"].extend(leaf)
+        out["leaves"].extend(leaf)
         out["sig"].extend(sig)
 
     for k, text in enumerate(batch.column("text").to_pylist()):
@@ -134,7 +136,8 @@ def _tell(batch) -> dict:
 
 
 def _shared(told: DataFrame) -> DataFrame:
-    """Rows of the leaves that two documents or more fall to. Texts are parsed for the count and again for the rows: that costs less than to keep all rows."""
+    """Rows (with ``leaf``) of the leaves that two documents or more fall to."""
+    told = told.select("doc", "row", "line", "sig", F.explode("leaves").alias("leaf"))
     ends = told.groupBy("leaf").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     both = written(ends.where("first <> last").select("leaf"))
     return written(told.join(F.broadcast(both) if both.count() <= BROADCAST_LEAVES else both, "leaf", "left_semi"))
@@ -223,8 +226,8 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_lines", "n_dropped")
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     key = row_key(F.col("doc_id"), F.col("text"))
-    told = map_arrow(docs.select(order.alias("doc"), key.alias("row"), "text"), _tell, "doc long, row struct<a:long,b:long>, line int, leaf long, sig binary")
-    told = _shared(told)
+    told = map_arrow(docs.select(order.alias("doc"), key.alias("row"), "text"), _tell, "doc long, row struct<a:long,b:long>, line int, leaves array<long>, sig binary")
+    told = _shared(written(told))
     first, _ = templates(told)
     gone = told.join(first, ["leaf", "sig"]).where(F.col("first") != F.col("doc")).groupBy("row").agg(F.collect_set("line").alias("gone"))
     at, own, lines = (unused(x, docs.columns) for x in ("row", "gone", "lines"))
