@@ -147,6 +147,9 @@ def synonym_misses(tokens: DataFrame, synonyms: DataFrame, least: int) -> DataFr
 
 def hash_bucket(term: Column, size: int) -> Column:
     """The first 8 bytes of sha256 modulo ``size``."""
+    if size & (size - 1) == 0 and size <= 1 << 28:  # the last of these bytes tell it
+        digits = -(-(size.bit_length() - 1) // 4) or 1
+        return (F.conv(F.substring(F.sha2(term, 256), 17 - digits, digits), 16, 10).cast("int") % size).cast("int")
     return (F.conv(F.substring(F.sha2(term, 256), 1, 16), 16, 10).cast("decimal(20,0)") % size).cast("int")
 
 
@@ -171,23 +174,23 @@ def bm25_queries(tokens: DataFrame, size: int = 1 << 16, synonyms: DataFrame | N
 
 
 #: Entries of documents' vectors in a block, about, and queries in one: what a task of the sparse product holds.
-DOT_ENTRIES, DOT_QUERIES = 2_000_000, 10_000
+DOT_ENTRIES, DOT_QUERIES = 250_000, 10_000
 
 
 def _sparse_cell(k: int):
     def best(docs, queries):
         import numpy as np
 
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "doc_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        asked, names, values = [np.zeros(0, "int64")], [np.zeros(0, "int64")], [np.zeros(0)]
+        told = lambda: pd.DataFrame({"query_id": np.concatenate(asked), "doc_id": np.concatenate(names), "score": np.concatenate(values)})
         if not len(docs) or not len(queries):
-            return empty
+            return told()
         ids, at = np.unique(docs["doc_id"].to_numpy(), return_inverse=True)
         order = np.argsort(docs["bucket"].to_numpy(), kind="stable")
         bucket, at, weight = docs["bucket"].to_numpy()[order], at[order], docs["weight"].to_numpy()[order]
         queries = queries.sort_values(["query_id", "bucket"])
         lo, hi = np.searchsorted(bucket, queries["bucket"]), np.searchsorted(bucket, queries["bucket"], "right")
         q, own = queries["query_id"].to_numpy(), queries["weight"].to_numpy()
-        out = [empty]
         for start in np.flatnonzero(np.r_[True, q[1:] != q[:-1]]):
             stop = start + np.searchsorted(q[start:], q[start], "right")
             scores, touched = np.zeros(len(ids)), np.zeros(len(ids), "bool")
@@ -201,8 +204,10 @@ def _sparse_cell(k: int):
                 keep = said >= np.partition(said, len(said) - k)[len(said) - k]
                 found, said = found[keep], said[keep]
             top = np.lexsort((ids[found], -said))[:k]
-            out.append(pd.DataFrame({"query_id": q[start], "doc_id": ids[found[top]], "score": scores[found[top]]}))
-        return pd.concat(out)
+            asked.append(np.full(len(top), q[start]))
+            names.append(ids[found[top]])
+            values.append(scores[found[top]])
+        return told()
 
     return best
 
