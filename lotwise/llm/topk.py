@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows in a block of candidates and of queries, about: what a task holds.
-CANDIDATE_BLOCK, QUERY_BLOCK = 65_536, 65_536
+CANDIDATE_BLOCK, QUERY_BLOCK = 16_384, 65_536
 #: Scores are accumulated for so many queries and candidates at a time, so that they stay in a core's cache.
 QUERY_TILE, CANDIDATE_TILE = 64, 4_096
 
@@ -55,11 +55,11 @@ def _matrix(rows, width: int):
 
 
 def _postings(rows) -> list:
-    """For each term the rows that have it and their weights."""
+    """For each term the rows that have it and their weights; a term that most rows have is kept as a whole column (None for the rows)."""
     import numpy as np
 
     places = [np.flatnonzero(rows[:, t]) for t in range(rows.shape[1])]
-    return [(where, rows[where, t]) for t, where in enumerate(places)]
+    return [(None, np.ascontiguousarray(rows[:, t])) if 2 * len(where) > len(rows) else (where, rows[where, t]) for t, where in enumerate(places)]
 
 
 def _answer(queries, own, tiles, k: int) -> tuple:
@@ -72,15 +72,15 @@ def _answer(queries, own, tiles, k: int) -> tuple:
         scores = np.zeros((len(queries), len(ids)), queries.dtype)
         for t, (where, weights) in enumerate(postings):
             said = np.flatnonzero(queries[:, t])
-            if not len(where) or not len(said):
+            if not len(weights) or not len(said):
                 continue
-            added = np.multiply.outer(queries[said, t], weights)  # a term's weighted postings for all queries that have it
-            if len(said) == len(queries) and len(where) == len(ids):
-                scores += added
-            elif len(where) == len(ids):
-                scores[said] += added
+            # a term's weighted postings for all queries that have it
+            if where is not None:
+                scores[np.ix_(said, where)] += np.multiply.outer(queries[said, t], weights)
+            elif 2 * len(said) > len(queries):
+                scores += np.multiply.outer(queries[:, t], weights)
             else:
-                scores[np.ix_(said, where)] += added
+                scores[said] += np.multiply.outer(queries[said, t], weights)
         first, last = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
         for i in np.flatnonzero(first < last):
             scores[i, first[i] : last[i]] = none
