@@ -24,7 +24,7 @@ END_ID = 2
 #: Pieces in a shard, about. Bounds a task's memory.
 SHARD_PIECES = 20_000
 #: Words whose ids a Python worker remembers.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 300_000
 
 PIECES = "doc_id long, key struct<a:long,b:long>, start long, length long, ids_crc32 long, doc_tokens long"
 #: Words as the tokenizer's pattern cuts lower-case Latin-1 text.
