@@ -564,8 +564,8 @@ def test_each_license_is_found_as_itself_alone():
 
 def test_license_scan_of_whole_tables(docs, texts, spark):
     """Whole results against runs of words that a plain search finds."""
-    plain = {d: f" {' '.join(re.findall(r'[^\\W_]+(?:[.][0-9]+)*', t.lower()))} " for d, t in texts.items()}
-    said = {n: f" {' '.join(re.findall(r'[^\\W_]+(?:[.][0-9]+)*', t.lower()))} " for n, t in licenses.TEMPLATES.items()}
+    plain = {d: f" {' '.join(re.findall(r'[^\W_]+(?:[.][0-9]+)*', t.lower()))} " for d, t in texts.items()}
+    said = {n: f" {' '.join(re.findall(r'[^\W_]+(?:[.][0-9]+)*', t.lower()))} " for n, t in licenses.TEMPLATES.items()}
     want = {(d, n) for d, t in plain.items() for n in said if said[n] in t}
     assert want and {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs).collect()} == want
     mit = licenses.TEMPLATES["MIT"]
