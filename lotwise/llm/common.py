@@ -50,6 +50,22 @@ def row_key(*cols: Column) -> Column:
     return F.struct(F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit("second"), *cells).alias("b"))
 
 
+#: Groups that ``join_by_weight`` broadcasts at most.
+HEAVY = 100_000
+
+
+def join_by_weight(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` left join ``groups`` (unique in ``keys``) where groups may be of any size; ``weight`` says how many of the ``total`` rows each has.
+
+    Groups with over one ``HEAVY``-th of all rows (64 at least) are broadcast: there can be no more than ``HEAVY`` of them. The
+    rest is joined by a shuffle, in which no key has more rows than that.
+    """
+    bound = max(64, total // HEAVY)
+    heavy = F.broadcast(groups.where(F.col(weight) > bound))
+    light = groups.where(F.col(weight) <= bound)
+    return rows.join(heavy, keys).unionByName(rows.join(heavy, keys, "left_anti").join(light, keys, "left"))
+
+
 def map_arrow(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` over record batches of bounded size; ``fn(batch)`` gives a dict of columns."""
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema

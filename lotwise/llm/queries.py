@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,7 +84,67 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_simhash, op3_packing, op4_quality, op5_topk, op6_lines, op7_licenses, op8_pii, op9_pieces, op10_chat)}
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact import exact_copies
+
+    return exact_copies(read(spark, sf_dir, "documents"), keep="largest")
+
+
+def _repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Where 10 divides h, the CRC-32 of the id: from a place on, words repeat with a period; both follow from h. A null id has no h."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import periodic_runs, run_digests
+
+    return run_digests(periodic_runs(read(spark, sf_dir, "documents"), _repeat_tail))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .manifest import manifest
+
+    return manifest(read(spark, sf_dir, "documents"))
+
+
+def _manifest_sql(levels: int = 7) -> str:
+    """Leaves, then level by level the runs of both trees, then every leaf's siblings and fold; ``levels`` of arity 16 hold 268 million leaves a source."""
+    part = lambda x: f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')"
+    leaf = lambda t: "sha256(" + " || ".join(part(x) for x in ("doc_id", "source", "lang", "n_chars", t)) + ")"
+    az = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    bit = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    crc = f"list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda k, x: list_reduce([xor(k, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: {bit}), 4294967295)"
+    parts = [
+        f"""l AS (SELECT doc_id, source AS src, {leaf("text")} AS leaf, CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN {leaf(f"translate(text, {az})")} END AS tampered FROM documents)""",
+        "s0 AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY src) AS n FROM l)",
+    ]
+    for tree in "st":
+        for k in range(1, levels):
+            run = f"SELECT src, i // 16 AS i, any_value(n) AS was, list(h ORDER BY i) AS hs FROM {tree}{k - 1} GROUP BY src, i // 16"
+            parts.append(f"{tree}{k} AS (SELECT src, i, (was + 15) // 16 AS n, was, hs, CASE WHEN was = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM ({run}))")
+        if tree == "s":
+            parts.append(f"t0 AS (SELECT 'all' AS src, src AS name, h, row_number() OVER (ORDER BY encode(src) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM s{levels - 1})")
+    fold = lambda frm, to, k, src: f"""{to} AS (SELECT f.* REPLACE (CASE WHEN r.was = 1 THEN f.acc ELSE sha256(array_to_string(list_transform(r.hs, lambda x, j: CASE WHEN j = f.i % 16 + 1 THEN f.acc ELSE x END), '')) END AS acc,
+            f.sib || CASE WHEN r.was = 1 THEN '' ELSE array_to_string(list_filter(r.hs, lambda x, j: j <> f.i % 16 + 1), '') END AS sib, f.i // 16 AS i)
+            FROM {frm} f JOIN {k} r ON r.src IS NOT DISTINCT FROM {src} AND r.i = f.i // 16)"""
+    parts.append("f0 AS (SELECT doc_id, src, leaf, coalesce(tampered, leaf) AS acc, '' AS sib, i FROM s0)")
+    parts += [fold(f"f{k - 1}", f"f{k}", f"s{k}", "f.src") for k in range(1, levels)]
+    parts.append(f"g0 AS (SELECT f.* REPLACE (t0.i AS i), t0.h AS subroot FROM f{levels - 1} f JOIN t0 ON t0.name IS NOT DISTINCT FROM f.src)")
+    parts += [fold(f"g{k - 1}", f"g{k}", f"t{k}", "'all'") for k in range(1, levels)]
+    last = levels - 1
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, t{last}.h AS root, sha256(sib) AS proof_sha256, acc AS folded_root, acc = t{last}.h AS verified FROM g{last}, t{last}"
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_fingerprint, op2_simhash, op3_packing, op4_quality, op5_topk, op6_lines, op7_licenses, op8_pii, op9_pieces, op10_chat, op11_exact, op12_runs, op13_manifest)
+}
 SQL: dict[str, str] = {
     "op5_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -100,4 +162,10 @@ SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(said + 24) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op11_exact": """
+        WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+        SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+               row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+        FROM t""",
+    "op13_manifest": _manifest_sql(),
 }
