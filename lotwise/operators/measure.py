@@ -30,6 +30,29 @@ def sum_ratio(df: DataFrame, hits: str, misses: str) -> DataFrame:
     return df.agg(F.sum(hits).alias("hits"), total.alias("total"), F.when(total > 0, F.sum(hits) / total).alias("value"))
 
 
+def served_ndcg(df: DataFrame, lists: list[str], order: list[Column], gain: str, k: int = 10) -> DataFrame:
+    """``lists`` and ndcg: the discounted gain of each list's first ``k`` rows as served (by ``order``), over that of its ``k`` greatest gains. Gains count
+    as they are, NULL as 0; a list without gain has NULL."""
+    value = F.coalesce(F.col(gain).cast("double"), F.lit(0.0))
+    rows = df.select(*lists, value.alias("__g"), F.row_number().over(Window.partitionBy(*lists).orderBy(*order)).alias("__i"), F.row_number().over(Window.partitionBy(*lists).orderBy(value.desc())).alias("__j"))
+    part = lambda at: F.sum(F.when(F.col(at) <= k, F.col("__g") / F.log2(F.col(at) + 1)))
+    both = rows.groupBy(*lists).agg(part("__i").alias("__dcg"), part("__j").alias("__ideal"))
+    return both.select(*lists, F.when(F.col("__ideal") > 0, F.col("__dcg") / F.col("__ideal")).alias("ndcg"))
+
+
+def suite_summary(df: DataFrame, suite: str, query: str, order: list[Column], value: str, gain: str, right: Column, sla: float, k: int = 10) -> DataFrame:
+    """Per suite and over all (suite NULL): n, mean, p50, p95, sla (the share of slow rows), routed (the share of ``right`` rows), cost and the mean ndcg of its lists."""
+    v = F.col(value)
+    out = df.rollup(F.col(suite).alias("suite")).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.avg(v).alias("mean"), F.avg((v > sla).cast("double")).alias("sla"), F.avg(right.cast("double")).alias("routed"), (F.sum(v) / 1000).alias("cost"))
+    both = lambda rows: rows.select(F.col(suite).alias("suite"), F.lit(0).alias("level"), v).unionByName(rows.select(F.lit(None).alias("suite"), F.lit(1).alias("level"), v))
+    qs = quantiles.grouped(both(df), ["suite", "level"], value, {"p50": 0.5, "p95": 0.95}, "linear").drop("n")
+    ndcg = served_ndcg(df, [suite, query], order, gain, k).rollup(F.col(suite).alias("suite")).agg(F.grouping_id().alias("level"), F.avg("ndcg").alias("ndcg"))
+    for more in (qs, ndcg):
+        more = F.broadcast(more.withColumnsRenamed({"suite": "__suite", "level": "__level"}))  # one row for each suite
+        out = out.join(more, out["suite"].eqNullSafe(more["__suite"]) & (out["level"] == more["__level"]), "left").drop("__suite", "__level")
+    return out.drop("level")
+
+
 def latency(df: DataFrame, value: str, qs: dict[str, float], by: list[str] = ()) -> DataFrame:
     return quantiles.grouped(df, list(by), value, qs, "nearest_rank")
 

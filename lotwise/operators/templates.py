@@ -151,7 +151,9 @@ def bid_distribution(df: DataFrame, bids: str, time: str, sold: str, price: str,
 def market_summary(df: DataFrame, sold: str, price: str, bids: str, tld: str) -> DataFrame:
     """One row; on no rows counts are 0 and the rest NULL."""
     hit = F.col(sold) == 1
-    return df.agg(F.count("*").alias("total"), F.count_if(hit).alias("sold"), F.avg(F.when(hit, F.col(price))).alias("mean_sale"), F.percentile(F.when(hit, F.col(price)), F.lit(0.5)).alias("median_sale"), F.sum(F.when(hit, F.col(price))).alias("revenue"), F.avg(bids).alias("mean_bids"), F.countDistinct(tld).alias("tlds"))
+    out = df.agg(F.count("*").alias("total"), F.count_if(hit).alias("sold"), F.avg(F.when(hit, F.col(price))).alias("mean_sale"), F.sum(F.when(hit, F.col(price))).alias("revenue"), F.avg(bids).alias("mean_bids"), F.countDistinct(tld).alias("tlds"))
+    median = quantiles.grouped(df.where(hit), [], price, {"median_sale": 0.5}, "linear").select("median_sale")
+    return out.join(F.broadcast(median), F.lit(True), "left")
 
 
 def rollup(df: DataFrame, dims: list[str], metric: str, time: str, grain: str = "month") -> DataFrame:
@@ -293,8 +295,10 @@ def market_snapshot(df: DataFrame, tld: str, price: str, bids: str, top: int = 2
 
 
 def snapshot_history(df: DataFrame, entity: str, price: str, day: str) -> DataFrame:
-    p = F.col(price)
-    return df.groupBy(F.to_date(day).alias("day")).agg(F.countDistinct(entity).alias("entities"), F.avg(p).alias("mean"), F.min(p).alias("low"), F.max(p).alias("high"), F.sum(p).alias("total"), F.percentile(p, F.lit(0.5)).alias("median"))
+    p, rows = F.col(price), df.withColumn("day", F.to_date(day))
+    out = rows.groupBy("day").agg(F.countDistinct(entity).alias("entities"), F.avg(p).alias("mean"), F.min(p).alias("low"), F.max(p).alias("high"), F.sum(p).alias("total"))
+    median = quantiles.grouped(rows, ["day"], price, {"median": 0.5}, "linear").select(F.col("day").alias("__day"), "median")
+    return out.join(median, out["day"].eqNullSafe(median["__day"]), "left").drop("__day")
 
 
 def live_keys(daily: DataFrame, key: str, day: str, bids: str, as_of, days: int = 14) -> DataFrame:

@@ -196,10 +196,13 @@ def evl_pool_prf(spark, d):
     return rounded(r.groupBy("query_id").agg((hits / 5).alias("precision"), F.when(F.count_if("rel") > 0, hits / F.count_if("rel")).alias("recall")))
 
 
-@query(f"{E} SELECT event_type AS suite, count(*) AS n, near(avg(value)) AS mean, near(quantile_cont(value, 0.5)) AS p50, near(quantile_cont(value, 0.95)) AS p95, near(avg(CASE WHEN value > 60 THEN 1 ELSE 0 END)) AS sla, near(avg(CASE WHEN item % 5 = user_id % 5 THEN 1 ELSE 0 END)) AS routed, near(sum(value) / 1000) AS cost FROM e GROUP BY ROLLUP (event_type)")
+@query(f"""{E}, r AS (SELECT event_type, user_id, item, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS i, row_number() OVER (PARTITION BY event_type, user_id ORDER BY item DESC NULLS LAST) AS j FROM e),
+    g AS (SELECT event_type, user_id, sum(coalesce(item, 0) / log2(i + 1)) FILTER (i <= 10) AS dcg, sum(coalesce(item, 0) / log2(j + 1)) FILTER (j <= 10) AS ideal FROM r GROUP BY ALL),
+    d AS (SELECT event_type AS s, near(avg(dcg / ideal) FILTER (ideal > 0)) AS ndcg FROM g GROUP BY ROLLUP (event_type)),
+    o AS (SELECT event_type AS suite, count(*) AS n, near(avg(value)) AS mean, near(quantile_cont(value, 0.5)) AS p50, near(quantile_cont(value, 0.95)) AS p95, near(avg(CASE WHEN value > 60 THEN 1 ELSE 0 END)) AS sla, near(avg(CASE WHEN item % 5 = user_id % 5 THEN 1 ELSE 0 END)) AS routed, near(sum(value) / 1000) AS cost FROM e GROUP BY ROLLUP (event_type))
+    SELECT o.*, ndcg FROM o LEFT JOIN d ON suite IS NOT DISTINCT FROM s""")
 def evl_suite_summary(spark, d):
-    v = F.col("value")
-    return rounded(events(spark, d).rollup(F.col("event_type").alias("suite")).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("p50"), F.percentile(v, F.lit(0.95)).alias("p95"), F.avg((v > 60).cast("double")).alias("sla"), F.avg((F.col("item") % 5 == F.col("user_id") % 5).cast("double")).alias("routed"), (F.sum(v) / 1000).alias("cost")))
+    return rounded(m.suite_summary(events(spark, d), "event_type", "user_id", [F.col("ts"), F.col("event_id")], "value", "item", F.col("item") % 5 == F.col("user_id") % 5, 60.0))
 
 
 @query(f"""{E}, s AS (SELECT event_type, avg(value) AS mean, max(value) AS high FROM e GROUP BY ALL) SELECT event_type, 'mean' AS kind, CASE WHEN mean > 30 THEN 'high' ELSE 'low' END AS severity FROM s WHERE mean > 10 UNION ALL SELECT event_type, 'max', CASE WHEN high > 300 THEN 'high' ELSE 'low' END FROM s WHERE high > 100""")
