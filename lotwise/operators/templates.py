@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lotwise.functions import quantiles
 from lotwise.functions.times import bucket, months
 
+from .asof import within
+
 
 def _period(time: str, grain: str) -> Column:
     return bucket(F.col(time), grain).alias("period")
@@ -172,11 +174,12 @@ def funnel_levels(df: DataFrame, keys: list[str], kind: str, time: str, steps_in
     """``keys`` and ``level``: the deepest step that a group's events reach in order within ``window_s`` of a first step; 0 if they never start.
 
     Step by step, each event gets the latest start from which it is reached: a running maximum over the group's earlier events, all steps in one
-    order. So a group of any size streams through its task. Events of an instant are ordered by step name and count once.
+    order. So a group of any size streams through its task. Events of an instant are ordered as the steps are and count once.
     """
     at = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
-    rows = df.where(F.col(kind).isin(*steps_in_order)).select(*keys, at.alias("__t"), F.col(kind).alias("__k")).distinct()
-    earlier = Window.partitionBy(*keys).orderBy("__t", "__k").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.array_position(F.array(*[F.lit(s) for s in steps_in_order]), F.col(kind))
+    rows = df.where(F.col(kind).isin(*steps_in_order)).select(*keys, at.alias("__t"), place.alias("__i"), F.col(kind).alias("__k")).distinct()
+    earlier = Window.partitionBy(*keys).orderBy("__t", "__i").rowsBetween(Window.unboundedPreceding, -1)
     start = F.when(F.col("__k") == steps_in_order[0], F.col("__t"))
     rows = rows.withColumn("__s1", start)
     for i, step in enumerate(steps_in_order[1:], 2):
@@ -259,16 +262,18 @@ def cross_tld_spread(df: DataFrame, label: str, tld: str, price: str, reference:
 
 
 def attribution(signals: DataFrame, sales: DataFrame, hours: float) -> DataFrame:
-    """Sales of a key within ``hours`` after a signal of it (from its own time on): equality on the key, then the interval.
+    """Sales of a key within ``hours`` after a signal of it (from its own time on). Each signal looks at the next sale and each sale at the
+    latest signal, so a busy key makes no pairs.
 
     signals: key, request_id, ts; sales: key, sale_id, amount, ts. Each sale counts once per key.
     """
-    late = F.unix_timestamp("sale_ts") - F.unix_timestamp("ts")
-    met = signals.join(sales.select("key", "sale_id", "amount", F.col("ts").alias("sale_ts")), "key").where((F.col("sale_ts") >= F.col("ts")) & (late <= hours * 3600))
-    requests = met.groupBy("key").agg(F.countDistinct("request_id").alias("requests"))
-    once = met.select("key", "sale_id", "amount").distinct().groupBy("key").agg(F.count("*").alias("sales"), F.sum("amount").alias("revenue"))
-    asked = signals.groupBy("key").agg(F.countDistinct("request_id").alias("asked"))
-    return asked.join(requests, "key", "left").join(once, "key", "left").select("key", "asked", F.coalesce("requests", F.lit(0).cast("long")).alias("requests"), F.coalesce("sales", F.lit(0).cast("long")).alias("sales"), F.coalesce("revenue", F.lit(0.0)).alias("revenue"), (F.coalesce("requests", F.lit(0).cast("long")) / F.col("asked")).alias("rate"))
+    asked, sold = within(signals.select("key", "request_id", "ts"), sales.select("key", "sale_id", "amount", "ts"), hours * 3600)
+    requests = asked.groupBy("key").agg(F.countDistinct("request_id").alias("requests"))
+    once = sold.select("key", "sale_id", "amount").distinct().groupBy("key").agg(F.count("*").alias("sales"), F.sum("amount").alias("revenue"))
+    all_asked = signals.groupBy("key").agg(F.countDistinct("request_id").alias("asked"))
+    zero = F.lit(0).cast("long")
+    out = all_asked.join(requests, "key", "left").join(once, "key", "left").withColumns({c: F.coalesce(c, zero) for c in ("requests", "sales")})
+    return out.select("key", "asked", "requests", "sales", F.coalesce("revenue", F.lit(0.0)).alias("revenue"), (F.col("requests") / F.col("asked")).alias("rate"))
 
 
 def concentration(df: DataFrame, holder: str, metric: str) -> DataFrame:
