@@ -108,8 +108,25 @@ def stm_available_now(spark, d):
     return rounded(rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")), total=2)
 
 
-@query("SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-30' - INTERVAL 10 DAYS")
+@query("""WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 8 HOURS THEN 0 ELSE 1 END AS new FROM events), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS life FROM g),
+    l AS (SELECT user_id, min(ts) AS a, max(ts) AS b, count(*) AS n, sum(value) AS total FROM i GROUP BY user_id, life)
+    SELECT user_id, epoch_us(a) // 1000 AS started, epoch_us(b) // 1000 AS ended, n, near(total) AS total FROM l WHERE b + INTERVAL 8 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stm_ttl(spark, d):
+    """Users live for eight hours after each event; state of one that is gone expires by a timer."""
+    with ingest.rocks_state(spark):
+        return rounded(ingest.run(ingest.lives(_stream(spark, d).select("user_id", "ts", "value"), "user_id", "ts", "value", 8 * 3600), folder(spark, "out")))
+
+
+@query(f"""WITH h AS (SELECT '1 hour' AS grain, date_trunc('hour', ts) AS p, event_type, count(*) AS n, round(sum(value), 2) AS total, max(value) AS high, count(DISTINCT user_id) AS who, p + INTERVAL 1 HOUR AS stop FROM events GROUP BY ALL),
+    c AS (SELECT '1 day' AS grain, date_trunc('day', ts) AS p, event_type, count(*) AS n, round(sum(value), 2) AS total, max(value) AS high, count(DISTINCT user_id) AS who, p + INTERVAL 1 DAY AS stop FROM events GROUP BY ALL)
+    SELECT grain, strftime(p, '%Y-%m-%d %H:%M:%S') AS period, event_type, n, total, high, who FROM (SELECT * FROM h UNION ALL SELECT * FROM c) WHERE stop <= {_CLOSED}""")
+def stm_chained_rollups(spark, d):
+    out = ingest.run(ingest.chained_rollups(_stream(spark, d), "event_type", "ts", "value", "user_id"), folder(spark, "out"))
+    return rounded(_plain(out, "period"), total=2, high=2)
+
+
+@query("SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-30' - INTERVAL 10 DAYS")
+def stm_ttl_rows(spark, d):
     from datetime import datetime
 
     from lotwise.operators.etl import ttl

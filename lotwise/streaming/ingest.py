@@ -7,14 +7,16 @@ watermark are dropped. ``run`` reads what is there once (availableNow), which al
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from lotwise.operators.etl import latest_per_key, merge_delta
-from lotwise.sources.sinks import folder
+from lotwise.sources.sinks import folder, stored
 
 
 def source(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -51,6 +53,20 @@ def tumbling(stream: DataFrame, key: str, ts: str, value: str, width: str = "1 h
     return out.select(F.col("window.start").alias("period"), key, "n", "total", "high")
 
 
+def chained_rollups(stream: DataFrame, key: str, ts: str, value: str, who: str, fine: str = "1 hour", coarse: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """grain, period, ``key``, n, total, high and the number of different ``who``, of a fine and a coarse grain in one stream.
+
+    Rows are aggregated once, into the fine grain, with a sketch of ``who`` in place of a set; the coarse grain merges the fine rows and their sketches, by
+    the time at which their windows end. So state is a row for each key and open window, whatever the number of ``who``; their count is exact up to a few hundred
+    and within 2 % beyond.
+    """
+    n, sketch = F.col("n"), F.col("who")
+    hours = timed(stream, ts, late).groupBy(F.window(ts, fine), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(value).alias("high"), F.hll_sketch_agg(who).alias("who"))
+    days = hours.groupBy(F.window(F.window_time("window"), coarse), key).agg(F.sum(n).alias("n"), F.sum("total").alias("total"), F.max("high").alias("high"), F.hll_union_agg(sketch).alias("who"))
+    told = lambda rows, grain: rows.select(F.lit(grain).alias("grain"), F.col("window.start").alias("period"), key, "n", "total", "high", F.hll_sketch_estimate("who").alias("who"))
+    return told(hours, fine).unionByName(told(days, coarse))
+
+
 def sliding(stream: DataFrame, key: str, ts: str, width: str = "4 hours", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
     out = timed(stream, ts, late).groupBy(F.window(ts, width, slide), key).agg(F.count("*").alias("n"))
     return out.select(F.col("window.start").alias("period"), key, "n")
@@ -69,8 +85,85 @@ def followups(searches: DataFrame, signals: DataFrame, seconds: int, late: str =
     return a.join(b, near, "inner").select("session", "id", "signal")
 
 
-#: Parts of a merged table, by the hash of its key.
-BUCKETS = 16
+class _Lives(StatefulProcessor):
+    """Per key the lives that may still grow: first and last millisecond, rows and sum. Each has a timer at which it is told and forgotten."""
+
+    def __init__(self, key: str, ts: str, value: str, ttl_ms: int):
+        self.key, self.ts, self.value, self.ttl = key, ts, value, ttl_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.lives = handle.getValueState("lives", "lives array<struct<first: bigint, last: bigint, n: bigint, total: double>>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        held = [tuple(x) for x in self.lives.get()[0]] if self.lives.exists() else []
+        before = {x[1] for x in held}
+        for f in rows:
+            ms = (pd.to_datetime(f[self.ts], utc=True) - pd.Timestamp(0, tz="UTC")) // pd.Timedelta(milliseconds=1)
+            held += [(int(t), int(t), 1, float(v)) for t, v in zip(ms, f[self.value].fillna(0.0), strict=True)]
+        joined = []
+        for first, last, n, total in sorted(held):
+            if joined and first - joined[-1][1] <= self.ttl:
+                a = joined[-1]
+                joined[-1] = (a[0], max(a[1], last), a[2] + n, a[3] + total)
+            else:
+                joined.append((first, last, n, total))
+        self.lives.update((joined,))
+        now = {x[1] for x in joined}
+        for last in before - now:
+            self.handle.deleteTimer(last + self.ttl)
+        for last in now - before:
+            self.handle.registerTimer(last + self.ttl)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        due = expiredTimerInfo.getExpiryTimeInMs() - self.ttl
+        held = [tuple(x) for x in self.lives.get()[0]] if self.lives.exists() else []
+        rest = [x for x in held if x[1] != due]
+        if rest:
+            self.lives.update((rest,))
+        else:
+            self.lives.clear()
+        return self._told(key, [x for x in held if x[1] == due])
+
+    def _told(self, key, lives):
+        import pandas as pd
+
+        if lives:
+            yield pd.DataFrame([(key[0], *x) for x in lives], columns=[self.key, "started", "ended", "n", "total"])
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def rocks_state(spark: SparkSession):
+    """State with timers lives in RocksDB: on the executors' disks, with what changes in each batch in the checkpoint's folder."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def lives(stream: DataFrame, key: str, ts: str, value: str, ttl_s: int, late: str = "1 hour") -> DataFrame:
+    """Rows of a key that live for ``ttl_s`` after their own time and keep each other alive: ``key``, started, ended (milliseconds), n, total of each life, told when
+    the watermark has passed its end by ``ttl_s``.
+
+    State expires by itself: a timer forgets a life when it is told, and the key with its last one, so state follows the keys alive and not those ever seen. A
+    key that comes again starts anew. Rows out of order join the lives that they lie between; NULL values count as 0. Run it within ``rocks_state``.
+    """
+    kind = dict(stream.dtypes)[key]
+    rows = timed(stream, ts, late).select(key, ts, F.col(value).cast("double").alias(value))
+    return rows.groupBy(key).transformWithStateInPandas(_Lives(key, ts, value, 1000 * ttl_s), f"{key} {kind}, started long, ended long, n long, total double", "append", "eventTime")
+
+
+#: Parts of a merged table, by the hash of its key, at least; rows of a part when it is loaded.
+BUCKETS, BUCKET_ROWS = 16, 1_000_000
 _COMMIT = "batch long, bucket int, slot int"
 #: The slot of a bucket without rows.
 EMPTY = -1
@@ -84,12 +177,21 @@ class Table:
     the last one ended, and no more than two versions of a bucket are kept.
     """
 
-    def __init__(self, spark: SparkSession, schema: T.StructType, keys: list[str], base: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.schema, self.keys, self.base, self.buckets = spark, schema, keys, base or folder(spark, "table"), buckets
+    def __init__(self, spark: SparkSession, schema: T.StructType, keys: list[str], base: str | None = None, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.schema, self.keys, self.base, self.bucket_rows = spark, schema, keys, base or folder(spark, "table"), bucket_rows
+
+    @property
+    def buckets(self) -> int:
+        """Fixed by the first rows that were loaded, so that a batch rewrites parts of bounded size."""
+        found = self._table("layout", "buckets int")
+        return BUCKETS if found is None else found.agg(F.min("buckets")).first()[0]
 
     def _commits(self) -> DataFrame | None:
+        return self._table("commits", _COMMIT)
+
+    def _table(self, name: str, schema: str) -> DataFrame | None:
         try:
-            return self.spark.read.schema(_COMMIT).parquet(f"{self.base}/commits")
+            return self.spark.read.schema(schema).parquet(f"{self.base}/{name}")
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
                 return None
@@ -118,7 +220,8 @@ class Table:
         if not touched:
             return
         slots = self._slots()
-        merged = combine(self.read(touched), rows).select(*[f.name for f in self.schema]).withColumn("bucket", own)
+        # run once: what is written into the slots is read from here
+        merged = stored(combine(self.read(touched), rows).select(*[f.name for f in self.schema]).withColumn("bucket", own), "merged")
         filled = {r[0] for r in merged.select("bucket").distinct().collect()}
         new = {b: 1 - max(slots.get(b, 1), 0) if b in filled else EMPTY for b in touched}
         for slot in (0, 1):
@@ -128,7 +231,10 @@ class Table:
         self.spark.createDataFrame([(batch, b, s) for b, s in new.items()], _COMMIT).coalesce(1).write.mode("append").parquet(f"{self.base}/commits")
 
     def load(self, rows: DataFrame) -> None:
-        """First rows, of one for each key; nothing if the table has been loaded or merged into."""
+        """First rows, of one for each key; nothing if the table has been loaded or merged into. Their number says how many buckets the table has."""
+        if self.last_batch() is None and self._table("layout", "buckets int") is None:
+            n = max(BUCKETS, -(-rows.count() // self.bucket_rows))
+            self.spark.createDataFrame([(n,)], "buckets int").coalesce(1).write.mode("append").parquet(f"{self.base}/layout")
         self.merge(rows, -1, lambda old, new: new)
 
     def upsert(self, order: list[str]) -> Callable[[DataFrame, int], None]:
