@@ -23,6 +23,12 @@ def tokenize(text: Column, min_chars: int = 2, stopwords: list[str] = STOPWORDS,
     return kept if cap is None else F.slice(kept, 1, cap)
 
 
+def doc_tokens(docs: DataFrame, key: str, text: str, name: str = "doc_id") -> DataFrame:
+    """(``name``, token) of each text. Texts are dealt by their key before they are taken apart: so counts by (document, token), lengths and
+    vectors all stay where the text is, and one shuffle of texts replaces one of tokens for each of them."""
+    return docs.select(F.col(key).alias(name), F.col(text).alias("__text")).repartition(name).select(name, F.explode(tokenize(F.col("__text"))).alias("token"))
+
+
 def normalise(text: Column) -> Column:
     """Compatible forms made one and accents stripped; ICU comes with Spark."""
     apart = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True))
@@ -153,14 +159,25 @@ def hash_bucket(term: Column, size: int) -> Column:
     return (F.conv(F.substring(F.sha2(term, 256), 1, 16), 16, 10).cast("decimal(20,0)") % size).cast("int")
 
 
-def bm25_docs(tokens: DataFrame, size: int = 1 << 16, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """doc_id, bucket, weight of (doc_id, token): saturated term frequencies, summed where terms share a bucket."""
+def term_counts(tokens: DataFrame) -> DataFrame:
+    """doc_id, token, tf, dl (the document's tokens) of (doc_id, token): what a weight is made of, whatever the corpus."""
     tf = tokens.groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
-    length = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    mean = length.agg(F.avg("dl").alias("avgdl"))
-    joined = tf.join(length, "doc_id").join(F.broadcast(mean), F.lit(True))
-    w = (k1 + 1) * F.col("tf") / (k1 * (1 - b + b * F.col("dl") / F.col("avgdl")) + F.col("tf"))
-    return joined.select("doc_id", hash_bucket(F.col("token"), size).alias("bucket"), w.alias("w")).groupBy("doc_id", "bucket").agg(F.sum("w").alias("weight"))
+    return tf.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id")))  # one document's different tokens
+
+
+def saturated(tf: Column, dl: Column, mean: Column | float, k1: float = 1.2, b: float = 0.75) -> Column:
+    return (k1 + 1) * tf / (k1 * (1 - b + b * dl / mean) + tf)
+
+
+def bm25_docs(tokens: DataFrame, size: int = 1 << 16, k1: float = 1.2, b: float = 0.75, mean: float | None = None) -> DataFrame:
+    """doc_id, bucket, weight of (doc_id, token): saturated term frequencies, summed where terms share a bucket. ``mean``: the length that counts as
+    usual; without it that of these documents."""
+    terms = term_counts(tokens)
+    if mean is None:
+        lengths = tokens.groupBy("doc_id").agg(F.count("*").alias("dl")).agg(F.avg("dl").alias("mean"))
+        terms = terms.join(F.broadcast(lengths), F.lit(True))
+    w = saturated(F.col("tf"), F.col("dl"), F.col("mean") if mean is None else F.lit(float(mean)), k1, b)
+    return terms.select("doc_id", hash_bucket(F.col("token"), size).alias("bucket"), w.alias("w")).groupBy("doc_id", "bucket").agg(F.sum("w").alias("weight"))
 
 
 def bm25_queries(tokens: DataFrame, size: int = 1 << 16, synonyms: DataFrame | None = None, weight: float = 0.5, cap: int = 3) -> DataFrame:
@@ -173,62 +190,134 @@ def bm25_queries(tokens: DataFrame, size: int = 1 << 16, synonyms: DataFrame | N
     return tf.select("query_id", hash_bucket(F.col("token"), size).alias("bucket"), "w").groupBy("query_id", "bucket").agg(F.sum("w").alias("weight"))
 
 
-#: Entries of documents' vectors in a block, about, and queries in one: what a task of the sparse product holds.
-DOT_ENTRIES, DOT_QUERIES = 250_000, 10_000
+#: Entries of documents' vectors in a block, about, and queries in one: what a task of the sparse product holds; documents of a range within it.
+DOT_ENTRIES, DOT_QUERIES, DOT_RANGE = 250_000, 10_000, 16
+
+
+class _Postings:
+    """A block's documents by bucket, in ranges of ``DOT_RANGE`` with the greatest weight of each bucket and range.
+
+    Documents are ordered by their own greatest weight, so that the ranges differ in what they can reach.
+    """
+
+    def __init__(self, docs):
+        import numpy as np
+
+        self.ids, at = np.unique(docs["doc_id"].to_numpy(), return_inverse=True)
+        bucket, weight = docs["bucket"].to_numpy(), docs["weight"].to_numpy()
+        most = np.full(len(self.ids), -np.inf)
+        np.maximum.at(most, at, weight)
+        order = np.argsort(-most, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.ids, at = self.ids[order], place[at]
+        order = np.lexsort((at, bucket))
+        bucket, self.at, self.weight = bucket[order], at[order], weight[order]
+        part = self.at // DOT_RANGE
+        self.start = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])])
+        self.stop = np.r_[self.start[1:], len(bucket)]
+        self.bucket, self.part, self.most = bucket[self.start], part[self.start], np.maximum.reduceat(weight[order], self.start)
+        self.ranges = -(-len(self.ids) // DOT_RANGE)
+
+    @staticmethod
+    def _spread(start, stop):
+        """Which of the given stretches each place lies in, and the places of all of them."""
+        import numpy as np
+
+        size = stop - start
+        own = np.repeat(np.arange(len(size)), size)
+        return own, np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + start[own]
+
+    def best(self, buckets, weights, k: int):
+        """Documents and scores of one query, with every tie of the ``k``-th, and the ranges that were passed over: their greatest weights don't add up to the
+        ``k``-th score. Weights aren't negative."""
+        import numpy as np
+
+        term, entry = self._spread(np.searchsorted(self.bucket, buckets), np.searchsorted(self.bucket, buckets, "right"))
+        own, part = weights[term], self.part[entry]
+        reach = np.bincount(part, own * self.most[entry], self.ranges)
+        order = np.argsort(-reach, kind="stable")
+        order = order[reach[order] > 0]
+        found, said, least, done, step = [], [], -np.inf, 0, max(4, -(-2 * k // DOT_RANGE))
+        while done < len(order):
+            some = order[done : done + step]
+            some = some[reach[some] >= least - 1e-6]
+            if not len(some):
+                break
+            inside = np.zeros(self.ranges, "bool")
+            inside[some] = True
+            e = np.flatnonzero(inside[part])
+            which, at = self._spread(self.start[entry[e]], self.stop[entry[e]])
+            doc = self.at[at]
+            score = np.bincount(doc, own[e][which] * self.weight[at], len(self.ids))
+            doc = np.unique(doc)
+            found.append(doc)
+            said.append(score[doc])
+            done, step = done + len(some), 2 * step
+            every = np.round(np.concatenate(said), 9)
+            if len(every) >= k:
+                least = np.partition(every, len(every) - k)[len(every) - k]
+        if not found:
+            return np.zeros(0, "int64"), np.zeros(0), 0
+        docs, scores = np.concatenate(found), np.concatenate(said)
+        keep = np.round(scores, 9) >= least
+        return self.ids[docs[keep]], scores[keep], len(order) - done
 
 
 def _sparse_cell(k: int):
     def best(docs, queries):
         import numpy as np
 
-        asked, names, values = [np.zeros(0, "int64")], [np.zeros(0, "int64")], [np.zeros(0)]
-        told = lambda: pd.DataFrame({"query_id": np.concatenate(asked), "doc_id": np.concatenate(names), "score": np.concatenate(values)})
-        if not len(docs) or not len(queries):
-            return told()
-        ids, at = np.unique(docs["doc_id"].to_numpy(), return_inverse=True)
-        order = np.argsort(docs["bucket"].to_numpy(), kind="stable")
-        bucket, at, weight = docs["bucket"].to_numpy()[order], at[order], docs["weight"].to_numpy()[order]
-        queries = queries.sort_values(["query_id", "bucket"])
-        lo, hi = np.searchsorted(bucket, queries["bucket"]), np.searchsorted(bucket, queries["bucket"], "right")
-        q, own = queries["query_id"].to_numpy(), queries["weight"].to_numpy()
-        for start in np.flatnonzero(np.r_[True, q[1:] != q[:-1]]):
-            stop = start + np.searchsorted(q[start:], q[start], "right")
-            scores, touched = np.zeros(len(ids)), np.zeros(len(ids), "bool")
-            for i in range(start, stop):
-                where = at[lo[i] : hi[i]]  # a document has a bucket once
-                scores[where] += own[i] * weight[lo[i] : hi[i]]
-                touched[where] = True
-            found = np.flatnonzero(touched)
-            said = np.round(scores[found], 9)
-            if len(found) > k:
-                keep = said >= np.partition(said, len(said) - k)[len(said) - k]
-                found, said = found[keep], said[keep]
-            top = np.lexsort((ids[found], -said))[:k]
-            asked.append(np.full(len(top), q[start]))
-            names.append(ids[found[top]])
-            values.append(scores[found[top]])
-        return told()
+        out = {"query_id": [], "doc_id": [], "score": [], "ranges": [], "skipped": []}
+        if len(docs) and len(queries):
+            cell = _Postings(docs)
+            queries = queries.sort_values(["query_id", "bucket"])
+            q, bucket, weight = (queries[c].to_numpy() for c in ("query_id", "bucket", "weight"))
+            ends = np.flatnonzero(np.r_[True, q[1:] != q[:-1], True])
+            for a, b in zip(ends, ends[1:], strict=False):
+                ids, scores, skipped = cell.best(bucket[a:b], weight[a:b], k)
+                top = np.lexsort((ids, -np.round(scores, 9)))[:k]
+                for name, value in (("query_id", q[a]), ("ranges", cell.ranges), ("skipped", skipped)):
+                    out[name].append(np.full(len(top), value))
+                out["doc_id"].append(ids[top])
+                out["score"].append(scores[top])
+        kinds = {n: "float64" if n == "score" else "int64" for n in out}
+        return pd.DataFrame({n: np.concatenate(v).astype(kinds[n]) if v else np.zeros(0, kinds[n]) for n, v in out.items()})
 
     return best
 
 
-def sparse_dot(queries: DataFrame, docs: DataFrame, k: int, entries: int = DOT_ENTRIES, query_block: int = DOT_QUERIES) -> DataFrame:
-    """query_id, doc_id, score, rank: the ``k`` documents of the highest inner product for each query, of those that share a bucket with it.
-
-    A grid of bounded blocks: documents are dealt by the hash of their ids, queries likewise; each cell accumulates scores bucket by bucket
-    and keeps its own best, so that a frequent bucket is spread over all blocks and no table of (query, document) pairs is made. Ties (to 9
-    places) go to the smaller id.
-    """
+def sparse_cells(queries: DataFrame, docs: DataFrame, k: int, entries: int = DOT_ENTRIES, query_block: int = DOT_QUERIES) -> DataFrame:
+    """query_id, doc_id, score: the ``k`` best documents of each block of documents for each query; and of that block the ranges, and how many of
+    them were skipped."""
     docs, queries = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "bucket", "weight"), "vectors"), stored(queries.select(F.col("query_id").cast("long").alias("query_id"), "bucket", "weight"), "queries")
     across, down = max(1, -(-docs.count() // entries)), max(1, -(-queries.select("query_id").distinct().count() // query_block))
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = docs.withColumn("x", F.pmod(F.xxhash64("doc_id"), F.lit(across)).cast("int")).withColumn("y", every(down))
     right = queries.withColumn("y", F.pmod(F.xxhash64("query_id"), F.lit(down)).cast("int")).withColumn("x", every(across))
-    cells = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(_sparse_cell(k), "query_id long, doc_id long, score double")
+    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(_sparse_cell(k), "query_id long, doc_id long, score double, ranges long, skipped long")
+
+
+def sparse_dot(queries: DataFrame, docs: DataFrame, k: int, entries: int = DOT_ENTRIES, query_block: int = DOT_QUERIES) -> DataFrame:
+    """query_id, doc_id, score, rank: the ``k`` documents of the highest inner product for each query, of those that share a bucket with it.
+
+    A grid of bounded blocks: documents are dealt by the hash of their ids, queries likewise. A block keeps its postings in ranges with the greatest weight of
+    each; a query takes the ranges by what they can reach and ends at the first one that can't reach its ``k``-th score, so the result is exact.
+    A frequent bucket is spread over all blocks and no table of (query, document) pairs is made. Weights aren't negative. Ties (to 9 places) go to the smaller id.
+    """
+    cells = sparse_cells(queries, docs, k, entries, query_block).drop("ranges", "skipped")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     return cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def narrow_dot(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, item, score of given (query_id, item) pairs: only the vectors that they name are read, and only their shared buckets meet."""
+    wanted = pairs.select(F.col("item").alias("doc_id")).distinct()
+    named = docs.join(small(wanted), "doc_id", "left_semi").select(F.col("doc_id").alias("item"), "bucket", F.col("weight").alias("__w"))
+    asked = pairs.join(small(queries), "query_id").select("query_id", "item", "bucket", "weight")
+    return asked.join(named, ["item", "bucket"]).groupBy("query_id", "item").agg(F.sum(F.col("weight") * F.col("__w")).alias("score"))
+
+
 def char_ngrams(token: Column, low: int = 3, high: int = 4) -> Column:
     """All n-grams of ``^token$``."""
     marked = F.concat(F.lit("^"), token, F.lit("$"))

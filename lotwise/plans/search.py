@@ -21,7 +21,7 @@ _BUCKET = "CAST(CAST(('0x' || left(sha256({0}), 16)) AS UHUGEINT) % {1} AS INTEG
 
 
 def doc_tokens(spark, d) -> DataFrame:
-    return load(spark, d, "documents").select("doc_id", F.explode(text.tokenize(F.col("text"))).alias("token"))
+    return text.doc_tokens(load(spark, d, "documents"), "doc_id", "text")
 
 
 def query_tokens(spark, d) -> DataFrame:
@@ -267,25 +267,25 @@ _LEGS = f"""f AS (SELECT doc_id, text FROM documents WHERE lang = 'en' AND n_cha
 _POOL = """, pl AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS r FROM li), fu AS (SELECT query_id, doc_id, sum(1.0 / (60 + r)) AS score FROM pl GROUP BY ALL)"""
 
 
-def _legs(spark, d) -> dict[str, DataFrame]:
-    docs = load(spark, d, "documents").where("lang = 'en' AND n_chars >= 200").select("doc_id", F.explode(text.tokenize(F.col("text"))).alias("token"))
+def _legs(spark, d) -> tuple[dict[str, DataFrame], tuple[DataFrame, DataFrame]]:
+    """The three legs, and the vectors that rerank their pool."""
+    docs = text.doc_tokens(load(spark, d, "documents").where("lang = 'en' AND n_chars >= 200"), "doc_id", "text")
     asked = query_tokens(spark, d)
     as_query = lambda df: df.withColumnRenamed("doc_id", "query_id")
     named = asked.withColumnRenamed("query_id", "doc_id")
     dot = lambda q, x, n: text.sparse_dot(q, x, n).select("query_id", F.col("doc_id").alias("item"), "score")
-    return {
+    legs = {
         "words": dot(text.bm25_queries(asked), text.bm25_docs(docs), 200),
         "dense": dot(as_query(text.hashed_text(named)), text.hashed_text(docs), 200),
         "grams": dot(as_query(text.ngram_vectors(named)), text.ngram_vectors(docs), 200),
-        "again": dot(as_query(text.hashed_text(named, 1024, "r")), text.hashed_text(docs, 1024, "r"), 1 << 30),
     }
+    return legs, (as_query(text.hashed_text(named, 1024, "r")), text.hashed_text(docs, 1024, "r"))
 
 
 @query(f"""WITH {_LEGS}{_POOL}, hd2 AS (SELECT * FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 400), rr AS (SELECT h.query_id, h.doc_id, rs.score FROM hd2 h JOIN rs ON h.query_id = rs.query_id AND h.doc_id = rs.doc_id WHERE round(rs.score, 9) >= 0.05),
     kp AS (SELECT DISTINCT doc_id FROM t WHERE starts_with(token, 'th')) SELECT query_id, doc_id AS item, near(score) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM rr JOIN kp USING (doc_id) QUALIFY rank <= 20""")
 def ret_hybrid(spark, d):
-    legs = _legs(spark, d)
-    again = legs.pop("again")
+    legs, again = _legs(spark, d)
     keep = doc_tokens(spark, d).where(F.col("token").startswith("th")).select(F.col("doc_id").alias("item"))
     return rounded(retrieval.hybrid(legs, 20, prefetch=50, rerank=again, pool=100, least=0.05, keep=keep, oversample=4))
 
@@ -293,8 +293,7 @@ def ret_hybrid(spark, d):
 @query(f"""WITH {_LEGS}, z AS (SELECT *, avg(score) OVER p - 3 * stddev_pop(score) OVER p AS lo, avg(score) OVER p + 3 * stddev_pop(score) OVER p AS hi FROM li WINDOW p AS (PARTITION BY query_id, source)), fu AS (SELECT query_id, doc_id, sum(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0.5 END) AS score FROM z GROUP BY ALL)
     SELECT query_id, doc_id AS item, near(score) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM fu QUALIFY rank <= 20""")
 def ret_hybrid_dbsf(spark, d):
-    legs = _legs(spark, d)
-    legs.pop("again")
+    legs, _ = _legs(spark, d)
     return rounded(retrieval.hybrid(legs, 20, prefetch=200, fusion="dbsf"))
 
 

@@ -311,13 +311,43 @@ def test_sparse_product_in_small_blocks(spark):
     assert [(r["query_id"], r["doc_id"], r["rank"]) for r in got.orderBy("query_id", "rank").collect()] == want
 
 
+@pytest.mark.parametrize("k", [1, 3, 10])
+def test_skipped_ranges_change_nothing(spark, k):
+    """Random vectors and skewed ones, of which most ranges can't reach the best scores; ties at the k-th score."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(k)
+    rows = [(d, int(b), float(w)) for d in range(900) for b, w in zip(rng.choice(40, 6, replace=False), np.round(rng.pareto(1.5, 6), 2 if d % 2 else 0) + 0.1, strict=True)]
+    docs = pd.DataFrame(rows, columns=["doc_id", "bucket", "weight"])
+    cell, skipped = text._Postings(docs), 0
+    for q in range(40):
+        buckets = np.sort(rng.choice(50, 5, replace=False))
+        weights = np.round(rng.random(5), 1) + (0 if q % 4 else 5 * (np.arange(5) == 0))
+        scores = docs.merge(pd.DataFrame({"bucket": buckets, "w": weights}), on="bucket").assign(s=lambda x: x["w"] * x["weight"]).groupby("doc_id")["s"].sum().round(9)
+        scores = scores[scores > 0]
+        ids, said, gone = cell.best(buckets, weights, k)
+        skipped += gone
+        best = sorted(zip(-np.round(said, 9), ids, strict=True))[:k]
+        assert [(-s, i) for s, i in best] == pytest.approx([(s, i) for i, s in sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k]])
+    assert skipped > 100
+
+
+def test_narrow_products_of_given_pairs(spark):
+    docs = spark.createDataFrame([(1, 0, 2.0), (1, 1, 1.0), (2, 0, 1.0), (3, 5, 1.0)], "doc_id int, bucket int, weight double")
+    asked = spark.createDataFrame([(7, 0, 1.0), (7, 1, 3.0), (8, 0, 1.0)], "query_id int, bucket int, weight double")
+    pairs = spark.createDataFrame([(7, 1), (7, 3), (8, 2)], "query_id int, item int")
+    assert {(r["query_id"], r["item"]): r["score"] for r in text.narrow_dot(pairs, asked, docs).collect()} == {(7, 1): 5.0, (8, 2): 1.0}
+
+
 def test_hybrid_steps(spark):
     leg = lambda *rows: spark.createDataFrame([(1, i, s) for i, s in rows], "query_id int, item int, score double")
     a, b = leg((1, 9.0), (2, 8.0), (3, 7.0)), leg((3, 5.0), (4, 4.0))
     items = lambda df: [r["item"] for r in df.orderBy("rank").collect()]
     assert items(retrieval.hybrid({"a": a, "b": b}, 3)) == [3, 1, 2]
     assert items(retrieval.hybrid({"a": a, "b": b}, 4, prefetch=1)) == [1, 3]
-    again = leg((1, 0.1), (2, 0.9), (3, 0.5))
+    vectors = lambda who, *rows: spark.createDataFrame(list(rows), f"{who} int, bucket int, weight double")
+    again = (vectors("query_id", (1, 0, 1.0), (1, 1, 0.5)), vectors("doc_id", (1, 0, 0.1), (2, 0, 0.4), (2, 1, 1.0), (3, 0, 0.5), (4, 7, 9.0), (5, 0, 9.0)))
     assert items(retrieval.hybrid({"a": a, "b": b}, 4, rerank=again, least=0.2)) == [2, 3]
     assert items(retrieval.hybrid({"a": a, "b": b}, 1, keep=spark.createDataFrame([(4,)], "item int"))) == [4]
 
