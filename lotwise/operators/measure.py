@@ -292,15 +292,11 @@ def harvest(signals: DataFrame, seen: DataFrame, label: str, text: str, ts: str,
 
 
 def hard_negatives(items: DataFrame, subcentroids: DataFrame, threshold: float) -> DataFrame:
-    """(id, label, v) whose best cosine to another class's (label, centroid) is above the threshold. Centroids are a bounded model."""
-    from .sizes import model
-    from .vectors import cosine
-
-    c = model(subcentroids.select(F.col("label").alias("other"), F.col("centroid").alias("__c")))
-    s = items.join(c, F.lit(True)).where(F.col("label") != F.col("other")).select("id", "label", "other", F.round(cosine(F.col("v"), F.col("__c")), 9).alias("s"))
-    best = s.groupBy("id", "label", "other").agg(F.max("s").alias("score")).where(F.col("score") > threshold)
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-    return best.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
+    """(id, label, v) whose best cosine to another class's (label, centroid) is above the threshold; a class may have several. Centroids are a bounded model."""
+    from .vectors import best_centroids
+
+    best = best_centroids(items.select("id", "label", "v"), subcentroids, "label", "v", 1, threshold, own="label").where(F.size("near") > 0)
+    return best.select("id", "label", F.col("near")[0]["label"].alias("other"), F.col("near")[0]["score"].alias("score"))
 
 
 def centroid_candidate(vectors: DataFrame, old: DataFrame, floor: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,6 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, corpus_block: int = CORPU
 
     def cell(c, q):
         import numpy as np
-        import pandas as pd
 
         if not len(c) or not len(q):
             return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
@@ -79,14 +79,46 @@ def centroids(vectors: DataFrame, label: str, v: str) -> DataFrame:
     return rows.select(label, unit(F.col("c")).alias("centroid"))
 
 
+def best_centroids(vectors: DataFrame, cents: DataFrame, label: str, v: str, keep: int, least: float = -2.0, own: str | None = None) -> DataFrame:
+    """``vectors`` with ``near``: up to ``keep`` structs (label, score) of the best cosines, the best first, ties by label. With ``own`` centroids of a row's own
+    label are left out, and scores up to ``least``. A vector of length zero or NULL is alike to all by 0.
+
+    The centroids are a model of bounded size, which travels with the tasks as one matrix. A batch of vectors is multiplied with it in place: no row for
+    each vector and centroid, and nothing is shuffled.
+    """
+    import numpy as np
+
+    kind = dict(cents.dtypes)[label]
+    rows = model(cents.select(F.col(label).alias("l"), F.col("centroid").alias("c"))).orderBy("l").collect()
+    named = [r["l"] for r in rows]
+    matrix = np.array([r["c"] for r in rows], "float64").reshape(len(rows), len(rows[0]["c"]) if rows else 0)
+    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+    @F.pandas_udf(f"array<struct<label:{kind},score:double>>")
+    def near(rows: pd.Series, mine: pd.Series) -> pd.Series:
+        out = [[] for _ in range(len(rows))]
+        if named and len(rows):
+            a = np.array([np.zeros(matrix.shape[1]) if x is None else x for x in rows], "float64")
+            a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+            labels, owned, some = np.array(named, "object"), mine.to_numpy(), min(keep, len(named))
+            for at in range(0, len(a), 512):
+                s = np.round(a[at : at + 512] @ matrix.T, 9) + 0.0
+                s[(owned[at : at + 512, None] == labels[None, :]) | (s <= least)] = -np.inf
+                edge = np.partition(s, -some, axis=1)[:, -some]
+                for i, (r, e) in enumerate(zip(s, edge, strict=True), at):
+                    j = np.flatnonzero((r >= e) & (r > -np.inf))  # with every tie, in the order of labels
+                    out[i] = [{"label": named[x], "score": float(r[x])} for x in j[np.argsort(-r[j], kind="stable")][:keep]]
+        return pd.Series(out, dtype="object")
+
+    return vectors.withColumn("near", near(F.col(v), F.col(own) if own else F.lit(None).cast(kind)))
+
+
 def nearest_centroid(vectors: DataFrame, cents: DataFrame, label: str, v: str, id_col: str, floor: float = 0.0, margin: float = 0.0) -> DataFrame:
     """The label of the best cosine where it and its lead are high enough, else NULL. Centroids are as few as labels."""
-    named = model(cents.select(F.col(label).alias("__label"), F.col("centroid").alias("__c")))
-    scored = vectors.join(named, F.lit(True)).select(id_col, "__label", F.round(cosine(F.col(v), F.col("__c")), 9).alias("s"))
-    best = scored.groupBy(id_col).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), F.col("__label").alias("l")))), 1, 2).alias("b"))
-    top, lead = -F.col("b")[0]["d"], F.col("b")[1]["d"] - F.col("b")[0]["d"]
-    sure = (top >= floor) & (F.coalesce(lead, F.lit(1.0)) >= margin)
-    return best.select(id_col, F.when(sure, F.col("b")[0]["l"]).alias("label"), top.alias("score"))
+    best = best_centroids(vectors.select(id_col, v), cents, label, v, 2)
+    top, second = F.get("near", F.lit(0)), F.get("near", F.lit(1))
+    sure = (top["score"] >= floor) & (F.coalesce(top["score"] - second["score"], F.lit(1.0)) >= margin)
+    return best.select(id_col, F.when(sure, top["label"]).alias("label"), top["score"].alias("score"))
 
 
 def kmeans(vectors: DataFrame, v: str, k: int, seed: int = 1, iterations: int = 20) -> DataFrame:

@@ -153,19 +153,27 @@ def _index_load_sql() -> str:
 
     grams = f"""tg AS (SELECT doc_id AS id, token, count(*) AS c FROM t GROUP BY ALL), gw AS (SELECT token, unnest(list_concat(list_transform(range(1, length(token) + 1), lambda i: substr('^' || token || '$', i, 3)), list_transform(range(1, length(token)), lambda i: substr('^' || token || '$', i, 4)))) AS gram FROM (SELECT DISTINCT token FROM tg)),
         gb AS (SELECT token, {_BUCKET.format("gram", 16384)} AS bucket, count(*) AS k FROM gw GROUP BY ALL), gd AS (SELECT id AS doc_id, bucket, 1 + ln(1 + sum(c * k)) AS weight FROM tg JOIN gb USING (token) GROUP BY ALL)"""
-    each = lambda n, t, i: f"{n} AS (SELECT {i} AS doc_id, count(*) AS {n}_n, sum(w) AS {n}_mass, min(bucket) AS {n}_least FROM (SELECT {i}, bucket, {'w' if n == 'dn' else 'weight'} AS w FROM {t}) GROUP BY ALL)"
-    return f"""WITH {TOK}, {_BM25}, {_unit_sql('hd', _HASHED.format('doc_id', 't', 's', 256))}, {grams}, {each('dn', 'hd', 'id')}, {each('wd', 'bd', 'doc_id')}, {each('gr', 'gd', 'doc_id')},
+    each = lambda n, t, i, w: f"{n} AS (SELECT {i} AS doc_id, count(*) AS {n}_n, md5(string_agg(bucket || ':' || CAST(floor({w} * 1e6 + 0.5001) AS BIGINT), ',' ORDER BY bucket)) AS {n}_md5 FROM {t} GROUP BY ALL)"
+    return f"""WITH {TOK}, {_BM25}, {_unit_sql('hd', _HASHED.format('doc_id', 't', 's', 256))}, {grams}, {each('dn', 'hd', 'id', 'w')}, {each('wd', 'bd', 'doc_id', 'weight')}, {each('gr', 'gd', 'doc_id', 'weight')},
         k AS (SELECT doc_id, lang, n_chars, sha1(unhex('{lake.POINT_NAMESPACE.hex}') || CAST('doc:' || doc_id AS BLOB)) AS h FROM documents)
-        SELECT {_UUID5} AS point_id, k.doc_id, lang, n_chars, coalesce(dn_n, 0) AS dense_n, near(coalesce(dn_mass, 0)) AS dense_mass, dn_least AS dense_least, coalesce(wd_n, 0) AS words_n, near(coalesce(wd_mass, 0)) AS words_mass, wd_least AS words_least, coalesce(gr_n, 0) AS grams_n, near(coalesce(gr_mass, 0)) AS grams_mass, gr_least AS grams_least
+        SELECT {_UUID5} AS point_id, k.doc_id, lang, n_chars, coalesce(dn_n, 0) AS dense_n, dn_md5 AS dense_md5, coalesce(wd_n, 0) AS words_n, wd_md5 AS words_md5, coalesce(gr_n, 0) AS grams_n, gr_md5 AS grams_md5
         FROM k LEFT JOIN dn ON k.doc_id = dn.doc_id LEFT JOIN wd ON k.doc_id = wd.doc_id LEFT JOIN gr ON k.doc_id = gr.doc_id"""
 
 
 @query(_index_load_sql())
 def src_index_load(spark, d):
-    index = lake.load_index(load(spark, d, "documents").select("doc_id", "lang", "n_chars", "text"), "doc_id", "text")
-    mass = lambda v: F.aggregate(F.map_values(v), F.lit(0.0), lambda s, x: s + x)
-    told = [x for v in ("dense", "words", "grams") for x in (F.size(v).cast("long").alias(f"{v}_n"), mass(v).alias(f"{v}_mass"), F.array_min(F.map_keys(v)).alias(f"{v}_least"))]
-    return rounded(index.select("point_id", "doc_id", "lang", "n_chars", *told))
+    """Two loads, of which the second brings what the first lacks and corrects what it has wrong; every entry of every vector goes into the digests."""
+    docs = load(spark, d, "documents").select("doc_id", "lang", "n_chars", "text")
+    late = F.col("doc_id") % 2 == 1
+    index = lake.Index(spark)
+    index.load(docs.where(~late | (F.col("doc_id") % 10 == 1)).withColumn("text", F.when(late, F.reverse("text")).otherwise(F.col("text"))), "doc_id", "text", 0)
+    index.load(docs.where(late), "doc_id", "text", 1)
+    entry = lambda e: F.concat(e["bucket"].cast("string"), F.lit(":"), F.floor(e["weight"] * 1e6 + 0.5001).cast("string"))
+    told = lambda n, cells: [F.size(cells).cast("long").alias(f"{n}_n"), F.when(F.size(cells) > 0, F.md5(F.array_join(F.transform(F.array_sort(cells), entry), ","))).alias(f"{n}_md5")]
+    cells = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("bucket"), e["value"].alias("weight")))
+    words = index.words("doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "weight")).alias("words"))
+    points = index.points().join(words, "doc_id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<struct<bucket:int,weight:double>>")))
+    return points.select("point_id", "doc_id", "lang", "n_chars", *told("dense", cells("dense")), *told("words", F.col("words")), *told("grams", cells("grams")))
 
 
 @query(f"""{A} SELECT auction_id, price, bids, ends_at FROM l""")

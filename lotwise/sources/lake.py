@@ -79,21 +79,56 @@ def point_id(key: Column) -> Column:
     return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
 
 
-def load_index(docs: DataFrame, key: str, text: str, index: DataFrame | None = None) -> DataFrame:
-    """Documents encoded three ways (``dense`` hashed words of length one, ``words`` BM25, ``grams`` of characters; maps of bucket to
-    weight), one point for each key, merged into ``index`` by point id: new points replace old ones, and loading twice changes nothing. Texts without tokens have empty maps.
-
-    BM25 needs corpus figures, so a merge encodes by those of ``docs``. A document's vector is one cell, bounded by its buckets.
-    """
+def encoded(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One point for each key: its id, the columns but the text, and three encodings of the text that follow from it alone. ``dense``: hashed words of length one,
+    ``grams``: of characters (maps of bucket to weight); ``terms``: bucket and frequency of each different word, with ``dl``, the words in
+    all, from which weights are made when the index is asked. Texts without tokens have empty ones."""
     from lotwise.operators import text as t
-    from lotwise.sources.sinks import stored
 
-    tokens = docs.select(F.col(key).alias("doc_id"), F.explode(t.tokenize(F.col(text))).alias("token"))
-    out = etl.latest_per_key(docs.drop(text), [key], [c for c in docs.columns if c not in (key, text)])
-    for name, vectors in (("dense", t.hashed_text(tokens)), ("words", t.bm25_docs(tokens)), ("grams", t.ngram_vectors(tokens))):
+    docs = etl.latest_per_key(docs, [key], [c for c in docs.columns if c not in (key, text)] or [text])
+    tokens = t.doc_tokens(docs, key, text)
+    counts = t.term_counts(tokens).withColumn("bucket", t.hash_bucket(F.col("token"), WORD_BUCKETS))
+    terms = counts.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("bucket", "tf"))).alias("terms"), F.first("dl").alias("dl"))
+    out = docs.drop(text).join(terms, key, "left").withColumns({"terms": F.coalesce("terms", F.array().cast("array<struct<bucket:int,tf:bigint>>")), "dl": F.coalesce("dl", F.lit(0).cast("long"))})
+    for name, vectors in (("dense", t.hashed_text(tokens)), ("grams", t.ngram_vectors(tokens))):
         packed = vectors.groupBy(F.col("doc_id").alias(key)).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "weight")))).alias(name))
         out = out.join(packed, key, "left").withColumn(name, F.coalesce(name, F.create_map().cast("map<int,double>")))
-    out = out.select(point_id(F.col(key)).alias("point_id"), "*")
-    if index is not None:
-        out = index.join(out.select("point_id"), "point_id", "left_anti").unionByName(out)
-    return stored(out, "index")
+    return out.select(point_id(F.col(key)).alias("point_id"), "*")
+
+
+#: Buckets of words in an index.
+WORD_BUCKETS = 1 << 16
+
+
+class Index:
+    """An encoded table that loads are appended to. Each load has a number and a folder of its own, so a load that comes again replaces itself and none rewrites
+    another; a reader takes the point of the greatest number for each id. What a load holds doesn't depend on the others: corpus
+    figures are summed from the points' lengths when weights are asked for, or given."""
+
+    def __init__(self, spark: SparkSession, base: str | None = None):
+        from lotwise.sources.sinks import folder
+
+        self.spark, self.base = spark, base or folder(spark, "index")
+
+    def load(self, docs: DataFrame, key: str, text: str, number: int) -> None:
+        encoded(docs, key, text).write.mode("overwrite").parquet(f"{self.base}/load={int(number)}")
+
+    def points(self) -> DataFrame:
+        """The latest point of each id."""
+        rows = self.spark.read.parquet(self.base)
+        newest = rows.groupBy("point_id").agg(F.max("load").alias("load"))
+        return rows.join(newest, ["point_id", "load"], "left_semi").drop("load")
+
+    def figures(self) -> DataFrame:
+        """One row: n, the points that have words, and their mean number. Only ids and lengths are read."""
+        rows = self.spark.read.parquet(self.base).groupBy("point_id").agg(F.max_by("dl", "load").alias("dl")).where("dl > 0")
+        return rows.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+
+    def words(self, key: str, mean: float | None = None) -> DataFrame:
+        """doc_id, bucket, weight of all points, by the corpus as it is now or by a ``mean`` that is given."""
+        from lotwise.operators import text as t
+
+        rows = self.points().select(F.col(key).alias("doc_id"), "dl", F.inline("terms"))
+        usual = F.lit(mean) if mean is not None else F.col("mean")
+        rows = rows if mean is not None else rows.join(F.broadcast(self.figures().select("mean")), F.lit(True))
+        return rows.groupBy("doc_id", "bucket").agg(F.sum(t.saturated(F.col("tf"), F.col("dl"), usual)).alias("weight"))

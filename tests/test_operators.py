@@ -329,7 +329,8 @@ def test_skipped_ranges_change_nothing(spark, k):
         ids, said, gone = cell.best(buckets, weights, k)
         skipped += gone
         best = sorted(zip(-np.round(said, 9), ids, strict=True))[:k]
-        assert [(-s, i) for s, i in best] == pytest.approx([(s, i) for i, s in sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k]])
+        want = sorted(((-s, i) for i, s in scores.items()))[:k]
+        assert [i for _, i in best] == [i for _, i in want] and [s for s, _ in best] == pytest.approx([s for s, _ in want])
     assert skipped > 100
 
 
@@ -433,11 +434,31 @@ def test_points_have_uuids_of_their_keys_and_loads_repeat(spark):
     import uuid
 
     docs = spark.createDataFrame([(1, "red bolt", "x"), (2, "", "y"), (3, None, "z")], "k int, text string, lang string")
-    first = lake.load_index(docs, "k", "text")
-    assert {r["k"]: r["point_id"] for r in first.collect()} == {k: str(uuid.uuid5(lake.POINT_NAMESPACE, f"doc:{k}")) for k in (1, 2, 3)}
-    assert rows(lake.load_index(docs, "k", "text", first)) == rows(first)
-    changed = lake.load_index(spark.createDataFrame([(2, "blue bolt", "w")], docs.schema), "k", "text", first)
-    assert {r["k"]: (r["lang"], len(r["words"])) for r in changed.collect()} == {1: ("x", 2), 2: ("w", 2), 3: ("z", 0)}
+    index = lake.Index(spark)
+    index.load(docs, "k", "text", 0)
+    assert {r["k"]: r["point_id"] for r in index.points().collect()} == {k: str(uuid.uuid5(lake.POINT_NAMESPACE, f"doc:{k}")) for k in (1, 2, 3)}
+    before = rows(index.points())
+    index.load(docs, "k", "text", 0)  # the same load again
+    assert rows(index.points()) == before
+    index.load(spark.createDataFrame([(2, "blue bolt", "w")], docs.schema), "k", "text", 1)
+    assert {r["k"]: (r["lang"], r["dl"], len(r["terms"])) for r in index.points().collect()} == {1: ("x", 2, 2), 2: ("w", 2, 2), 3: ("z", 0, 0)}
+    index.load(docs, "k", "text", 0)  # an old load that comes late doesn't undo a newer one
+    assert {r["k"]: r["lang"] for r in index.points().collect()} == {1: "x", 2: "w", 3: "z"}
+
+
+def test_half_loads_equal_a_whole_load(spark):
+    """Weights follow from the corpus that is there when they are asked for, whatever was loaded with what."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["red", "blue", "bolt", "ring", "gear"]) for _ in range(rng.randint(0, 30)))) for i in range(40)], "k int, text string")
+    whole, halves = lake.Index(spark), lake.Index(spark)
+    whole.load(docs, "k", "text", 0)
+    halves.load(docs.where("k < 25").withColumn("text", F.when(F.col("k") < 20, F.col("text")).otherwise(F.lit("stale words"))), "k", "text", 0)
+    halves.load(docs.where("k >= 20"), "k", "text", 1)
+    told = lambda df: sorted((r["doc_id"], r["bucket"], round(r["weight"], 9)) for r in df.collect())
+    direct = text.bm25_docs(text.doc_tokens(docs, "k", "text"))
+    assert told(whole.words("k")) == told(halves.words("k")) == told(direct)
+    assert told(halves.words("k", 7.0)) == told(text.bm25_docs(text.doc_tokens(docs, "k", "text"), mean=7.0))
+    assert whole.figures().first() == halves.figures().first()
 
 
 def test_models_that_are_too_large_are_refused(spark):
@@ -458,3 +479,29 @@ def test_hosts_in_other_scripts(spark):
     df = spark.createDataFrame([("xn--mnchen-3ya.de",), ("www.Foo-12bar.co.uk.",), ("xn--\u0000.com",)], "h string")
     got = [r["s"] for r in df.select(text.segment(F.col("h")).alias("s")).collect()]
     assert (got[0]["sld"], got[0]["tokens"]) == ("münchen", ["munchen"]) and (got[1]["sld"], got[1]["tld"], got[1]["tokens"]) == ("foo-12bar", "co.uk", ["foo", "12", "bar"])
+
+
+def test_best_centroids_against_all_pairs(spark):
+    rng = random.Random(9)
+    vec = lambda: [rng.choice([-1.0, 0.0, 1.0, rng.random()]) for _ in range(4)]
+    cents = [(rng.randrange(5), vec()) for _ in range(12)]
+    items = [(i, rng.randrange(6), vec()) for i in range(200)] + [(900, 1, None), (901, None, [0.0] * 4), (902, 2, [0.0] * 4)]
+    df = spark.createDataFrame(items, "id int, label int, v array<double>")
+    c = spark.createDataFrame(cents, "label int, centroid array<double>")
+
+    def cos(a, b):
+        n = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / n, 9) if n else 0.0
+
+    got = {r["id"]: (r["other"], r["score"]) for r in measure.hard_negatives(df, c, 0.3).collect()}
+    for i, label, v in items:
+        best = min([(-cos(v or [0.0] * 4, x), l) for l, x in cents if l != label], default=None)
+        assert got.get(i) == ((best[1], pytest.approx(-best[0])) if best and -best[0] > 0.3 else None), i
+    one_each = spark.createDataFrame([(l, x) for l, x in {l: x for l, x in cents}.items()], c.schema)
+    assert "Join" not in vectors.nearest_centroid(df, one_each, "label", "v", "id")._jdf.queryExecution().toString()
+    sure = {r["id"]: (r["label"], r["score"]) for r in vectors.nearest_centroid(df, one_each, "label", "v", "id", 0.2, 0.1).collect()}
+    for i, _, v in items:
+        order = sorted((-cos(v or [0.0] * 4, x), l) for l, x in {l: x for l, x in cents}.items())
+        fine = -order[0][0] >= 0.2 and order[1][0] - order[0][0] >= 0.1
+        assert sure[i] == (order[0][1] if fine else None, pytest.approx(-order[0][0]))
+    assert vectors.best_centroids(df, c.limit(0), "label", "v", 2).where(F.size("near") > 0).count() == 0
