@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -205,24 +207,19 @@ def format_turns(turns: DataFrame) -> DataFrame:
     Null texts and roles are empty. Ties of turn are ordered by role and text.
     Null conv_ids make a conversation of their own. Repeated rows stay. Other columns are ignored; no rows in, none out.
     """
-    schema = "conv_id long, turn long, role string, formatted string, loss_start long, loss_end long"
 
-    def convert(frames):
-        import pandas as pd
-
-        for pdf in frames:
-            rows = []
-            for conv, turn, role, text in zip(pdf["conv_id"], pdf["turn"], pdf["role"], pdf["text"], strict=True):
-                role, text = role or "", text or ""
-                said = render(role, text)
-                begin = len(START) + len(escape_role(role)) + 1
-                masked = role == "assistant"
-                rows.append((conv, turn, role, said, begin if masked else None, len(said) - len(END) - 1 if masked else None))
-            frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "formatted", "loss_start", "loss_end"])
-            yield frame.astype({c: "Int64" for c in ("conv_id", "turn", "loss_start", "loss_end")})
+    def convert(batch) -> dict:
+        out = {"conv_id": batch.column("conv_id"), "turn": batch.column("turn"), "role": [], "formatted": [], "loss_start": [], "loss_end": []}
+        for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            role, text = role or "", text or ""
+            said, masked = render(role, text), role == "assistant"
+            begin = len(START) + len(escape_role(role)) + 1
+            for name, value in (("role", role), ("formatted", said), ("loss_start", begin if masked else None), ("loss_end", len(said) - len(END) - 1 if masked else None)):
+                out[name].append(value)
+        return out
 
     columns = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")]
-    return turns.select(*columns).mapInPandas(convert, schema)
+    return map_arrow(turns.select(*columns), convert, "conv_id long, turn long, role string, formatted string, loss_start long, loss_end long")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -233,32 +230,33 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
-    def convert(frames):
-        import pandas as pd
+    def convert(batches):
+        import pyarrow as pa
 
-        key, state, none = None, None, object()
-        key = none
-        for pdf in frames:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        told = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=_DIGEST)
+        none = object()
+        key, state = none, None
+        for batch in batches:
             rows = []
-            for conv, said, start, end in zip(pdf["conv_id"].astype("Int64"), pdf["formatted"], pdf["loss_start"].astype("Int64"), pdf["loss_end"].astype("Int64"), strict=True):
-                conv = None if conv is pd.NA else int(conv)
-                if key is none or conv != key:
+            for conv, said, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end")), strict=True):
+                if conv != key:
                     if key is not none:
                         rows.append(_digest(key, state))
                     key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 for role, text, _, _ in parse(said):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
-                if start is not pd.NA:
-                    loss = unescape(said[int(start) : int(end)])
+                if start is not None:
+                    loss = unescape(said[start:end])
                     state[2] += len(loss)
                     state[3].update(loss.encode())
                 state[4] += len(said)
-            yield pd.DataFrame(rows, columns=_DIGEST).astype({"conv_id": "Int64"})
+            yield told(rows)
         if key is not none:
-            yield pd.DataFrame([_digest(key, state)], columns=_DIGEST).astype({"conv_id": "Int64"})
+            yield told([_digest(key, state)])
 
-    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted").mapInPandas(convert, schema)
+    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted").mapInArrow(convert, schema)
 
 
 _DIGEST = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

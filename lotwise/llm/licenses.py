@@ -7,7 +7,8 @@ tails of a gap match at once, and a gap without anchors is aligned by longest co
 A place of a license is a run of aligned words with the wanted coverage, in which at least every second word of the text is the
 license's; so it is at most twice as long as what it covers, and windows of two template lengths to either side of each telling
 word hold every place whole. Where templates meet at a place, the one with the most words, weighed by the share that both
-sides have in common, is the license; words that tell a template from its likes (a version, NC or SA) must be there.
+sides have in common, is the license; words that tell a template from its likes (a version, NC or SA) must be there. A place whose text
+says another version, or a qualifier that the template lacks (ND, SA, Lesser), is no place of it, whether or not there is a template for what it says.
 """
 
 from __future__ import annotations
@@ -52,8 +53,16 @@ TEMPLATES = {
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+} | {
+    f"{name}-spdx": f"SPDX-License-Identifier: {name}"
+    for name in ("MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-3.0-only", "AGPL-3.0-only", "CC-BY-4.0", "CC-BY-SA-4.0")
 }
 
+#: Words that make another license of one that lacks them, and words that a version follows.
+QUALIFIERS = {"nc", "nd", "sa", "noncommercial", "noderivatives", "noderivs", "sharealike", "lesser", "affero", "library"}
+VERSIONED = {"version", "v", "by", "license", "licence", "public", "apache", "gpl", "lgpl", "agpl", "mpl", "epl"} | QUALIFIERS
+_VERSION = re.compile(r"v?\d{1,2}(?:\.\d+)*")
+
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
@@ -163,10 +172,25 @@ class Scanner:
             return None
         pairs = pairs[slice(*run)]
         matched = {j for _, j in pairs}
+        if self._says_another(said[start : stop + 1], own, pairs, matched):
+            return None
         if any(len(x & matched) < self.coverage * len(x) for x in likes):
             return None
         return len(pairs), start + pairs[0][0], start + pairs[-1][0]
 
+    @staticmethod
+    def _says_another(said: list[str], own: list[str], pairs: list[tuple[int, int]], matched: set[int]) -> bool:
+        """Whether the place has a version or a qualifier that isn't the template's: inside, or, where the template's own version isn't there, right after."""
+        version = lambda text, i: i > 0 and bool(_VERSION.fullmatch(text[i])) and text[i - 1] in VERSIONED
+        versions = {j for j in range(len(own)) if version(own, j)}
+        first, last, aligned = pairs[0][0], pairs[-1][0], {i for i, _ in pairs}
+        for i in range(first, last + 1):
+            if i not in aligned and (said[i] in QUALIFIERS and said[i] not in own or versions and version(said, i)):
+                return True
+        # a part of the words is enough to find a license, so its end may be missing: what stands there instead counts
+        lacks = versions and not versions & matched
+        return bool(lacks and last + 1 < len(said) and version(said, last + 1)) or (len(own) < 20 and last + 1 < len(said) and said[last + 1] in QUALIFIERS and said[last + 1] not in own)
+
     def scan(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, first and last word of the best place, number of places) of a whole text."""
         low = text.lower()

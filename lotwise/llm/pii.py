@@ -3,8 +3,9 @@
 Entities are found by pattern, normalised to an identity (kind and value), and replaced by keyed draws of the same kind:
 digits for digits, letters for letters of the same case, hex for hex, separators untouched, card numbers valid where they were,
 names of the same gender and script. One identity has one surrogate in the whole corpus, in whatever format a mention has it
-(coreference); two identities never share one, and none gets a value that the corpus itself holds (collision checks: losers
-of a collision are drawn again). First draws need no table; only redrawn identities, a handful, are handed to the tasks.
+(coreference), and a name's kind is settled over the corpus: where any document shows it as a man's or a woman's given name, it is one everywhere; two identities never share one, and none gets a value that the corpus itself holds (collision checks: losers
+of a collision are drawn again). First draws need no table; only redrawn identities and names of which a document alone would tell another
+kind are handed to the tasks.
 """
 
 from __future__ import annotations
@@ -121,7 +122,9 @@ def identity(kind: str, mention: str) -> str:
     """What mentions of one entity have in common."""
     if kind == "email":
         return mention.lower()
-    if kind in ("phone", "card", "ssn"):
+    if kind == "phone":
+        return re.sub(r"[^\d+]", "", mention)
+    if kind in ("card", "ssn"):
         return re.sub(r"\D", "", mention)
     return mention.replace(" ", "") if kind == "iban" else mention
 
@@ -156,6 +159,15 @@ def _alike(text: str, draw: Draw, hexes: str = "") -> str:
     return "".join(out)
 
 
+def _country(digits: str) -> int:
+    """How many digits the country's code has."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in _TWO else 3
+
+
+# Country codes of two digits.
+_TWO = {"20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"}
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """The replacement of an identity, itself an identity of the same kind and format.
 
@@ -173,7 +185,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "phone":
-        return value[:1] + _alike(value[1:], draw)
+        keep = 1 + _country(value[1:]) if value.startswith("+") else 1
+        return value[:keep] + _alike(value[keep:], draw)
     if kind == "card":
         keep = {"4": 1, "3": 2, "5": 2}.get(value[0], 4)  # the issuer
         number = value[:keep] + _alike(value[keep:], draw)
@@ -188,15 +201,16 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         first, middle, last = _SYLLABLES[_script(value)]
         ends = last[kind[4:]]
         return first[draw.below(len(first))] + "".join(middle[draw.below(len(middle))] for _ in range(1 + draw.below(2) + attempt)) + ends[draw.below(len(ends))]
-    lower = all(c in "0123456789abcdef" for c in value)
-    upper = all(c in "0123456789ABCDEF" for c in value)
+    lettered = any(c.isalpha() for c in value)  # digits alone stay digits
+    lower = lettered and all(c in "0123456789abcdef" for c in value)
+    upper = lettered and all(c in "0123456789ABCDEF" for c in value)
     return _alike(value, draw, "0123456789abcdef" if lower else "0123456789ABCDEF" if upper else "")
 
 
 def dress(kind: str, mention: str, made: str) -> str:
     """The surrogate in the format of a mention."""
     if kind in ("phone", "card", "ssn", "iban"):
-        it = iter(made)
+        it = (c for c in made if c.isalnum())
         return "".join([next(it) if c.isalnum() else c for c in mention] + list(it))
     if kind == "email":
         grown = len(made) - len(mention)
@@ -207,13 +221,15 @@ def dress(kind: str, mention: str, made: str) -> str:
 
 
 def replace(text: str, key: bytes, redrawn: dict) -> tuple[str, int]:
+    """``redrawn``: (kind, value) as a text shows it to the kind and the attempt of its surrogate, where these aren't its own kind and 0."""
     found = find(text)
     if not found:
         return text, 0
     out, at = [], 0
     for start, end, kind, mention in found:
         value = identity(kind, mention)
-        out += [text[at:start], dress(kind, mention, surrogate(key, kind, value, redrawn.get((kind, value), 0)))]
+        settled, attempt = redrawn.get((kind, value), (kind, 0))
+        out += [text[at:start], dress(kind, mention, surrogate(key, settled, value, attempt))]
         at = end
     return "".join([*out, text[at:]]), len(found)
 
@@ -262,6 +278,13 @@ def redraws(identities: DataFrame, key: bytes) -> DataFrame:
             return settled.where("attempt > 0").select("kind", "value", "attempt")
 
 
+def settled_kinds(shown: DataFrame) -> DataFrame:
+    """kind, value (as texts show them) and ``settled``: of a name the kind that tells most in the whole corpus, else its own."""
+    names = shown.where(F.col("kind").startswith("name")).groupBy("value").agg(F.max("kind").alias("settled"))
+    named = shown.where(F.col("kind").startswith("name")).join(names, "value").select("kind", "value", "settled")
+    return named.unionByName(shown.where(~F.col("kind").startswith("name")).select("kind", "value", F.col("kind").alias("settled")))
+
+
 def pseudonymise(docs: DataFrame, key: bytes, broadcast_redrawn: int = BROADCAST_REDRAWN) -> DataFrame:
     """All columns of ``docs`` with entities in ``text`` replaced, and n_entities, the number of replaced mentions.
 
@@ -271,19 +294,21 @@ def pseudonymise(docs: DataFrame, key: bytes, broadcast_redrawn: int = BROADCAST
     docs = docs.drop("n_entities")
     redrawn_at, key_at = unused("again", docs.columns), unused("row", docs.columns)
     told = written(mentions(docs.select("text", row_key(F.col("doc_id"), F.col("text")).alias("key"))))
-    again = redraws(written(told.select("kind", "value").distinct()), key)
+    shown = written(settled_kinds(told.select("kind", "value").distinct()))
+    drawn = redraws(written(shown.select(F.col("settled").alias("kind"), "value").distinct()), key).withColumnRenamed("kind", "settled")
+    again = written(shown.join(drawn, ["settled", "value"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0))).where("attempt > 0 OR kind <> settled").select("kind", "value", "settled", "attempt"))
     if (n := again.count()) <= broadcast_redrawn:
-        held = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["value"]): r["attempt"] for r in again.collect()} if n else {})
+        held = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["value"]): (r["settled"], r["attempt"]) for r in again.collect()} if n else {})
         beside = docs.withColumn(redrawn_at, F.lit(None).cast(_AGAIN))
     else:
         held = None
-        per = told.join(again, ["kind", "value"]).groupBy(F.struct("a", "b").alias(key_at)).agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(redrawn_at))
+        per = told.join(again, ["kind", "value"]).groupBy(F.struct("a", "b").alias(key_at)).agg(F.collect_list(F.struct("kind", "value", "settled", "attempt")).alias(redrawn_at))
         beside = docs.withColumn(key_at, row_key(F.col("doc_id"), F.col("text"))).join(per, key_at, "left").select(*docs.columns, redrawn_at)
 
     def convert(batch) -> dict:
         out = {"text": [], "n_entities": []}
         for text, own in zip(batch.column("text").to_pylist(), batch.column(redrawn_at).to_pylist(), strict=True):
-            redrawn = held.value if held is not None else {(x["kind"], x["value"]): x["attempt"] for x in own or []}
+            redrawn = held.value if held is not None else {(x["kind"], x["value"]): (x["settled"], x["attempt"]) for x in own or []}
             made, n = replace(text, key, redrawn) if text else (text, 0)
             out["text"].append(made)
             out["n_entities"].append(n)
@@ -293,4 +318,4 @@ def pseudonymise(docs: DataFrame, key: bytes, broadcast_redrawn: int = BROADCAST
     return map_arrow(beside, convert, schema)
 
 
-_AGAIN = "array<struct<kind:string,value:string,attempt:int>>"
+_AGAIN = "array<struct<kind:string,value:string,settled:string,attempt:int>>"

@@ -1,0 +1,77 @@
+"""Answers that earlier versions got wrong: kinds of digits, names over documents, versions and qualifiers of licenses, large ids."""
+
+import hashlib
+import re
+
+import pytest
+
+from lotwise.llm import chat, licenses, pii
+
+
+@pytest.fixture(scope="module")
+def scanner():
+    return licenses.Scanner(licenses.TEMPLATES)
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("Licensed under CC BY 4.0.", {"CC-BY-4.0-notice"}),
+        ("Licensed under CC BY 3.0.", set()),
+        ("Licensed under CC BY-ND 4.0.", set()),
+        ("Licensed under CC BY-NC-SA 4.0.", set()),
+        ("Licensed under CC BY-NC 4.0.", {"CC-BY-NC-4.0-notice"}),
+        ("Licensed under the Apache License, Version 1.1", set()),
+        ("Licensed under the Apache License, Version 2.0", {"Apache-2.0-notice"}),
+        (licenses.TEMPLATES["Apache-2.0"].replace("Version 2.0", "Version 1.1"), set()),
+        (licenses.TEMPLATES["MPL-2.0"].replace("v. 2.0", "v. 1.1"), set()),
+        ("This work is licensed under the GNU General Public License, version 1.", set()),
+        ("This work is licensed under the GNU Library General Public License, version 2.", set()),
+        ("Copyright (c) 2020 A. B. " + licenses.TEMPLATES["MIT"], {"MIT"}),
+        (licenses.TEMPLATES["MIT"].replace("deal in", "deal (2019) in"), {"MIT"}),
+        ("Released under the MIT License. 3 files", {"MIT-notice"}),
+        ("# SPDX-License-Identifier: MIT\nimport os", {"MIT-spdx"}),
+        ("// SPDX-License-Identifier: Apache-2.0", {"Apache-2.0-spdx"}),
+        ("// SPDX-License-Identifier: Apache-1.1", set()),
+        ("// SPDX-License-Identifier: GPL-3.0-or-later", {"GPL-3.0-or-later-spdx"}),
+        ("// SPDX-License-Identifier: CC-BY-ND-4.0", set()),
+    ],
+)
+def test_versions_and_qualifiers_of_the_text_decide(scanner, text, found):
+    assert {r[0] for r in scanner.scan(text)} == found
+
+
+def test_digits_stay_digits():
+    made, n = pii.replace("SSN 123-45-6789, token = 1234567890123456789, card 4539 5787 6362 1486", b"k", {})
+    assert n == 3 and re.fullmatch(r"SSN \d{3}-\d{2}-\d{4}, token = \d{19}, card \d{4} \d{4} \d{4} \d{4}", made)
+    made, _ = pii.replace("call +49 89 1234 5678 or +1 (415) 555-0123 or +351 912 345 678", b"k", {})
+    assert re.fullmatch(r"call \+49 \d\d \d{4} \d{4} or \+1 \(\d{3}\) \d{3}-\d{4} or \+351 \d{3} \d{3} \d{3}", made)
+
+
+@pytest.mark.parametrize("bound", [pii.BROADCAST_REDRAWN, -1])
+def test_a_name_has_one_surrogate_in_all_documents(spark, bound):
+    """Whatever each document alone tells of its kind; against a plain count over the whole table."""
+    said = ["Mr. John Smith met us.", "Mr. John left.", "Ms Robin Hall", "Dr. Robin Hall", "Dr. John Hall and Mrs Smith", "Prof. Smith spoke. Smith left.", "Mr. Hall Robin", "no names"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said * 3)], "doc_id long, text string").repartition(5)
+    names, kinds = {}, {}
+    for r in pii.pseudonymise(df, b"k", bound).collect():
+        before, after = re.findall(r"\w+", said[r["doc_id"] % len(said)]), re.findall(r"\w+", r["text"])
+        assert len(before) == len(after)
+        for a, b in zip(before, after, strict=True):
+            if a in ("John", "Smith", "Robin", "Hall"):
+                names.setdefault(a, set()).add(b)
+    assert {n: len(x) for n, x in names.items()} == dict.fromkeys(("John", "Smith", "Robin", "Hall"), 1)
+    assert len({next(iter(x)) for x in names.values()}) == 4
+    for t in said:
+        for _, _, kind, value in pii.find(t):
+            kinds[value] = max(kinds.get(value, ""), kind)
+    for value, made in names.items():
+        assert any(next(iter(made)) == pii.surrogate(b"k", kinds[value], value, n) for n in range(3))
+
+
+def test_large_ids_beside_nulls(spark):
+    big = 2**53
+    df = spark.createDataFrame([(big, big + 1, "user", "a"), (big + 1, 0, "assistant", "b"), (None, None, "user", "c"), (big, big, "user", "z")], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(df)).collect()}
+    assert set(got) == {big, big + 1, None} and got[big]["n_turns"] == 2
+    assert got[big]["turns_sha256"] == hashlib.sha256(b"user\nz\nuser\na\n").hexdigest() and got[big + 1]["loss_chars"] == 1
