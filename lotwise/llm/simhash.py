@@ -168,7 +168,7 @@ class _Blocks:
     Size classes are bounded by powers of 1 / similarity**2, so near texts are in one class or in neighbouring ones.
     """
 
-    def __init__(self, min_similarity: float):
+    def __init__(self, min_similarity: float, exact: bool = False):
         t = self.least = min(max(min_similarity, 0.05), 1.0)
         self.vote = _Vote(LANES)
         grow, bounds = max(1.02, t**-2), [1]
@@ -178,7 +178,7 @@ class _Blocks:
         self.parts = []
         for hi in bounds[1:]:
             differ = int(2 * (hi - 1) * (1 - t) / (1 + t) + 1e-9)
-            self.parts.append(min(differ + 2, max(EXACT_PARTS, hi // PART_SHINGLES)))
+            self.parts.append(differ + 2 if exact else min(differ + 2, max(EXACT_PARTS, hi // PART_SHINGLES)))
 
     def __call__(self, batch) -> dict:
         import numpy as np
@@ -252,13 +252,14 @@ def _meet(members: DataFrame) -> DataFrame:
     return o.join(w, near).select("a", "b")
 
 
-def _link_large(large: DataFrame, tested: DataFrame, links: DataFrame, roots: DataFrame, texts: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:
+def _link_large(large: DataFrame, tested: DataFrame, links: DataFrame, roots: DataFrame, texts: DataFrame, sets: DataFrame, min_similarity: float, exact: bool = False) -> DataFrame:
     """(node, root) after ``links`` (whose components are ``roots``) and those that the block groups ``large`` (key, node) still lack.
 
     Copies of one original are often near to it alone. So each group's member of most links meets all that aren't joined to
     it, round by round as long as that joins a fair share of them; then what is outside a group's commonest component meets the group. In
     groups over PART, such as texts make that have nothing but a common passage in one part, it meets those with which it shares
-    one of EXTENSIONS further blocks as well: a pair at 0.8 that has come so far fails in that with a chance of 0.02 or less.
+    one of EXTENSIONS further blocks as well: a pair at 0.8 that has come so far fails in that with a chance of 0.02 or less. ``exact``: there too it
+    meets the whole group, part by part.
     """
     gained, asked = 1, 0
     while True:
@@ -283,6 +284,9 @@ def _link_large(large: DataFrame, tested: DataFrame, links: DataFrame, roots: Da
     major = known.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"))
     members = known.join(major, "key").join(texts.select("node", "fp", "own", "next"), "node").withColumn("outside", F.col("root") != F.col("major"))
     held = ["key", "n", "node", "root", "fp", "outside"]
+    if exact:
+        near = written(_least_first(_meet(members.select(*held))).join(tested, ["a", "b"], "left_anti"))
+        return joined(roots, _verified(near, sets, min_similarity))
     # the block and those that follow it in its class, round its end
     blocks = F.when(F.array_contains("own", F.col("key")), F.col("own")).otherwise(F.col("next"))
     place = F.array_position(blocks, F.col("key"))
@@ -296,9 +300,13 @@ def _link_large(large: DataFrame, tested: DataFrame, links: DataFrame, roots: Da
     return joined(roots, _verified(near, sets, min_similarity))
 
 
-def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5) -> DataFrame:
+def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5, exact: bool = False) -> DataFrame:
     """doc_id and group: the smallest doc_id of the documents that near copies connect to it.
 
+    ``exact``: long texts have as many parts as the pigeonhole principle asks for, and what is left of large block groups meets all of them, so every pair is
+    compared that shares a part and doesn't differ beyond FAR_BITS. Without it pairs in texts over about 280 words and in what is left of groups over PART meet with a
+    chance of 0.98 or more, and the work stays linear in such groups.
+
     Near: a Jaccard similarity of ``min_similarity`` or more between the sets of ``words``-word shingles (case folded for
     A-Z). Equal word sequences, empty ones too, are one text. Rows without a doc_id are left out here.
     """
@@ -307,7 +315,7 @@ def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5) ->
     # the similarity is of sets, so a repeated shingle votes once
     hashed = hashed.withColumn("hashes", F.array_distinct("hashes"))
     schema = "doc_id long, node long, fp array<long>, own array<long>, next array<long>"
-    prints = written(map_arrow(hashed, _Blocks(min_similarity), schema))
+    prints = written(map_arrow(hashed, _Blocks(min_similarity, exact), schema))
     texts = written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "own", "next")]))
 
     keyed = texts.select("node", F.explode(F.array_compact(F.concat("own", "next"))).alias("key"))
@@ -334,19 +342,19 @@ def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5) ->
     links = _verified(forest, sets, min_similarity)
     roots = written(components(links))
     more = _verified(_apart(near.select("a", "b").join(forest, ["a", "b"], "left_anti"), roots), sets, min_similarity)
-    roots = _link_large(large.select("key", "node"), near.select("a", "b"), links.unionByName(more), joined(roots, more), texts, sets, min_similarity)
+    roots = _link_large(large.select("key", "node"), near.select("a", "b"), links.unionByName(more), joined(roots, more), texts, sets, min_similarity, exact)
 
     rooted = texts.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("doc_id").alias("group"))
     return prints.select("doc_id", "node").join(rooted.join(groups, "root").select("node", "group"), "node").select("doc_id", "group")
 
 
-def drop_near_copies(docs: DataFrame, min_similarity: float = 0.8, words: int = 5) -> DataFrame:
+def drop_near_copies(docs: DataFrame, min_similarity: float = 0.8, words: int = 5, exact: bool = False) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id; of rows that repeat it, one.
 
     Documents without a doc_id stay: nothing names them. Columns as in ``docs``.
     """
-    groups = near_groups(docs, min_similarity, words)
+    groups = near_groups(docs, min_similarity, words, exact)
     kept = groups.where(F.col("doc_id") == F.col("group")).select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull())
     one = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
