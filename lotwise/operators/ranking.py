@@ -66,9 +66,9 @@ FUZZY_BOOST = 0.5
 
 def fuzzy(lists: DataFrame, query_tokens: Column, item_tokens: Column, boost: float = FUZZY_BOOST) -> DataFrame:
     """Adds ``coverage`` of the query's tokens by the item's and ``reranked``, the score raised by it, and orders each query's list anew."""
-    from .text import coverage_udf
+    from .text import coverage
 
-    out = lists.withColumn("coverage", coverage_udf()(query_tokens, item_tokens)).withColumn("reranked", F.col("score") + boost * F.col("coverage"))
+    out = coverage(lists, query_tokens, item_tokens).withColumn("reranked", F.col("score") + boost * F.col("coverage"))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("reranked", 9)), "item")))
 
 

@@ -106,34 +106,73 @@ def damerau_udf():
     return distance
 
 
-def coverage_udf(farthest: int = 2, least: float = 0.6):
-    """Query tokens and an item's tokens (arrays) to 0..1: the best likeness times the share of query tokens that have a match.
+#: From this length on tokens meet by their parts instead of by their deletions.
+LONG_TOKEN, PART_CHARS = 30, 6
+
+
+def _deletions(token: str, most: int) -> set[str]:
+    """A token without up to ``most`` of its letters."""
+    every, last = {token}, {token}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        every |= last
+    return every
+
+
+def _meeting_keys(farthest: int, asked: bool):
+    """Keys under which tokens within ``farthest`` edits meet: each edit, a transposition too, is undone by one deletion on either side, so near tokens have a
+    common deletion. A long token would have too many: it is cut into twice as many parts as there may be edits and one more, of which one is untouched (a transposition
+    touches two at most), and its beginning is among the other's runs of letters."""
+    parts = 2 * farthest + 1
+    long = max(LONG_TOKEN, parts * PART_CHARS)
+
+    @F.pandas_udf("array<string>")
+    def keys(tokens: pd.Series) -> pd.Series:
+        out = []
+        for w in tokens:
+            own = set()
+            if len(w) < long or not asked and len(w) < long + farthest:
+                own |= {f"d{x}" for x in _deletions(w, farthest)}
+            if asked and len(w) >= long:
+                cuts = [len(w) * i // parts for i in range(parts)]
+                own |= {f"p{w[c : c + PART_CHARS]}" for c in cuts}
+            if not asked and len(w) >= long - farthest:
+                own |= {f"p{w[i : i + PART_CHARS]}" for i in range(len(w) - PART_CHARS + 1)}
+            out.append(sorted(own))
+        return pd.Series(out, dtype="object")
+
+    return keys
+
+
+def edit_neighbours(left: DataFrame, right: DataFrame, farthest: int = 2) -> DataFrame:
+    """(a, b, distance) of the different tokens (column token) of both sides that are within ``farthest`` edits, transpositions of neighbours counting as one.
+
+    Tokens meet under their deletions, so distances are taken of candidates alone and there is no pair of all tokens with all others.
+    """
+    side = lambda df, name, asked: df.select(F.col("token").alias(name)).where(F.col(name).isNotNull()).distinct().withColumn("__k", F.explode(_meeting_keys(farthest, asked)(name)))
+    near = (F.length("a") - F.length("b")).between(-farthest, farthest)
+    met = side(left, "a", True).join(side(right, "b", False), "__k").where(near).select("a", "b").distinct()
+    return met.withColumn("distance", damerau_udf()("a", "b")).where(F.col("distance") <= farthest)
+
+
+def coverage(lists: DataFrame, query: Column, item: Column, farthest: int = 2, least: float = 0.6) -> DataFrame:
+    """``lists`` with ``coverage``, 0..1, of query tokens by an item's tokens (arrays): the best likeness times the share of query tokens that have a match.
 
     A pair is alike by 1 if one holds the other, else by 1 - distance / the longer length up to ``farthest`` edits (with transpositions);
-    ``least`` makes a match.
+    ``least`` makes a match. Distances are known from the neighbours of the different tokens of all rows; a row looks its own up.
     """
-    def like(q: str, t: str) -> float:
-        if q in t or t in q:
-            return 1.0
-        d = damerau(q, t) if abs(len(q) - len(t)) <= farthest else farthest + 1
-        return 1 - d / max(len(q), len(t)) if d <= farthest else 0.0
-
-    @F.pandas_udf("double")
-    def coverage(query: pd.Series, item: pd.Series) -> pd.Series:
-        known: dict[tuple, float] = {}
-        out = []
-        for q, i in zip(query, item, strict=True):
-            best = [0.0] * (0 if q is None else len(q))
-            for k, x in enumerate(() if q is None or i is None else q):
-                for y in i:
-                    if (x, y) not in known:
-                        known[x, y] = like(x, y)
-                    best[k] = max(best[k], known[x, y])
-            matched = [b for b in best if b >= least]
-            out.append(max(matched) * len(matched) / len(best) if matched else 0.0)
-        return pd.Series(out, dtype="float64")
-
-    return coverage
+    rows = lists.withColumn("__q", query).withColumn("__t", item)
+    asked = rows.select("__q").where("__q IS NOT NULL").distinct()
+    near = edit_neighbours(asked.select(F.explode("__q").alias("token")), rows.select(F.explode("__t").alias("token")), farthest)
+    like = near.select(F.col("a").alias("__w"), F.struct("b", (1 - F.col("distance") / F.greatest(F.length("a"), F.length("b"), F.lit(1))).alias("like")).alias("__n"))
+    alike = like.groupBy("__w").agg(F.map_from_entries(F.collect_list("__n")).alias("__n"))
+    known = asked.select("__q", F.explode(F.array_distinct("__q")).alias("__w")).join(alike, "__w").groupBy("__q").agg(F.map_from_entries(F.collect_list(F.struct("__w", "__n"))).alias("__known"))
+    rows = rows.join(known, "__q", "left")
+    holds = lambda x: F.exists("__t", lambda y: F.contains(y, x) | F.contains(x, y))
+    best = F.transform("__q", lambda x: F.when(holds(x), 1.0).otherwise(F.array_max(F.transform("__t", lambda y: F.coalesce(F.col("__known")[x][y], F.lit(0.0))))))
+    matched = F.filter(best, lambda b: b >= least)
+    share = F.array_max(matched) * F.size(matched) / F.size("__q")
+    return rows.withColumn("coverage", F.when(F.size(matched) > 0, share).otherwise(0.0)).drop("__q", "__t", "__known")
 
 
 def synonym_expand(tokens: DataFrame, synonyms: DataFrame, weight: float = 0.5, cap: int = 3) -> DataFrame:

@@ -343,6 +343,26 @@ def rollup_route(spark, d):
     return rounded(catalog.aggregate(["category"], ["price"], {"tld": "brand5"}).select("category", "n", "price_avg"))
 
 
+def _range_catalog(spark, d):
+    rows = listings(spark, d)
+    made = [rollups.Rollup(f"by_{g}", rollups.build(rows, "ends_at", g, dims, ["price", "bids"]), tuple(dims), g, ("price", "bids"), n) for g, dims, n in (("month", ["tld"], 100), ("day", ["tld", "category"], 9000), ("hour", ["tld", "category"], 90000))]
+    return rollups.Catalog(made, rows, "ends_at")
+
+
+@query(f"""{L} SELECT tld, count(*) AS n, near(avg(price)) AS price_avg, min(price) AS price_min, max(price) AS price_max, CAST(sum(bids) AS DOUBLE) AS bids_sum FROM l WHERE ends_at >= TIMESTAMP '1996-02-27 13:30:00' AND ends_at < TIMESTAMP '2000-09-03 02:15:00' GROUP BY ALL""")
+def rollup_range(spark, d):
+    """A range with odd ends: minutes from the base table, hours, days and months from their rollups."""
+    out = _range_catalog(spark, d).aggregate_range(["tld"], ["price", "bids"], datetime(1996, 2, 27, 13, 30), datetime(2000, 9, 3, 2, 15))
+    return rounded(out.select("tld", "n", "price_avg", F.col("price__min").alias("price_min"), F.col("price__max").alias("price_max"), F.col("bids__sum").alias("bids_sum")), price_min=2, price_max=2)
+
+
+@query(f"""{L}, c AS (SELECT CAST(date_trunc('month', ends_at) AS DATE) AS period, sld AS value, count(*) AS n FROM l GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY period ORDER BY n DESC, value) AS INTEGER) AS rank FROM c QUALIFY rank <= 3""")
+def rollup_frequent(spark, d):
+    """The most frequent names of each month, from sketches of days and types: as there are fewer names than a sketch tracks, its counts are exact."""
+    daily = rollups.build(listings(spark, d), "ends_at", "day", ["type_id"], [], frequent=["sld"])
+    return rollups.frequent(rollups.merge(daily, [], "month"), ["period"], "sld", 3)
+
+
 @query(f"""{L}, a AS (SELECT tld, price, epoch({_NOW}) - epoch(ends_at) AS age FROM l)
     SELECT tld, {", ".join(f"count(*) FILTER (age < {s}) AS n_{n}, round(coalesce(sum(price) FILTER (age < {s}), 0), 2) AS sum_{n}" for n, s in rollups.WINDOWS.items())} FROM a WHERE age >= 0 AND age < 7776000 GROUP BY ALL""")
 def rollup_multi_period(spark, d):
