@@ -35,17 +35,8 @@ def truncate(v: Column, dims: int) -> Column:
     return unit(F.slice(v, 1, dims))
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, corpus_block: int = CORPUS_BLOCK, query_block: int = QUERY_BLOCK, earlier: bool = False) -> DataFrame:
-    """query_id, id, score = (cosine + 1) / 2, rank of the ``k`` nearest rows by matrix products over a grid of blocks.
-
-    queries: query_id, v; corpus: id, v. A query's own id is left out; with ``earlier`` all ids but
-    smaller ones are. Ties to the smaller id.
-    """
-    n, m = corpus.count(), queries.count()
-    across, down = max(1, -(-n // corpus_block)), max(1, -(-m // query_block))
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = corpus.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(across)).cast("int").alias("x"), every(down).alias("y"))
-    right = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(down)).cast("int").alias("y"), every(across).alias("x"))
+def _cell(k: int, earlier: bool):
+    """The ``k`` best rows of a block for each query of a block."""
 
     def cell(c, q):
         import numpy as np
@@ -67,11 +58,135 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, corpus_block: int = CORPU
             out.append(pd.DataFrame({"query_id": asked[i], "id": ids[j], "score": (s[i, j] + 1) / 2}))
         return pd.concat(out)
 
-    near = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(cell, "query_id long, id long, score double")
+    return cell
+
+
+_NEAR = "query_id long, id long, score double"
+
+
+def _first(near: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def knn(queries: DataFrame, corpus: DataFrame, k: int, corpus_block: int = CORPUS_BLOCK, query_block: int = QUERY_BLOCK, earlier: bool = False) -> DataFrame:
+    """query_id, id, score = (cosine + 1) / 2, rank of the ``k`` nearest rows by matrix products over a grid of blocks.
+
+    queries: query_id, v; corpus: id, v. A query's own id is left out; with ``earlier`` all ids but
+    smaller ones are. Ties to the smaller id.
+    """
+    n, m = corpus.count(), queries.count()
+    across, down = max(1, -(-n // corpus_block)), max(1, -(-m // query_block))
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = corpus.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(across)).cast("int").alias("x"), every(down).alias("y"))
+    right = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(down)).cast("int").alias("y"), every(across).alias("x"))
+    return _first(left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(_cell(k, earlier), _NEAR), k)
+
+
+#: Pivots at most; cells that each query looks into first.
+PIVOTS, FIRST_CELLS = 256, 2
+#: Rounding of distances, on the safe side.
+_SLACK = 1e-6
+
+
+def _distances(vectors, matrix):
+    """Of vectors (scaled to length one) to each pivot, and which have no length."""
+    import numpy as np
+
+    a = np.stack(vectors).astype("float64") if len(vectors) else np.zeros((0, matrix.shape[1]))
+    size = np.linalg.norm(a, axis=1)
+    a = a / np.maximum(size, 1e-300)[:, None]
+    return np.sqrt(np.maximum(2 - 2 * a @ matrix.T, 0)), size == 0
+
+
+class Pivots:
+    """Exact nearest neighbours by cells about pivots.
+
+    Vectors are scaled to length one, where the cosine follows from the distance, and each lies in the cell of its nearest pivot. A query looks into the cells nearest to it first;
+    its k-th score there says how far a better row can be. By the triangle inequality a cell can't hold one if its pivot is farther from the query than that distance
+    and the cell's radius together, or nearer than its inner radius less it. So the answer is that of the full grid. Pivots and radii are a bounded model; cells
+    are compared in blocks of bounded size. Vectors of length zero lie in a cell that is always looked into.
+    """
+
+    def __init__(self, corpus: DataFrame, pivots: int | None = None, block: int = CORPUS_BLOCK):
+        """corpus: id, v."""
+        import numpy as np
+
+        from lotwise.sources.sinks import stored
+
+        n = corpus.count()
+        wanted = max(1, min(PIVOTS, int(n**0.5))) if pivots is None else pivots
+        some = corpus.where(norm(F.col("v")) > 0).orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
+        matrix = np.array([r["v"] for r in some], "float64").reshape(len(some), len(some[0]["v"]) if some else 0)
+        self.matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        self.corpus = stored(corpus.select("id", "v", self._nearest()(F.col("v")).alias("c")).select("id", "v", "c.cell", "c.far"), "cells")
+        rows = self.corpus.groupBy("cell").agg(F.min("far").alias("inner"), F.max("far").alias("outer"), F.count("*").alias("n")).collect()
+        self.cells = {r["cell"]: (r["inner"], r["outer"], r["n"], max(1, -(-r["n"] // block))) for r in rows}
+
+    def _nearest(self):
+        matrix = self.matrix
+
+        @F.pandas_udf("cell int, far double")
+        def nearest(v: pd.Series) -> pd.DataFrame:
+            import numpy as np
+
+            if not len(matrix):
+                return pd.DataFrame({"cell": np.full(len(v), -1), "far": np.zeros(len(v))})
+            d, none = _distances(v, matrix)
+            cell = d.argmin(axis=1)
+            return pd.DataFrame({"cell": np.where(none, -1, cell), "far": np.where(none, 0.0, d[np.arange(len(d)), cell])})
+
+        return nearest
+
+    def _routes(self, k: int, first: int):
+        """Of each query the cells to look into first (as many as hold more than ``k`` rows, ``first`` at least), and of each other one how near a row of it can be."""
+        import numpy as np
+
+        names = np.array(sorted(c for c in self.cells if c >= 0), "int64")
+        inner, outer, size = (np.array([self.cells[c][i] for c in names.tolist()], "float64") for i in range(3))
+        always, matrix = [-1] if -1 in self.cells else [], self.matrix
+
+        @F.pandas_udf("start array<int>, rest array<struct<cell:int,least:double>>")
+        def routes(v: pd.Series) -> pd.DataFrame:
+            start, rest = [], []
+            d, none = _distances(v, matrix) if len(names) else (np.zeros((len(v), 0)), np.zeros(len(v), "bool"))
+            for row, zero in zip(d[:, names] if len(names) else d, none, strict=True):
+                order = np.argsort(row, kind="stable")
+                enough = len(order) if zero else min(len(order), max(first, int(np.searchsorted(np.cumsum(size[order]), k, "right")) + 1))
+                start.append([*always, *names[order[:enough]].tolist()])
+                least = np.maximum(np.maximum(row - outer, inner - row), 0)
+                rest.append([{"cell": int(names[i]), "least": float(least[i])} for i in order[enough:]])
+            return pd.DataFrame({"start": start, "rest": rest})
+
+        return routes
+
+    def _look(self, routed: DataFrame, k: int, earlier: bool) -> DataFrame:
+        """The best rows of (query_id, v, cell): cells' blocks with blocks of the queries that look into them."""
+        blocks = F.create_map(*[F.lit(x) for c, (_, _, _, n) in self.cells.items() for x in (c, n)])
+        m = routed.groupBy("cell").agg(F.count("*").alias("m")).withColumn("down", F.ceil(F.col("m") / QUERY_BLOCK).cast("int")).select("cell", "down")
+        m = F.broadcast(m)  # a row for each cell
+        every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+        left = self.corpus.join(m, "cell").select("id", "v", "cell", F.pmod(F.xxhash64("id"), blocks[F.col("cell")]).cast("int").alias("x"), every(F.col("down")).alias("y"))
+        right = routed.join(m, "cell").select("query_id", "v", "cell", every(blocks[F.col("cell")]).alias("x"), F.pmod(F.xxhash64("query_id"), F.col("down")).cast("int").alias("y"))
+        return left.groupBy("cell", "x", "y").cogroup(right.groupBy("cell", "x", "y")).applyInPandas(_cell(k, earlier), _NEAR)
+
+    def search(self, queries: DataFrame, k: int, earlier: bool = False, first: int = FIRST_CELLS) -> tuple[DataFrame, DataFrame]:
+        """As ``knn`` of queries (query_id, v); and query_id, looked, cells: how many cells each looked into, of all."""
+        from lotwise.sources.sinks import stored
+
+        if not self.cells:
+            return knn(queries, self.corpus.select("id", "v"), k, earlier=earlier), queries.select("query_id", F.lit(0).alias("looked"), F.lit(0).alias("cells"))
+        routed = stored(queries.select("query_id", "v", self._routes(k, first)(F.col("v")).alias("r")).select("query_id", "v", "r.start", "r.rest"), "routes")
+        found = stored(_first(self._look(routed.select("query_id", "v", F.explode("start").alias("cell")), k, earlier), k).drop("rank"), "near")
+        # a k-th score of s is a cosine of 2 s - 1, a distance of 2 (1 - s)**0.5; with fewer rows than k anything is near enough
+        reach = found.groupBy("query_id").agg(F.when(F.count("*") >= k, 2 * F.sqrt(F.greatest(1 - F.min("score"), F.lit(0.0)) + _SLACK)).alias("reach"))
+        left = routed.join(reach, "query_id", "left").withColumn("more", F.filter("rest", lambda c: F.col("reach").isNull() | (c["least"] <= F.col("reach") + _SLACK)))
+        left = stored(left.select("query_id", "v", F.transform("more", lambda c: c["cell"]).alias("more"), F.size("start").alias("n")), "routes")
+        also = self._look(left.select("query_id", "v", F.explode("more").alias("cell")), k, earlier)
+        looked = left.select("query_id", (F.col("n") + F.size("more")).alias("looked"), F.lit(len(self.cells)).alias("cells"))
+        return _first(found.unionByName(also), k), looked
+
+
 def centroids(vectors: DataFrame, label: str, v: str) -> DataFrame:
     """The mean of each label's vectors, of length one."""
     cells = vectors.select(label, F.posexplode(v).alias("i", "x")).groupBy(label, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))

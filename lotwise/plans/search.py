@@ -119,6 +119,14 @@ def vec_char_ngram(spark, d):
 _KNN = "c AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS s FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0)"
 
 
+@query(f"WITH {_KNN} SELECT query_id, id, near((s + 1) / 2) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INTEGER) AS rank FROM c QUALIFY rank <= 10")
+def vec_pivot_knn(spark, d):
+    """The same neighbours from cells about pivots."""
+    e = load(spark, d, "embeddings")
+    index = vectors.Pivots(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+    return rounded(index.search(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), 10)[0])
+
+
 def _knn(spark, d, k: int) -> DataFrame:
     e = load(spark, d, "embeddings")
     return vectors.knn(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), k)
