@@ -206,7 +206,7 @@ def hour_partition(start: datetime, end: datetime, prefix: str = "") -> Column:
     """[start, end) on partition columns year, month, day, hour: as one number, so that pruning sees a range of each."""
     stamp = sum(F.col(f"{prefix}{c}") * m for c, m in (("year", 1_000_000), ("month", 10_000), ("day", 100), ("hour", 1)))
     number = lambda t: t.year * 1_000_000 + t.month * 10_000 + t.day * 100 + t.hour
-    last = number(end) if (end.minute or end.second or end.microsecond) else number(end) - 1 if end.hour else number(end) - 1
+    last = number(end) if (end.minute or end.second or end.microsecond) else number(end) - 1
     return F.col(f"{prefix}year").between(start.year, end.year) & stamp.between(number(start), last)
 
 

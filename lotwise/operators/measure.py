@@ -83,12 +83,12 @@ def _before(slices: DataFrame, by: list[str], columns: dict[str, Column]) -> Dat
 
 def running_sums(df: DataFrame, ts: str, columns: list[str], by: list[str] = (), slice_s: int = SLICE_S) -> DataFrame:
     """``columns`` as sums of all rows up to each row in order of time, without one sorted partition: sums within slices of time and what the slices
-    before add up to."""
+    before add up to. Rows of one instant are in the order of their ``columns``."""
     by = list(by)
     rows = df.withColumn("__slice", F.floor(F.unix_timestamp(ts) / slice_s))
     totals = rows.groupBy(*by, "__slice").agg(*[F.sum(c).alias(f"__t_{c}") for c in columns])
     before = _before(totals, by, {f"__b_{c}": F.sum(f"__t_{c}") for c in columns})
-    upto = Window.partitionBy(*by, "__slice").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*by, "__slice").orderBy(ts, *columns).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(before, [*by, "__slice"])
     return rows.withColumns({c: F.coalesce(F.col(f"__b_{c}"), F.lit(0)) + F.sum(c).over(upto) for c in columns}).drop("__slice", *[f"__b_{c}" for c in columns])
 
@@ -102,10 +102,10 @@ def miss_storm(df: DataFrame, ts: str, hits: str, misses: str, seconds: int = 30
     by, slice_s = list(by), max(slice_s, seconds)
     own, place = Window.partitionBy(*by, "__slice"), F.floor(F.unix_timestamp(ts) / slice_s)
     rows = df.withColumn("__slice", place)
-    ends = rows.groupBy(*by, "__slice").agg(F.max_by(hits, ts).alias("__h"), F.max_by(misses, ts).alias("__m"))
+    ends = rows.groupBy(*by, "__slice").agg(F.max(F.struct(ts, F.col(hits).alias("h"), F.col(misses).alias("m"))).alias("__e")).select(*by, "__slice", F.col("__e.h").alias("__h"), F.col("__e.m").alias("__m"))
     before = _before(ends, by, {"__bh": F.last("__h"), "__bm": F.last("__m")})
     rows = rows.join(before, [*by, "__slice"])
-    delta = lambda c, b: F.greatest(F.coalesce(F.col(c) - F.coalesce(F.lag(c).over(own.orderBy(ts)), F.col(b)), F.lit(0)), F.lit(0))
+    delta = lambda c, b: F.greatest(F.coalesce(F.col(c) - F.coalesce(F.lag(c).over(own.orderBy(ts, hits, misses)), F.col(b)), F.lit(0)), F.lit(0))
     rows = rows.withColumn("__dh", delta(hits, "__bh")).withColumn("__dm", delta(misses, "__bm")).withColumn("__t", F.unix_timestamp(ts)).drop("__bh", "__bm")
     into = F.when(F.col("__t") >= (F.col("__slice") + 1) * slice_s - seconds, F.array("__slice", F.col("__slice") + 1)).otherwise(F.array("__slice"))
     rows = rows.withColumn("__home", F.col("__slice")).withColumn("__slice", F.explode(into))

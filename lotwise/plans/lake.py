@@ -87,7 +87,7 @@ def src_documents(spark, d):
     return docs.select("*", p["proxy"].alias("proxy"), p["tier"].alias("tier"))
 
 
-@query("""SELECT event_id, user_id, json_extract_string(props, '$.k') AS k, CASE WHEN event_type = 'purchase' THEN 'positive' WHEN event_type = 'error' THEN 'negative' ELSE 'neutral' END AS signal FROM events ORDER BY ts DESC LIMIT 1000""")
+@query("""SELECT event_id, user_id, json_extract_string(props, '$.k') AS k, CASE WHEN event_type = 'purchase' THEN 'positive' WHEN event_type = 'error' THEN 'negative' ELSE 'neutral' END AS signal FROM events ORDER BY ts DESC, event_id LIMIT 1000""")
 def src_signal_json(spark, d):
     return lake.signals(load(spark, d, "events"), 1000)
 

@@ -574,10 +574,14 @@ def enr_composite_score(spark, d):
     return rounded(scored.select("p_partkey", "composite"))
 
 
-@query(f"""{L}, s AS (SELECT tld, CAST(date_trunc('week', ends_at) AS DATE) AS week, count(*) AS n, avg(price) AS m, avg(sold) AS rate FROM l WHERE ends_at > {_NOW} - INTERVAL 91 DAYS AND ends_at <= {_NOW} GROUP BY ALL), p AS (SELECT *, lag(m) OVER (PARTITION BY tld ORDER BY week) AS prev FROM s)
-    SELECT tld, week, n, near(m) AS mean_price, near(round(CASE WHEN prev <> 0 THEN 100 * (m - prev) / prev END, 4)) AS growth_pct, CASE WHEN rate >= 0.6 THEN 'high' WHEN rate >= 0.3 THEN 'medium' ELSE 'low' END AS tier FROM p""")
+@query(f"""{L}, s AS (SELECT tld, CAST(date_trunc('week', ends_at) AS DATE) AS week, count(*) AS n, avg(price) AS m, avg(sold) AS rate FROM l WHERE ends_at > {_NOW} - INTERVAL 91 DAYS AND ends_at <= {_NOW} GROUP BY ALL), p AS (SELECT *, lag(m) OVER (PARTITION BY tld ORDER BY week) AS prev FROM s),
+    x AS (SELECT *, CASE WHEN stddev_pop(m) OVER (PARTITION BY tld) > 1e-9 THEN (m - avg(m) OVER (PARTITION BY tld)) / stddev_pop(m) OVER (PARTITION BY tld) END AS z, CAST(row_number() OVER (PARTITION BY tld ORDER BY week) - 1 AS DOUBLE) AS i FROM p),
+    f AS (SELECT tld, CASE WHEN count(*) >= 3 THEN regr_intercept(m, i) + regr_slope(m, i) * (max(i) + 1) END AS forecast FROM x GROUP BY ALL)
+    SELECT x.tld, week, n, near(m) AS mean_price, near(rate) AS rate, near(round(CASE WHEN prev <> 0 THEN 100 * (m - prev) / prev END, 4)) AS growth_pct, near(z) AS z, abs(z) > 2.5 AS is_anomaly,
+        CASE WHEN coalesce(prev, 0) = 0 THEN 'unknown' WHEN 100 * (m - prev) / prev > 5 THEN 'rising' WHEN 100 * (m - prev) / prev < -5 THEN 'falling' ELSE 'stable' END AS momentum, CASE WHEN rate >= 0.6 THEN 'high' WHEN rate >= 0.3 THEN 'medium' ELSE 'low' END AS tier, near(forecast) AS forecast
+    FROM x JOIN f ON x.tld = f.tld""")
 def tbl_tld_features(spark, d):
-    return rounded(enrich.tld_features(listings(spark, d), AS_OF).select("tld", "week", "n", "mean_price", "growth_pct", "tier"))
+    return rounded(enrich.tld_features(listings(spark, d), AS_OF))
 
 
 _TWO_MONTHS = "avg(price) FILTER (ends_at > TIMESTAMP '2001-05-02' AND ends_at <= TIMESTAMP '2001-06-01') AS now, avg(price) FILTER (ends_at > TIMESTAMP '2001-04-02' AND ends_at <= TIMESTAMP '2001-05-02') AS before"

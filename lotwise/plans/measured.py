@@ -288,11 +288,11 @@ def cal_ece(spark, d):
     return rounded(m.ece(_cal(spark, d), "p", "y"))
 
 
-_ENTROPY = "s AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: 5 * CAST(x AS DOUBLE)) AS v FROM embeddings), t AS (SELECT vec_id, label, list_transform(v, lambda x: exp(x) / list_sum(list_transform(v, lambda y: exp(y)))) AS p FROM s), h AS (SELECT vec_id, label, -list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) / ln(8) AS h FROM t)"
+_ENTROPY = "s AS (SELECT vec_id, label, list_transform(embedding, lambda x: 5 * CAST(x AS DOUBLE)) AS v FROM embeddings), t AS (SELECT vec_id, label, list_transform(v, lambda x: exp(x) / list_sum(list_transform(v, lambda y: exp(y)))) AS p FROM s), h AS (SELECT vec_id, label, -list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) / ln(64) AS h FROM t)"
 
 
 def _entropies(spark, d):
-    v = F.transform(F.slice("embedding", 1, 8), lambda x: 5 * x.cast("double"))
+    v = F.transform("embedding", lambda x: 5 * x.cast("double"))
     return load(spark, d, "embeddings").select("vec_id", "label", m.entropy(v).alias("h"))
 
 

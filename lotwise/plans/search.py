@@ -127,6 +127,11 @@ def vec_pivot_knn(spark, d):
     return rounded(index.search(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), 10)[0])
 
 
+def _components(df: DataFrame, key: str, v) -> DataFrame:
+    """``key``, i (from 1), x: a row for each component."""
+    return df.select(key, F.posexplode(v).alias("i", "x")).select(key, (F.col("i") + 1).cast("long").alias("i"), "x")
+
+
 def _knn(spark, d, k: int) -> DataFrame:
     e = load(spark, d, "embeddings")
     return vectors.knn(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), k)
@@ -147,10 +152,10 @@ def vec_hash_text(spark, d):
     return rounded(text.hashed_text(doc_tokens(spark, d)))
 
 
-@query("WITH t AS (SELECT vec_id, CAST(embedding[1:16] AS DOUBLE[]) AS v FROM embeddings) SELECT vec_id, near(v[1] / sqrt(list_inner_product(v, v))) AS x1, near(v[16] / sqrt(list_inner_product(v, v))) AS x16, CAST(len(v) AS INTEGER) AS dims FROM t")
+@query("WITH t AS (SELECT vec_id, CAST(embedding[1:16] AS DOUBLE[]) AS v FROM embeddings) SELECT vec_id, i, near(v[i] / sqrt(list_inner_product(v, v))) AS x FROM t, (SELECT unnest(range(1, 17)) AS i) r")
 def vec_truncate(spark, d):
     t = load(spark, d, "embeddings").select("vec_id", vectors.truncate(F.col("embedding"), 16).alias("v"))
-    return rounded(t.select("vec_id", F.col("v")[0].alias("x1"), F.col("v")[15].alias("x16"), F.size("v").alias("dims")))
+    return rounded(_components(t, "vec_id", F.col("v")))
 
 
 @query(f"WITH {_KNN}, e AS (SELECT * FROM c WHERE id < query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) = 1) SELECT q.vec_id AS query_id, CASE WHEN s >= 0.2 THEN id END AS match FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) q LEFT JOIN e ON q.vec_id = e.query_id")
@@ -185,10 +190,9 @@ def txt_ngram_classify(spark, d):
 _CENT = "u AS (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM u GROUP BY ALL), nn AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY ALL), ce AS (SELECT label, list(m / n ORDER BY i) AS c FROM m JOIN nn USING (label) GROUP BY ALL)"
 
 
-@query(f"WITH {_CENT} SELECT label, near(c[1]) AS x1, near(c[64]) AS x64 FROM ce")
+@query(f"WITH {_CENT} SELECT label, i, near(c[i]) AS x FROM ce, (SELECT unnest(range(1, 65)) AS i) r")
 def vec_centroid(spark, d):
-    c = vectors.centroids(load(spark, d, "embeddings"), "label", "embedding")
-    return rounded(c.select("label", F.col("centroid")[0].alias("x1"), F.col("centroid")[63].alias("x64")))
+    return rounded(_components(vectors.centroids(load(spark, d, "embeddings"), "label", "embedding"), "label", F.col("centroid")))
 
 
 @query(f"WITH {_CENT}, s AS (SELECT vec_id, ce.label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c), 9) AS s FROM embeddings, ce) SELECT vec_id, label, near(s) AS score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) = 1")
@@ -202,11 +206,11 @@ def vec_kmeans_spherical(spark, d):
     return vectors.kmeans(load(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", 10).select("vec_id", "cluster")
 
 
-@query(f"WITH {_CENT}, t AS (SELECT c FROM ce WHERE label = 0), v AS (SELECT vec_id, list_transform(list_zip(CAST(embedding AS DOUBLE[]), c), lambda p: p[1] - 0.5 * p[2]) AS v FROM embeddings, t) SELECT vec_id, near(v[1] / sqrt(list_inner_product(v, v))) AS x1 FROM v")
+@query(f"WITH {_CENT}, t AS (SELECT c FROM ce WHERE label = 0), v AS (SELECT vec_id, list_transform(list_zip(CAST(embedding AS DOUBLE[]), c), lambda p: p[1] - 0.5 * p[2]) AS v FROM embeddings, t) SELECT vec_id, i, near(v[i] / sqrt(list_inner_product(v, v))) AS x FROM v, (SELECT unnest(range(1, 65)) AS i) r")
 def vec_topic_subtract(spark, d):
     e = load(spark, d, "embeddings")
     topic = vectors.centroids(e.where("label = 0"), "label", "embedding").select("centroid")
-    return rounded(e.join(F.broadcast(topic), F.lit(True)).select("vec_id", vectors.subtract_topics(F.col("embedding"), [F.col("centroid")], 0.5)[0].alias("x1")))
+    return rounded(_components(e.join(F.broadcast(topic), F.lit(True)), "vec_id", vectors.subtract_topics(F.col("embedding"), [F.col("centroid")], 0.5)))
 
 
 _FILTERS = {"price_min": 1000, "price_max": 60000, "tlds": ["brand1", "brand2", "brand3", "brand4"], "types": [16, 20], "bids_min": 3, "name_length_max": 10, "exclude_keywords": ["rod"], "ends_after": datetime(1997, 1, 1)}

@@ -37,7 +37,7 @@ def distinct_seekers(log: DataFrame, name: str, who: str, ts: str, as_of, days:
 
 def signals(events: DataFrame, newest: int) -> DataFrame:
     kind = F.when(F.col("event_type") == "purchase", "positive").when(F.col("event_type") == "error", "negative").otherwise("neutral")
-    return events.orderBy(F.desc("ts")).limit(newest).select("event_id", "user_id", F.get_json_object("props", "$.k").alias("k"), kind.alias("signal"))
+    return events.orderBy(F.desc("ts"), "event_id").limit(newest).select("event_id", "user_id", F.get_json_object("props", "$.k").alias("k"), kind.alias("signal"))
 
 
 def last_bids(bids: DataFrame, winning: DataFrame, base: DataFrame) -> DataFrame:

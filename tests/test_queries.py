@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from lotwise import plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = [n for i, n in enumerate(sorted(plans.SQL)) if i % 6 == 0 and not n.startswith("stm_")]
+CHOSEN = [n for i, n in enumerate(sorted(plans.SQL)) if i % 3 == 0 and not n.startswith("stm_")]
 
 
 @pytest.fixture(scope="module")
