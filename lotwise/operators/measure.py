@@ -239,10 +239,12 @@ def ece(df: DataFrame, p: str, correct: str, bins: int = 10) -> DataFrame:
 
 def entropy(scores: Column) -> Column:
     """Of the softmax of a score vector, over its greatest value: 0 for one peak (or fewer than two scores), 1 for equal scores."""
-    best = F.array_max(scores)
-    parts = F.transform(scores, lambda x: F.exp(x - best))
-    total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
-    h = F.aggregate(parts, F.lit(0.0), lambda s, x: s - F.when(x > 0, x / total * F.ln(x / total)).otherwise(0.0))
+    # bound once, in a cell of its own: used inside a lambda it would be found anew for each score
+    shifted = F.element_at(F.transform(F.array(F.array_max(scores)), lambda best: F.transform(scores, lambda x: x - best)), 1)
+    start = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("s"))
+    # with t the sum of e**z and s that of z * e**z, the entropy is ln t - s / t
+    add = lambda a, z: F.struct((a["t"] + F.exp(z)).alias("t"), (a["s"] + F.when(F.exp(z) > 0, F.exp(z) * z).otherwise(0.0)).alias("s"))
+    h = F.aggregate(shifted, start, add, lambda a: F.ln(a["t"]) - a["s"] / a["t"])
     return F.when(F.size(scores) >= 2, F.least(F.greatest(h / F.ln(F.size(scores)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
 
 

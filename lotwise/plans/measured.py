@@ -293,7 +293,7 @@ _ENTROPY = "s AS (SELECT vec_id, label, list_transform(embedding, lambda x: 5 *
 
 def _entropies(spark, d):
     v = F.transform("embedding", lambda x: 5 * x.cast("double"))
-    return load(spark, d, "embeddings").select("vec_id", "label", m.entropy(v).alias("h"))
+    return load(spark, d, "embeddings").select("vec_id", "label", v.alias("v")).select("vec_id", "label", m.entropy(F.col("v")).alias("h"))
 
 
 @query(f"WITH {_ENTROPY} SELECT vec_id, near(h) AS entropy FROM h")
