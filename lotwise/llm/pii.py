@@ -49,8 +49,11 @@ _UPPER, _LOWER = ("".join(c for c in map(chr, range(0x20000)) if category(c) in
 _PART = rf"[{_UPPER}](?:[{_LOWER}]|['’-](?!s(?!\w))(?=[{_UPPER}{_LOWER}])|(?<=[{_LOWER}'’-])[{_UPPER}](?=[{_LOWER}'’]))+"
 _TITLE = "|".join(sorted(_GENDER, key=len, reverse=True))
 _NAME = re.compile(rf"(?<!\w)({_TITLE})\.?[ ](?:[{_UPPER}]\.[ ]?){{0,3}}((?!(?:{_TITLE})\b)(?:{_PART})(?:[ ](?!(?:{_TITLE})\b)(?:{_PART})){{0,2}})")
-#: One of these is in every text that any of the patterns matches: a digit or '@', a keyword (in folded text), a long run.
-_SIGNS, _KEYWORDS, _RUN = re.compile(r"[\d@]"), ("token", "secret", "passw", "pwd", "key"), re.compile("[0-9A-Za-z]{16}")
+#: One of these is in every match of the patterns: a digit or '@', a keyword (looked for in folded text first), a long run.
+_SIGNS, _KEYWORDS, _RUN = re.compile(r"[\d@]"), ("token", "secret", "passw", "pwd", "key"), re.compile("[0-9A-Za-z]{16,}")
+_KEYWORD = re.compile("|".join(_KEYWORDS), re.I)
+#: The rest of a word and the nine that follow: no match goes farther beyond its last sign.
+_AHEAD, _WORD_END = re.compile(r"\S*(?:\s+\S+){0,9}"), re.compile(r"\S*")
 #: Syllables of made-up names by script: beginnings, middles and endings for each gender.
 _SYLLABLES = {
     "latin": (["Al", "Bren", "Cor", "Da", "El", "Fer", "Gar", "Hel", "Is", "Jor", "Kal", "Lor", "Mar", "Nor", "Or", "Per", "Ro", "Sel", "Tor", "Val"], ["a", "be", "da", "fi", "ga", "li", "mo", "na", "ri", "sta", "ti", "vo"], {"m": ["n", "rd", "s", "ck"], "f": ["na", "lia", "ssa", "ra"], "": ["ner", "ton", "man", "sen"]}),
@@ -64,14 +67,34 @@ def _script(text: str) -> str:
     return "cyrillic" if "Ѐ" <= first <= "ӿ" else "greek" if "Ͱ" <= first <= "Ͽ" else "latin"
 
 
+def _windows(text: str) -> list[tuple[int, int]]:
+    """Where the patterns may match: words with a sign and those that follow. Both ends are at white space, so a pattern sees what it would see in the whole text."""
+    signs = [m.start() for m in _SIGNS.finditer(text)]
+    if any(k in folded for folded in [text.casefold()] for k in _KEYWORDS):
+        signs += [m.start() for m in _KEYWORD.finditer(text)]
+    signs += [m.start() for m in _RUN.finditer(text)]
+    out, word_end = [], -1
+    for at in sorted(signs):
+        if at < word_end:
+            continue
+        word_end, stop = _WORD_END.match(text, at).end(), _AHEAD.match(text, at).end()
+        if out and at < out[-1][1]:
+            out[-1] = (out[-1][0], max(stop, out[-1][1]))
+            continue
+        while at and not text[at - 1].isspace():
+            at -= 1
+        out.append((at, stop))
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, mention) of the entities of a text, in order, none overlapping. Names are given part by part.
 
     A name that a title introduces is found wherever else the text has it, with or without a title.
     """
     found = []
-    if _SIGNS.search(text) or any(k in folded for folded in [text.casefold()] for k in _KEYWORDS) or _RUN.search(text):
-        for m in _PATTERNS.finditer(text):
+    for start, stop in _windows(text):
+        for m in _PATTERNS.finditer(text, start, stop):
             kind = m.lastgroup
             if kind == "iban" and not _iban_valid(m[kind]) or kind == "card" and not _card_valid(m[kind]):
                 continue
