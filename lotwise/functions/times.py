@@ -24,6 +24,12 @@ def bucket(ts: Column, grain: str) -> Column:
     raise ValueError(f"grain {grain}: one of {GRAINS}")
 
 
+def recent(ts: Column, as_of, seconds: float) -> Column:
+    """Whether ``ts`` lies in (as_of - seconds, as_of]: by the instant, not by its whole second."""
+    end = F.lit(as_of)
+    return (ts > end - F.make_dt_interval(secs=F.lit(float(seconds)))) & (ts <= end)
+
+
 def months(day: Column) -> Column:
     """A month index: differences count month boundaries."""
     return F.year(day) * 12 + F.month(day)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.functions.times import recent
+
 from .templates import minmax, stage
 from .windows import competition_rank, consecutive_growth, index_forecast
 
@@ -89,8 +91,7 @@ def best_traffic(monthly: Column, fortnight: Column, count: Column) -> Column:
 
 
 def windowed_count(events: DataFrame, key: str, ts: str, as_of, hours: float, name: str) -> DataFrame:
-    age = F.unix_timestamp(F.lit(as_of)) - F.unix_timestamp(ts)
-    return events.where((age >= 0) & (age < hours * 3600)).groupBy(key).agg(F.count("*").alias(name))
+    return events.where(recent(F.col(ts), as_of, hours * 3600)).groupBy(key).agg(F.count("*").alias(name))
 
 
 def watch_density(watches: DataFrame, key: str, ts: str, is_bidder: Column, as_of) -> DataFrame:
@@ -106,8 +107,7 @@ def net_watch_delta(watches: DataFrame, key: str, ts: str, removed: Column, as_o
 
 
 def unique_in_window(events: DataFrame, key: str, who: str, ts: str, as_of, hours: float) -> DataFrame:
-    age = F.unix_timestamp(F.lit(as_of)) - F.unix_timestamp(ts)
-    return events.where((age >= 0) & (age < hours * 3600)).groupBy(key).agg(F.countDistinct(who).alias("bidders"))
+    return events.where(recent(F.col(ts), as_of, hours * 3600)).groupBy(key).agg(F.countDistinct(who).alias("bidders"))
 
 
 def tld_features(listings: DataFrame, as_of, weeks: int = 13, threshold: float = 2.5) -> DataFrame:

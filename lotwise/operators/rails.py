@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.functions.times import recent
+
 CAP = 50
 WEEK = 7 * 86400
 
@@ -30,8 +32,7 @@ def rail(rows: DataFrame, name: str, score: Column, order: list[Column], cap: in
 
 
 def _recent(events: DataFrame, as_of, seconds: int) -> DataFrame:
-    age = F.unix_timestamp(F.lit(as_of)) - F.unix_timestamp("ts")
-    return events.where((age >= 0) & (age < seconds))
+    return events.where(recent(F.col("ts"), as_of, seconds))
 
 
 def _today(events: DataFrame, as_of) -> DataFrame:
