@@ -61,7 +61,7 @@ def _in_batches(spark, d, times: int, after: int):
     are as many: late and double rows."""
     e = load(spark, d, "events")
     ends = e.agg(F.min(F.unix_timestamp("ts")).alias("a"), F.max(F.unix_timestamp("ts")).alias("b")).first()
-    width = (ends["b"] - ends["a"]) // times + 1
+    width = (ends["b"] - ends["a"]) / times + 1  # with its fraction, as in the SQL
     own = e.withColumn("part", F.floor((F.unix_timestamp("ts") - ends["a"]) / width).cast("int"))
     every = own.unionByName(own.where(F.col("event_id") % 10 == 0).withColumn("part", F.col("part") + after))
     base = folder(spark, "batches")
