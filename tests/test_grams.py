@@ -53,3 +53,12 @@ def test_equal_grams_of_a_slice_are_one_row(spark):
     schema = T.StructType([docs.schema["label"], T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
     rows = docs.select("label", "tokens").mapInArrow(text._gram_counts(text._arrow_schema(schema), 1 << 20), schema).collect()
     assert sorted(map(tuple, rows)) == [("a", "x", 1000), ("a", "x y", 1000), ("a", "y", 1000), ("a", "y x", 1000)]
+
+
+def test_parts_follow_the_texts_length(spark, monkeypatch):
+    """What a task takes apart is bounded by its texts' characters, also where adaptive execution would join parts."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('some words ', 20) AS text")
+    monkeypatch.setattr(text, "TASK_CHARS", 2_000)
+    tokens = text.doc_tokens(docs, "doc_id", "text")
+    assert tokens.groupBy("doc_id").count().rdd.getNumPartitions() == 400 * 220 // 2_000
+    assert tokens.count() == 400 * 40
