@@ -42,8 +42,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, that of the smallest doc_id. Empty texts are copies of one another."""
-    return drop_near_copies(docs)
+    """Keeps one document of each group of near copies, that of the smallest doc_id. Empty texts are copies of one another. Every pair
+    of texts that share a block is compared, in large groups and long texts too."""
+    return drop_near_copies(docs, exact=True)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

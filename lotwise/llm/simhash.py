@@ -147,6 +147,8 @@ LANES = 4
 #: Beyond so many differing bits of 256 a pair isn't near (39 at a similarity of 0.8, with a standard deviation of 6; 128 and 8
 #: for unlike texts); the shingle sets decide on the others.
 FAR_BITS = 80
+#: The same bound of the exact mode: nine deviations above a near pair's 39, four below an unlike pair's 128.
+EXACT_FAR_BITS = 96
 #: Up to so many parts they are one more than a near pair's differing shingles; beyond, an eighth of the shingles: then a pair at
 #: 0.8 shares 20 blocks or more on average, and none with a chance of exp(-20).
 EXACT_PARTS, PART_SHINGLES = 64, 8
@@ -217,10 +219,10 @@ def _distance(a: str, b: str) -> Column:
     return sum(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(LANES))
 
 
-def _close(candidates: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, bits of the candidates (a, b) that differ in FAR_BITS or fewer."""
+def _close(candidates: DataFrame, texts: DataFrame, exact: bool = False) -> DataFrame:
+    """a, b, bits of the candidates (a, b) that differ in FAR_BITS or fewer, or EXACT_FAR_BITS."""
     a, b = (texts.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
-    return candidates.join(a, "a").join(b, "b").select("a", "b", _distance("fp_a", "fp_b").alias("bits")).where(F.col("bits") <= FAR_BITS)
+    return candidates.join(a, "a").join(b, "b").select("a", "b", _distance("fp_a", "fp_b").alias("bits")).where(F.col("bits") <= (EXACT_FAR_BITS if exact else FAR_BITS))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -241,14 +243,14 @@ def _least_first(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _meet(members: DataFrame) -> DataFrame:
+def _meet(members: DataFrame, exact: bool = False) -> DataFrame:
     """Pairs (a, b) of members (key, n, node, root, fp, outside) of a key: outsiders with all others that aren't joined to them and
     are near by their fingerprints. A key's members are compared in bounded parts."""
     parts = F.ceil(F.col("n") / PART)
     whole = members.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("fp").alias("fp_b"), F.pmod(F.xxhash64("node"), parts).alias("part"))
     outside = members.where("outside").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("fp").alias("fp_a"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
     o, w = outside.alias("o"), whole.alias("w")
-    near = (F.col("o.key") == F.col("w.key")) & (F.col("o.part") == F.col("w.part")) & (F.col("root_a") != F.col("root_b")) & (_distance("fp_a", "fp_b") <= FAR_BITS)
+    near = (F.col("o.key") == F.col("w.key")) & (F.col("o.part") == F.col("w.part")) & (F.col("root_a") != F.col("root_b")) & (_distance("fp_a", "fp_b") <= (EXACT_FAR_BITS if exact else FAR_BITS))
     return o.join(w, near).select("a", "b")
 
 
@@ -273,7 +275,7 @@ def _link_large(large: DataFrame, tested: DataFrame, links: DataFrame, roots: Da
             break
         pairs = known.where(F.col("root") != F.col("top.root")).select(F.col("node").alias("a"), F.col("top.node").alias("b"))
         new = written(_least_first(pairs).join(tested, ["a", "b"], "left_anti"))
-        near = written(_close(new, texts).select("a", "b"))
+        near = written(_close(new, texts, exact).select("a", "b"))
         found = _verified(near, sets, min_similarity)
         gained, asked = found.count(), new.count()
         if not gained:
@@ -285,7 +287,7 @@ def _link_large(large: DataFrame, tested: DataFrame, links: DataFrame, roots: Da
     members = known.join(major, "key").join(texts.select("node", "fp", "own", "next"), "node").withColumn("outside", F.col("root") != F.col("major"))
     held = ["key", "n", "node", "root", "fp", "outside"]
     if exact:
-        near = written(_least_first(_meet(members.select(*held))).join(tested, ["a", "b"], "left_anti"))
+        near = written(_least_first(_meet(members.select(*held), exact)).join(tested, ["a", "b"], "left_anti"))
         return joined(roots, _verified(near, sets, min_similarity))
     # the block and those that follow it in its class, round its end
     blocks = F.when(F.array_contains("own", F.col("key")), F.col("own")).otherwise(F.col("next"))
@@ -304,7 +306,7 @@ def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5, ex
     """doc_id and group: the smallest doc_id of the documents that near copies connect to it.
 
     ``exact``: long texts have as many parts as the pigeonhole principle asks for, and what is left of large block groups meets all of them, so every pair is
-    compared that shares a part and doesn't differ beyond FAR_BITS. Without it pairs in texts over about 280 words and in what is left of groups over PART meet with a
+    compared that shares a part and doesn't differ beyond EXACT_FAR_BITS. Without it pairs in texts over about 280 words and in what is left of groups over PART meet with a
     chance of 0.98 or more, and the work stays linear in such groups.
 
     Near: a Jaccard similarity of ``min_similarity`` or more between the sets of ``words``-word shingles (case folded for
@@ -336,7 +338,7 @@ def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5, ex
     for i in range(1, NEIGHBOURS + 1):
         ordered = ordered.withColumn(f"b{i}", F.lead("node", i).over(order))
     nexts = ordered.select(F.col("node").alias("a"), F.explode(F.array_compact(F.array(*[f"b{i}" for i in range(1, NEIGHBOURS + 1)]))).alias("b"))
-    near = written(_close(_least_first(pairs.unionByName(star).unionByName(nexts)), texts))
+    near = written(_close(_least_first(pairs.unionByName(star).unionByName(nexts)), texts, exact))
     # the nearest smaller text of each is checked first: what that joins needs no further check
     forest = written(near.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"))
     links = _verified(forest, sets, min_similarity)

@@ -59,3 +59,25 @@ def test_long_texts_equal_all_pairs(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: r["group"] for r in simhash.near_groups(df, exact=True).collect()}
     assert got == groups_of(texts)
+
+
+def test_the_pipeline_compares_every_pair(spark, monkeypatch):
+    """The pipeline's stage leaves no pair to chance in large block groups."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "PART", 24)
+    monkeypatch.setattr(simhash, "EXTENSIONS", 1)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    texts, i = {}, 0
+    for c in range(40):
+        base = [f"c{c}w{k}" for k in range(14)]
+        for _ in range(rng.randint(1, 6)):
+            own = list(base)
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(len(own))] = f"x{i}"
+            texts[i] = " ".join(passage + own)
+            i += 1
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, df, "").select("doc_id").collect()}
+    assert kept == set(groups_of(texts).values())
