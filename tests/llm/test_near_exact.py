@@ -81,3 +81,12 @@ def test_the_pipeline_compares_every_pair(spark, monkeypatch):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, df, "").select("doc_id").collect()}
     assert kept == set(groups_of(texts).values())
+
+
+def test_the_pipeline_asks_for_the_exact_mode(monkeypatch):
+    import corpus_pipeline
+
+    asked = []
+    monkeypatch.setattr(corpus_pipeline, "drop_near_copies", lambda docs, *args, **how: asked.append(how))
+    corpus_pipeline.near_copies(None, None, "")
+    assert asked == [{"exact": True}]
