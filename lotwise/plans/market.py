@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lotwise.functions.times import bucket
 from lotwise.operators import enrich, etl, rails, rollups, windows
 from lotwise.operators import templates as t
+from lotwise.operators.sizes import DIMENSION
 from lotwise.session import load
 
 from .views import AUCTIONS_SQL, EVENTS_SQL, LISTINGS_SQL, events, listings, query, rounded
@@ -383,11 +384,12 @@ _RAIL_SQL = f"""{AUCTIONS_SQL}, e AS (SELECT event_id, ts, user_id, event_type,
 
 
 def _frames(spark, d):
-    """Auctions, bids and watches; events name the first hundred active auctions by id."""
-    auctions = listings(spark, d, latest=True)
-    first = windows.top_n(rails.active(auctions, AS_OF).select("auction_id"), [F.col("auction_id")], 101)
+    """Auctions, bids and watches; events name active auctions by their place in order of id. Auctions past the last place named have no events."""
+    auctions, e = listings(spark, d, latest=True), events(spark, d)
+    named = (e.agg(F.max("item")).first()[0] or 0) + 1
+    first = windows.top_n(rails.active(auctions, AS_OF).select("auction_id"), [F.col("auction_id")], named)
     keys = first.select("auction_id", (F.row_number().over(Window.orderBy("auction_id")) - 1).cast("long").alias("item"))
-    e = events(spark, d).join(F.broadcast(keys), "item").select("auction_id", "ts", "user_id", "event_type")
+    e = e.join(F.broadcast(keys) if named <= DIMENSION else keys, "item").select("auction_id", "ts", "user_id", "event_type")
     return auctions, e.where(F.col("event_type").isin("click", "purchase")), e.where(F.col("event_type").isin("view", "signup"))
 
 

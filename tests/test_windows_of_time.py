@@ -29,3 +29,22 @@ def test_rails_of_a_window(spark):
     bids, watches = events(spark, 4), events(spark, 4).where("false")
     for got in (rails.trending(auctions, bids, AS_OF, AS_OF), rails.competitive(auctions, bids, AS_OF, AS_OF), rails.high_traffic(auctions, bids, watches, AS_OF, AS_OF)):
         assert sorted(r["auction_id"] for r in got.collect()) == [1, 3]
+
+
+def test_rails_of_events_that_name_more_than_a_hundred_auctions(spark, tmp_path):
+    import os
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    sf, db = "/root/testdata/sf0.01", duckdb.connect()
+    named = "event_id, ts, user_id, event_type, value, '{\"k\": ' || (CAST(json_extract_string(props, '$.k') AS BIGINT) + 100 * (event_id % 3)) || '}' AS props"
+    db.execute(f"COPY (SELECT {named} FROM '{sf}/events.parquet') TO '{tmp_path}/events.parquet'")
+    for f in os.listdir(sf):
+        if f != "events.parquet":
+            os.symlink(f"{sf}/{f}", f"{tmp_path}/{f}")
+        db.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS FROM '{tmp_path}/{f}'")
+    for name in ("rail_competitive", "rail_high_traffic", "rail_watch_density"):
+        got = entry.queries()[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == sorted(db.execute(entry.oracle_sql()[name]).fetchall()), name
