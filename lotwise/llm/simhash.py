@@ -170,7 +170,7 @@ class _Blocks:
     Size classes are bounded by powers of 1 / similarity**2, so near texts are in one class or in neighbouring ones.
     """
 
-    def __init__(self, min_similarity: float, exact: bool = False):
+    def __init__(self, min_similarity: float):
         t = self.least = min(max(min_similarity, 0.05), 1.0)
         self.vote = _Vote(LANES)
         grow, bounds = max(1.02, t**-2), [1]
@@ -180,7 +180,7 @@ class _Blocks:
         self.parts = []
         for hi in bounds[1:]:
             differ = int(2 * (hi - 1) * (1 - t) / (1 + t) + 1e-9)
-            self.parts.append(differ + 2 if exact else min(differ + 2, max(EXACT_PARTS, hi // PART_SHINGLES)))
+            self.parts.append(min(differ + 2, max(EXACT_PARTS, hi // PART_SHINGLES)))
 
     def __call__(self, batch) -> dict:
         import numpy as np
@@ -215,10 +215,88 @@ class _Blocks:
         return pa.ListArray.from_arrays(pa.array(np.r_[begin, parts.sum()].astype("int32")), flat)
 
 
+#: Texts of so few shingles meet by the least of their hashes: parts would be few there, and those without a differing shingle may be empty.
+SHORT = 64
+
+
+class _Keys:
+    """node and key, a row for each block of a text, in the exact mode.
+
+    A pair is compared in the class of its smaller text: a text has the blocks of its own class, and of the one below if a near text may be of that.
+    Under SHORT shingles blocks are single ones, the least by hash, one more than a near text may lack (prefix filtering). Keys have 48 bits,
+    so that tables of them are small; a collision is a pair more to verify.
+    """
+
+    def __init__(self, min_similarity: float):
+        t = self.least = min(max(min_similarity, 0.05), 1.0)
+        bounds = [SHORT]
+        while bounds[-1] < 1 << 40:
+            bounds.append(max(bounds[-1] + 1, int(bounds[-1] * t**-2)))
+        self.bounds = bounds
+        self.parts = [int((hi - 1 + int((hi - 1) / t + 1e-9)) * (1 - t) / (1 + t) + 1e-9) + 2 for hi in bounds[1:]]
+
+    def __call__(self, batch) -> dict:
+        import numpy as np
+
+        column = batch.column("hashes")
+        offsets = column.offsets.to_numpy().astype("int64")
+        values, sizes = column.values.to_numpy(zero_copy_only=False).view("uint64")[offsets[0] : offsets[-1]], np.diff(offsets)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        mixed = (values ^ (values >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        fewest = np.ceil(self.least * sizes - 1e-9).astype("int64")
+        own = np.searchsorted(self.bounds, sizes, "right") - 1
+        below = (own >= 0) & (fewest < np.array(self.bounds)[np.maximum(own, 0)])
+        found = [self._firsts(mixed, owner, sizes, fewest, (own < 0) | (below & (own == 0)))]
+        found += [self._parts(values, mixed, owner, classes, wanted) for classes, wanted in ((own, own >= 0), (own - 1, below & (own > 0)))]
+        texts, keys = (np.concatenate(c) for c in zip(*found, strict=True))
+        return {"node": batch.column("node").to_numpy(zero_copy_only=False)[texts], "key": (keys >> np.uint64(16)).view("int64")}
+
+    def _firsts(self, mixed, owner, sizes, fewest, wanted):
+        import numpy as np
+
+        held = wanted[owner]
+        x, own = mixed[held], owner[held]
+        order = np.lexsort((x, own))
+        sizes = np.where(wanted, sizes, 0)
+        place = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = order[place <= (sizes - fewest)[own]]  # order is by text, so places and texts go together
+        return own[order], x[order] * np.uint64(0x94D049BB133111EB)
+
+    def _parts(self, values, mixed, owner, classes, wanted):
+        import numpy as np
+
+        parts = np.where(wanted, np.array(self.parts, "int64")[np.maximum(classes, 0)], 0)
+        begin = np.cumsum(parts) - parts
+        held = wanted[owner]
+        values, own = values[held], owner[held]
+        at = begin[own] + (((values >> np.uint64(32)) * parts[own].astype("uint64")) >> np.uint64(32)).astype("int64")
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0]) if len(at) else np.zeros(0, "int64")
+        sums = np.add.reduceat(mixed[held][order], first) if len(at) else np.zeros(0, "uint64")
+        texts = own[order][first]
+        return texts, (sums ^ (classes[texts] + 2).astype("uint64")) * np.uint64(0x94D049BB133111EB)
+
+
 def _distance(a: str, b: str) -> Column:
     return sum(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(LANES))
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast up to BROADCAST_BLOCKS rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_BLOCKS else table
+
+
+def _meets_exact(hashed: DataFrame, min_similarity: float) -> DataFrame:
+    """key, node, n, least: the blocks that different texts share. Blocks are made twice and never stored whole: first they are counted by their keys
+    alone (a text that repeats counts again, so none is missed), then those that recur are made again with their texts."""
+    keyed = map_arrow(hashed, _Keys(min_similarity), "node long, key long")
+    again = written(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    held = written(keyed.join(_few(again), "key").distinct())
+    shared = written(held.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"))
+    return written(held.join(_few(shared), "key"))
+
+
 def _close(candidates: DataFrame, texts: DataFrame, exact: bool = False) -> DataFrame:
     """a, b, bits of the candidates (a, b) that differ in FAR_BITS or fewer, or EXACT_FAR_BITS."""
     a, b = (texts.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
@@ -284,7 +362,7 @@ def _link_large(large: DataFrame, tested: DataFrame, links: DataFrame, roots: Da
         links, roots = links.unionByName(found), joined(roots, found)
 
     major = known.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"))
-    members = known.join(major, "key").join(texts.select("node", "fp", "own", "next"), "node").withColumn("outside", F.col("root") != F.col("major"))
+    members = known.join(major, "key").join(texts.drop("doc_id"), "node").withColumn("outside", F.col("root") != F.col("major"))
     held = ["key", "n", "node", "root", "fp", "outside"]
     if exact:
         near = written(_least_first(_meet(members.select(*held), exact)).join(tested, ["a", "b"], "left_anti"))
@@ -305,8 +383,8 @@ def _link_large(large: DataFrame, tested: DataFrame, links: DataFrame, roots: Da
 def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5, exact: bool = False) -> DataFrame:
     """doc_id and group: the smallest doc_id of the documents that near copies connect to it.
 
-    ``exact``: long texts have as many parts as the pigeonhole principle asks for, and what is left of large block groups meets all of them, so every pair is
-    compared that shares a part and doesn't differ beyond EXACT_FAR_BITS. Without it pairs in texts over about 280 words and in what is left of groups over PART meet with a
+    ``exact``: blocks are those of ``_Keys``, as many in long texts as the pigeonhole principle asks for, and what is left of large block groups meets all of them,
+    so every pair is compared that shares a block and doesn't differ beyond EXACT_FAR_BITS. Without it pairs in texts over about 280 words and in what is left of groups over PART meet with a
     chance of 0.98 or more, and the work stays linear in such groups.
 
     Near: a Jaccard similarity of ``min_similarity`` or more between the sets of ``words``-word shingles (case folded for
@@ -316,17 +394,21 @@ def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5, ex
     hashed = rows.select("doc_id", shingle_hashes(F.col("text"), words).alias("hashes")).withColumn("node", F.xxhash64("hashes", F.size("hashes")))
     # the similarity is of sets, so a repeated shingle votes once
     hashed = hashed.withColumn("hashes", F.array_distinct("hashes"))
-    schema = "doc_id long, node long, fp array<long>, own array<long>, next array<long>"
-    prints = written(map_arrow(hashed, _Blocks(min_similarity, exact), schema))
-    texts = written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "own", "next")]))
-
-    keyed = texts.select("node", F.explode(F.array_compact(F.concat("own", "next"))).alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"))
-    meets = written(keyed.join(F.broadcast(shared) if shared.count() <= BROADCAST_BLOCKS else shared, "key"))
+    if exact:
+        prints = written(map_arrow(hashed, _Vote(LANES), "doc_id long, node long, fp array<long>"))
+        texts = written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp")))
+        meets = _meets_exact(hashed.select("node", "hashes"), min_similarity)
+    else:
+        schema = "doc_id long, node long, fp array<long>, own array<long>, next array<long>"
+        prints = written(map_arrow(hashed, _Blocks(min_similarity), schema))
+        texts = written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "own", "next")]))
+        keyed = texts.select("node", F.explode(F.array_compact(F.concat("own", "next"))).alias("key"))
+        shared = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"))
+        meets = written(keyed.join(_few(shared), "key"))
     few = texts.select("node", "doc_id").join(meets.select("node").distinct(), "node", "left_semi").select(F.col("doc_id"), F.col("node").alias("own_node"))
     # a doc_id may name several texts: the set is that of the text itself
     own = lambda h: F.when(F.xxhash64(h, F.size(h)) == F.col("own_node"), F.array_distinct(h))
-    sets = rows.join(few, "doc_id").select(F.col("own_node").alias("node"), F.element_at(F.transform(F.array(shingle_hashes(F.col("text"), words)), own), 1).alias("s"))
+    sets = rows.join(_few(written(few)), "doc_id").select(F.col("own_node").alias("node"), F.element_at(F.transform(F.array(shingle_hashes(F.col("text"), words)), own), 1).alias("s"))
     sets = written(sets.where("s IS NOT NULL").groupBy("node").agg(F.first("s").alias("s")))
 
     small = meets.where(F.col("n") <= SMALL_GROUP)

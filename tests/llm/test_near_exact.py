@@ -2,7 +2,7 @@
 
 import random
 
-from lotwise.llm import simhash
+from lotwise.llm import common, simhash
 
 
 def groups_of(texts, least=0.8):
@@ -90,3 +90,27 @@ def test_the_pipeline_asks_for_the_exact_mode(monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "drop_near_copies", lambda docs, *args, **how: asked.append(how))
     corpus_pipeline.near_copies(None, None, "")
     assert asked == [{"exact": True}]
+
+
+def test_short_pairs_at_the_bound(spark):
+    """Four shingles and the same with a fifth (0.8): with few parts, those without a differing shingle may all be empty."""
+    texts = {}
+    for i in range(1500):
+        base = [f"t{i}w{k}" for k in range(8)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(base), " ".join([*base, "x"])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["group"] for r in simhash.near_groups(df, exact=True).collect()}
+    assert got == {i: i - i % 2 for i in texts}
+
+
+def test_blocks_are_not_stored(spark, tmp_path, monkeypatch):
+    """Texts that share nothing leave their fingerprints on disk, not their blocks."""
+    import os
+
+    rng = random.Random(13)
+    texts = [(i, " ".join(f"{rng.randrange(1 << 20):x}" for _ in range(800))) for i in range(400)]
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: str(tmp_path))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert simhash.near_groups(df, exact=True).where("doc_id <> group").count() == 0
+    size = sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(tmp_path) for f in files if f.endswith(".parquet"))
+    assert size < 0.1 * sum(len(t) for _, t in texts)
