@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotwise.operators import etl
 
@@ -85,14 +86,11 @@ def encoded(docs: DataFrame, key: str, text: str) -> DataFrame:
     all, from which weights are made when the index is asked. Texts without tokens have empty ones."""
     from lotwise.operators import text as t
 
-    docs = etl.latest_per_key(docs, [key], [c for c in docs.columns if c not in (key, text)] or [text])
-    tokens = t.doc_tokens(docs, key, text)
-    counts = t.term_counts(tokens).withColumn("bucket", t.hash_bucket(F.col("token"), WORD_BUCKETS))
-    terms = counts.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("bucket", "tf"))).alias("terms"), F.first("dl").alias("dl"))
-    out = docs.drop(text).join(terms, key, "left").withColumns({"terms": F.coalesce("terms", F.array().cast("array<struct<bucket:int,tf:bigint>>")), "dl": F.coalesce("dl", F.lit(0).cast("long"))})
-    for name, vectors in (("dense", t.hashed_text(tokens)), ("grams", t.ngram_vectors(tokens))):
-        packed = vectors.groupBy(F.col("doc_id").alias(key)).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "weight")))).alias(name))
-        out = out.join(packed, key, "left").withColumn(name, F.coalesce(name, F.create_map().cast("map<int,double>")))
+    docs = etl.latest_per_key(t.dealt(docs, key, text), [key], [c for c in docs.columns if c not in (key, text)] or [text])
+    tokens = docs.withColumn("tokens", t.tokenize(F.col(text))).drop(text)
+    added = T.StructType.fromDDL("terms array<struct<bucket:int,tf:bigint>>, dl bigint, dense map<int,double>, grams map<int,double>")
+    schema = T.StructType([f for f in tokens.schema if f.name != "tokens"] + list(added))
+    out = tokens.mapInArrow(t.encodings(t._arrow_schema(schema), (WORD_BUCKETS, 256, 1 << 14)), schema)
     return out.select(point_id(F.col(key)).alias("point_id"), "*")
 
 
