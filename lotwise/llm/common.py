@@ -66,15 +66,15 @@ def join_by_weight(rows: DataFrame, groups: DataFrame, keys: list[str], weight:
     return rows.join(heavy, keys).unionByName(rows.join(heavy, keys, "left_anti").join(light, keys, "left"))
 
 
-def map_arrow(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` over record batches of bounded size; ``fn(batch)`` gives a dict of columns."""
+def map_arrow(df: DataFrame, fn, schema: str | T.StructType, size: int = 4_000_000) -> DataFrame:
+    """``mapInArrow`` over record batches of about ``size`` bytes; ``fn(batch)`` gives a dict of columns."""
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return df.mapInArrow(_Batches(fn, schema), schema)
+    return df.mapInArrow(_Batches(fn, schema, size), schema)
 
 
 class _Batches:
-    def __init__(self, fn, schema: T.StructType):
-        self.fn, self.schema = fn, schema
+    def __init__(self, fn, schema: T.StructType, size: int):
+        self.fn, self.schema, self.size = fn, schema, size
 
     def __call__(self, batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -83,7 +83,7 @@ class _Batches:
         schema = to_arrow_schema(self.schema)
         for batch in batches:
             # long texts: a few megabytes at a time, so that a task's memory doesn't follow the rows of a batch
-            step = max(1, min(batch.num_rows, int(batch.num_rows * 4_000_000 / max(1, batch.nbytes))))
+            step = max(1, min(batch.num_rows, int(batch.num_rows * self.size / max(1, batch.nbytes))))
             for i in range(0, batch.num_rows, step):
                 out = self.fn(batch.slice(i, step))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type, from_pandas=True) for f in schema], schema=schema)

@@ -215,6 +215,8 @@ class _Blocks:
         return pa.ListArray.from_arrays(pa.array(np.r_[begin, parts.sum()].astype("int32")), flat)
 
 
+#: Hashes that the exact mode takes in one go.
+HASH_BYTES = 1_000_000
 #: Texts of so few shingles meet by the least of their hashes: parts would be few there, and those without a differing shingle may be empty.
 SHORT = 64
 
@@ -290,7 +292,7 @@ def _few(table: DataFrame) -> DataFrame:
 def _meets_exact(hashed: DataFrame, min_similarity: float) -> DataFrame:
     """key, node, n, least: the blocks that different texts share. Blocks are made twice and never stored whole: first they are counted by their keys
     alone (a text that repeats counts again, so none is missed), then those that recur are made again with their texts."""
-    keyed = map_arrow(hashed, _Keys(min_similarity), "node long, key long")
+    keyed = map_arrow(hashed, _Keys(min_similarity), "node long, key long", HASH_BYTES)
     again = written(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
     held = written(keyed.join(_few(again), "key").distinct())
     shared = written(held.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"))
@@ -395,7 +397,7 @@ def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5, ex
     # the similarity is of sets, so a repeated shingle votes once
     hashed = hashed.withColumn("hashes", F.array_distinct("hashes"))
     if exact:
-        prints = written(map_arrow(hashed, _Vote(LANES), "doc_id long, node long, fp array<long>"))
+        prints = written(map_arrow(hashed, _Vote(LANES), "doc_id long, node long, fp array<long>", HASH_BYTES))
         texts = written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp")))
         meets = _meets_exact(hashed.select("node", "hashes"), min_similarity)
     else:
