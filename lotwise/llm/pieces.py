@@ -26,6 +26,8 @@ CACHED_PAIRS = 1_000_000
 REMEMBERED = 256
 #: Characters of new words that are indexed at a time.
 INDEXED = 2_000_000
+#: Places of a word whose edges are relaxed with those of other words; edges beyond them that are lists at a time.
+ABREAST, ONE_BY_ONE = 64, 100_000
 
 
 def suffix_array(codes, depth: int):
@@ -95,18 +97,25 @@ class Pieces:
         self.known: dict[str, bytes] = {}
         self.start = n  # stands for no piece before
         self.apart: dict[int, bool] = {}
+        self.ranked = {t: self.rank[i] for t, i in self.ids.items()}
+        # as ``apart``, for many at a time: sorted keys, and whether they stay apart
+        self.pairs, self.fine = np.zeros(0, "int64"), np.zeros(0, "bool")
         # what each id says; bytes of ASCII say their character, longer sequences of bytes are put together on their own
         self.said = ["" if i in self.control else chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else t.replace(SPACE, " ") for i, t in enumerate(self.text)]
         self.high = np.array([self.byte_of.get(i, 0) >= 128 for i in range(n)])
 
     def merged(self, text: str) -> list[int]:
         """Byte-pair merges of a short text: the best-ranked pair first, then the leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = min((self.rank[i], k) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None else (float("inf"), k) for k in range(len(parts) - 1))
-            if best[0] == float("inf"):
-                break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        parts, rank, never = list(text), self.ranked.get, float("inf")
+        ranks = [rank(a + b, never) for a, b in zip(parts, parts[1:])]  # noqa: B905
+        while ranks and (best := min(ranks)) < never:
+            k = ranks.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = rank(parts[k] + parts[k + 1], never)
+            if k:
+                ranks[k - 1] = rank(parts[k - 1] + parts[k], never)
         return [self.ids.get(p, -1) for p in parts]
 
     def stay_apart(self, a: int, b: int) -> bool:
@@ -115,12 +124,28 @@ class Pieces:
         if (known := self.apart.get(key)) is None:
             if len(self.apart) > CACHED_PAIRS:
                 self.apart.clear()
-            want = [b] if a == self.start else [a, b]
-            known = self.apart[key] = self.merged("".join(self.text[i] for i in want)) == want
+            known = self.apart[key] = self._apart(a, b)
         return known
 
-    def edges(self, text: str):
-        """Starts, ends and ids of every occurrence of every piece, by start."""
+    def _apart(self, a: int, b: int) -> bool:
+        want = [b] if a == self.start else [a, b]
+        return self.merged("".join(self.text[i] for i in want)) == want
+
+    def _all_apart(self, keys):
+        """``stay_apart`` of many pairs, each as the key a * (start + 1) + b."""
+        import numpy as np
+
+        at = np.minimum(np.searchsorted(self.pairs, keys), max(0, len(self.pairs) - 1))
+        new = np.unique(keys[self.pairs[at] != keys] if len(self.pairs) else keys)
+        if len(new):
+            told = np.array([self._apart(*divmod(k, self.start + 1)) for k in new.tolist()], "bool")
+            place = np.searchsorted(self.pairs, new)
+            self.pairs, self.fine = np.insert(self.pairs, place, new), np.insert(self.fine, place, told)
+            at = np.searchsorted(self.pairs, keys)
+        return self.fine[at]
+
+    def edges(self, text: str, ordered: bool = True):
+        """Starts, ends and ids of every occurrence of every piece, by start if ``ordered``."""
         import numpy as np
 
         codes = np.frombuffer(text.encode("utf-32-le"), "uint32").astype("int64")
@@ -140,6 +165,8 @@ class Pieces:
         owner = np.repeat(np.arange(len(count)), count)
         places = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
         size = self.length[owner]
+        if not ordered:
+            return places, places + size, self.plain[owner]
         by = np.argsort(places)
         return places[by], (places + size)[by], self.plain[owner][by]
 
@@ -159,29 +186,57 @@ class Pieces:
 
     def learn(self, words: list[str]) -> None:
         """Encodes new words, all in one text, of which INDEXED characters at a time are indexed: a word of any length takes no
-        more memory than four bytes for each of its characters beside that."""
+        more memory than four bytes for each of its characters beside that.
+
+        Edges that start at the same place of their words are relaxed together, for all words at a time; those beyond ABREAST places one by one."""
+        import numpy as np
+
         text = "\0".join(words)
-        last = array("i", [-1]) * (len(text) + 1)  # the piece that ends here in the encoding of the word so far; -1: none
-        apart, stay, factor = self.apart, self.stay_apart, self.start + 1
-        bounds, at = [], 0
-        for word in words:
-            bounds.append((at, at + len(word)))
-            last[at] = self.start
-            at += len(word) + 1
-        done = 0
+        last = np.full(len(text) + 1, -1, "int32")  # the piece that ends here in the encoding of the word so far; -1: none
+        factor = self.start + 1
+        if len(self.pairs) > CACHED_PAIRS:
+            self.pairs, self.fine = self.pairs[:0], self.fine[:0]
+        size = np.fromiter(map(len, words), "int64", len(words))
+        begin = np.cumsum(size + 1) - size - 1
+        last[begin] = self.start
+        done, ends, starts = 0, (begin + size).tolist(), begin.tolist()
         for window in range(0, len(text), INDEXED):
-            part = text[window : window + INDEXED + self.depth - 1]
-            for i, j, piece in zip(*(x.tolist() for x in self.edges(part)), strict=True):
-                if i >= INDEXED:
-                    break
-                before = last[window + i]
-                if before >= 0 and last[window + j] < 0:
-                    fine = apart.get(before * factor + piece)
-                    if fine or fine is None and stay(before, piece):
-                        last[window + j] = piece
-            while done < len(words) and bounds[done][1] <= window + INDEXED:
-                self.known[words[done]] = self._back(words[done], *bounds[done], last)
-                done += 1
+            i, j, piece = self.edges(text[window : window + INDEXED + self.depth - 1], ordered=False)
+            own = i < INDEXED
+            i, j, piece = i[own] + window, j[own] + window, piece[own]
+            into = i - begin[np.searchsorted(begin, i, "right") - 1]
+            order = np.argsort(np.minimum(into, ABREAST).astype("uint8"), kind="stable")
+            i, j, piece = i[order], j[order], piece[order]
+            cuts = np.searchsorted(np.minimum(into, ABREAST)[order], np.arange(ABREAST + 1)).tolist()
+            for a, b in zip(cuts, cuts[1:]):  # noqa: B905
+                if a < b:
+                    before = last[i[a:b]]
+                    live = np.flatnonzero((before >= 0) & (last[j[a:b]] < 0))
+                    live = live[self._all_apart(before[live].astype("int64") * factor + piece[a:b][live])]
+                    last[j[a:b][live]] = piece[a:b][live]
+            if cuts[-1] < len(i):
+                self._one_by_one(i[cuts[-1] :], j[cuts[-1] :], piece[cuts[-1] :], last)
+            stop = done
+            while stop < len(words) and ends[stop] <= window + INDEXED:
+                stop += 1
+            if done < stop:
+                some = array("i", last[starts[done] : ends[stop - 1] + 1].tobytes())
+                for k in range(done, stop):
+                    self.known[words[k]] = self._back(words[k], starts[k] - starts[done], ends[k] - starts[done], some)
+                done = stop
+
+    def _one_by_one(self, i, j, piece, last) -> None:
+        import numpy as np
+
+        order, apart, stay, factor, last = np.argsort(i, kind="stable"), self.apart, self.stay_apart, self.start + 1, memoryview(last)
+        for at in range(0, len(order), ONE_BY_ONE):
+            some = order[at : at + ONE_BY_ONE]
+            for a, b, p in zip(i[some].tolist(), j[some].tolist(), piece[some].tolist(), strict=True):
+                before = last[a]
+                if before >= 0 and last[b] < 0:
+                    fine = apart.get(before * factor + p)
+                    if fine or fine is None and stay(before, p):
+                        last[b] = p
 
     def _back(self, word: str, begin: int, stop: int, last) -> bytes:
         if last[stop] < 0:  # a character of no piece
