@@ -10,6 +10,8 @@ from .sizes import model
 
 #: Rows in a block of the corpus and of the queries.
 CORPUS_BLOCK, QUERY_BLOCK = 20_000, 20_000
+#: Scores that a task holds at a time: of so many queries and rows.
+ASKED_TILE, TILE = 128, 4_096
 
 
 def norm(v: Column) -> Column:
@@ -46,18 +48,29 @@ def _cell(k: int, earlier: bool):
         scale = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         a, b = scale(np.stack(c["v"]).astype("float64")), scale(np.stack(q["v"]).astype("float64"))
         ids, own, out = c["id"].to_numpy(), q["query_id"].to_numpy(), []
-        for at in range(0, len(b), 256):
-            s, asked = np.round(b[at : at + 256] @ a.T, 9), own[at : at + 256]
-            s[(ids >= asked[:, None]) if earlier else (ids == asked[:, None])] = -np.inf
-            least = np.partition(s, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(s), -np.inf)
-            i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # with every tie
-            order = np.lexsort((ids[j], -s[i, j], i))
-            i, j = i[order], j[order]
-            best = np.arange(len(i)) - np.searchsorted(i, i) < k
-            i, j = i[best], j[best]
-            out.append(pd.DataFrame({"query_id": asked[i], "id": ids[j], "score": (s[i, j] + 1) / 2}))
+        for at in range(0, len(b), ASKED_TILE):
+            asked, tops = own[at : at + ASKED_TILE], []
+            for start in range(0, len(a), TILE):
+                some = ids[start : start + TILE]
+                s = b[at : at + ASKED_TILE] @ a[start : start + TILE].T
+                np.round(s, 9, out=s)
+                s[(some >= asked[:, None]) if earlier else (some == asked[:, None])] = -np.inf
+                least = np.partition(s, -k, axis=1)[:, -k] if len(some) > k else np.full(len(s), -np.inf)
+                i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # with every tie
+                tops.append(first(i, some[j], s[i, j]))
+            i, j, s = first(*(np.concatenate(x) for x in zip(*tops, strict=True)))
+            out.append(pd.DataFrame({"query_id": asked[i], "id": j, "score": (s + 1) / 2}))
         return pd.concat(out)
 
+    def first(i, j, s):
+        """The ``k`` best of each query: ties to the smaller id."""
+        import numpy as np
+
+        order = np.lexsort((j, -s, i))
+        i, j, s = i[order], j[order], s[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[best], j[best], s[best]
+
     return cell
 
 
