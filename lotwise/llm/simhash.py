@@ -12,7 +12,8 @@ SimHash's bits, too far for blocks of bits, so the blocks are cut from what the
 their hashes into as many parts as a near copy may have other shingles, and two more; a part's hashes make a block. By the
 pigeonhole principle two near texts have parts without a differing shingle, so they share blocks. How many parts there are
 follows from the texts' sizes alone, so a pair meets or doesn't whatever else a corpus holds. Pairs that share a block are
-verified by the Hamming distance of their 256-bit SimHashes and then by their shingle sets; no link is made on bits alone.
+verified by the Hamming distance of their 256-bit SimHashes, by a lower bound on their differing shingles (512 parities) and then by their
+shingle sets; no link is made on bits alone.
 """
 
 from __future__ import annotations
@@ -144,6 +145,8 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 #: 64-bit lanes of the longer fingerprint.
 LANES = 4
+#: 64-bit lanes of the odd buckets: they tell texts of up to about 900 shingles apart.
+ODD_LANES = 8
 #: Beyond so many differing bits of 256 a pair isn't near (39 at a similarity of 0.8, with a standard deviation of 6; 128 and 8
 #: for unlike texts); the shingle sets decide on the others.
 FAR_BITS = 80
@@ -164,15 +167,35 @@ EXTENSIONS = 8
 BROADCAST_BLOCKS = 500_000
 
 
+class _Marks:
+    """What tells most pairs apart before their shingles are compared: the long fingerprint; ``odd``, a bit for each of 64 * ODD_LANES buckets of the
+    different hashes, set where a bucket holds an odd number of them; ``size``, how many there are. A differing hash turns one bit, so two texts differ in as many
+    hashes as bits at least: that rules out no near pair."""
+
+    def __init__(self):
+        self.vote = _Vote(LANES)
+
+    def __call__(self, batch) -> dict:
+        import numpy as np
+
+        column = batch.column("hashes")
+        offsets = column.offsets.to_numpy().astype("int64")
+        values, sizes = column.values.to_numpy(zero_copy_only=False).view("uint64")[offsets[0] : offsets[-1]], np.diff(offsets)
+        odd = np.zeros(len(sizes) * ODD_LANES, "uint64")
+        lane = ((values >> np.uint64(6)) % np.uint64(ODD_LANES)).astype("int64")
+        np.bitwise_xor.at(odd, np.repeat(np.arange(len(sizes)), sizes) * ODD_LANES + lane, np.uint64(1) << (values & np.uint64(63)))
+        return self.vote(batch) | {"odd": list(odd.view("int64").reshape(-1, ODD_LANES)), "size": sizes}
+
+
 class _Blocks:
-    """The long fingerprint of a text, and its blocks: of its size class, and of the next one if a near text may be of that.
+    """The marks of a text, and its blocks: of its size class, and of the next one if a near text may be of that.
 
     Size classes are bounded by powers of 1 / similarity**2, so near texts are in one class or in neighbouring ones.
     """
 
     def __init__(self, min_similarity: float):
         t = self.least = min(max(min_similarity, 0.05), 1.0)
-        self.vote = _Vote(LANES)
+        self.marks = _Marks()
         grow, bounds = max(1.02, t**-2), [1]
         while bounds[-1] < 1 << 40:
             bounds.append(max(bounds[-1] + 1, math.ceil(grow ** len(bounds))))
@@ -185,7 +208,7 @@ class _Blocks:
     def __call__(self, batch) -> dict:
         import numpy as np
 
-        out = self.vote(batch)
+        out = self.marks(batch)
         column = batch.column("hashes")
         offsets = column.offsets.to_numpy().astype("int64")
         values, sizes = column.values.to_numpy(zero_copy_only=False).view("uint64")[offsets[0] : offsets[-1]], np.diff(offsets)
@@ -280,8 +303,23 @@ class _Keys:
         return texts, (sums ^ (classes[texts] + 2).astype("uint64")) * np.uint64(0x94D049BB133111EB)
 
 
-def _distance(a: str, b: str) -> Column:
-    return sum(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(LANES))
+def _distance(a: str, b: str, lanes: int = LANES) -> Column:
+    return sum(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(lanes))
+
+
+#: Columns of ``_Marks``.
+MARKS = ("fp", "odd", "size")
+
+
+def _marked(x: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{x}") for c in MARKS]
+
+
+def _may_be_near(min_similarity: float, exact: bool) -> Column:
+    """Of marks of ``a`` and ``b``: not too many differing bits, and no more hashes that must differ than a near pair may have."""
+    t = min(max(min_similarity, 0.05), 1.0)
+    most = (F.col("size_a") + F.col("size_b")) * ((1 - t) / (1 + t)) + 1e-6
+    return (F.abs(F.col("size_a") - F.col("size_b")) <= most) & (_distance("fp_a", "fp_b") <= (EXACT_FAR_BITS if exact else FAR_BITS)) & (_distance("odd_a", "odd_b", ODD_LANES) <= most)
 
 
 def _few(table: DataFrame) -> DataFrame:
@@ -299,10 +337,10 @@ def _meets_exact(hashed: DataFrame, min_similarity: float) -> DataFrame:
     return written(held.join(_few(shared), "key"))
 
 
-def _close(candidates: DataFrame, texts: DataFrame, exact: bool = False) -> DataFrame:
-    """a, b, bits of the candidates (a, b) that differ in FAR_BITS or fewer, or EXACT_FAR_BITS."""
-    a, b = (texts.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
-    return candidates.join(a, "a").join(b, "b").select("a", "b", _distance("fp_a", "fp_b").alias("bits")).where(F.col("bits") <= (EXACT_FAR_BITS if exact else FAR_BITS))
+def _close(candidates: DataFrame, texts: DataFrame, min_similarity: float, exact: bool = False) -> DataFrame:
+    """a, b, bits of the candidates (a, b) that may be near by their marks."""
+    a, b = (texts.select(F.col("node").alias(x), *_marked(x)) for x in "ab")
+    return candidates.join(a, "a").join(b, "b").where(_may_be_near(min_similarity, exact)).select("a", "b", _distance("fp_a", "fp_b").alias("bits"))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -323,14 +361,14 @@ def _least_first(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _meet(members: DataFrame, exact: bool = False) -> DataFrame:
-    """Pairs (a, b) of members (key, n, node, root, fp, outside) of a key: outsiders with all others that aren't joined to them and
-    are near by their fingerprints. A key's members are compared in bounded parts."""
+def _meet(members: DataFrame, min_similarity: float, exact: bool = False) -> DataFrame:
+    """Pairs (a, b) of members (key, n, node, root, marks, outside) of a key: outsiders with all others that aren't joined to them and
+    may be near by their marks. A key's members are compared in bounded parts."""
     parts = F.ceil(F.col("n") / PART)
-    whole = members.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("fp").alias("fp_b"), F.pmod(F.xxhash64("node"), parts).alias("part"))
-    outside = members.where("outside").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("fp").alias("fp_a"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    whole = members.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), *_marked("b"), F.pmod(F.xxhash64("node"), parts).alias("part"))
+    outside = members.where("outside").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), *_marked("a"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
     o, w = outside.alias("o"), whole.alias("w")
-    near = (F.col("o.key") == F.col("w.key")) & (F.col("o.part") == F.col("w.part")) & (F.col("root_a") != F.col("root_b")) & (_distance("fp_a", "fp_b") <= (EXACT_FAR_BITS if exact else FAR_BITS))
+    near = (F.col("o.key") == F.col("w.key")) & (F.col("o.part") == F.col("w.part")) & (F.col("root_a") != F.col("root_b")) & _may_be_near(min_similarity, exact)
     return o.join(w, near).select("a", "b")
 
 
@@ -355,7 +393,7 @@ def _link_large(large: DataFrame, tested: DataFrame, links: DataFrame, roots: Da
             break
         pairs = known.where(F.col("root") != F.col("top.root")).select(F.col("node").alias("a"), F.col("top.node").alias("b"))
         new = written(_least_first(pairs).join(tested, ["a", "b"], "left_anti"))
-        near = written(_close(new, texts, exact).select("a", "b"))
+        near = written(_close(new, texts, min_similarity, exact).select("a", "b"))
         found = _verified(near, sets, min_similarity)
         gained, asked = found.count(), new.count()
         if not gained:
@@ -365,9 +403,9 @@ def _link_large(large: DataFrame, tested: DataFrame, links: DataFrame, roots: Da
 
     major = known.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"))
     members = known.join(major, "key").join(texts.drop("doc_id"), "node").withColumn("outside", F.col("root") != F.col("major"))
-    held = ["key", "n", "node", "root", "fp", "outside"]
+    held = ["key", "n", "node", "root", *MARKS, "outside"]
     if exact:
-        near = written(_least_first(_meet(members.select(*held), exact)).join(tested, ["a", "b"], "left_anti"))
+        near = written(_least_first(_meet(members.select(*held), min_similarity, exact)).join(tested, ["a", "b"], "left_anti"))
         return joined(roots, _verified(near, sets, min_similarity))
     # the block and those that follow it in its class, round its end
     blocks = F.when(F.array_contains("own", F.col("key")), F.col("own")).otherwise(F.col("next"))
@@ -377,7 +415,7 @@ def _link_large(large: DataFrame, tested: DataFrame, links: DataFrame, roots: Da
     wide = members.where(F.col("n") > PART).withColumn("x", F.explode(others)).where("x.block IS NOT NULL").withColumn("key", F.xxhash64("key", "x.k", "x.block"))
     sizes = wide.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s"), F.max("outside").alias("o")).where("r <> s AND o").select("key", "n")
     wide = wide.drop("n").join(sizes, "key").select(*held)
-    pairs = _meet(members.where(F.col("n") <= PART).select(*held)).unionByName(_meet(wide))
+    pairs = _meet(members.where(F.col("n") <= PART).select(*held), min_similarity).unionByName(_meet(wide, min_similarity))
     near = written(_least_first(pairs).join(tested, ["a", "b"], "left_anti"))
     return joined(roots, _verified(near, sets, min_similarity))
 
@@ -397,13 +435,13 @@ def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5, ex
     # the similarity is of sets, so a repeated shingle votes once
     hashed = hashed.withColumn("hashes", F.array_distinct("hashes"))
     if exact:
-        prints = written(map_arrow(hashed, _Vote(LANES), "doc_id long, node long, fp array<long>", HASH_BYTES))
-        texts = written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp")))
+        prints = written(map_arrow(hashed, _Marks(), "doc_id long, node long, fp array<long>, odd array<long>, size long", HASH_BYTES))
+        texts = written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in MARKS]))
         meets = _meets_exact(hashed.select("node", "hashes"), min_similarity)
     else:
-        schema = "doc_id long, node long, fp array<long>, own array<long>, next array<long>"
+        schema = "doc_id long, node long, fp array<long>, odd array<long>, size long, own array<long>, next array<long>"
         prints = written(map_arrow(hashed, _Blocks(min_similarity), schema))
-        texts = written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "own", "next")]))
+        texts = written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in (*MARKS, "own", "next")]))
         keyed = texts.select("node", F.explode(F.array_compact(F.concat("own", "next"))).alias("key"))
         shared = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"))
         meets = written(keyed.join(_few(shared), "key"))
@@ -422,7 +460,7 @@ def near_groups(docs: DataFrame, min_similarity: float = 0.8, words: int = 5, ex
     for i in range(1, NEIGHBOURS + 1):
         ordered = ordered.withColumn(f"b{i}", F.lead("node", i).over(order))
     nexts = ordered.select(F.col("node").alias("a"), F.explode(F.array_compact(F.array(*[f"b{i}" for i in range(1, NEIGHBOURS + 1)]))).alias("b"))
-    near = written(_close(_least_first(pairs.unionByName(star).unionByName(nexts)), texts, exact))
+    near = written(_close(_least_first(pairs.unionByName(star).unionByName(nexts)), texts, min_similarity, exact))
     # the nearest smaller text of each is checked first: what that joins needs no further check
     forest = written(near.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"))
     links = _verified(forest, sets, min_similarity)

@@ -114,3 +114,43 @@ def test_blocks_are_not_stored(spark, tmp_path, monkeypatch):
     assert simhash.near_groups(df, exact=True).where("doc_id <> group").count() == 0
     size = sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(tmp_path) for f in files if f.endswith(".parquet"))
     assert size < 0.1 * sum(len(t) for _, t in texts)
+
+
+def test_texts_that_share_a_passage_are_told_apart_before_their_shingles_are_read(spark, monkeypatch):
+    """Half of each text is one passage: all share blocks and no two are near. Pairs whose shingles are compared don't grow with the square."""
+    rng = random.Random(14)
+    passage = [f"p{i}" for i in range(60)]
+    texts = {i: " ".join(passage + [f"t{i}w{k}" for k in range(60)]) for i in range(300)}
+    for i in range(0, 300, 60):
+        own = texts[i].split()
+        own[rng.randrange(64, len(own))] = "edited"
+        texts[300 + i] = " ".join(own)
+    read, verified = [], simhash._verified
+
+    def counted(pairs, *args):
+        read.append(pairs.count())
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["group"] for r in simhash.near_groups(df, exact=True).collect()}
+    assert got == {i: i - 300 if i >= 300 else i for i in texts}
+    assert sum(read) < len(texts), read
+
+
+def test_odd_buckets_bound_the_differing_shingles():
+    """As many bits differ as hashes do at most, whatever the sizes."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(15)
+    sets = [set(rng.integers(-(1 << 62), 1 << 62, n).tolist()) for n in (0, 1, 5, 300, 5000)]
+    sets += [set(list(x)[: len(x) * 9 // 10]) | set(rng.integers(-(1 << 62), 1 << 62, len(x) // 10).tolist()) for x in sets]
+    batch = pa.RecordBatch.from_arrays([pa.array([list(x) for x in sets], pa.list_(pa.int64()))], ["hashes"])
+    out = simhash._Marks()(batch)
+    assert list(out["size"]) == [len(x) for x in sets]
+    bits = [np.unpackbits(np.asarray(x, "int64").view("uint8")) for x in out["odd"]]
+    for a, x in zip(sets, bits, strict=True):
+        for b, y in zip(sets, bits, strict=True):
+            assert (x != y).sum() <= len(a ^ b)
+    assert (bits[3] != bits[8]).sum() > 40
