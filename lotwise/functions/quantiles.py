@@ -95,11 +95,18 @@ def _selected(counts: DataFrame, keys: list[str], sizes: DataFrame, qs: dict[str
     return _meet(found, sizes.drop("__d"), keys).groupBy(*keys).agg(n.alias("n"), *[_value(q, n, [at(name, i) for i in both], rule).alias(name) for name, q in qs.items()])
 
 
-def grouped(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], rule: str = "element") -> DataFrame:
-    """``keys``, n and one column for each of ``qs``; NULL values don't count, NULL keys are a group; groups without values have no row."""
+def grouped(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], rule: str = "element", whole: str | None = None) -> DataFrame:
+    """``keys``, n and one column for each of ``qs``; NULL values don't count, NULL keys are a group; groups without values have no row.
+
+    ``whole``: with one key, a further group of that name is all rows. It takes the counts of the other groups, so rows are counted once and
+    a value may have a row for each of these.
+    """
     by = keys or ["__all"]
     rows = df if keys else df.withColumn("__all", F.lit(0))
     counts = stored(rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c")), "counts")
+    if whole is not None:
+        (key,) = by
+        counts = counts.withColumn(key, F.explode(F.array(key, F.lit(whole))))
     sizes = counts.groupBy(*by).agg(F.count("*").alias("__d"), F.sum("__c").alias("__n")).where(F.col("__d") > RANGE)
     if sizes.isEmpty():
         return _sorted(counts, by, qs, rule).drop("__all")

@@ -324,8 +324,8 @@ def percentile_ceilings(df: DataFrame, price: str, remaining: str, prior: tuple[
 
 def market_baselines(df: DataFrame, tld: str, price: str) -> DataFrame:
     """Median price of each TLD and of all ('_global'), by nearest rank."""
-    priced = df.where(F.col(price) > 0).select(F.explode(F.array(F.col(tld), F.lit("_global"))).alias("tld"), F.col(price).alias("v"))
-    return quantiles.grouped(priced, ["tld"], "v", {"baseline": 0.5}, "nearest_rank")
+    priced = df.where(F.col(price) > 0).select(F.col(tld).alias("tld"), F.col(price).alias("v"))
+    return quantiles.grouped(priced, ["tld"], "v", {"baseline": 0.5}, "nearest_rank", whole="_global")
 
 
 def complement_scores(df: DataFrame, tld: str, price: str) -> DataFrame:

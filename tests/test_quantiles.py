@@ -63,3 +63,28 @@ def test_dates_and_empty_tables(spark, monkeypatch):
     got = quantiles.grouped(spark.createDataFrame([(d,) for d in days], "t timestamp"), [], "t", {"mid": 0.5}).first()
     assert got["n"] == 200 and got["mid"] == days[100]
     assert quantiles.grouped(spark.createDataFrame([], "k string, v double"), ["k"], "v", QS, "linear").count() == 0
+
+
+@pytest.mark.parametrize("limit", [40, 500_000])
+def test_baselines_count_each_row_once(spark, monkeypatch, limit):
+    """The group of all rows comes from the counts of the others, also where it is narrowed and where a key has its name."""
+    from lotwise.operators.templates import market_baselines
+
+    monkeypatch.setattr(quantiles, "RANGE", limit)
+    plans, stored = {}, quantiles.stored
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(quantiles, "stored", watched)
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "b", None, "_global"]), float(rng.choice([7, 7, rng.randrange(-50, 900)]))) for _ in range(3000)] + [("c", None), ("d", -1.0), ("e", 7.0)]
+    got = {r["tld"]: (r["n"], r["baseline"]) for r in market_baselines(spark.createDataFrame(rows, "t string, p double"), "t", "p").collect()}
+    groups = {"_global": []}
+    for k, v in rows:
+        if v is not None and v > 0:
+            groups.setdefault(k, []).append(v)
+            groups["_global"].append(v)
+    assert got == {k: (len(v), plain(v, 0.5, "nearest_rank")) for k, v in groups.items()}
+    assert "Generate" not in plans["counts"]
