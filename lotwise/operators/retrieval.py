@@ -23,8 +23,8 @@ def relax_ladder(queries: DataFrame, docs: DataFrame, want: str, have: str, wide
     return counts.select("query_id", reduce(lambda a, b: F.coalesce(a, b), reached).alias("s")).where("s IS NOT NULL").select("query_id", "s.step_no", "s.found")
 
 
-def hybrid(legs: dict[str, DataFrame], top: int, prefetch: int = 150, fusion: str = "rrf", weights: dict[str, float] | None = None, rerank: tuple[DataFrame, DataFrame] | None = None, pool: int = 100, least: float | None = None, keep: DataFrame | None = None, oversample: int = 4) -> DataFrame:
-    """query_id, item, score, rank from several legs (query_id, item, score), which the caller has drawn from the filtered items.
+def hybrid(legs: dict[str, DataFrame] | DataFrame, top: int, prefetch: int = 150, fusion: str = "rrf", weights: dict[str, float] | None = None, rerank: tuple[DataFrame, DataFrame] | None = None, pool: int = 100, least: float | None = None, keep: DataFrame | None = None, oversample: int = 4) -> DataFrame:
+    """query_id, item, score, rank from several legs (query_id, item, score), which the caller has drawn from the filtered items; or all in one table, named by ``source``.
 
     The best ``prefetch`` of each leg are fused by reciprocal ranks or by scaled scores (``dbsf``). With ``rerank`` (vectors of
     queries and of documents) the first ``pool`` of the fusion are scored by their inner products alone; items that share no bucket go. Scores under ``least`` go, then items that aren't in
@@ -37,7 +37,7 @@ def hybrid(legs: dict[str, DataFrame], top: int, prefetch: int = 150, fusion: st
 
     deeper = oversample if keep is not None else 1
     first = lambda df, n, *by: df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("score", 9)), "item"))).where(F.col("__r") <= n).drop("__r")
-    lists = reduce(DataFrame.unionByName, [df.select("query_id", F.lit(name).alias("source"), "item", "score") for name, df in legs.items()])
+    lists = legs if isinstance(legs, DataFrame) else reduce(DataFrame.unionByName, [df.select("query_id", F.lit(name).alias("source"), "item", "score") for name, df in legs.items()])
     lists = first(lists, prefetch * deeper, "query_id", "source").withColumn("score", F.round("score", 9))
     fused = rrf(lists, weights, top=1 << 30).select("query_id", "item", "score") if fusion == "rrf" else dbsf(lists)
     if rerank is not None:

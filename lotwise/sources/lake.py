@@ -87,9 +87,9 @@ def encoded(docs: DataFrame, key: str, text: str) -> DataFrame:
     from lotwise.operators import text as t
 
     docs = etl.latest_per_key(t.dealt(docs, key, text), [key], [c for c in docs.columns if c not in (key, text)] or [text])
-    tokens = docs.withColumn("tokens", t.tokenize(F.col(text))).drop(text)
+    tokens = docs.withColumn("__text", F.concat(F.concat_ws(" ", t.tokenize(F.col(text))), F.lit(" "))).drop(text)
     added = T.StructType.fromDDL("terms array<struct<bucket:int,tf:bigint>>, dl bigint, dense map<int,double>, grams map<int,double>")
-    schema = T.StructType([f for f in tokens.schema if f.name != "tokens"] + list(added))
+    schema = T.StructType([f for f in tokens.schema if f.name != "__text"] + list(added))
     out = tokens.mapInArrow(t.encodings(t._arrow_schema(schema), (WORD_BUCKETS, 256, 1 << 14)), schema)
     return out.select(point_id(F.col(key)).alias("point_id"), "*")
 
