@@ -28,7 +28,8 @@ def hybrid(legs: dict[str, DataFrame] | DataFrame, top: int, prefetch: int = 150
 
     The best ``prefetch`` of each leg are fused by reciprocal ranks or by scaled scores (``dbsf``). With ``rerank`` (vectors of
     queries and of documents) the first ``pool`` of the fusion are scored by their inner products alone; items that share no bucket go. Scores under ``least`` go, then items that aren't in
-    ``keep``; for these the legs and the pool are drawn ``oversample`` times as deep. Ties by item.
+    ``keep``; for these the legs and the pool are drawn ``oversample`` times as deep. Ties by item. With ``rerank``, vectors of documents and ``keep`` may be functions of the pool's items (column item), so that
+    those of others needn't be made.
     """
     from lotwise.sources.sinks import stored
 
@@ -42,7 +43,9 @@ def hybrid(legs: dict[str, DataFrame] | DataFrame, top: int, prefetch: int = 150
     fused = rrf(lists, weights, top=1 << 30).select("query_id", "item", "score") if fusion == "rrf" else dbsf(lists)
     if rerank is not None:
         head = stored(first(fused, max(pool, top) * deeper, "query_id").select("query_id", "item"), "pool")
-        fused = narrow_dot(head, *rerank)
+        items = head.select("item").distinct()
+        of = lambda x: x(items) if callable(x) else x
+        fused, keep = narrow_dot(head, rerank[0], of(rerank[1])), of(keep)
     if least is not None:
         fused = fused.where(F.round("score", 9) >= least)
     if keep is not None:

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lotwise.operators import legs, retrieval, text
+from lotwise.operators import legs, text
 from lotwise.plans import search
+from lotwise.sources import sinks
 
 RNG = random.Random(5)
 TEXTS = [
@@ -70,13 +71,19 @@ def test_no_texts_and_no_queries(spark):
     assert legs.found(asked.limit(0), docs, "doc_id", "text", 3).count() == 0
 
 
-def test_no_vectors_of_all_documents_are_stored(spark, sf, monkeypatch):
+@pytest.mark.parametrize("name", ["ret_hybrid", "ret_hybrid_dbsf"])
+def test_no_vectors_of_all_documents_are_stored(spark, sf, name, monkeypatch):
     kept = []
-    for place in (text, retrieval, search, legs):
+    for place in (text, sinks, search, legs):
         if hasattr(place, "stored"):
             monkeypatch.setattr(place, "stored", lambda df, name, f=place.stored: kept.append((name, f(df, name))) or kept[-1][1])
-    assert search.ret_hybrid_dbsf(spark, sf).count() > 0
-    assert not kept
+    got = getattr(search, name)(spark, sf)
+    assert got.count() > 0
+    assert [n for n, _ in kept] == (["pool", "pool"] if name == "ret_hybrid" else [])
+    if name == "ret_hybrid":  # texts are read again for the pool's items alone
+        (_, pool), (_, texts) = kept
+        assert texts.count() == pool.select("item").distinct().count() and texts.columns == ["item", "text"]
+        assert search.load(spark, sf, "documents").count() > texts.count()
 
 
 def test_texts_are_dealt_only_where_parts_are_uneven(spark):
