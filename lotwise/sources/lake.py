@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.operators import etl
+from lotwise.operators.sizes import small
 
 
 def seed_scan(log: DataFrame, ts: str, name: str, as_of, days: int, types: tuple[int, ...] = (), newest: int | None = None, tie: list[str] = (), active_only: bool = False) -> DataFrame:
@@ -83,10 +84,13 @@ def point_id(key: Column) -> Column:
 def encoded(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One point for each key: its id, the columns but the text, and three encodings of the text that follow from it alone. ``dense``: hashed words of length one,
     ``grams``: of characters (maps of bucket to weight); ``terms``: bucket and frequency of each different word, with ``dl``, the words in
-    all, from which weights are made when the index is asked. Texts without tokens have empty ones."""
+    all, from which weights are made when the index is asked. Texts without tokens have empty ones. Texts are moved only where keys repeat or parts are uneven."""
     from lotwise.operators import text as t
 
-    docs = etl.latest_per_key(t.dealt(docs, key, text), [key], [c for c in docs.columns if c not in (key, text)] or [text])
+    if t.repeated(docs, key):
+        docs = etl.latest_per_key(t.dealt(docs, key, text), [key], [c for c in docs.columns if c not in (key, text)] or [text])
+    else:
+        docs = t.spread(docs, key)
     tokens = docs.withColumn("__text", F.concat(F.concat_ws(" ", t.tokenize(F.col(text))), F.lit(" "))).drop(text)
     added = T.StructType.fromDDL("terms array<struct<bucket:int,tf:bigint>>, dl bigint, dense map<int,double>, grams map<int,double>")
     schema = T.StructType([f for f in tokens.schema if f.name != "__text"] + list(added))
@@ -94,8 +98,8 @@ def encoded(docs: DataFrame, key: str, text: str) -> DataFrame:
     return out.select(point_id(F.col(key)).alias("point_id"), "*")
 
 
-#: Buckets of words in an index.
-WORD_BUCKETS = 1 << 16
+#: Buckets of words in an index; ids in several loads that are broadcast.
+WORD_BUCKETS, AGAIN = 1 << 16, 500_000
 
 
 class Index:
@@ -109,24 +113,29 @@ class Index:
         self.spark, self.base = spark, base or folder(spark, "index")
 
     def load(self, docs: DataFrame, key: str, text: str, number: int) -> None:
-        encoded(docs, key, text).write.mode("overwrite").parquet(f"{self.base}/load={int(number)}")
+        encoded(docs, key, text).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.base}/load={int(number)}")
 
     def points(self) -> DataFrame:
-        """The latest point of each id."""
-        rows = self.spark.read.parquet(self.base)
-        newest = rows.groupBy("point_id").agg(F.max("load").alias("load"))
-        return rows.join(newest, ["point_id", "load"], "left_semi").drop("load")
+        """The latest point of each id. Only ids and loads are grouped; points move only where too many ids to be broadcast are in several loads."""
+        rows = self.spark.read.parquet(self.base).where("point_id IS NOT NULL")
+        again = rows.groupBy("point_id").agg(F.max("load").alias("__newest"), F.min("load").alias("__oldest")).where("__newest > __oldest").select("point_id", "__newest")
+        return rows.join(small(again, AGAIN), "point_id", "left").where("__newest IS NULL OR load = __newest").drop("load", "__newest")
 
     def figures(self) -> DataFrame:
         """One row: n, the points that have words, and their mean number. Only ids and lengths are read."""
         rows = self.spark.read.parquet(self.base).groupBy("point_id").agg(F.max_by("dl", "load").alias("dl")).where("dl > 0")
         return rows.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
 
-    def words(self, key: str, mean: float | None = None) -> DataFrame:
-        """doc_id, bucket, weight of all points, by the corpus as it is now or by a ``mean`` that is given."""
+    def weighed(self, mean: float | None = None, then=None, schema: str | None = None) -> DataFrame:
+        """The points with ``words``, bucket to weight in the order of buckets, in place of ``terms``; by the corpus as it is now or by a ``mean`` that is given. They are made where the point is.
+        ``then``: makes rows of ``schema`` of their Arrow batches in the same pass."""
         from lotwise.operators import text as t
 
-        rows = self.points().select(F.col(key).alias("doc_id"), "dl", F.inline("terms"))
-        usual = F.lit(mean) if mean is not None else F.col("mean")
-        rows = rows if mean is not None else rows.join(F.broadcast(self.figures().select("mean")), F.lit(True))
-        return rows.groupBy("doc_id", "bucket").agg(F.sum(t.saturated(F.col("tf"), F.col("dl"), usual)).alias("weight"))
+        points, usual = self.points(), mean if mean is not None else self.figures().first()["mean"] or 1.0
+        own = T.StructType([T.StructField("words", T.MapType(T.IntegerType(), T.DoubleType())) if f.name == "terms" else f for f in points.schema])
+        weigh = t.weighed_terms(t._arrow_schema(own), usual)
+        return points.mapInArrow(lambda batches: then(weigh(batches)), schema) if then else points.mapInArrow(weigh, own)
+
+    def words(self, key: str, mean: float | None = None) -> DataFrame:
+        """doc_id, bucket, weight of all points, by the corpus as it is now or by a ``mean`` that is given."""
+        return self.weighed(mean).select(F.col(key).alias("doc_id"), F.explode("words").alias("bucket", "weight"))
