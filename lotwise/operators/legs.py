@@ -10,7 +10,7 @@ from lotwise.sources.sinks import stored
 from . import text as t
 
 #: Queries that travel to the texts; more are compared in a grid of blocks. Cells of a tile of documents.
-ASKED, TILE_CELLS = 1_500, 4_000_000
+ASKED, TILE_CELLS = 1_500, 1_000_000
 #: Buckets of words, hashed words and grams.
 SIZES = {"words": 1 << 16, "dense": 256, "grams": 1 << 14}
 #: Stands for a key that is NULL, which comes last.

@@ -168,32 +168,11 @@ def src_index_load(spark, d):
     index = lake.Index(spark)
     index.load(docs.where(~late | (F.col("doc_id") % 10 == 1)).withColumn("text", F.when(late, F.reverse("text")).otherwise(F.col("text"))), "doc_id", "text", 0)
     index.load(docs.where(late), "doc_id", "text", 1)
-    kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "lang", "n_chars"))
-    return index.weighed(then=_digests, schema=f"point_id string, {kept}, " + ", ".join(f"{n}_n long, {n}_md5 string" for n in ("dense", "words", "grams")))
-
-
-def _digests(batches):
-    """Number and digest of the entries of each vector: bucket and weight to six places, in the order of buckets, which is that of the index."""
-    from hashlib import md5
-
-    import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1_000):
-            some = batch.slice(at, 1_000)
-            out = [some.column(c) for c in ("point_id", "doc_id", "lang", "n_chars")]
-            for name in ("dense", "words", "grams"):
-                cells = some.column(name)
-                bounds = cells.offsets.to_numpy()
-                keys, values = (x.slice(bounds[0], bounds[-1] - bounds[0]) for x in (cells.keys, cells.items))
-                sizes = np.diff(bounds)
-                scaled = pa.array(np.floor(values.to_numpy() * 1e6 + 0.5001).astype("int64"))
-                entries = pc.binary_join_element_wise(keys.cast(pa.string()), scaled.cast(pa.string()), ":")
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array((bounds - bounds[0]).astype("int32")), entries), ",").to_pylist()
-                out += [pa.array(sizes.astype("int64")), pa.array([md5(x.encode()).hexdigest() if n else None for x, n in zip(joined, sizes.tolist(), strict=True)], pa.string())]
-            yield pa.RecordBatch.from_arrays(out, ["point_id", "doc_id", "lang", "n_chars", "dense_n", "dense_md5", "words_n", "words_md5", "grams_n", "grams_md5"])
+    entry = lambda e: F.concat(e["key"].cast("string"), F.lit(":"), F.floor(e["value"] * 1e6 + 0.5001).cast("string"))
+    # entries lie in the order of buckets
+    told = lambda n: [F.size(n).cast("long").alias(f"{n}_n"), F.when(F.size(n) > 0, F.md5(F.array_join(F.transform(F.map_entries(n), entry), ","))).alias(f"{n}_md5")]
+    points = index.weighed(kept=["point_id", "doc_id", "lang", "n_chars", *told("dense"), *told("grams")])
+    return points.select("point_id", "doc_id", "lang", "n_chars", "dense_n", "dense_md5", *told("words"), "grams_n", "grams_md5")
 
 
 @query(f"""{A} SELECT auction_id, price, bids, ends_at FROM l""")

@@ -126,16 +126,15 @@ class Index:
         rows = self.spark.read.parquet(self.base).groupBy("point_id").agg(F.max_by("dl", "load").alias("dl")).where("dl > 0")
         return rows.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
 
-    def weighed(self, mean: float | None = None, then=None, schema: str | None = None) -> DataFrame:
-        """The points with ``words``, bucket to weight in the order of buckets, in place of ``terms``; by the corpus as it is now or by a ``mean`` that is given. They are made where the point is.
-        ``then``: makes rows of ``schema`` of their Arrow batches in the same pass."""
+    def weighed(self, mean: float | None = None, kept: list[str | Column] = ("*",)) -> DataFrame:
+        """The ``kept`` columns of the points and ``words``, bucket to weight in the order of buckets; by the corpus as it is now or by a ``mean`` that is given. They are made where the point is."""
         from lotwise.operators import text as t
 
-        points, usual = self.points(), mean if mean is not None else self.figures().first()["mean"] or 1.0
-        own = T.StructType([T.StructField("words", T.MapType(T.IntegerType(), T.DoubleType())) if f.name == "terms" else f for f in points.schema])
-        weigh = t.weighed_terms(t._arrow_schema(own), usual)
-        return points.mapInArrow(lambda batches: then(weigh(batches)), schema) if then else points.mapInArrow(weigh, own)
+        usual = mean if mean is not None else self.figures().first()["mean"] or 1.0
+        points = self.points().select(*kept, F.col("terms").alias("__terms"), F.col("dl").alias("__dl"))
+        schema = T.StructType([f for f in points.schema if f.name not in ("__terms", "__dl")] + [T.StructField("words", T.MapType(T.IntegerType(), T.DoubleType()))])
+        return points.mapInArrow(t.weighed_terms(t._arrow_schema(schema), usual), schema)
 
     def words(self, key: str, mean: float | None = None) -> DataFrame:
         """doc_id, bucket, weight of all points, by the corpus as it is now or by a ``mean`` that is given."""
-        return self.weighed(mean).select(F.col(key).alias("doc_id"), F.explode("words").alias("bucket", "weight"))
+        return self.weighed(mean, [F.col(key).alias("doc_id")]).select("doc_id", F.explode("words").alias("bucket", "weight"))
